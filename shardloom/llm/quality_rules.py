@@ -32,11 +32,11 @@ class Rule:
 
 
 RULES = (
-    Rule("length", "n_words < 20", "n_words >= 60"),
+    Rule("length", "n_words < 10", "n_words >= 40"),
     Rule("word_length", "word_chars < 2.5 * n_words OR word_chars > 12 * n_words", "word_chars BETWEEN 3 * n_words AND 10 * n_words"),
     Rule("symbols", "n_symbols > 0.10 * n_words", "n_symbols <= 0.02 * n_words"),
     Rule("repeated_lines", "n_dup_lines > 0.3 * n_lines", "n_dup_lines = 0"),
-    Rule("repeated_words", "n_repeat_words > 0.1 * n_words", "n_repeat_words <= 0.02 * n_words"),
+    Rule("repeated_words", "n_repeat_words > 0.15 * n_words", "n_repeat_words <= 0.02 * n_words"),
     Rule("capitals", "n_capitals > 0.4 * word_chars", "n_capitals <= 0.15 * word_chars"),
     Rule("exclamations", "n_exclamations > 0.1 * n_words", "n_exclamations <= 0.03 * n_words"),
 )
@@ -82,23 +82,31 @@ def base_failed() -> Column:
     return F.expr("n_words < 10 OR 100 * n_repeat_words > 20 * n_words")
 
 
+#: What rules are expected to be like, (bad votes on good documents, on bad documents) among their votes, and how much that weighs against the data.
+EXPECTED = (0.002, 0.3)
+WEIGHT = 0.25
+#: A rule is taken to vote bad on at most this share of good documents it votes on, and on at least that share of bad ones.
+AT_MOST, AT_LEAST = 0.003, 0.1
+
+
 def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200) -> tuple[float, list[tuple[float, float]]]:
     """Share of good documents, and for each rule how often it votes bad (if it votes) on good and on bad ones.
 
     ``patterns``: votes and how many documents have them. The first guess takes a document with a
-    bad vote for a bad one. A rule is never believed to vote bad more often on good documents than
-    on bad ones. Weak counts keep shares off 0 and 1; no documents give the guess back.
+    bad vote for a bad one. EXPECTED counts as WEIGHT times as many votes as there are documents:
+    without it the two classes can become any two clusters, such as long and short texts. No
+    documents give what is expected.
     """
     n = sum(c for _, c in patterns)
     rules = len(RULES)
     good = [0.02 if -1 in votes else 0.98 for votes, _ in patterns]
-    share, rates = 0.8, [(0.02, 0.3)] * rules
+    share, rates = 0.8, [EXPECTED] * rules
+    prior = WEIGHT * n + 1
     for _ in range(rounds if n else 0):
-        share = min(0.99, max(0.05, (sum(g * c for g, (_, c) in zip(good, patterns, strict=True)) + 8) / (n + 10)))
+        share = min(0.95, max(0.05, sum(g * c for g, (_, c) in zip(good, patterns, strict=True)) / n))
         found = []
         for r in range(rules):
-            a = [0.2, 10.0]  # bad votes and votes on good documents
-            b = [3.0, 10.0]
+            a, b = [EXPECTED[0] * prior, prior], [EXPECTED[1] * prior, prior]
             for g, (votes, c) in zip(good, patterns, strict=True):
                 if votes[r]:
                     bad = votes[r] < 0
@@ -106,8 +114,7 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200) ->
                     a[1] += g * c
                     b[0] += (1 - g) * c * bad
                     b[1] += (1 - g) * c
-            on_good, on_bad = a[0] / a[1], b[0] / b[1]
-            found.append((min(on_good, 0.2), max(on_bad, min(on_good, 0.2), 0.02)))
+            found.append((min(AT_MOST, a[0] / a[1]), max(AT_LEAST, b[0] / b[1])))
         moved = max(abs(x - y) for p, q in zip(rates, found, strict=True) for x, y in zip(p, q, strict=True))
         rates = found
         good = [1 / (1 + math.exp(-log_odds(share, rates, votes))) for votes, _ in patterns]

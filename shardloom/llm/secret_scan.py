@@ -126,9 +126,10 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     d = d.select("doc_id", "text", F.array_sort(base).cast(_SPANS).alias("base"))
     touches = lambda x, y: (x["start"] < y["end"]) & (y["start"] < x["end"])
     d = d.select("*", *[entropy_spans(safe, len(KINDS), c).cast(_SPANS).alias(f"e{k}") for k, c in enumerate(CLASSES)])
+    apart = lambda spans: lambda x: ~F.exists(spans, lambda y: touches(x, y))
     more = "base"
     for k in range(len(CLASSES)):
-        new = F.filter(f"e{k}", lambda x, m=more: ~F.exists(m, lambda y: touches(x, y)))
+        new = F.filter(f"e{k}", apart(more))
         d = d.withColumn(f"all{k}", F.when(F.size(f"e{k}") > 0, F.concat(more, new)).otherwise(F.col(more)))
         more = f"all{k}"
     return d.select("doc_id", "text", "base", F.array_sort(more).alias("spans"))
@@ -141,7 +142,8 @@ def spans_text(spans: str) -> Column:
 def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans for each row of ``docs``."""
     d = secret_spans(docs, id_col, text_col)
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k.name)).cast("long").alias(f"n_{k.name}") for k in KINDS]
+    of = lambda name: lambda s: s["kind"] == name
+    counts = [F.size(F.filter("base", of(k.name))).cast("long").alias(f"n_{k.name}") for k in KINDS]
     return d.select("doc_id", *counts, F.sha2(spans_text("base"), 256).alias("base_sha256"), spans_text("spans").alias("spans"))
 
 
