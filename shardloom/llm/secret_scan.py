@@ -113,26 +113,29 @@ def entropy_spans(text: Column, ordinal: int, kind: CharClass) -> Column:
     return F.transform(hot, lambda r: F.struct((r["start"] + r["hot"]["first"]).alias("start"), F.lit(ordinal).alias("ord"), F.lit("entropy").alias("kind"), (r["start"] + r["hot"]["last"] + kind.width).alias("end")))
 
 
-def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, base and spans of each row of ``docs``.
+def with_spans(docs: DataFrame, text_col: str = "text", base_col: str = "_base", spans_col: str = "_spans") -> DataFrame:
+    """``docs`` with two more columns, arrays of (start, ord, kind, end) by start, then kind: base spans, and all spans.
 
-    ``base`` and ``spans`` are arrays of (start, ord, kind, end) by start, then kind. An entropy span
-    that touches a base span, or another of an earlier class, is left out.
+    An entropy span that touches a base span, or another of an earlier class, is left out.
     """
-    text = F.col("text")
-    d = id_and_text(docs, id_col, text_col)
-    safe = F.coalesce(text, F.lit(""))
-    base = F.concat(*[base_spans(safe, k, kind) for k, kind in enumerate(KINDS)])
-    d = d.select("doc_id", "text", F.array_sort(base).cast(_SPANS).alias("base"))
+    names = docs.columns
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    base = F.concat(*[base_spans(text, k, kind) for k, kind in enumerate(KINDS)])
+    d = docs.withColumn(base_col, F.array_sort(base).cast(_SPANS))
+    d = d.withColumns({f"_entropy{k}": entropy_spans(text, len(KINDS), c).cast(_SPANS) for k, c in enumerate(CLASSES)})
     touches = lambda x, y: (x["start"] < y["end"]) & (y["start"] < x["end"])
-    d = d.select("*", *[entropy_spans(safe, len(KINDS), c).cast(_SPANS).alias(f"e{k}") for k, c in enumerate(CLASSES)])
     apart = lambda spans: lambda x: ~F.exists(spans, lambda y: touches(x, y))
-    more = "base"
+    more = base_col
     for k in range(len(CLASSES)):
-        new = F.filter(f"e{k}", apart(more))
-        d = d.withColumn(f"all{k}", F.when(F.size(f"e{k}") > 0, F.concat(more, new)).otherwise(F.col(more)))
-        more = f"all{k}"
-    return d.select("doc_id", "text", "base", F.array_sort(more).alias("spans"))
+        new = F.filter(f"_entropy{k}", apart(more))
+        d = d.withColumn(f"_all{k}", F.when(F.size(f"_entropy{k}") > 0, F.concat(more, new)).otherwise(F.col(more)))
+        more = f"_all{k}"
+    return d.withColumn(spans_col, F.array_sort(more)).select(*[f"`{n}`" for n in names if n not in (base_col, spans_col)], base_col, spans_col)
+
+
+def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text, base and spans of each row of ``docs``."""
+    return with_spans(id_and_text(docs, id_col, text_col), "text", "base", "spans")
 
 
 def spans_text(spans: str) -> Column:

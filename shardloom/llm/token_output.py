@@ -18,8 +18,11 @@ each other by text; an empty table gives no blocks; extra columns are ignored.
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .bpe import CACHE, loaded
+from .bpe import byte_alphabet, loaded
 from .common import columns_of, id_and_text, shared_dir, remove_at_exit
 
 MAGIC = b"SLEF"
@@ -119,6 +122,31 @@ class Block:
         return np.frombuffer(self.ids[4 * start : 4 * end], "<u4")
 
 
+#: Words of these characters only are lower-cased and cut by the pattern below as the library does it with word_bpe files.
+_LATIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]*\Z")
+_LATIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+_WORD_PIECES = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+_PIECES, _WORDS = 600_000, 150_000
+
+
+class PieceMemory(dict):
+    """Lower-cased piece -> its ids as bytes, from the library's model."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model = model
+        self.stands_for = {b: c for c, b in byte_alphabet().items()}
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= _PIECES:
+            self.clear()
+        spelled = piece if piece.isascii() else "".join(map(self.stands_for.__getitem__, piece.encode()))
+        got = self[piece] = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+        return got
+
+
 class WordMemory(dict):
     """Word between white space -> its ids as bytes, from the library itself."""
 
@@ -127,11 +155,20 @@ class WordMemory(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_str(spec)
+        self.pieces = PieceMemory(self.tokenizer.model)
+        data = json.loads(spec)
+        kinds = [n["type"] for n in (data["normalizer"] or {}).get("normalizers", [])]
+        splits = (data["pre_tokenizer"] or {}).get("pretokenizers", [])
+        self.plain = kinds == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in splits] == ["Split", "ByteLevel"] and splits[0]["pattern"] == {"Regex": _WORD_PIECES} and not splits[1]["use_regex"]
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE:
+        if len(self) >= _WORDS:
             self.clear()
-        got = self[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        if self.plain and _LATIN.match(word):
+            got = b"".join(map(self.pieces.__getitem__, _LATIN_PIECES.findall(word.lower())))
+        else:
+            got = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        self[word] = got
         return got
 
 
