@@ -2,9 +2,476 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window
+
+from shardloom.functions import text as tx
+from shardloom.operators import chunking, rerank, search, store
+from shardloom.plans import experiment
+from shardloom.sources import documents as src
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+TOP_K = 30
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# -- retrieval ------------------------------------------------------------------------------------
+
+def _records(spark, d):
+    return _t(spark, d, "embeddings").select(F.col("vec_id").alias("record_id"), "embedding", "label")
+
+
+def _questions(spark, d):
+    """The stated query set: every vector whose id is divisible by 20."""
+    return _t(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def _hits(spark, d, k=TOP_K):
+    return search.vector_top_k(_questions(spark, d), _records(spark, d).select("record_id", "embedding"), k)
+
+
+_HITS = f"""
+dist AS (SELECT q.vec_id AS query_id, e.vec_id AS record_id,
+  list_reduce(list_transform(list_zip(q.embedding, e.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)), lambda a, b: a + b) AS distance
+  FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0),
+hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, record_id) AS rank FROM dist) WHERE rank <= {TOP_K}),
+raw AS (SELECT *, 1.0::DOUBLE / (1.0 + least(100.0, distance)) AS vraw FROM hits),
+scored AS (SELECT *, CASE WHEN max(vraw) OVER (PARTITION BY query_id) <= min(vraw) OVER (PARTITION BY query_id) THEN 1.0::DOUBLE
+  ELSE (vraw - min(vraw) OVER (PARTITION BY query_id)) / (max(vraw) OVER (PARTITION BY query_id) - min(vraw) OVER (PARTITION BY query_id)) END AS norm FROM raw)
+"""
+
+
+@query(f"WITH {_HITS} SELECT query_id, record_id, rank::INT AS rank, round(distance, 6) AS distance FROM hits")
+def vector_topk(spark, d):
+    return _hits(spark, d).withColumn("distance", F.round("distance", 6))
+
+
+@query(f"WITH {_HITS} SELECT query_id, record_id, rank::INT AS rank, round(vraw, 6) AS vector_score_raw, round(norm, 6) AS final_score FROM scored")
+def vector_scored(spark, d):
+    return search.scored_hits(_hits(spark, d)).select("query_id", "record_id", "rank", F.round("vector_score_raw", 6).alias("vector_score_raw"), F.round("final_score", 6).alias("final_score"))
+
+
+@query(f"WITH {_HITS} SELECT query_id, count(*) AS n_hits, count(DISTINCT record_id // 2) AS n_chunks, min(record_id // 2) AS first_chunk FROM hits GROUP BY 1")
+def vector_multivariant_topk(spark, d):
+    """Two records of a logical chunk may both be among the hits; they aren't merged before reranking."""
+    hits = _hits(spark, d).withColumn("chunk", F.floor(F.col("record_id") / 2))
+    return hits.groupBy("query_id").agg(F.count("*").alias("n_hits"), F.countDistinct("chunk").alias("n_chunks"), F.min("chunk").alias("first_chunk"))
+
+
+@query("""SELECT vec_id, round(list_reduce(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE), lambda a, b: a + b), 6) AS square, round(embedding[1]::DOUBLE / sqrt(list_reduce(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE), lambda a, b: a + b)), 6) AS first FROM embeddings""")
+def l2_normalize(spark, d):
+    v = _t(spark, d, "embeddings")
+    square = F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda s, x: s + x * x)
+    return v.select("vec_id", F.round(square, 6).alias("square"), F.round(F.get(search.unit_length(F.col("embedding")), F.lit(0)), 6).alias("first"))
+
+
+_WORDS = "SELECT conv_id * 1000 + turn AS query_id, lower(split_part(text, ' ', 1)) AS token FROM conversations WHERE role = 'user' AND length(split_part(text, ' ', 1)) >= 6"
+
+
+def _keyword_questions(spark, d, width=None):
+    word = F.lower(F.split_part("text", F.lit(" "), F.lit(1)))
+    c = _t(spark, d, "conversations").where((F.col("role") == "user") & (F.char_length(F.split_part("text", F.lit(" "), F.lit(1))) >= 6))
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.array(word).alias("tokens"))
+
+
+_KEY = f"""q AS ({_WORDS}), docs AS (SELECT doc_id, lower(text) AS body FROM documents),
+found AS (SELECT query_id, doc_id, token, body FROM q JOIN docs ON contains(body, token)),
+again AS (SELECT query_id, doc_id, token, body FROM q JOIN docs ON contains(body, substr(token, 1, 32)) WHERE query_id NOT IN (SELECT query_id FROM found)),
+both_ AS (SELECT * FROM found UNION ALL SELECT * FROM again),
+raw AS (SELECT query_id, doc_id, ((length(body) - length(replace(body, token, ''))) // length(token))::DOUBLE AS raw FROM both_),
+cut AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, doc_id) AS rank FROM raw) WHERE rank <= 30)"""
+
+
+@query(f"""WITH {_KEY} SELECT query_id, doc_id, rank::INT AS rank, raw AS keyword_score_raw,
+round(least(1.0, CASE WHEN max(raw) OVER w <= min(raw) OVER w THEN 1.0::DOUBLE ELSE (raw - min(raw) OVER w) / (max(raw) OVER w - min(raw) OVER w) END), 6) AS final_score
+FROM cut WINDOW w AS (PARTITION BY query_id)""")
+def keyword_scored(spark, d):
+    docs = _t(spark, d, "documents").select("doc_id", F.lower("text").alias("document_lower"))
+    hits = search.keyword_search(_keyword_questions(spark, d), docs, TOP_K)
+    return hits.select("query_id", "doc_id", "rank", "keyword_score_raw", F.round("final_score", 6).alias("final_score"))
+
+
+@query("""WITH q AS (SELECT conv_id * 1000 + turn AS query_id, lower(substr(text, 1, 60)) AS token FROM conversations WHERE role = 'user' AND length(text) >= 60),
+docs AS (SELECT conv_id * 1000 + turn AS doc_id, lower(text) AS body FROM conversations),
+found AS (SELECT query_id, doc_id, token, body FROM q JOIN docs ON contains(body, token || '~')),
+again AS (SELECT query_id, doc_id, token, body FROM q JOIN docs ON contains(body, substr(token, 1, 32)) WHERE query_id NOT IN (SELECT query_id FROM found)),
+raw AS (SELECT query_id, doc_id, ((length(body) - length(replace(body, token || '~', ''))) // (length(token) + 1)) AS raw FROM (SELECT * FROM found UNION ALL SELECT * FROM again))
+SELECT query_id, count(*) AS n, sum(raw)::BIGINT AS total FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, doc_id) AS r FROM raw) WHERE r <= 30 GROUP BY 1""")
+def keyword_head_fallback(spark, d):
+    """A long token that nothing contains: hits come from its first 32 characters and score 0."""
+    c = _t(spark, d, "conversations").withColumn("query_id", F.col("conv_id") * 1000 + F.col("turn"))
+    q = c.where((F.col("role") == "user") & (F.char_length("text") >= 60)).select("query_id", F.array(F.concat(F.lower(F.substring("text", 1, 60)), F.lit("~"))).alias("tokens"))
+    docs = c.select(F.col("query_id").alias("doc_id"), F.lower("text").alias("document_lower"))
+    return search.keyword_search(q, docs, TOP_K).groupBy("query_id").agg(F.count("*").alias("n"), F.sum("keyword_score_raw").cast("long").alias("total"))
+
+
+@query("SELECT label AS query_id, vec_id AS record_id, 1.0::DOUBLE AS norm FROM embeddings")
+def minmax_all_equal(spark, d):
+    v = _t(spark, d, "embeddings").select(F.col("label").alias("query_id"), F.col("vec_id").alias("record_id"), F.lit(0.25).alias("s"))
+    return v.select("query_id", "record_id", search.normalised(F.col("s"), "query_id").alias("norm"))
+
+
+@query(f"WITH {_HITS} SELECT query_id, count(*) AS n_hits, string_agg(CASE WHEN rank <= 8 THEN record_id::VARCHAR END, ' ' ORDER BY rank) AS preview FROM scored GROUP BY 1")
+def hit_summary(spark, d):
+    s = search.hit_summary(search.scored_hits(_hits(spark, d)))
+    return s.select("query_id", "n_hits", F.array_join(F.transform(F.split("preview", " "), lambda h: F.split_part(h, F.lit(":"), F.lit(1))), " ").alias("preview"))
+
+
+# -- reranking ------------------------------------------------------------------------------------
+
+def _candidates(spark, d):
+    """Hits with a hierarchy from arithmetic: roles by thirds, groups by label and by remainder, two records a chunk."""
+    hits = search.scored_hits(_hits(spark, d)).join(_records(spark, d).select("record_id", "label"), "record_id")
+    role = F.element_at(F.array(F.lit("parent"), F.lit("child"), F.lit("grandchild")), (F.col("record_id") % 3 + 1).cast("int"))
+    return hits.select(
+        "query_id",
+        F.col("rank").alias("pos"),
+        F.concat(F.lit("k"), F.floor(F.col("record_id") / 2)).alias("chunk_id"),
+        F.col("final_score").alias("score"),
+        role.alias("role"),
+        F.when(F.col("record_id") % 11 != 0, F.concat(F.lit("p"), "label")).alias("parent_key"),
+        F.when(F.col("record_id") % 7 != 0, F.concat(F.lit("c"), F.col("record_id") % 25)).alias("child_key"),
+    )
+
+
+_CAND = f"""{_HITS}, cand AS (SELECT query_id, rank AS pos, 'k' || (record_id // 2) AS chunk_id, norm AS score,
+  CASE record_id % 3 WHEN 0 THEN 'parent' WHEN 1 THEN 'child' ELSE 'grandchild' END AS role,
+  CASE WHEN record_id % 11 <> 0 THEN 'p' || label END AS parent_key, CASE WHEN record_id % 7 <> 0 THEN 'c' || (record_id % 25) END AS child_key
+  FROM scored JOIN (SELECT vec_id AS record_id, label FROM embeddings) USING (record_id))"""
+_COLS = "query_id, pos, chunk_id, score, role, parent_key, child_key"
+
+
+def _sql_regroup(name: str, of: str, key: str) -> str:
+    return f"""{name} AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY {key} IS NOT NULL, CASE WHEN {key} IS NOT NULL THEN f ELSE 0 END, pos) AS pos, chunk_id, score, role, parent_key, child_key, avg_
+  FROM (SELECT *, min(pos) OVER (PARTITION BY query_id, {key}) AS f FROM {of}))"""
+
+
+def _sql_dedupe(name: str, of: str) -> str:
+    return f"""{name} AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY f) AS pos, chunk_id, score, role, parent_key, child_key, avg_ FROM
+  (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY score DESC, pos) AS b, min(pos) OVER (PARTITION BY query_id, chunk_id) AS f FROM {of}) WHERE b = 1)"""
+
+
+def _sql_drop(name: str, of: str, key: str, keep: str, drop: str) -> str:
+    return f"""{name}_ AS (SELECT * FROM (SELECT *, CASE WHEN {key} IS NOT NULL THEN max(CASE WHEN role = '{keep}' THEN score END) OVER (PARTITION BY query_id, {key}) END AS anchor FROM {of})
+  WHERE NOT coalesce(role IN ({drop}) AND score < anchor, false)), """ + _sql_regroup(name, f"{name}_", key)
+
+
+def _sql_promote(name: str, of: str, key: str, giver: str, taker: str, least: int) -> str:
+    return f"""{name}_ AS (SELECT query_id, pos, chunk_id, CASE WHEN acts AND role = '{taker}' AND place = 1 THEN greatest(score, best) ELSE score END AS score, role, parent_key, child_key, avg_ FROM
+  (SELECT *, ({key} IS NOT NULL AND takers > 0 AND givers >= {least}) AS acts FROM (SELECT *, max(CASE WHEN role = '{giver}' THEN score END) OVER g AS best, count(CASE WHEN role = '{giver}' THEN 1 END) OVER g AS givers,
+    count(CASE WHEN role = '{taker}' THEN 1 END) OVER g AS takers, row_number() OVER (PARTITION BY query_id, {key}, role ORDER BY score DESC, pos) AS place FROM {of} WINDOW g AS (PARTITION BY query_id, {key}))) WHERE NOT (acts AND role = '{giver}')), """ + _sql_regroup(name, f"{name}_", key)
+
+
+def _sql_orphans(name: str, of: str) -> str:
+    return f"""{name} AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY late, CASE WHEN late THEN f ELSE 0 END, pos) AS pos, chunk_id,
+    CASE WHEN role = 'parent' AND parent_key IS NOT NULL AND place = 1 AND best IS NOT NULL THEN greatest(score, best) ELSE score END AS score, role, parent_key, child_key, avg_ FROM
+    (SELECT *, role = 'grandchild' AND any_gc = 1 AS late FROM (SELECT *, max((role = 'grandchild' AND parent_key IS NOT NULL)::INT) OVER (PARTITION BY query_id) AS any_gc,
+      max(CASE WHEN role = 'grandchild' AND parent_key IS NOT NULL THEN score END) OVER g AS best, count(CASE WHEN role = 'parent' AND parent_key IS NOT NULL THEN 1 END) OVER g AS parents,
+      row_number() OVER (PARTITION BY query_id, parent_key, role ORDER BY score DESC, pos) AS place, min(CASE WHEN role = 'grandchild' AND parent_key IS NOT NULL THEN pos END) OVER g AS f
+      FROM {of} WINDOW g AS (PARTITION BY query_id, parent_key))) WHERE role <> 'grandchild' OR any_gc = 0 OR (parent_key IS NOT NULL AND parents = 0))"""
+
+
+_SHOW = "query_id, pos::INT AS pos, chunk_id, round(score, 6) AS score, role"
+_START = f"{_CAND}, c0 AS (SELECT {_COLS}, avg(score) OVER (PARTITION BY query_id) AS avg_ FROM cand), " + _sql_dedupe("c1", "c0")
+_BOTH_DROPS = f"{_START}, " + _sql_drop("c2", "c1", "parent_key", "parent", "'child', 'grandchild'") + ", " + _sql_drop("c3", "c2", "child_key", "child", "'grandchild'")
+_MOVED = f"{_BOTH_DROPS}, " + _sql_promote("c4", "c3", "child_key", "grandchild", "child", 1)
+_NO_ORPHANS = f"{_MOVED}, " + _sql_orphans("c5", "c4")
+
+
+def _shown(df: DataFrame) -> DataFrame:
+    return df.select("query_id", F.col("pos").cast("int").alias("pos"), "chunk_id", F.round("score", 6).alias("score"), "role")
+
+
+@query(f"WITH {_START} SELECT {_SHOW} FROM c1")
+def rerank_dedupe(spark, d):
+    return _shown(rerank.deduplicated(_candidates(spark, d)))
+
+
+def _after_drops(spark, d):
+    m = rerank.dropped_below(rerank.deduplicated(_candidates(spark, d)), "parent_key", "parent", ("child", "grandchild"))
+    return rerank.dropped_below(m, "child_key", "child", ("grandchild",))
+
+
+@query(f"WITH {_BOTH_DROPS} SELECT {_SHOW} FROM c3")
+def rerank_drop(spark, d):
+    return _shown(_after_drops(spark, d))
+
+
+@query(f"WITH {_MOVED} SELECT {_SHOW} FROM c4")
+def rerank_promote(spark, d):
+    return _shown(rerank.promoted(_after_drops(spark, d), "child_key", "grandchild", "child", 1))
+
+
+@query(f"WITH {_NO_ORPHANS} SELECT {_SHOW} FROM c5")
+def rerank_orphan(spark, d):
+    return _shown(rerank.orphans_to_parents(rerank.promoted(_after_drops(spark, d), "child_key", "grandchild", "child", 1)))
+
+
+@query(f"WITH {_CAND} SELECT {_SHOW} FROM cand")
+def rerank_identity(spark, d):
+    return _shown(rerank.identity(_candidates(spark, d), TOP_K))
+
+
+_FINAL = "SELECT query_id, chunk_id, round(score, 6) AS score, rank::INT AS rank, least(4, n)::INT AS effective_top_k FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS rank, count(*) OVER (PARTITION BY query_id) AS n FROM {}) WHERE rank <= least(4, n)"
+
+
+def _ranked(df: DataFrame) -> DataFrame:
+    return df.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank", "effective_top_k")
+
+
+@query(f"WITH {_NO_ORPHANS}, c6 AS (SELECT * FROM c5 WHERE score > avg_), " + _sql_promote("c7", "c6", "parent_key", "child", "parent", 2) + " " + _FINAL.format("c7"))
+def rerank_logic02(spark, d):
+    return _ranked(rerank.hierarchical(_candidates(spark, d), TOP_K))
+
+
+@query(f"WITH {_NO_ORPHANS} " + _FINAL.format("c5"))
+def rerank_logic03(spark, d):
+    return _ranked(rerank.hierarchical(_candidates(spark, d), TOP_K, cut_at_average=False))
+
+
+# -- prompts and results --------------------------------------------------------------------------
+
+def _text_hits(spark, d, k=4):
+    """The best hits with the text of the document of the same number."""
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("record_id"), F.col("text").alias("chunk_text"), "source")
+    return _hits(spark, d, k).join(docs, "record_id").withColumn("chunk_id", F.concat("source", F.lit(":"), F.col("record_id").cast("string")))
+
+
+_TEXT_HITS = f"{_HITS}, th AS (SELECT h.query_id, h.rank, h.distance, h.record_id, d.text AS chunk_text, d.source, d.source || ':' || h.record_id AS chunk_id FROM hits h JOIN documents d ON d.doc_id = h.record_id WHERE h.rank <= 4)"
+
+
+@query(f"WITH {_TEXT_HITS} SELECT query_id, count(*) AS n_hits, sha256(string_agg('---' || chr(10) || '出典: ' || source || chr(10) || chunk_text || chr(10), chr(10) ORDER BY rank)) AS context FROM th GROUP BY 1")
+def context_prompt(spark, d):
+    return experiment.contexts(_text_hits(spark, d)).withColumn("context", F.sha2("context", 256))
+
+
+_CELLS = ", ".join(f"coalesce(max(CASE WHEN rank = {i} THEN {e} END), '') AS {n}_{i}" for i in range(1, 5) for n, e in (("retrieved_source", "source"), ("retrieved_chunk_id", "chunk_id"), ("retrieved_text", "sha256(snip)")))
+
+
+@query(f"WITH {_TEXT_HITS}, cells AS (SELECT *, CASE WHEN length(t) <= 800 THEN t ELSE substr(t, 1, 797) || '...' END AS snip FROM (SELECT *, trim(replace(replace(chunk_text, chr(13), ' '), chr(10), ' ')) AS t FROM th)) SELECT query_id, {_CELLS} FROM cells GROUP BY 1")
+def result_pivot(spark, d):
+    r = experiment.result_table(_text_hits(spark, d), 4)
+    texts = {f"retrieved_text_{i}": F.when(F.col(f"retrieved_text_{i}") != "", F.sha2(f"retrieved_text_{i}", 256)).otherwise("") for i in range(1, 5)}
+    return r.withColumns(texts).drop(*[f"retrieved_distance_{i}" for i in range(1, 5)])
+
+
+@query(f"SELECT conv_id * 1000 + turn AS query_id, '{experiment.NO_DOCUMENTS}' AS answer, '' AS prompt FROM conversations WHERE role = 'user'")
+def search_empty_strategy(spark, d):
+    """The strategy that never finds anything: every question has the fixed reply."""
+    q = _t(spark, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("question"))
+    none = _text_hits(spark, d, 0).select("query_id", "rank", "source", "chunk_text")
+    return experiment.prompts(q, none).select("query_id", "answer", "prompt")
+
+
+_CONFIGS = "(VALUES ('e1', 4, 'logic_01'), ('e2', 30, 'logic_02'), ('e3', 30, 'logic_03')) AS x(experiment, top_k, reranking)"
+
+
+@query(f"SELECT experiment, top_k, reranking, conv_id * 1000 + turn AS query_id FROM conversations, {_CONFIGS} WHERE role = 'user'")
+def experiment_matrix(spark, d):
+    x = spark.createDataFrame([("e1", 4, "logic_01"), ("e2", 30, "logic_02"), ("e3", 30, "logic_03")], "experiment string, top_k int, reranking string")
+    q = _t(spark, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"))
+    return experiment.matrix(x, q).select("experiment", "top_k", "reranking", "query_id")
+
+
+@query("SELECT conv_id, turn, text AS question, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT - 1 AS item FROM conversations WHERE role = 'user' AND length(text) > 0")
+def qa_questions(spark, d):
+    """Question sets as JSON, a set for each conversation, read back with the schema of question files."""
+    c = _t(spark, d, "conversations").where("role = 'user' AND length(text) > 0")
+    items = F.array_sort(F.collect_list(F.struct("turn", F.col("text").alias("question"))))
+    sets = c.groupBy("conv_id").agg(F.to_json(F.struct(F.transform(items, lambda i: F.struct(i["question"].alias("question"))).alias("items"))).alias("json"), F.transform(items, lambda i: i["turn"]).alias("turns"))
+    parsed = sets.select("conv_id", "turns", F.posexplode(F.from_json("json", src.QA_SCHEMA)["items"]).alias("item", "q"))
+    return src.checked_questions(parsed.select("conv_id", F.get("turns", F.col("item")).alias("turn"), F.col("q.question").alias("question"), "item"))
+
+
+# -- sources, ids and the store -------------------------------------------------------------------
+
+@query("SELECT page_id, lower(regexp_extract(url, '\\.([^./]+)$', 1)) AS suffix, lower(regexp_extract(url, '\\.([^./]+)$', 1)) IN ('pdf', 'txt', 'md') AS supported FROM pages")
+def suffix_policy(spark, d):
+    k = src.suffix(F.col("url"))
+    return _t(spark, d, "pages").select("page_id", k.alias("suffix"), k.isin(*src.SUPPORTED).alias("supported"))
+
+
+@query("SELECT doc_id, true AS ok, sha256(text) AS text FROM documents")
+def utf8_decode_check(spark, d):
+    files = _t(spark, d, "documents").select("doc_id", F.concat(F.lit("/in/"), "doc_id", F.lit(".txt")).alias("path"), F.encode("text", "UTF-8").alias("content"))
+    s = src.ingest_status(files.select(F.col("path"), "content"))
+    return s.select(F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("long").alias("doc_id"), "ok", F.sha2("text", 256).alias("text"))
+
+
+@query("SELECT source AS doc, count(*) AS pages, sum(length(trim(text)))::BIGINT AS chars, sum(length(trim(text))) < count(*) * 2400 AS ocr FROM documents GROUP BY 1")
+def ocr_switch(spark, d):
+    pages = _t(spark, d, "documents").select(F.col("source").alias("doc"), "text")
+    return src.needs_ocr(pages, 2400)
+
+
+@query("SELECT source AS doc, sha256(string_agg(trim(text), chr(10) || chr(10) ORDER BY doc_id)) AS text FROM documents WHERE trim(text) <> '' GROUP BY 1")
+def page_join(spark, d):
+    pages = _t(spark, d, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), "text")
+    return src.joined_pages(pages).withColumn("text", F.sha2("text", 256))
+
+
+@query("SELECT doc_id, sha256('uploaded/' || regexp_replace('set/' || source || '/' || doc_id || '.txt', '^.*/', ''))[:16] AS doc_key, 'uploaded/' || doc_id || '.txt' AS source FROM documents")
+def doc_ids(spark, d):
+    path = F.concat(F.lit("set/"), "source", F.lit("/"), "doc_id", F.lit(".txt"))
+    up = tx.upload_source(path)
+    return _t(spark, d, "documents").select("doc_id", tx.doc_key(up).alias("doc_key"), up.alias("source"))
+
+
+@query("SELECT doc_id, sha256(source)[:16] || ':' || (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) AS chunk_id FROM documents WHERE text <> ''")
+def chunk_ids(spark, d):
+    w = Window.partitionBy("source").orderBy("doc_id")
+    return _t(spark, d, "documents").where("text <> ''").select("doc_id", F.concat(tx.doc_key(F.col("source")), F.lit(":"), F.row_number().over(w) - 1).alias("chunk_id"))
+
+
+@query("""SELECT doc_id, name AS variant, CASE WHEN name = 'a b' THEN doc_id || '::vector::a_b' ELSE doc_id || '::vector::full' END AS record_id, md5(lower(CASE WHEN name = 'a b' THEN trim(split_part(text, chr(10), 1)) ELSE trim(text) END)) AS body
+FROM documents, (VALUES ('a b'), ('full')) AS v(name) WHERE trim(split_part(text, chr(10), 1)) <> ''""")
+def record_ids(spark, d):
+    """Two vector texts for each document that has a first line: the line and the whole."""
+    docs = _t(spark, d, "documents").where(F.trim(F.split_part("text", F.lit("\n"), F.lit(1))) != "")
+    variants = F.array(F.struct(F.lit(" a b ").alias("name"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("text")), F.struct(F.lit("full").alias("name"), F.col("text").alias("text")))
+    chunks = docs.select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("text").alias("chunk_text"), variants.alias("vector_texts"))
+    r = store.record_ids(store.vector_records(chunks))
+    return r.select(F.col("chunk_id").cast("long").alias("doc_id"), F.col("vector_text_variant").alias("variant"), "record_id", F.md5("document_lower").alias("body"))
+
+
+@query("SELECT doc_id, source, CASE WHEN source IN (SELECT source FROM documents WHERE doc_id % 2 = 1) THEN 'new' ELSE 'old' END AS version FROM documents WHERE doc_id % 2 = 1 OR source NOT IN (SELECT source FROM documents WHERE doc_id % 2 = 1)")
+def upsert_by_source(spark, d):
+    docs = _t(spark, d, "documents").select("doc_id", "source")
+    old, new = docs.where("doc_id % 2 = 0").withColumn("version", F.lit("old")), docs.where("doc_id % 2 = 1").withColumn("version", F.lit("new"))
+    return store.upserted(old, new).select("doc_id", "source", "version")
+
+
+@query("SELECT doc_id AS record_id, 'old' AS version FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, 'new' FROM documents WHERE doc_id % 3 = 0")
+def append_keep_first(spark, d):
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("record_id"))
+    return store.appended_keep_first(docs.where("record_id % 3 <> 0").withColumn("version", F.lit("old")), docs.withColumn("version", F.lit("new")))
+
+
+@query("SELECT d.doc_id, cardinality(m) AS n_keys, m['path'] AS path, m['quality'] AS quality FROM (SELECT d.doc_id, map_from_entries(list_filter([('lang', lang), ('quality', l.quality::VARCHAR), ('path', '[\"' || lang || '\",\"' || source || '\"]')], lambda x: x[2] IS NOT NULL)) AS m FROM documents d LEFT JOIN labels l USING (doc_id)) d")
+def flatten_metadata(spark, d):
+    docs = _t(spark, d, "documents").join(_t(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    m = docs.select("doc_id", F.struct("lang", "quality", F.array("lang", "source").alias("path")).alias("meta"))
+    flat = store.flat_metadata(F.col("meta"), m.schema["meta"].dataType)
+    return m.select("doc_id", flat.alias("m")).select("doc_id", F.size("m").alias("n_keys"), F.get(F.filter(F.map_entries("m"), lambda e: e["key"] == "path"), F.lit(0))["value"].alias("path"), F.get(F.filter(F.map_entries("m"), lambda e: e["key"] == "quality"), F.lit(0))["value"].alias("quality"))
+
+
+@query("SELECT doc_id, 1 AS n_custom, lang FROM documents")
+def restore_metadata(spark, d):
+    m = store.with_reserved(F.create_map(F.lit("lang"), "lang", F.lit("source"), F.lit("stale")), source=F.col("source"), doc_id=F.col("doc_id").cast("string"))
+    r = _t(spark, d, "documents").select("doc_id", store.custom_metadata(m).alias("m"))
+    return r.select("doc_id", F.size("m").alias("n_custom"), F.get(F.map_values("m"), F.lit(0)).alias("lang"))
+
+
+# -- text -----------------------------------------------------------------------------------------
+
+def _again(inner: str, pattern: str) -> str:
+    """Matches share characters, so one pass with groups leaves every second; two reach all."""
+    once = f"regexp_replace({inner}, '{pattern}', '\\1\\2', 'g')"
+    return f"regexp_replace({once}, '{pattern}', '\\1\\2', 'g')"
+
+
+_CLEAN = r"regexp_replace(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '\r\n?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g')"
+_CLOSED = _again(_again(_CLEAN, r"([0-9·\n]) +([0-9·\n])"), r"([0-9·])\n([0-9·])")
+
+
+@query(rf"SELECT doc_id, sha256(regexp_replace({_CLOSED}, '^\s+|\s+$', '', 'g')) AS text FROM documents")
+def normalize_text(spark, d):
+    return _t(spark, d, "documents").select("doc_id", F.sha2(tx.normalised(F.col("text")), 256).alias("text"))
+
+
+@query(r"""SELECT doc_id, md5(CASE WHEN length(t) <= 800 THEN t ELSE substr(t, 1, 797) || '...' END) AS snippet, md5(CASE WHEN length(text) <= 1200 THEN text ELSE substr(text, 1, 1200) || '…(truncated)' END) AS observed FROM (SELECT *, regexp_replace(replace(replace(text, chr(13), ' '), chr(10), ' '), '^\s+|\s+$', '', 'g') AS t FROM documents)""")
+def snippet_cells(spark, d):
+    return _t(spark, d, "documents").select("doc_id", F.md5(tx.snippet(F.col("text"))).alias("snippet"), F.md5(tx.truncated(F.col("text"))).alias("observed"))
+
+
+@query("SELECT doc_id AS id, md5('文章: ' || text) AS text FROM documents UNION ALL SELECT -(conv_id * 1000 + turn), md5(CASE WHEN role = 'user' THEN 'クエリ: ' || text ELSE text END) FROM conversations")
+def input_prefix(spark, d):
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.lit("document").alias("kind"))
+    turns = _t(spark, d, "conversations").select((-(F.col("conv_id") * 1000 + F.col("turn"))).alias("id"), "text", F.when(F.col("role") == "user", "query").otherwise("raw").alias("kind"))
+    return docs.unionByName(turns).select("id", F.md5(tx.with_input_prefix(F.col("text"), F.col("kind"))).alias("text"))
+
+
+_TENS = "CASE WHEN n >= 20 THEN substr('二三四五六七八九', (n // 10 - 1)::INT, 1) ELSE '' END || CASE WHEN n >= 10 THEN '十' ELSE '' END || CASE WHEN n % 10 > 0 THEN substr('一二三四五六七八九', (n % 10)::INT, 1) ELSE '' END"
+
+
+@query("SELECT vec_id, (vec_id % 99 + 1)::INT AS value FROM embeddings")
+def kanji_to_int(spark, d):
+    n = F.col("vec_id") % 99 + 1
+    pick = lambda chars, i: F.substring(F.lit(chars), i.cast("int"), F.lit(1))
+    word = F.concat(F.when(n >= 20, pick("一二三四五六七八九", F.floor(n / 10))).otherwise(""), F.when(n >= 10, "十").otherwise(""), F.when(n % 10 > 0, pick("一二三四五六七八九", n % 10)).otherwise(""))
+    return _t(spark, d, "embeddings").select("vec_id", tx.numeral(word).alias("value"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, generate_subscripts(s, 1) AS i, unnest(s) AS line FROM (SELECT doc_id, string_split('- ' || replace(text, chr(10), chr(10) || '### '), chr(10)) AS s FROM documents)),
+p AS (SELECT doc_id, i, replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(line, '^\s{0,3}#{1,6}\s+', ''), '^\s*[-*+]\s+', ''), '^\s*>\s?', ''), '`', ''), '**', ''), '__', '') AS line FROM l)
+SELECT doc_id, md5(regexp_replace(string_agg(line, chr(10) ORDER BY i), '^\s+|\s+$', '', 'g')) AS plain FROM p GROUP BY 1""")
+def markdown_plain(spark, d):
+    marked = F.concat(F.lit("- "), F.replace("text", F.lit("\n"), F.lit("\n### ")))
+    return _t(spark, d, "documents").select("doc_id", F.md5(tx.markdown_plain(marked)).alias("plain"))
+
+
+@query("""SELECT doc_id, md5('a' || chr(10) || text) AS local, md5('- ' || replace(text, chr(10), chr(10) || '- ')) AS demoted, md5(text) AS stripped FROM documents WHERE text NOT LIKE '- %' AND NOT contains(text, chr(10) || '- ') AND NOT regexp_matches(text, '(?m)^(#{1,4}|-) ') AND NOT regexp_matches(text, '(?m)^\\s*#{1,2}\\s+') AND text = regexp_replace(text, '^\\s+|\\s+$', '', 'g')""")
+def markdown_steps(spark, d):
+    """Heading removal, demotion and prefix removal undo the marks put on plain texts."""
+    plain = ~F.col("text").rlike("(?m)^- ") & ~F.col("text").rlike("(?m)^(#{1,4}|-) ") & ~F.col("text").rlike(r"(?m)^\s*#{1,2}\s+") & (F.col("text") == tx.stripped(F.col("text")))
+    docs = _t(spark, d, "documents").where(plain)
+    headed = F.concat(F.lit("# x\na\n## y\n"), "text")
+    fourth = F.concat(F.lit("#### "), F.replace("text", F.lit("\n"), F.lit("\n#### ")))
+    return docs.select("doc_id", F.md5(tx.without_headings(headed)).alias("local"), F.md5(tx.demoted(fourth)).alias("demoted"), F.md5(tx.without_prefixes(fourth)).alias("stripped"))
+
+
+# -- splitting ------------------------------------------------------------------------------------
+
+@query(r"""WITH l AS (SELECT doc_id, generate_subscripts(s, 1) - 1 AS paragraph, unnest(s) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)),
+o AS (SELECT *, coalesce(sum(length(line) + 2) OVER (PARTITION BY doc_id ORDER BY paragraph ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_char FROM l)
+SELECT doc_id, paragraph::INT AS paragraph, start_char, md5(line) AS text FROM o WHERE trim(regexp_replace(line, '\s+', ' ', 'g')) <> ''""")
+def paragraph_fallback(spark, d):
+    p = chunking.paragraphs(_t(spark, d, "documents").select("doc_id", "text"), separator="\n")
+    return p.withColumns({"text": F.md5("text"), "start_char": F.col("start_char").cast("long")})
+
+
+@query(r"""WITH n AS (SELECT doc_id, text, ceil(length(text) / 1000.0)::BIGINT AS n FROM documents WHERE length(text) > 0), w AS (SELECT *, ceil(length(text) / n::DOUBLE)::BIGINT AS width FROM n),
+p AS (SELECT doc_id, i, substr(text, (i * width + 1)::BIGINT, width) AS part FROM w, generate_series(0, n - 1) AS g(i))
+SELECT doc_id, i::INT AS part, md5(part) AS text FROM p WHERE trim(regexp_replace(part, '\s+', ' ', 'g')) <> ''""".replace("FROM w, generate_series(0, n - 1) AS g(i)", "FROM (SELECT *, unnest(range(0, n)) AS i FROM w)"))
+def even_split(spark, d):
+    parts = _t(spark, d, "documents").select("doc_id", F.posexplode(chunking.even_parts(F.col("text"), 1000)).alias("part", "text"))
+    return parts.withColumn("text", F.md5("text"))
+
+
+@query("""WITH RECURSIVE s AS (SELECT l_orderkey, l_linenumber, l_quantity::BIGINT AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS i FROM lineitem),
+t AS (SELECT l_orderkey, greatest(1, ceil(sum(q) / 60.0))::BIGINT AS n, sum(q)::BIGINT AS total FROM s GROUP BY 1),
+r AS (SELECT s.l_orderkey, i, q AS held, 0::BIGINT AS grp FROM s WHERE i = 1 UNION ALL
+  SELECT s.l_orderkey, s.i, CASE WHEN (r.held > 0 AND r.held + s.q > 60) OR (r.held >= ceil(t.total / t.n::DOUBLE) AND r.grp < t.n - 1) THEN s.q ELSE r.held + s.q END,
+    r.grp + CASE WHEN (r.held > 0 AND r.held + s.q > 60) OR (r.held >= ceil(t.total / t.n::DOUBLE) AND r.grp < t.n - 1) THEN 1 ELSE 0 END
+  FROM r JOIN s ON s.l_orderkey = r.l_orderkey AND s.i = r.i + 1 JOIN t ON t.l_orderkey = r.l_orderkey)
+SELECT l_orderkey, (max(grp) + 1)::BIGINT AS n_groups, string_agg(grp::VARCHAR, ',' ORDER BY i) AS groups FROM r GROUP BY 1""")
+def balanced_groups(spark, d):
+    """Quantities of an order's lines as block sizes."""
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.col("l_quantity").cast("long").alias("q"))
+    sizes = _t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["q"]).alias("sizes"))
+    g = sizes.select("l_orderkey", chunking.balanced_groups(F.col("sizes"), 60).alias("g"))
+    return g.select("l_orderkey", (F.array_max("g") + 1).alias("n_groups"), F.array_join(F.transform("g", lambda x: x.cast("string")), ",").alias("groups"))
+
+
+@query()
+def recursive_split(spark, d):
+    return chunking.recursive_chunks(_t(spark, d, "documents").select("doc_id", "text"))
 
 
-def entry(spark, sf_dir: str):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rerank_logic02(spark, sf_dir)
