@@ -8,6 +8,7 @@ from pyspark.sql import Window
 
 from shardloom.functions import text as tx
 from shardloom.operators import chunking, rerank, search, store
+from shardloom.operators import structure as st
 from shardloom.plans import experiment
 from shardloom.sources import documents as src
 
@@ -473,5 +474,148 @@ def recursive_split(spark, d):
     return chunking.recursive_chunks(_t(spark, d, "documents").select("doc_id", "text"))
 
 
+# -- structure ------------------------------------------------------------------------------------
+# Regulations made of the relational tables: a text for each region, chapters of nations, articles of customers, an appendix.
+
+def _rules_docs(spark, d):
+    c = _t(spark, d, "customer").join(_t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = c.withColumn("i", F.row_number().over(Window.partitionBy("n_nationkey").orderBy("c_custkey")))
+    item = F.struct("i", F.concat(F.col("i").cast("string"), F.lit(". "), "c_name").alias("t"))
+    a = c.groupBy("n_regionkey", "n_nationkey", "n_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["t"]), "\n").alias("items"))
+    a = a.withColumn("m", F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")))
+    text = F.concat(F.when(F.col("m") == 4, "第2章 続\n\n").otherwise(""), F.lit("第"), F.col("m").cast("string"), F.lit("条（"), "n_name", F.lit("）\n"), "items")
+    per = a.groupBy("n_regionkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("m", text.alias("t")))), lambda x: x["t"]), "\n\n").alias("articles"))
+    r = per.join(_t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    whole = F.concat(F.lit("規程"), "r_name", F.lit("\n\n第1章 "), "r_name", F.lit("\n\n"), "articles", F.lit("\n\n附則\nこの規程は公布の日から施行する。"))
+    return r.select(F.col("r_regionkey").alias("doc_id"), whole.alias("text"))
+
+
+_N = "0-9０-９一二三四五六七八九十百千〇"
+_RULE_SQL = "CASE " + " ".join(f"WHEN regexp_matches(h, '{p}') THEN '{n}'" for n, p in (
+    ("appendix", "^附則"), ("japanese_chapter", f"^第[{_N}]+章"), ("japanese_article", f"^第[{_N}]+条"), ("japanese_section", f"^第[{_N}]+項"), ("decimal_number", r"^[0-9０-９]+\.[0-9０-９]+"),
+    ("numeric_dot", r"^[0-9０-９]{1,2}[.)．]([^0-9０-９]|$)"), ("numeric_paren", r"^[（(][0-9０-９]+[)）]"), ("japanese_paren", "^[（(][一二三四五六七八九十〇]+[)）]"), ("roman", r"^([IVX]{1,5}[.)]\s|[Ⅰ-Ⅻ]\s)"),
+    ("alpha", r"^[A-Z][.)]\s"), ("circle_bullet", r"^○\s*\S"), ("bullet", r"^[•・\-]\s"))) + " END"
+_HINT_SQL = "CASE marker_type WHEN 'appendix' THEN 1 WHEN 'japanese_chapter' THEN 1 WHEN 'japanese_article' THEN 2 WHEN 'japanese_section' THEN 3 WHEN 'decimal_number' THEN 3 WHEN 'circle_bullet' THEN 5 WHEN 'bullet' THEN 5 ELSE 4 END"
+_PRIO_SQL = "CASE marker_type " + " ".join(f"WHEN '{n}' THEN {12 - k}" for k, n in enumerate(st.NAMES)) + " END"
+_DOCS = f"""c AS (SELECT n_regionkey, n_nationkey, n_name, c_name, row_number() OVER (PARTITION BY n_nationkey ORDER BY c_custkey) AS i FROM customer JOIN nation ON c_nationkey = n_nationkey),
+a0 AS (SELECT n_regionkey, n_nationkey, n_name, string_agg(i || '. ' || c_name, chr(10) ORDER BY i) AS items FROM c GROUP BY ALL),
+a AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS m FROM a0),
+docs AS (SELECT r_regionkey AS doc_id, '規程' || r_name || chr(10) || chr(10) || '第1章 ' || r_name || chr(10) || chr(10) || string_agg(CASE WHEN m = 4 THEN '第2章 続' || chr(10) || chr(10) ELSE '' END || '第' || m || '条（' || n_name || '）' || chr(10) || items, chr(10) || chr(10) ORDER BY m)
+  || chr(10) || chr(10) || '附則' || chr(10) || 'この規程は公布の日から施行する。' AS text FROM a JOIN region ON n_regionkey = r_regionkey GROUP BY r_regionkey, r_name),
+l0 AS (SELECT doc_id, text, length(text) AS text_length, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no, unnest(string_split(text, chr(10))) AS line FROM docs),
+l AS (SELECT doc_id, text_length, line_no, line, ltrim(line) AS h, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS start_char,
+  coalesce(trim(lag(line) OVER (PARTITION BY doc_id ORDER BY line_no)) = '', false) AS blank FROM l0),
+t AS (SELECT *, {_RULE_SQL} AS marker_type FROM l),
+s AS (SELECT *, (4.0 + blank::INT + (length(h) <= 40)::INT + CASE WHEN marker_type IN ('japanese_chapter', 'japanese_article', 'appendix') THEN 4 WHEN marker_type = 'japanese_section' THEN 2 ELSE 0 END
+  + CASE WHEN regexp_matches(h, '[（(][^）)]{{1,30}}[）)]') THEN 2 ELSE 0 END + (NOT regexp_matches(h, '[。.．]$'))::INT - CASE WHEN length(h) > 60 THEN 2 ELSE 0 END)::DOUBLE AS score,
+  CASE WHEN marker_type = 'appendix' THEN NULL WHEN marker_type IN ('japanese_chapter', 'japanese_article') THEN regexp_extract(h, '[0-9]+')::INT ELSE nullif(regexp_extract(h, '^[0-9]+'), '')::INT END AS value FROM t WHERE marker_type IS NOT NULL),
+cand AS (SELECT * FROM s WHERE score >= 3),
+p AS (SELECT *, lag(value) OVER w AS before, start_char - lag(start_char) OVER w AS gap, lead(start_char) OVER w AS nxt FROM cand WINDOW w AS (PARTITION BY doc_id, marker_type ORDER BY start_char)),
+stats AS (SELECT doc_id, marker_type, count(*) AS n, min(start_char) AS first_char, coalesce(avg(gap), any_value(text_length))::DOUBLE AS average_gap,
+  CASE WHEN count(value) < 2 THEN 0.5 ELSE coalesce(sum(CASE WHEN value = before + 1 THEN 1.0 WHEN value = 1 AND before IS NOT NULL THEN 0.5 END), 0) / (count(value) - 1) END::DOUBLE AS sequence, any_value(text_length) AS text_length, {_PRIO_SQL} AS priority FROM p GROUP BY doc_id, marker_type),
+ordered AS (SELECT x.doc_id, x.marker_type AS a, y.marker_type AS b, x.n AS a_n FROM stats x JOIN stats y ON x.doc_id = y.doc_id AND x.marker_type <> y.marker_type AND x.average_gap > y.average_gap * 0.8),
+inside AS (SELECT o.doc_id, o.marker_type AS a, o.start_char AS a_start, i.marker_type AS b, count(*) AS held, (arg_min(i.value, i.start_char) FILTER (i.value IS NOT NULL) = 1)::INT AS starts
+  FROM p o JOIN p i ON o.doc_id = i.doc_id AND o.marker_type <> i.marker_type AND i.start_char >= o.start_char AND i.start_char < coalesce(o.nxt, o.text_length + 1) GROUP BY ALL),
+pairs AS (SELECT doc_id, a, b, sum(held) AS held, coalesce(sum(starts), 0) AS starts FROM inside GROUP BY ALL),
+means AS (SELECT o.*, coalesce(held, 0) / a_n::DOUBLE AS mean, coalesce(starts, 0) AS starts FROM ordered o LEFT JOIN pairs USING (doc_id, a, b)),
+cont AS (SELECT s.doc_id, s.marker_type, coalesce(avg(CASE WHEN mean >= 1 THEN least(1.0, mean / 4.0) END), 0)::DOUBLE AS containment, coalesce(sum(m.starts) / any_value(a_n)::DOUBLE, 0)::DOUBLE AS reset FROM stats s LEFT JOIN means m ON m.doc_id = s.doc_id AND m.a = s.marker_type GROUP BY ALL),
+outers AS (SELECT *, CASE WHEN n >= 2 THEN containment * 4 + reset * 3 + sequence + priority / 13.0 * 1.5 + least(average_gap / greatest(text_length, 1) * 10, 2) END AS outer_score FROM stats JOIN cont USING (doc_id, marker_type)),
+nodes AS (SELECT doc_id, start_char, text_length, h AS heading, least(4, {_HINT_SQL}) AS level FROM cand)"""
+
+
+@query(f"WITH {_DOCS} SELECT doc_id, line_no::INT AS line_no, start_char, marker_type, md5(line) AS line FROM t")
+def heading_lines(spark, d):
+    rows = st.lines(_rules_docs(spark, d))
+    return rows.select("doc_id", "line_no", "start_char", st.heading_type(F.ltrim("line")).alias("marker_type"), F.md5("line").alias("line"))
+
+
+@query(f"WITH {_DOCS} SELECT doc_id, start_char, heading, marker_type, value, score FROM (SELECT *, h AS heading FROM cand)")
+def heading_scores(spark, d):
+    return st.candidates(_rules_docs(spark, d)).drop("text_length")
+
+
+@query(f"WITH {_DOCS} SELECT doc_id, start_char, CASE WHEN value = before + 1 THEN 2.0 WHEN value = 1 AND before >= 1 THEN 0.5 ELSE 0.0 END::DOUBLE AS bonus FROM p")
+def sequence_bonus(spark, d):
+    return st.with_sequence_bonus(st.candidates(_rules_docs(spark, d))).select("doc_id", "start_char", "bonus")
+
+
+@query(f"WITH {_DOCS} SELECT doc_id, marker_type, n, first_char, round(average_gap, 6) AS average_gap, round(sequence, 6) AS sequence, priority::INT AS priority FROM stats")
+def heading_group_stats(spark, d):
+    g = st.group_stats(st.candidates(_rules_docs(spark, d)))
+    return g.select("doc_id", "marker_type", "n", "first_char", F.round("average_gap", 6).alias("average_gap"), F.round("sequence", 6).alias("sequence"), "priority")
+
+
+@query(f"WITH {_DOCS} SELECT doc_id, marker_type, round(containment, 6) AS containment, round(reset, 6) AS reset FROM cont")
+def containment_reset(spark, d):
+    c = st.candidates(_rules_docs(spark, d))
+    return st.containment(c, st.group_stats(c)).select("doc_id", "marker_type", F.round("containment", 6).alias("containment"), F.round("reset", 6).alias("reset"))
+
+
+@query(f"WITH {_DOCS} SELECT doc_id, marker_type, round(outer_score, 6) AS outer_score, least(4, CASE WHEN outer_score IS NOT NULL THEN row_number() OVER (PARTITION BY doc_id, outer_score IS NULL ORDER BY outer_score DESC, first_char) ELSE {_HINT_SQL} END)::INT AS level FROM outers")
+def infer_levels(spark, d):
+    return st.inferred_levels(st.candidates(_rules_docs(spark, d))).withColumn("outer_score", F.round("outer_score", 6))
+
+
+@query(f"""WITH {_DOCS} SELECT doc_id, start_char, level::INT AS level, coalesce((SELECT min(y.start_char) FROM nodes y WHERE y.doc_id = x.doc_id AND y.start_char > x.start_char AND y.level <= x.level), text_length)::INT AS end_char,
+(SELECT max(y.start_char) FROM nodes y WHERE y.doc_id = x.doc_id AND y.start_char < x.start_char AND y.level < x.level) AS parent_start FROM nodes x""")
+def section_tree(spark, d):
+    c = st.candidates(_rules_docs(spark, d)).withColumn("level", F.least(F.lit(4), st.by_type(st.HINTS, 4)))
+    return st.section_tree(c.select("doc_id", "start_char", "level", "text_length")).select("doc_id", "start_char", "level", "end_char", "parent_start")
+
+
+@query()
+def scope_levels(spark, d):
+    """Chapters and the appendix over articles over items, by scopes."""
+    got = st.scope_levels(st.candidates(_rules_docs(spark, d)))
+    return got.select("doc_id", "start_char", st.by_type(st.HINTS, 4).alias("usual"), "level")
+
+
+@query(f"""WITH {_DOCS} SELECT doc_id, md5(string_agg(CASE WHEN regexp_matches(line, '^(附則|第[{_N}]+[章条])') AND line_no > 0 AND NOT blank THEN chr(10) || line ELSE line END, chr(10) ORDER BY line_no)) AS text FROM l GROUP BY 1""")
+def blank_before_heading(spark, d):
+    return st.blank_before_headings(_rules_docs(spark, d)).withColumn("text", F.md5("text"))
+
+
+@query(f"""WITH {_DOCS} SELECT doc_id, md5(text) AS text FROM docs""")
+def enumeration_collapse(spark, d):
+    """Blank lines put between the items of each article go again."""
+    gaps = _rules_docs(spark, d).withColumn("text", F.regexp_replace("text", r"\n(?=([2-9]|[1-9][0-9])\. )", "\n\n"))
+    return st.closed_enumerations(gaps).withColumn("text", F.md5("text"))
+
+
+@query()
+def structure_chunks_v3(spark, d):
+    return st.structure_chunks(_rules_docs(spark, d), most=500, tail=False)
+
+
+@query()
+def structure_chunks_v4(spark, d):
+    return st.structure_chunks(_rules_docs(spark, d), most=1000, tail=False)
+
+
+@query()
+def structure_chunks_v5(spark, d):
+    """As v4, without the marks of Markdown."""
+    chunks = st.structure_chunks(_rules_docs(spark, d), most=1000, tail=False)
+    return chunks.withColumn("chunk_text", tx.stripped(tx.without_prefixes(F.col("chunk_text")))).where("chunk_text <> ''")
+
+
+@query()
+def structure_chunks_v6(spark, d):
+    """With the texts that are embedded: the whole in plain form, and for sections under the first level their own part."""
+    c = st.structure_chunks(_rules_docs(spark, d), most=1000)
+    c = c.withColumn("chunk_text", tx.demoted(F.col("chunk_text")))
+    full, local = tx.markdown_plain(F.col("chunk_text")), tx.markdown_plain(tx.without_headings(F.col("chunk_text")))
+    local_too = (F.col("level") >= 2) & (local != full) & (local != "")
+    own = F.array(F.struct(F.lit("full_context_plain").alias("name"), full.alias("text")))
+    both = F.concat(own, F.array(F.struct(F.lit("local_context_plain").alias("name"), local.alias("text"))))
+    return store.vector_records(c.withColumn("vector_texts", F.when(local_too, both).otherwise(own)))
+
+
+@query()
+def chunk_report(spark, d):
+    """Chunks of all documents by role and level; most have no headings and give their paragraphs."""
+    return st.chunk_report(st.structure_chunks(_t(spark, d, "documents").select("doc_id", "text")))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rerank_logic02(spark, sf_dir)
