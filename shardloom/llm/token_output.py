@@ -128,6 +128,8 @@ _LATIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\s
 _WORD_PIECES = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
+#: Characters that str.split() takes for white space and the library doesn't.
+_NO_SPACES = "\x1c\x1d\x1e\x1f"
 _PIECES, _WORDS = 600_000, 150_000
 
 
@@ -199,7 +201,7 @@ def write_token_blocks(docs: DataFrame, path: str, tokenizer_json: str, end_id:
 
         for batch in batches:
             for doc_id, text in zip(*columns_of(batch, "doc_id", "text"), strict=True):
-                if text and "<|" in text:
+                if text and ("<|" in text or any(c in text for c in _NO_SPACES)):
                     ids = np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + end
                 else:
                     ids = b"".join([*map(memory.__getitem__, (text or "").split()), end])
