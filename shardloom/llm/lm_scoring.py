@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, id_and_text, lower_words_of, partitions_for, staged
+from .common import columns_of, id_and_text, lower_words_of, most_frequent, partitions_for, staged
 
 END = b"\n"  # no word holds it
 
@@ -265,8 +265,8 @@ def lm_scores(docs: DataFrame, settings: Settings = Settings(), id_col: str = "d
     sc = d.sparkSession.sparkContext
     counts = staged(token_counts(d.where(~held_out())), "lm-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(s.head).toArrow()
-    head = Head(top.column("word").to_pylist(), top.column("c").to_numpy().astype(np.float64), total, distinct, s.classes)
+    top = sorted(((-c, w) for w, c in most_frequent(counts, "c", s.head).select("word", "c").toArrow().to_pandas().itertuples(index=False)))
+    head = Head([w for _, w in top], -np.array([c for c, _ in top], np.float64), total, distinct, s.classes)
     tokens = staged(read_tokens(d, sc.broadcast(head)), "lm-tokens")
     model = sc.broadcast(trained(tokens, head, s))
 
