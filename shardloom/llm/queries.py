@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .oracles import ORACLES as ORACLES
 
 
 def tokenizer_spec(name: str) -> str:
@@ -82,4 +83,3 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_lm_scoring, op3_quality_rules, op4_token_output, op5_jaccard_join, op6_embedding_dedup, op7_best_fit_packing, op8_secret_scan, op9_quality_classifier, op10_bpe_codec, pipeline)}
-ORACLES: dict[str, str] = {}
