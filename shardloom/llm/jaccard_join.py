@@ -3,17 +3,21 @@
 1. Every text becomes the set of hashes of its n-word shingles; equal sets are one class, which the
    smallest id stands for. Tasks also report shingles that several of their distinct sets hold.
 2. Shingles are ordered alike everywhere: those not known to be frequent by hash, then frequent
-   ones, rarest first. Only ``FREQUENT`` of them are sent to all tasks, whatever the input; which are known
-   changes the work, never the result. A class's prefix is its first shingles in this order, so many
-   that two classes that link share one of them.
-3. Classes that share a prefix shingle are first held against one class of each group (the one with
-   the fewest rare shingles), so that a large group of copies costs as many pairs as it has members.
-   Then, wherever a group still holds classes of different components, all pairs across components
-   follow, each at its first common shingle and only if what remains after it can suffice.
+   ones, rarest first. At most ``FREQUENT`` of them are sent to all tasks, whatever the input; which
+   are known changes the work, never the result. A class's prefix is its first shingles in this
+   order, so many that two classes that link share ``shared(n)`` of them.
+3. Shingles that few classes have in their prefixes give pairs, of which those stay that are given
+   often enough. Where many share one, they are first held against one class of the group (the one
+   with the fewest rare shingles), so that a large group of copies costs as many pairs as it has
+   members; then, wherever a group still holds classes of different components, all pairs across
+   components follow, each at its first such shingle.
 4. Pairs are verified exactly: the sets to be held against one class are stored in a prefix tree,
    and the class's set traverses it. Sets with a common beginning share their overlap; a subtree is
    left when what remains in it and in the traversing set can't reach the needed overlap.
 
+What is shuffled is shingles of prefixes and sets of candidates. Bitmaps of a fixed size keep away most
+of what has no partner before the shuffle; a full bitmap lets everything through.
+
 Rows: null or empty text and text without words has an empty set and links with nothing; with fewer
 words than a shingle the whole sequence is one shingle. Rows with a null id get no component and
 link with nothing. Rows that share an id are one node, which has the links of all of them. An empty
@@ -27,27 +31,18 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, id_and_text, lower_words_of, staged
+from .common import columns_of, id_and_text, lower_words_of, most_frequent, staged
 from .components import components
 
 #: Frequent shingles sent to all tasks: 12 bytes each.
 FREQUENT = 1 << 20
 MEMBERS = 128  # sets in one prefix tree
-_WORDS = 1_000_000
-
-
-class WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _WORDS:
-            self.clear()
-        got = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return got
-
-
-_word_hash = WordHash()
+SMALL = 64  # classes that share a prefix shingle and are paired all at once
+_BITS = 27  # of a bitmap, as a power of two: 16 MB
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -62,7 +57,7 @@ def shingle_set(text: str | None, n: int = 3) -> np.ndarray:
     words = lower_words_of(text)
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_word_hash.__getitem__, words), np.uint64, len(words))
+    h = np.array(list(map(xxhash.xxh3_64_intdigest, words)), np.uint64)
     size = min(n, len(words))
     count = len(words) - size + 1
     x = np.full(count, size, np.uint64)
@@ -76,6 +71,26 @@ def needed(a: int, b: int, percent: int) -> int:
     return -(-percent * (a + b) // (100 + percent))
 
 
+def shared(n):
+    """How many shingles of their prefixes two classes that link share at least, by the smaller one's size."""
+    return 1 + min(3, n // 50)
+
+
+def bitmap(values: DataFrame, c: Column) -> np.ndarray:
+    """Bits of the numbers in ``c`` modulo 2 ** _BITS, of a fixed size whatever the table's."""
+    at = F.pmod(c, F.lit(1 << _BITS)) + 1
+    parts = values.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    out = np.zeros(1 << (_BITS - 3), np.uint8)
+    for k, bits in zip(*columns_of(parts.toArrow(), "k", "bits"), strict=True):
+        out[(k - 1) * 4096 : k * 4096] = np.frombuffer(bits, np.uint8)
+    return out
+
+
+def in_bitmap(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at = values.astype(np.int64) & ((1 << _BITS) - 1)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
 class PrefixTree:
     """Rising arrays in a tree whose edges hold runs; values that begin alike share edges.
 
@@ -173,31 +188,83 @@ def _sets(d: DataFrame, n: int) -> DataFrame:
     return d.mapInArrow(run, "doc_id long, n_shingles long, digest binary, shingle long, n_sets long")
 
 
+class Frequent:
+    """Order of the frequent shingles: 0 for others. A small filter spares most searches."""
+
+    def __init__(self, shingles: np.ndarray, counts: np.ndarray):
+        by_key = np.argsort(shingles)
+        self.keys, self.counts = shingles[by_key], counts[by_key]
+        self.maybe = np.zeros(1 << 24, bool)
+        self.maybe[(self.keys >> np.uint64(40)).astype(np.int64)] = True
+
+    def rank(self, s: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(s), np.int64)
+        some = np.flatnonzero(self.maybe[(s >> np.uint64(40)).astype(np.int64)])
+        if len(some):
+            at = np.minimum(np.searchsorted(self.keys, s[some]), len(self.keys) - 1)
+            out[some] = np.where(self.keys[at] == s[some], self.counts[at], 0)
+        return out
+
+
 def _prefixes(d: DataFrame, n: int, percent: int, frequent) -> DataFrame:
-    """doc_id, digest, n, rare, prefix of every text with an id and words; ``frequent`` is a broadcast pair of rising shingles and their order."""
+    """doc_id, digest, n, rare, prefix of every text with an id and words; ``frequent`` is a broadcast Frequent."""
     schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n", pa.int32()), ("rare", pa.int32()), ("prefix", pa.list_(pa.int64()))])
 
     def run(batches):
-        keys, place = frequent.value
+        order = frequent.value
         for batch in batches:
             out = []
             for doc_id, text in zip(*columns_of(batch, "doc_id", "text"), strict=True):
                 s = shingle_set(text, n)
                 if doc_id is None or not len(s):
                     continue
-                rank = np.zeros(len(s), np.int64)
-                if len(keys):
-                    at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
-                    rank = np.where(keys[at] == s, place[at], 0)
-                long = len(s) - -(-percent * len(s) // 100) + 1
-                prefix = s[np.argsort(rank, kind="stable")[:long]]
-                out.append((doc_id, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), len(s), int((rank == 0).sum()), prefix.view(np.int64)))
+                rank = order.rank(s)
+                size = len(s) - -(-percent * len(s) // 100) + shared(len(s))
+                plain = np.flatnonzero(rank == 0)
+                if len(plain) >= size:
+                    prefix = s[plain[:size]]
+                else:
+                    prefix = s[np.argsort(rank, kind="stable")[:size]]
+                out.append((doc_id, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), len(s), len(plain), prefix.view(np.int64)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
     return d.mapInArrow(run, "doc_id long, digest binary, n int, rare int, prefix array<long>")
 
 
+def _listed(prefixes: DataFrame, wanted) -> DataFrame:
+    """shingle, id, n, rare, pos of the prefix shingles that are in ``wanted``, a broadcast bitmap."""
+    schema = pa.schema([("shingle", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("rare", pa.int32()), ("pos", pa.int32())])
+
+    def run(batches):
+        for batch in batches:
+            prefix = batch.column("prefix")
+            values, ends = prefix.flatten().to_numpy(), np.cumsum(prefix.value_lengths().to_numpy(zero_copy_only=False))
+            lengths = np.diff(ends, prepend=0)
+            row = np.repeat(np.arange(batch.num_rows), lengths)
+            pos = np.arange(len(values)) - np.repeat(ends - lengths, lengths)
+            keep = in_bitmap(wanted.value, values)
+            row = pa.array(row[keep])
+            yield pa.RecordBatch.from_arrays([pa.array(values[keep]), batch.column("doc_id").take(row), batch.column("n").take(row), batch.column("rare").take(row), pa.array(pos[keep].astype(np.int32))], schema=schema)
+
+    return prefixes.mapInArrow(run, "shingle long, id long, n int, rare int, pos int")
+
+
+def _members(d: DataFrame, n: int, wanted) -> DataFrame:
+    """id, set of the texts whose ids are in ``wanted``, a broadcast bitmap."""
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column("doc_id")
+            keep = np.flatnonzero(in_bitmap(wanted.value, ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False))
+            texts = batch.column("text").take(pa.array(keep)).to_pylist()
+            made = [shingle_set(t, n).astype("<u8").tobytes() for t in texts]
+            full = [k for k, s in enumerate(made) if s]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(keep[full])), pa.array([made[k] for k in full], pa.binary())], names=["id", "set"])
+
+    return d.mapInArrow(run, "id long, set binary")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b of those distinct ``pairs`` whose sets link. ``sets``: id, set (rising 64-bit integers as bytes).
 
@@ -239,7 +306,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90, small: int = SMALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, n_class for each row of ``docs``.
 
     Two texts link when 100 * intersection >= percent * union of their shingle sets; component_id is
@@ -251,40 +318,41 @@ def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str =
     own = first.where("shingle IS NULL").select("doc_id", "n_shingles", "digest")
     classes = staged(own.where("doc_id IS NOT NULL AND digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("n_class")), "shingle-classes")
     known = first.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("n_sets").alias("n_sets"))
-    top = known.orderBy(F.desc("n_sets"), "shingle").limit(FREQUENT).toArrow()
-    keys, times = top.column("shingle").to_numpy().view(np.uint64), top.column("n_sets").to_numpy()
-    by_key = np.argsort(keys)
-    frequent = spark.sparkContext.broadcast((keys[by_key], times[by_key]))
+    top = most_frequent(staged(known, "shingle-counts"), "n_sets", FREQUENT).toArrow()
+    send = spark.sparkContext.broadcast
+    frequent = send(Frequent(top.column("shingle").to_numpy().view(np.uint64), top.column("n_sets").to_numpy()))
 
     prefixes = _prefixes(d, n, percent, frequent).join(classes.select("digest", F.col("id").alias("doc_id")), ["digest", "doc_id"], "left_semi")
     prefixes = staged(prefixes.drop("digest"), "shingle-prefixes")
-    listed = prefixes.select(F.col("doc_id").alias("id"), "n", "rare", F.posexplode("prefix").alias("pos", "shingle"))
+    twice_there = prefixes.select(F.explode("prefix").alias("shingle")).groupBy("shingle").count().where("count > 1")
+    listed = staged(_listed(prefixes, send(bitmap(twice_there, F.col("shingle")))), "shingle-listed")
     groups = listed.groupBy("shingle").agg(F.count("*").alias("members"), F.min(F.struct("rare", "id", "n")).alias("hub")).where("members > 1")
-    near = staged(listed.join(groups, "shingle").select("shingle", "id", "n", "pos", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")), "shingle-groups")
+    near = listed.join(groups, "shingle").select("shingle", "id", "n", "pos", "members", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"))
+    near = staged(near, "shingle-groups")
 
     sizes_fit = lambda x, y: (F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y))
-    pairs = near.where((F.col("id") != F.col("hub")) & sizes_fit(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    texts = d.join(near.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-
-    def to_sets(batches):
-        for batch in batches:
-            ids, texts = columns_of(batch, "doc_id", "text")
-            made = [shingle_set(t, n).astype("<u8").tobytes() for t in texts]
-            keep = [k for k, s in enumerate(made) if s]
-            yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in keep], pa.int64()), pa.array([made[k] for k in keep], pa.binary())], names=["id", "set"])
-
-    sets = staged(texts.mapInArrow(to_sets, "id long, set binary"), "shingle-members")
-    links = staged(verified(staged(pairs, "shingle-pairs"), sets, percent), "shingle-links")
+    few, many = near.where(F.col("members") <= small), near.where(F.col("members") > small)
+    x, y = few.select("shingle", "id", "n").alias("x"), few.select("shingle", "id", "n").alias("y")
+    met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.id") < F.col("y.id")) & sizes_fit(F.col("x.n"), F.col("y.n")))
+    often = F.count("*") >= 1 + F.least(F.lit(3), F.floor(F.min(F.least("x.n", "y.n")) / 50))
+    pairs = met.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(often.alias("often")).where("often").select("a", "b")
+    # a pair that shares a crowded shingle is met among the crowded ones below, so it needn't be given often here
+    crowded = staged(many.select("id").distinct(), "shingle-crowded")
+    to_hub = many.where((F.col("id") != F.col("hub")) & sizes_fit(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    pairs = staged(pairs.union(to_hub).distinct(), "shingle-pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(crowded).distinct()
+    sets = staged(_members(d, n, send(bitmap(ids, F.col("id")))).join(ids, "id", "left_semi"), "shingle-members")
+    links = staged(verified(pairs, sets, percent), "shingle-links")
     joined = components(links)
 
-    labelled = near.join(joined, F.col("id") == F.col("node"), "left").select("shingle", "id", "n", "pos", F.coalesce("component", "id").alias("c"))
+    labelled = many.join(joined, F.col("id") == F.col("node"), "left").select("shingle", "id", "n", F.coalesce("component", "id").alias("c"))
     open_groups = labelled.groupBy("shingle").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("shingle")
-    rest = labelled.join(open_groups, "shingle").join(prefixes.select(F.col("doc_id").alias("id"), "prefix"), "id")
-    rest = staged(rest.select("shingle", "id", "n", "pos", "c", F.slice("prefix", F.lit(1), F.col("pos")).alias("before")), "shingle-rest")
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "shingle")))
+    own_keys = many.groupBy("id").agg(F.transform(ordered, lambda k: k["shingle"]).alias("keys"))
+    rest = labelled.join(open_groups, "shingle").join(own_keys, "id")
+    rest = staged(rest.select("shingle", "id", "n", "c", F.slice("keys", F.lit(1), F.array_position("keys", F.col("shingle")).cast("int") - 1).alias("before")), "shingle-rest")
     x, y = rest.alias("x"), rest.alias("y")
-    need = F.ceil(F.lit(percent) * (F.col("x.n") + F.col("y.n")) / F.lit(100 + percent))
-    enough = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= need
-    across = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & sizes_fit(F.col("x.n"), F.col("y.n")) & enough & ~F.arrays_overlap("x.before", "y.before"))
+    across = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & sizes_fit(F.col("x.n"), F.col("y.n")) & ~F.arrays_overlap("x.before", "y.before"))
     more = verified(staged(across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "shingle-pairs"), sets, percent)
     twice = own.where("doc_id IS NOT NULL AND digest IS NOT NULL").groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("doc_id")
     shared = own.join(twice, "doc_id").join(classes, "digest").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
