@@ -25,7 +25,7 @@ from .common import columns_of, id_and_text, staged
 
 FEATURES = ("log_words", "capitals", "symbols", "exclamations", "pipes", "digits", "distinct_words", "word_echo", "top_word", "word_length", "repeated_lines", "line_words", "stops", "long_words", "wide_bytes", "repeated_pairs")
 _ZEROS = (0.0,) * len(FEATURES)
-#: Rows of the fit at most, taken by the hash of their ids.
+#: Rows of the fit, about and at most, taken by the hash of their ids.
 SAMPLE_ROWS = 40_000
 
 
@@ -190,7 +190,10 @@ def fit(measured: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
     """
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg((F.avg(F.col("quality").cast("double")) >= 0.5).cast("int").alias("_label"))
     train = measured.where(~held_out()).join(known, "doc_id")
-    rows = train.orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).limit(sample_rows).select("_label", *FEATURES).toArrow()
+    n = train.count()
+    if n > sample_rows:  # a share of the ids by hash, a little under the limit, so that no task has to sort or gather what others chose
+        train = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * 0.97 * sample_rows / n))
+    rows = train.select("doc_id", "_label", *FEATURES).toArrow().sort_by([("doc_id", "ascending"), *((f, "ascending") for f in FEATURES)])
     columns = [rows.column(f).to_numpy() for f in FEATURES]
     return AdditiveModel().fit(np.stack(columns, axis=1) if len(rows) else np.zeros((0, len(FEATURES))), rows.column("_label").to_numpy().astype(float))
 
