@@ -12,30 +12,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardloom.llm import jaccard_join, packing, quality_classifier, quality_rules, secret_scan
-from shardloom.llm.common import remove_at_exit, shared_dir, table
+from shardloom.llm.common import remove_at_exit, shared_dir, staged, table
 
 
-def _with_rows(docs: DataFrame, decided: DataFrame, *columns: str) -> DataFrame:
-    """Rows of ``docs`` whose id ``decided`` names; ids that are null there stand for null ids."""
-    return docs.join(decided.select(F.col("doc_id").alias("_id"), *columns).distinct(), docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose id isn't in ``gone`` (null ids match null ids).
+
+    The ids are written first, so that Spark knows their size and sends them to all tasks only while
+    they are under its limit; beyond, both sides are shuffled.
+    """
+    ids = staged(gone.select(F.col("doc_id").alias("_id")), "pipeline-gone")
+    return docs.join(ids, docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
+
+
+def _rejected(decided: DataFrame, kept: str) -> DataFrame:
+    """Ids of which no row is kept."""
+    return decided.groupBy("doc_id").agg(F.max(F.expr(kept).cast("int")).alias("kept")).where("kept = 0")
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier takes for good ones."""
-    scored = quality_classifier.quality_scores(docs, table(spark, sf_dir, "labels"))
-    return _with_rows(docs, scored.where("predicted = 1"))
+    return _without(docs, _rejected(quality_classifier.quality_scores(docs, table(spark, sf_dir, "labels")), "predicted = 1"))
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
-    return _with_rows(docs, quality_rules.quality_rules(docs).where("kept"))
+    return _without(docs, _rejected(quality_rules.quality_rules(docs), "kept"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group whose sets of five-word shingles are at least 0.8 alike. Ids that are null are kept; of rows that repeat an id one stays."""
-    groups = jaccard_join.jaccard_groups(docs, n=5, percent=80)
-    kept = _with_rows(docs, groups.where("doc_id IS NULL OR doc_id = component_id"))
-    return kept.where("doc_id IS NULL").unionByName(kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+    groups = staged(jaccard_join.jaccard_groups(docs, n=5, percent=80).select("doc_id", "component_id"), "pipeline-groups").where("doc_id IS NOT NULL")
+    kept = _without(docs, groups.where("doc_id <> component_id").select("doc_id").distinct())
+    again = staged(groups.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id")), "pipeline-repeated")
+    same = kept["doc_id"] == F.col("_id")
+    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id"]))
 
 
 def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
