@@ -206,9 +206,26 @@ class Frequent:
         return out
 
 
+_MARKS = 2048
+
+
+def marks(s: np.ndarray) -> np.ndarray:
+    """Bits that the low bits of a set's shingles hit, as 64-bit integers."""
+    hit = np.zeros(_MARKS, np.uint8)
+    hit[(s & np.uint64(_MARKS - 1)).astype(np.int64)] = 1
+    return np.packbits(hit, bitorder="little").view("<i8")
+
+
+def can_link(x: str, y: str, percent: int) -> Column:
+    """Whether marks leave room for a link: each bit that only one set hits stands for at least one shingle that the other lacks."""
+    lacks = lambda p, q: F.aggregate(F.zip_with(f"{p}.marks", f"{q}.marks", lambda a, b: F.bit_count(a.bitwiseAND(F.bitwise_not(b)))), F.lit(0), lambda t, c: t + c)
+    most = F.least(F.col(f"{x}.n") - lacks(x, y), F.col(f"{y}.n") - lacks(y, x))
+    return F.lit(100 + percent) * most >= F.lit(percent) * (F.col(f"{x}.n") + F.col(f"{y}.n"))
+
+
 def _prefixes(d: DataFrame, n: int, percent: int, frequent) -> DataFrame:
-    """doc_id, digest, n, rare, prefix of every text with an id and words; ``frequent`` is a broadcast Frequent."""
-    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n", pa.int32()), ("rare", pa.int32()), ("prefix", pa.list_(pa.int64()))])
+    """doc_id, digest, n, rare, prefix, marks of every text with an id and words; ``frequent`` is a broadcast Frequent."""
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n", pa.int32()), ("rare", pa.int32()), ("prefix", pa.list_(pa.int64())), ("marks", pa.list_(pa.int64()))])
 
     def run(batches):
         order = frequent.value
@@ -225,11 +242,11 @@ def _prefixes(d: DataFrame, n: int, percent: int, frequent) -> DataFrame:
                     prefix = s[plain[:size]]
                 else:
                     prefix = s[np.argsort(rank, kind="stable")[:size]]
-                out.append((doc_id, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), len(s), len(plain), prefix.view(np.int64)))
+                out.append((doc_id, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), len(s), len(plain), prefix.view(np.int64), marks(s)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
-    return d.mapInArrow(run, "doc_id long, digest binary, n int, rare int, prefix array<long>")
+    return d.mapInArrow(run, "doc_id long, digest binary, n int, rare int, prefix array<long>, marks array<long>")
 
 
 def _listed(prefixes: DataFrame, wanted) -> DataFrame:
@@ -247,7 +264,7 @@ def _listed(prefixes: DataFrame, wanted) -> DataFrame:
             row = pa.array(row[keep])
             yield pa.RecordBatch.from_arrays([pa.array(values[keep]), batch.column("doc_id").take(row), batch.column("n").take(row), batch.column("rare").take(row), pa.array(pos[keep].astype(np.int32))], schema=schema)
 
-    return prefixes.mapInArrow(run, "shingle long, id long, n int, rare int, pos int")
+    return prefixes.select("doc_id", "n", "rare", "prefix").mapInArrow(run, "shingle long, id long, n int, rare int, pos int")
 
 
 def _members(d: DataFrame, n: int, wanted) -> DataFrame:
@@ -338,7 +355,9 @@ def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90, small: int =
     pairs = met.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(often.alias("often")).where("often").select("a", "b")
     # a pair that shares a crowded shingle is met among the crowded ones below, so it needn't be given often here
     crowded = staged(many.select("id").distinct(), "shingle-crowded")
-    to_hub = many.where((F.col("id") != F.col("hub")) & sizes_fit(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    of = lambda side: prefixes.select(F.col("doc_id").alias(side), F.struct("n", "marks").alias(side[0]))
+    to_hub = many.where((F.col("id") != F.col("hub")) & sizes_fit(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a_id"), F.col("id").alias("b_id")).distinct()
+    to_hub = to_hub.join(of("a_id"), "a_id").join(of("b_id"), "b_id").where(can_link("a", "b", percent)).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
     pairs = staged(pairs.union(to_hub).distinct(), "shingle-pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(crowded).distinct()
     sets = staged(_members(d, n, send(bitmap(ids, F.col("id")))).join(ids, "id", "left_semi"), "shingle-members")
@@ -349,10 +368,10 @@ def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90, small: int =
     open_groups = labelled.groupBy("shingle").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("shingle")
     ordered = F.array_sort(F.collect_list(F.struct("pos", "shingle")))
     own_keys = many.groupBy("id").agg(F.transform(ordered, lambda k: k["shingle"]).alias("keys"))
-    rest = labelled.join(open_groups, "shingle").join(own_keys, "id")
-    rest = staged(rest.select("shingle", "id", "n", "c", F.slice("keys", F.lit(1), F.array_position("keys", F.col("shingle")).cast("int") - 1).alias("before")), "shingle-rest")
+    rest = labelled.join(open_groups, "shingle").join(own_keys, "id").join(prefixes.select(F.col("doc_id").alias("id"), "marks"), "id")
+    rest = staged(rest.select("shingle", "id", "n", "c", "marks", F.slice("keys", F.lit(1), F.array_position("keys", F.col("shingle")).cast("int") - 1).alias("before")), "shingle-rest")
     x, y = rest.alias("x"), rest.alias("y")
-    across = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & sizes_fit(F.col("x.n"), F.col("y.n")) & ~F.arrays_overlap("x.before", "y.before"))
+    across = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & sizes_fit(F.col("x.n"), F.col("y.n")) & ~F.arrays_overlap("x.before", "y.before") & can_link("x", "y", percent))
     more = verified(staged(across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "shingle-pairs"), sets, percent)
     twice = own.where("doc_id IS NOT NULL AND digest IS NOT NULL").groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("doc_id")
     shared = own.join(twice, "doc_id").join(classes, "digest").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
