@@ -223,9 +223,20 @@ def can_link(x: str, y: str, percent: int) -> Column:
     return F.lit(100 + percent) * most >= F.lit(percent) * (F.col(f"{x}.n") + F.col(f"{y}.n"))
 
 
+def _marked(sets: DataFrame) -> DataFrame:
+    """id, n, marks of ``sets``."""
+
+    def run(batches):
+        for batch in batches:
+            made = [np.frombuffer(x, "<u8") for x in batch.column("set").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) for s in made], pa.int32()), pa.array([marks(s) for s in made], pa.list_(pa.int64()))], names=["id", "n", "marks"])
+
+    return sets.mapInArrow(run, "id long, n int, marks array<long>")
+
+
 def _prefixes(d: DataFrame, n: int, percent: int, frequent) -> DataFrame:
-    """doc_id, digest, n, rare, prefix, marks of every text with an id and words; ``frequent`` is a broadcast Frequent."""
-    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n", pa.int32()), ("rare", pa.int32()), ("prefix", pa.list_(pa.int64())), ("marks", pa.list_(pa.int64()))])
+    """doc_id, digest, n, rare, prefix of every text with an id and words; ``frequent`` is a broadcast Frequent."""
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n", pa.int32()), ("rare", pa.int32()), ("prefix", pa.list_(pa.int64()))])
 
     def run(batches):
         order = frequent.value
@@ -242,11 +253,11 @@ def _prefixes(d: DataFrame, n: int, percent: int, frequent) -> DataFrame:
                     prefix = s[plain[:size]]
                 else:
                     prefix = s[np.argsort(rank, kind="stable")[:size]]
-                out.append((doc_id, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), len(s), len(plain), prefix.view(np.int64), marks(s)))
+                out.append((doc_id, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), len(s), len(plain), prefix.view(np.int64)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
-    return d.mapInArrow(run, "doc_id long, digest binary, n int, rare int, prefix array<long>, marks array<long>")
+    return d.mapInArrow(run, "doc_id long, digest binary, n int, rare int, prefix array<long>")
 
 
 def _listed(prefixes: DataFrame, wanted) -> DataFrame:
@@ -355,12 +366,14 @@ def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90, small: int =
     pairs = met.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(often.alias("often")).where("often").select("a", "b")
     # a pair that shares a crowded shingle is met among the crowded ones below, so it needn't be given often here
     crowded = staged(many.select("id").distinct(), "shingle-crowded")
-    of = lambda side: prefixes.select(F.col("doc_id").alias(side), F.struct("n", "marks").alias(side[0]))
+    pairs = staged(pairs, "shingle-pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(crowded)
+    sets = staged(_members(d, n, send(bitmap(ids, F.col("id")))), "shingle-members")  # a few more than wanted, which nothing below asks for
+    marked = staged(_marked(sets.join(crowded, "id", "left_semi")), "shingle-marks")
+    of = lambda side: marked.select(F.col("id").alias(side), F.struct("n", "marks").alias(side[0]))
     to_hub = many.where((F.col("id") != F.col("hub")) & sizes_fit(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a_id"), F.col("id").alias("b_id")).distinct()
     to_hub = to_hub.join(of("a_id"), "a_id").join(of("b_id"), "b_id").where(can_link("a", "b", percent)).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
     pairs = staged(pairs.union(to_hub).distinct(), "shingle-pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(crowded).distinct()
-    sets = staged(_members(d, n, send(bitmap(ids, F.col("id")))).join(ids, "id", "left_semi"), "shingle-members")
     links = staged(verified(pairs, sets, percent), "shingle-links")
     joined = components(links)
 
@@ -368,7 +381,7 @@ def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90, small: int =
     open_groups = labelled.groupBy("shingle").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("shingle")
     ordered = F.array_sort(F.collect_list(F.struct("pos", "shingle")))
     own_keys = many.groupBy("id").agg(F.transform(ordered, lambda k: k["shingle"]).alias("keys"))
-    rest = labelled.join(open_groups, "shingle").join(own_keys, "id").join(prefixes.select(F.col("doc_id").alias("id"), "marks"), "id")
+    rest = labelled.join(open_groups, "shingle").join(own_keys, "id").join(marked.select("id", "marks"), "id")
     rest = staged(rest.select("shingle", "id", "n", "c", "marks", F.slice("keys", F.lit(1), F.array_position("keys", F.col("shingle")).cast("int") - 1).alias("before")), "shingle-rest")
     x, y = rest.alias("x"), rest.alias("y")
     across = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & sizes_fit(F.col("x.n"), F.col("y.n")) & ~F.arrays_overlap("x.before", "y.before") & can_link("x", "y", percent))
