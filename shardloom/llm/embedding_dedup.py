@@ -4,9 +4,11 @@ Equal vectors are one class first. A graph of neighbours over the classes starts
 hyperplane buckets and is refined: each round a class's neighbours, in both directions, meet each
 other and keep the most similar. Only neighbours with a cosine of at least 2 * threshold ** 2 - 1 are
 kept, which is the least that two links of one class have between them. A class whose whole list is
-over the threshold is saturated: its list is enlarged to the component of links it is in, where all
-its links are, compared in blocks. An audit holds a hashed set of classes against all others; while
-the links found are under ``recall`` of theirs, the search is repeated from other buckets and added.
+over the threshold is saturated: links may be missing from it, so components that hold such classes
+are compared in blocks, within and between each other unless their centres are too far apart. An audit
+holds a hashed set of classes against all others; while a lower bound of the share that a class of any
+kind has of its links is under ``recall``, the search is repeated from other buckets and added, and in
+the end all classes are compared in blocks.
 
 Vectors travel as Arrow batches; a task never holds more than a class's lists or two blocks.
 
@@ -154,49 +156,101 @@ def neighbour_graph(units: DataFrame, n: int, threshold: float, k: int, rounds:
     return graph
 
 
-def _dense_counts(members: DataFrame, threshold: float) -> DataFrame:
-    """id, linked: rows that each class links with, for components compared whole. members: id, component, weight, unit.
+def _packed(members: DataFrame) -> DataFrame:
+    """no, component, centre, radius, ids, weights, units: members (id, component, weight, unit) in blocks of about BLOCK classes of one component and length.
 
-    A component is dealt over blocks by a hash; each pair of blocks is one product of matrices.
+    ``centre`` is at length 1 and no class of the block is further from it than the angle ``radius``.
     """
-    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    with_others = dealt.withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = with_others.select("component", F.least("block", "partner").alias("i"), F.greatest("block", "partner").alias("j"), "block", "id", "weight", "unit")
-    n = max(1, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = rows.repartition(n, "component", "i", "j").sortWithinPartitions("component", "i", "j")
+    by = ["component", "size"]
+    sized = members.withColumn("size", F.octet_length("unit"))
+    blocks = sized.groupBy(*by).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = sized.join(blocks, by).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    grouped = dealt.groupBy(*by, "block").agg(F.collect_list(F.struct("id", "weight", "unit")).alias("rows"))
+    lists = grouped.select(F.monotonically_increasing_id().alias("no"), "component", F.col("rows.id").alias("ids"), F.col("rows.weight").alias("weights"), F.col("rows.unit").alias("units"))
 
     def run(batches):
-        now, held = None, []
-
-        def counted():
-            if not held:
-                return None
-            totals: dict[int, int] = {}
-            for size in {len(u) for _, _, _, u in held}:
-                some = [h for h in held if len(h[3]) == size]
-                block = np.array([h[0] for h in some])
-                x, weight = _stacked([h[3] for h in some]), np.array([h[2] for h in some], np.int64)
-                for left, right in {(now[1], now[2]), (now[2], now[1])}:
-                    p, q = np.flatnonzero(block == left), np.flatnonzero(block == right)
-                    linked = x[p] @ x[q].T >= threshold
-                    if left == right:
-                        linked[np.arange(len(p)), np.arange(len(p))] = False
-                    for k, total in zip(p.tolist(), (linked @ weight[q]).tolist(), strict=True):
-                        totals[some[k][1]] = totals.get(some[k][1], 0) + total
-            return pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int64()), pa.array(list(totals.values()), pa.int64())], names=["id", "linked"])
+        for batch in batches:
+            centres, radii = [], []
+            for units in batch.column("units").to_pylist():
+                x = _stacked(units)
+                centre = x.sum(0)
+                length = np.sqrt(centre @ centre)
+                centre = centre / length if length > 1e-6 else x[0]
+                centres.append(centre.astype("<f8").tobytes())
+                radii.append(float(np.arccos(np.clip(x @ centre, -1, 1)).max()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(centres, pa.binary()), pa.array(radii, pa.float64())], names=[*batch.schema.names, "centre", "radius"])
+
+    shape = "no long, component long, ids array<long>, weights array<long>, units array<binary>, centre binary, radius double"
+    return staged(lists.mapInArrow(run, shape), "vector-blocks")
+
+
+def _block_pairs(blocks: DataFrame, threshold: float) -> DataFrame:
+    """i, j (i <= j) of the blocks whose centres and radii allow a link; centres meet as lists of 1024."""
+    lists = blocks.select("no", "centre", "radius").groupBy(F.octet_length("centre").alias("size"), F.pmod(F.xxhash64("no"), F.lit(partitions_for(blocks.count(), 1024))).alias("deal")).agg(F.collect_list(F.struct("no", "centre", "radius")).alias("x")).select("size", "deal", "x")
+    other = lists.select(F.col("size").alias("size2"), F.col("deal").alias("deal2"), F.col("x").alias("y"))
+    most = float(np.arccos(np.clip(threshold, -1, 1))) + 1e-6  # arccos of a cosine near 1 is off by up to some 1e-8
 
+    def run(batches):
         for batch in batches:
-            for c, i, j, block, vec, weight, unit in zip(*columns_of(batch, "component", "i", "j", "block", "id", "weight", "unit"), strict=True):
-                if (c, i, j) != now:
-                    if (out := counted()) is not None:
-                        yield out
-                    now, held = (c, i, j), []
-                held.append((block, vec, weight, unit))
-        if (out := counted()) is not None:
-            yield out
+            for x, y, same in zip(*columns_of(batch, "x", "y", "same"), strict=True):
+                no, no2 = np.array([r["no"] for r in x], np.int64), np.array([r["no"] for r in y], np.int64)
+                apart = np.arccos(np.clip(_stacked([r["centre"] for r in x]) @ _stacked([r["centre"] for r in y]).T, -1, 1))
+                near = apart <= most + np.array([r["radius"] for r in x])[:, None] + np.array([r["radius"] for r in y])[None, :]
+                a, b = np.nonzero(near)
+                i, j = np.minimum(no[a], no2[b]), np.maximum(no[a], no2[b])
+                # lists meet once, and a list meets itself, where each pair but those of one block comes twice
+                once = (no[a] <= no2[b]) if same else np.ones(len(a), bool)
+                yield pa.RecordBatch.from_arrays([pa.array(i[once]), pa.array(j[once])], names=["i", "j"])
+
+    return lists.join(other, (F.col("size") == F.col("size2")) & (F.col("deal") <= F.col("deal2"))).select("x", "y", (F.col("deal") == F.col("deal2")).alias("same")).mapInArrow(run, "i long, j long")
+
+
+def _roots(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row and column of a matrix of links the least row that links lead to; the number of rows for columns without any."""
+    none = linked.shape[0]
+    rows, columns = np.arange(none), np.full(linked.shape[1], none)
+    while True:
+        columns = np.where(linked, rows[:, None], none).min(0)
+        new = np.minimum(rows, np.where(linked, columns[None, :], none).min(1))
+        if (new == rows).all():
+            return rows, columns
+        rows = new
+
+
+def compared(members: DataFrame, threshold: float) -> DataFrame:
+    """id, linked, classes, root: what each class of ``members`` (id, component, weight, unit) links with, in parts to be summed.
+
+    Every pair of members is compared but those of blocks whose centres are too far apart for any
+    link, so the result is exact. Pairs of blocks are products of matrices. ``linked`` counts rows and
+    ``classes`` classes; the pairs id, root join the same classes as the links do, in proportion to rows.
+    """
+    blocks = _packed(members)
+    n = max(1, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    pairs = staged(_block_pairs(blocks, threshold), "vector-block-pairs").repartition(n)
+    side = lambda k, at: blocks.select(F.col("no").alias(at), *[F.col(c).alias(f"{c}{k}") for c in ("ids", "weights", "units")])
+    size = blocks.agg(F.sum(F.size("ids") * F.octet_length(F.get("units", F.lit(0))))).first()[0] or 0
+    sent = F.broadcast if size < 64 << 20 else (lambda d: d)
+    met = pairs.join(sent(side(1, "i")), "i").join(sent(side(2, "j")), "j")
+
+    def run(batches):
+        for batch in batches:
+            for i, j, ids, weights, units, ids2, weights2, units2 in zip(*columns_of(batch, "i", "j", "ids1", "weights1", "units1", "ids2", "weights2", "units2"), strict=True):
+                linked = _stacked(units) @ _stacked(units2).T >= threshold
+                if i == j:
+                    np.fill_diagonal(linked, False)
+                if not linked.any():
+                    continue
+                own = linked | np.eye(len(ids), dtype=bool) if i == j else linked
+                rows, columns = _roots(own)
+                names, names2 = np.array(ids, np.int64), np.array(ids2, np.int64)
+                some, some2 = np.flatnonzero(linked.any(1)), np.flatnonzero(linked.any(0))
+                parts = [(names[some], (linked @ np.array(weights2, np.int64))[some], linked.sum(1)[some], names[rows[some]])]
+                if i != j:
+                    parts.append((names2[some2], (linked.T @ np.array(weights, np.int64))[some2], linked.sum(0)[some2], names[columns[some2]]))
+                for part in parts:
+                    yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in part], names=["id", "linked", "classes", "root"])
 
-    return rows.mapInArrow(run, "id long, linked long").groupBy("id").agg(F.sum("linked").alias("linked"))
+    return staged(met.mapInArrow(run, "id long, linked long, classes long, root long"), "vector-compared")
 
 
 def audited_recall(units: DataFrame, counted: DataFrame, n: int, threshold: float, queries: int) -> float:
@@ -227,7 +281,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, k: int = 10, rou
     """vec_id, n_links, component_id, kept for each row of ``vectors``.
 
     Links are pairs with a cosine of at least ``threshold`` in double precision. ``searches`` is how
-    often the search is started at most until the audit is content.
+    often the search is started at most until the audit is content; where it never is, all
+    rows are compared in blocks, which is exact and grows with the square of the table.
     """
     rows = staged(normalised(vectors, id_col, vector_col), "vectors")
     usable = rows.where("unit IS NOT NULL AND vec_id IS NOT NULL")
@@ -244,13 +299,21 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, k: int = 10, rou
         links = staged(edges.where(F.col("cos") >= threshold).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), "vector-links")
         joined = components(links)
         sides = links.select(F.col("a").alias("id"), F.col("b").alias("other")).union(links.select(F.col("b").alias("id"), F.col("a").alias("other")))
-        listed = sides.join(units.select(F.col("id").alias("other"), "weight"), "other").groupBy("id").agg(F.sum("weight").alias("linked"), F.count("*").alias("length"))
-        saturated = listed.where(F.col("length") >= k).join(joined, F.col("id") == F.col("node")).select("component").distinct()
+        listed = sides.join(units.select(F.col("id").alias("other"), "weight"), "other").groupBy("id").agg(F.sum("weight").alias("linked"), F.count("*").alias("classes"))
+        saturated = listed.where(F.col("classes") >= k).join(joined, F.col("id") == F.col("node")).select("component").distinct()
         members = joined.join(saturated, "component").join(units, F.col("node") == F.col("id")).select("id", "component", "weight", "unit")
-        dense = _dense_counts(members, threshold)
-        counted = staged(listed.join(dense.withColumnRenamed("linked", "dense"), "id", "left").select("id", F.coalesce("dense", "linked").alias("linked")), "vector-counts")
-        if audited_recall(units, counted, n, threshold, audit_queries) >= recall:
+        whole = compared(members, threshold)
+        dense = whole.groupBy("id").agg(F.sum("linked").alias("dense"), F.sum("classes").alias("dense_classes"))
+        # a class that is compared has all its links within those compared, as lists of others aren't full
+        counted = staged(listed.join(dense, "id", "left").select("id", F.coalesce("dense", "linked").alias("linked"), F.coalesce("dense_classes", "classes").alias("classes")), "vector-counts")
+        links = links.union(whole.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")).distinct())
+        share = audited_recall(units, counted, n, threshold, audit_queries)
+        if share >= recall:
             break
+    if share < recall:
+        whole = compared(units.select("id", F.lit(0).cast("long").alias("component"), "weight", "unit"), threshold)
+        counted = staged(whole.groupBy("id").agg(F.sum("linked").alias("linked")), "vector-counts")
+        links = whole.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")).distinct()
     # back from classes to rows: components of ids, as rows that share an id are one node
     same = usable.join(named.select("digest", F.col("id").alias("first")), "digest").select(F.col("vec_id").alias("a"), F.col("first").alias("b")).where("a <> b")
     ids = units.select("id", "vec_id")

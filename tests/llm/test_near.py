@@ -129,3 +129,27 @@ def test_probabilities_sum_to_one():
     m = LogBilinear(np.full(6, 1 / 6), 4)
     total = sum(math.exp(m.log_probs([np.array([2, 3, c], "<u2")])[2]) for c in range(6))
     assert math.isclose(total, 1, rel_tol=1e-5)
+
+
+def _exact(rows, threshold=0.9):
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    link = x @ x.T >= threshold
+    np.fill_diagonal(link, False)
+    ids = [i for i, _ in rows]
+    return dict(zip(ids, link.sum(1).tolist(), strict=True)), labels(ids, [(ids[a], ids[b]) for a, b in zip(*np.nonzero(link), strict=True)])
+
+
+def _vectors(spark, rows):
+    return spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+
+
+def test_links_between_groups_that_fill_each_list(spark):
+    rng = np.random.default_rng(8)
+    a = np.eye(32)[0]
+    b = 0.93 * a + math.sqrt(1 - 0.93**2) * np.eye(32)[1]  # groups of 40 with 0.99 inside and 0.92 across
+    rows = [(i, ((a if i < 40 else b) + rng.standard_normal(32) * 0.015).tolist()) for i in range(80)] + [(100 + i, rng.standard_normal(32).tolist()) for i in range(300)]
+    counts, want = _exact(rows)
+    assert want[79] == 0 and counts[0] > 60
+    got = {r.vec_id: r for r in near_duplicates(_vectors(spark, rows), searches=1, recall=0.0).collect()}
+    assert {i: got[i].n_links for i in counts} == counts and {i: got[i].component_id for i in want} == want
