@@ -253,35 +253,74 @@ def compared(members: DataFrame, threshold: float) -> DataFrame:
     return staged(met.mapInArrow(run, "id long, linked long, classes long, root long"), "vector-compared")
 
 
-def audited_recall(units: DataFrame, counted: DataFrame, n: int, threshold: float, queries: int) -> float:
-    """Share of the links of about ``queries`` classes, chosen by hash and held against every row, that ``counted`` (id, linked) has."""
-    chosen = units.where(F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(max(1, n // queries))) == 0).select("id", "unit").collect()
+def _lower(total: float, m: int) -> float:
+    """A lower bound, one-sided at about 95 %, of the mean of ``m`` shares of 0 to 1 (Wilson's, which holds for shares between as their variance is smaller)."""
+    if not m:
+        return 0.0
+    z, p = 1.645, total / m
+    return (p + z * z / (2 * m) - z * np.sqrt(p * (1 - p) / m + z * z / (4 * m * m))) / (1 + z * z / m)
+
+
+def audited_recall(units: DataFrame, counted: DataFrame, n: int, threshold: float, queries: int, least: int = 200) -> float | None:
+    """A lower bound of the share of its links that a class has in ``counted`` (id, classes); the least over all and over classes with few, some and many links.
+
+    Classes chosen by hash are held against every row and each counts the same, whatever its links or
+    their copies. More are taken, about ``queries`` first and at most 20,000 at once, until every kind
+    seen has ``least`` classes. An audit of all is no estimate; one that is past a quarter of a table
+    costs as much as comparing all, and has no answer.
+    """
+    parts = max(1, n // queries)
+    part = F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(parts))
+    sums: dict[int, tuple[float, int]] = {}
+    at, step = 0, 1
+    while True:
+        for kind, total, m in _audited(units, counted, threshold, units.where((part >= at) & (part < at + step))):
+            held = sums.get(kind, (0.0, 0))
+            sums[kind] = (held[0] + total, held[1] + m)
+        at += step
+        every = [*sums.values(), *([tuple(sum(x) for x in zip(*sums.values(), strict=True))] if sums else [])]
+        if at >= parts:
+            return min((total / m for total, m in every), default=1.0)
+        if every and min(m for _, m in every) >= least:
+            return min(_lower(*x) for x in every)
+        if 4 * at >= parts:
+            return None
+        step = max(1, min(at, 20_000 // queries))
+
+
+def _audited(units: DataFrame, counted: DataFrame, threshold: float, asked: DataFrame) -> list[tuple[int, float, int]]:
+    """For each kind of class (few, some, many links): its number, the sum of shares found, and how many classes."""
+    chosen = asked.select("id", "unit").collect()
     if not chosen:
-        return 1.0
+        return []
     sent = units.sparkSession.sparkContext.broadcast([(r.id, bytes(r.unit)) for r in chosen])
 
     def run(batches):
         for batch in batches:
-            ids, weights, rows = columns_of(batch, "id", "weight", "unit")
+            ids, rows = columns_of(batch, "id", "unit")
             for size in {len(r) for r in rows}:
                 asked = [(i, u) for i, u in sent.value if len(u) == size]
                 some = [k for k, r in enumerate(rows) if len(r) == size]
-                if asked:
-                    own = np.array([ids[k] for k in some])
-                    linked = (_stacked([u for _, u in asked]) @ _stacked([rows[k] for k in some]).T >= threshold) & (np.array([i for i, _ in asked])[:, None] != own[None, :])
-                    total = linked @ np.array([weights[k] for k in some], np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in asked], pa.int64()), pa.array(total.astype(np.int64))], names=["id", "true"])
+                own = np.array([ids[k] for k in some])
+                x = _stacked([rows[k] for k in some]).T
+                for a in range(0, len(asked), 1000):
+                    names = np.array([i for i, _ in asked[a : a + 1000]])
+                    linked = (_stacked([u for _, u in asked[a : a + 1000]]) @ x >= threshold) & (names[:, None] != own[None, :])
+                    total = linked.sum(1)
+                    yield pa.RecordBatch.from_arrays([pa.array(names[total > 0]), pa.array(total[total > 0].astype(np.int64))], names=["id", "true"])
 
-    true = units.select("id", "weight", "unit").mapInArrow(run, "id long, true long").groupBy("id").agg(F.sum("true").alias("true"))
-    found, all_links = true.join(counted, "id", "left").agg(F.sum(F.least(F.col("true"), F.coalesce("linked", F.lit(0)))), F.sum("true")).first()
-    return (found or 0) / all_links if all_links else 1.0
+    true = units.select("id", "unit").mapInArrow(run, "id long, true long").groupBy("id").agg(F.sum("true").alias("true"))
+    share = F.least(F.lit(1.0), F.coalesce("classes", F.lit(0)) / F.col("true"))
+    kind = F.when(F.col("true") <= 2, 0).when(F.col("true") <= 10, 1).otherwise(2)
+    found = true.join(counted.select("id", "classes"), "id", "left").select(kind.alias("kind"), share.alias("share"))
+    return [tuple(r) for r in found.groupBy("kind").agg(F.sum("share"), F.count("*")).collect()]
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, k: int = 10, rounds: int = 4, recall: float = 0.98, searches: int = 4, audit_queries: int = 400, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of ``vectors``.
 
     Links are pairs with a cosine of at least ``threshold`` in double precision. ``searches`` is how
-    often the search is started at most until the audit is content; where it never is, all
+    often the search is started at most until the audit is content; where it never is or can't tell, all
     rows are compared in blocks, which is exact and grows with the square of the table.
     """
     rows = staged(normalised(vectors, id_col, vector_col), "vectors")
@@ -308,9 +347,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, k: int = 10, rou
         counted = staged(listed.join(dense, "id", "left").select("id", F.coalesce("dense", "linked").alias("linked"), F.coalesce("dense_classes", "classes").alias("classes")), "vector-counts")
         links = links.union(whole.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")).distinct())
         share = audited_recall(units, counted, n, threshold, audit_queries)
-        if share >= recall:
+        if share is None or share >= recall:
             break
-    if share < recall:
+    if share is None or share < recall:
         whole = compared(units.select("id", F.lit(0).cast("long").alias("component"), "weight", "unit"), threshold)
         counted = staged(whole.groupBy("id").agg(F.sum("linked").alias("linked")), "vector-counts")
         links = whole.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")).distinct()

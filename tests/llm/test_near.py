@@ -153,3 +153,23 @@ def test_links_between_groups_that_fill_each_list(spark):
     assert want[79] == 0 and counts[0] > 60
     got = {r.vec_id: r for r in near_duplicates(_vectors(spark, rows), searches=1, recall=0.0).collect()}
     assert {i: got[i].n_links for i in counts} == counts and {i: got[i].component_id for i in want} == want
+
+
+def test_audit_counts_each_class_and_ends_exact(spark, monkeypatch):
+    from shardloom.llm import embedding_dedup
+
+    rng = np.random.default_rng(9)
+    big = rng.standard_normal(32)
+    small = rng.standard_normal((60, 32))
+    rows = [(i, (big + rng.standard_normal(32) * 0.05).tolist()) for i in range(300)]
+    rows += [(1000 + 2 * i + c, (v + rng.standard_normal(32) * 0.05).tolist()) for i, v in enumerate(small) for c in (0, 1)]
+    counts, want = _exact(rows)
+    units = embedding_dedup.normalised(_vectors(spark, rows), "vec_id", "embedding").selectExpr("vec_id id", "1L weight", "unit")
+    only_big = spark.createDataFrame([(i, n) for i, n in counts.items() if n > 10], "id long, classes long")
+    assert embedding_dedup.audited_recall(units, only_big, len(rows), 0.9, 400) == 0.0  # found / true links is over 0.99
+    every = spark.createDataFrame(list(counts.items()), "id long, classes long")
+    assert embedding_dedup.audited_recall(units, every, len(rows), 0.9, 400) == 1.0
+    # a search that finds nothing is never taken for complete
+    monkeypatch.setattr(embedding_dedup, "neighbour_graph", lambda units, *a, **k: units.selectExpr("id", "id other", "1d cos").where("false"))
+    got = {r.vec_id: r for r in near_duplicates(_vectors(spark, rows), searches=1).collect()}
+    assert {i: got[i].n_links for i in counts} == counts and {i: got[i].component_id for i in want} == want
