@@ -52,7 +52,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the secrets in their texts masked; n_chars, where there is one, follows the text."""
     names = docs.columns
-    out = secret_scan.with_spans(docs).withColumn("text", secret_scan.masked("text", "_spans")).drop("_base", "_spans")
+    out = secret_scan.with_spans(docs, overlapping=True).withColumn("text", secret_scan.masked("text", "_spans")).drop("_base", "_spans")
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*names)

@@ -113,10 +113,11 @@ def entropy_spans(text: Column, ordinal: int, kind: CharClass) -> Column:
     return F.transform(hot, lambda r: F.struct((r["start"] + r["hot"]["first"]).alias("start"), F.lit(ordinal).alias("ord"), F.lit("entropy").alias("kind"), (r["start"] + r["hot"]["last"] + kind.width).alias("end")))
 
 
-def with_spans(docs: DataFrame, text_col: str = "text", base_col: str = "_base", spans_col: str = "_spans") -> DataFrame:
+def with_spans(docs: DataFrame, text_col: str = "text", base_col: str = "_base", spans_col: str = "_spans", overlapping: bool = False) -> DataFrame:
     """``docs`` with two more columns, arrays of (start, ord, kind, end) by start, then kind: base spans, and all spans.
 
-    An entropy span that touches a base span, or another of an earlier class, is left out.
+    An entropy span that touches a base span, or another of an earlier class, is left out unless
+    ``overlapping``: what is masked must hold the parts that the other span doesn't cover.
     """
     names = docs.columns
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
@@ -127,7 +128,7 @@ def with_spans(docs: DataFrame, text_col: str = "text", base_col: str = "_base",
     apart = lambda spans: lambda x: ~F.exists(spans, lambda y: touches(x, y))
     more = base_col
     for k in range(len(CLASSES)):
-        new = F.filter(f"_entropy{k}", apart(more))
+        new = F.col(f"_entropy{k}") if overlapping else F.filter(f"_entropy{k}", apart(more))
         d = d.withColumn(f"_all{k}", F.when(F.size(f"_entropy{k}") > 0, F.concat(more, new)).otherwise(F.col(more)))
         more = f"_all{k}"
     return d.withColumn(spans_col, F.array_sort(more)).select(*[f"`{n}`" for n in names if n not in (base_col, spans_col)], base_col, spans_col)

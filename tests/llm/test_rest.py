@@ -103,3 +103,12 @@ def test_pipeline(spark, tmp_path):
     assert clean.columns == docs.columns and all("hunter2" not in (r.text or "") for r in clean.collect())
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {"doc_id", "bin", "n_tokens"} <= set(out.columns) and out.count() > 0
+
+
+def test_masks_what_other_spans_leave(spark, tmp_path):
+    token = "Zk3v9QpLx7Rt2Wn8Yb4Mc6Ds1Fg5Hj0KqVu7Ta2P"
+    texts = [(1, f"see /commit/{'0123456789abcdef' * 2}01234567/raw/{token} end"), (2, "key ABCDEF0123456789abcdef9876543210FEDCBA end")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.mask(spark, docs, str(tmp_path)).collect()}
+    assert token[:8] not in got[1] and token[-8:] not in got[1] and got[1].startswith("see ") and got[1].endswith(" end")
+    assert got[2] == "key [secret] end"
