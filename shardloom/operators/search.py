@@ -39,7 +39,8 @@ def vector_top_k(questions: DataFrame, records: DataFrame, k: int, question_id:
     """query_id, record_id, distance, rank: the ``k`` nearest records of every question by squared distance.
 
     Questions and records meet as blocks, so the pairs of blocks grow with both tables but no task holds more
-    than two; each pair of blocks keeps k rows a question, exact differences are taken for those alone,
+    than two. In a pair of blocks exact differences are taken for all records whose rough distance is
+    within its error of the k-th, so all ties; k rows a question are kept by distance and record_id,
     and a ranked window with a limit merges them. k <= 0 gives nothing.
     """
     q = _blocks(questions, question_id, vector, block).select(F.col("ids").alias("q_ids"), F.col("block").alias("q"))
@@ -49,15 +50,21 @@ def vector_top_k(questions: DataFrame, records: DataFrame, k: int, question_id:
         for batch in batches:
             for q_ids, qs, r_ids, rs in zip(*(batch.column(c).to_pylist() for c in ("q_ids", "q", "r_ids", "r")), strict=True):
                 x, y = np.frombuffer(qs, "<f8").reshape(len(q_ids), -1), np.frombuffer(rs, "<f8").reshape(len(r_ids), -1)
-                rough = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * (x @ y.T)
-                take = min(len(r_ids), k + 8)  # a margin, as rough distances can tie
-                near = np.argpartition(rough, take - 1, axis=1)[:, :take]
-                diff = x[:, None, :] - y[near]
-                exact = np.cumsum(diff * diff, axis=2)[:, :, -1]  # left to right
+                x2, y2 = (x * x).sum(1), (y * y).sum(1)
+                rough = x2[:, None] + y2[None, :] - 2 * (x @ y.T)
+                last = np.partition(rough, min(len(r_ids), k) - 1, axis=1)[:, min(len(r_ids), k) - 1]
+                # rough and exact distances are each off by less than this share of the squared lengths
+                off = 8 * (x.shape[1] + 4) * np.finfo(np.float64).eps * (x2 + y2.max())
+                row, near = np.nonzero(~(rough > (last + 2 * off)[:, None]))  # also all that don't compare
+                exact = np.empty(len(row))
+                for a in range(0, len(row), 16384):
+                    diff = x[row[a : a + 16384]] - y[near[a : a + 16384]]
+                    exact[a : a + 16384] = np.cumsum(diff * diff, axis=1)[:, -1]  # left to right
                 ids = np.array(r_ids, np.int64)[near]
-                order = np.lexsort((ids, exact), axis=1)[:, :k]
-                rows = np.arange(len(q_ids))[:, None]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(q_ids, np.int64), order.shape[1])), pa.array(ids[rows, order].ravel()), pa.array(exact[rows, order].ravel())], names=["query_id", "record_id", "distance"])
+                order = np.lexsort((ids, exact, row))
+                row, ids, exact = row[order], ids[order], exact[order]
+                first = np.arange(len(row)) - np.searchsorted(row, row) < k
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(q_ids, np.int64)[row[first]]), pa.array(ids[first]), pa.array(exact[first])], names=["query_id", "record_id", "distance"])
 
     if k <= 0:
         return questions.sparkSession.createDataFrame([], "query_id long, record_id long, distance double, rank int")

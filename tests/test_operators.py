@@ -93,6 +93,19 @@ def test_vector_search_equals_the_plain_form(spark):
     assert search.vector_top_k(q, v, 0).count() == 0
 
 
+def test_vector_search_with_many_ties(spark):
+    near = [(i, [1.0, 0.5, 0.25]) for i in range(300, 0, -1)]  # equal vectors, smallest ids last
+    v = spark.createDataFrame(near + [(1000, [9.0, 9.0, 9.0])], "record_id long, embedding array<double>").coalesce(1)
+    q = spark.createDataFrame([(1, [1.0, 0.0, 0.0])], "query_id long, embedding array<double>")
+    assert sorted(r.record_id for r in search.vector_top_k(q, v, 5).collect()) == [1, 2, 3, 4, 5]
+    # copies whose differences drown in the rough distances
+    far = [(i, [1e8, 1e8 + 1e-6 * (i % 97), float(i == 400)]) for i in range(500)]
+    v = spark.createDataFrame(far, "record_id long, embedding array<double>").coalesce(1)
+    q = spark.createDataFrame([(1, [1e8, 1e8, 0.0])], "query_id long, embedding array<double>")
+    want = sorted(((x[1] - 1e8) ** 2 + x[2] ** 2, i) for i, x in far)[:5]
+    assert sorted((r.distance, r.record_id) for r in search.vector_top_k(q, v, 5).collect()) == want
+
+
 def test_upsert_is_idempotent(spark):
     old = spark.createDataFrame([("s", 1), ("t", 2)], "source string, v int")
     new = spark.createDataFrame([("s", 3)], "source string, v int")
