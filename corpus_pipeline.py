@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from shardloom.llm import jaccard_join, packing, quality_classifier, quality_rules, secret_scan
 from shardloom.llm.common import remove_at_exit, shared_dir, staged, table
+from shardloom.llm.queries import tokenizer_spec
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -60,7 +61,7 @@ def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each text lies in sequences of the permitted lengths."""
-    return packing.best_fit(docs)
+    return packing.best_fit_tokens(docs, tokenizer_spec("word_bpe_49k.json"))
 
 
 STAGES = [("quality_classifier", classify), ("quality_rules", rules), ("ngram_jaccard_join", one_of_each), ("secret_scans", mask), ("best_fit_packing", pack)]

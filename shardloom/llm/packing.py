@@ -95,8 +95,19 @@ def best_fit(docs: DataFrame, lengths: Lengths = Lengths(), size: Column | None
     ``size``: tokens of a text, as a column over doc_id and text; the number of its words if not
     given. ``bin`` names a sequence by shard and number.
     """
+    return best_fit_of(id_and_text(docs, id_col, text_col).select("doc_id", (word_tokens() if size is None else size).cast("long").alias("size")), lengths, shard_pieces)
+
+
+def best_fit_tokens(docs: DataFrame, tokenizer_json: str, lengths: Lengths = Lengths(), shard_pieces: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """best_fit() of texts by the number of their tokens, as operator 4 writes them."""
+    from .token_output import token_sizes
+
+    return best_fit_of(token_sizes(docs, tokenizer_json, id_col, text_col), lengths, shard_pieces)
+
+
+def best_fit_of(sized: DataFrame, lengths: Lengths = Lengths(), shard_pieces: int = 20_000) -> DataFrame:
+    """best_fit() of doc_id, size."""
     longest = lengths.permitted[-1]
-    sized = id_and_text(docs, id_col, text_col).select("doc_id", (word_tokens() if size is None else size).cast("long").alias("size"))
     sized = staged(sized.where("size > 0"), "packing-sizes")
     pieces = sized.select("doc_id", "size", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / longest).cast("int"))).alias("piece"))
     pieces = pieces.select("doc_id", "piece", F.least(F.lit(longest), F.col("size") - F.col("piece") * longest).cast("long").alias("n_tokens"))

@@ -59,9 +59,9 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .packing import best_fit
+    from .packing import best_fit_tokens
 
-    return best_fit(table(spark, sf_dir, "documents"))
+    return best_fit_tokens(table(spark, sf_dir, "documents"), tokenizer_spec("word_bpe_49k.json"))
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -173,6 +173,24 @@ class WordMemory(dict):
         self[word] = got
         return got
 
+    def ids_of(self, text: str | None) -> bytes:
+        if text and ("<|" in text or any(c in text for c in _NO_SPACES)):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join(map(self.__getitem__, (text or "").split()))
+
+
+def token_sizes(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, size: the number of ids that each text has in the blocks, without the end id."""
+    spec = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
+
+    def run(batches):
+        memory = loaded(WordMemory, spec.value)
+        for batch in batches:
+            ids, texts = columns_of(batch, "doc_id", "text")
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(memory.ids_of(t)) // 4 for t in texts], pa.int64())], names=["doc_id", "size"])
+
+    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, size long")
+
 
 def write_token_blocks(docs: DataFrame, path: str, tokenizer_json: str, end_id: int = 1, block_ids: int = 1 << 20, partitions: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes the blocks of ``docs`` to ``path`` in ascending order of their ids.
@@ -190,7 +208,6 @@ def write_token_blocks(docs: DataFrame, path: str, tokenizer_json: str, end_id:
         from pyspark import TaskContext
 
         memory = loaded(WordMemory, spec.value)
-        tokenizer = memory.tokenizer
         shard, seq = TaskContext.get().partitionId(), 0
         keys: list[int | None] = []
         held: list[bytes] = []
@@ -201,10 +218,7 @@ def write_token_blocks(docs: DataFrame, path: str, tokenizer_json: str, end_id:
 
         for batch in batches:
             for doc_id, text in zip(*columns_of(batch, "doc_id", "text"), strict=True):
-                if text and ("<|" in text or any(c in text for c in _NO_SPACES)):
-                    ids = np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + end
-                else:
-                    ids = b"".join([*map(memory.__getitem__, (text or "").split()), end])
+                ids = memory.ids_of(text) + end
                 if held and size + len(ids) // 4 > block_ids:
                     yield block()
                     keys, held, size, seq = [], [], 0, seq + 1

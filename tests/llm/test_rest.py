@@ -112,3 +112,21 @@ def test_masks_what_other_spans_leave(spark, tmp_path):
     got = {r.doc_id: r.text for r in corpus_pipeline.mask(spark, docs, str(tmp_path)).collect()}
     assert token[:8] not in got[1] and token[-8:] not in got[1] and got[1].startswith("see ") and got[1].endswith(" end")
     assert got[2] == "key [secret] end"
+
+
+def test_packing_counts_tokens(spark, tmp_path):
+    from shardloom.llm.queries import op7_best_fit_packing
+
+    from .helpers import library
+
+    texts = [(1, "日本語の文章には空白がない。" * 60), (2, "dGhpc0lzQVNlY3JldFZhbHVl" * 200), (3, "Plain words, and some more."), (4, " "), (5, None), (6, "many words " * 9000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    want = {d: n for d, t in texts if (n := len(library("word_bpe_49k.json").encode(t or "", add_special_tokens=False).ids))}
+    for out in (op7_best_fit_packing(spark, str(tmp_path)), corpus_pipeline.pack(spark, docs, str(tmp_path))):
+        got = collections.Counter()
+        for r in out.collect():
+            assert r.bin_offset + r.n_tokens <= r.bin_length
+            got[r.doc_id] += r.n_tokens
+        assert got == want
+    assert want[2] > 512
