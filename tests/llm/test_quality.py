@@ -1,4 +1,7 @@
 import collections
+import math
+import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -38,7 +41,57 @@ def test_rules_reject_junk_and_keep_the_rest(spark):
 
 def test_estimate_without_documents():
     share, rates = qr.estimate([])
-    assert 0 < share < 1 and len(rates) == len(qr.RULES)
+    assert 0 < share < 1 and rates.shape == (2, len(qr.RULES), 3)
+
+
+def brute_votes(text):
+    """The rules once more, in plain Python."""
+    n, chars, symbols, dup, repeat = brute(text)
+    words = WORD.findall(text)
+    lines = sum(1 for s in text.split("\n") if WORD.search(s))
+    letters = sum(unicodedata.category(c)[0] == "L" for c in text)
+    bare = sum(not any(unicodedata.category(c)[0] in "LN" for c in w) for w in words)
+    ends = sum(bool(re.search(r"""[.!?。]["')\]]*$""", w)) for w in words)
+    capitals, exclaimed, distinct = sum(unicodedata.category(c) == "Lu" for c in text), text.count("!"), len(set(words))
+    bad = [n < 10, chars < 2.5 * n or chars > 12 * n, symbols > 0.1 * n, letters < 0.85 * chars, bare > 0.1 * n, ends < 0.02 * n or ends > 0.4 * n, dup > 0.3 * lines, repeat > 0.15 * n, distinct < 0.05 * n, capitals > 0.4 * chars, exclaimed > 0.1 * n]
+    good = [n >= 40, 3 * n <= chars <= 10 * n, symbols <= 0.02 * n, letters >= 0.93 * chars, bare <= 0.02 * n, 0.04 * n <= ends <= 0.25 * n, dup == 0, repeat <= 0.02 * n, distinct >= 0.2 * n, capitals <= 0.15 * chars, exclaimed <= 0.03 * n]
+    return [-1 if b else int(g) for b, g in zip(bad, good, strict=True)]
+
+
+def brute_quality(votes):
+    """Expectation-maximisation document by document, without patterns."""
+    good = [(0.95, 0.4, 0.02)[min(2, v.count(-1))] for v in votes]
+    mean = [[(sum(v[r] == k for v in votes) + 1e-9) / (len(votes) + 3e-9) for k in (-1, 0, 1)] for r in range(len(qr.RULES))]
+    for _ in range(500):
+        logs = []
+        for weights in ([1 - g for g in good], good):
+            seen = [[2.0 * mean[r][k + 1] + sum(w for w, v in zip(weights, votes, strict=True) if v[r] == k) for k in (-1, 0, 1)] for r in range(len(qr.RULES))]
+            logs.append([[math.log(x / sum(row)) for x in row] for row in seen])
+        share = (sum(good) + 2) / (len(good) + 4)
+        odds = [math.log(share / (1 - share)) + sum(logs[1][r][k + 1] - logs[0][r][k + 1] for r, k in enumerate(v)) for v in votes]
+        was, good = good, [1 / (1 + math.exp(-max(-500, min(500, o)))) for o in odds]
+        if max(abs(a - b) for a, b in zip(was, good, strict=True)) < 1e-10:
+            break
+    return good
+
+
+def test_quality_equals_an_estimate_by_document(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    votes = {d: brute_votes(t) for d, t in texts.items()}
+    want = dict(zip(votes, brute_quality(list(votes.values())), strict=True))
+    got = qr.quality_rules(docs).collect()
+    assert all(abs(r.quality - want[r.doc_id]) < 1e-6 for r in got)
+    assert all(r.kept == (not r.base_failed and want[r.doc_id] >= 0.5) for r in got)
+    bad = {d: v.count(-1) for d, v in votes.items()}
+    assert any(r.kept and bad[r.doc_id] for r in got)  # one bad vote is outweighed
+    assert any(r.quality < 0.5 and bad[r.doc_id] == 1 for r in got) and len({r.kept for r in got if bad[r.doc_id] == 1 and not r.base_failed}) == 2
+
+
+def test_classes_that_end_exchanged_are_named_by_their_votes():
+    some = [((-1,) * len(qr.RULES), 90), ((1,) * len(qr.RULES), 10)]
+    share, rates = qr.estimate(some)
+    assert share < 0.2 and rates[1, 0, 2] > 0.8 and rates[0, 0, 0] > 0.8
 
 
 def test_classifier_held_out_accuracy(spark):
