@@ -51,7 +51,7 @@ def _op8() -> str:
         ctes.append(f"""w{k} AS (SELECT doc_id, start, fin, i, unnest(string_split(substr(value, i + 1, {width}), '')) AS ch FROM (SELECT *, unnest(range(0, length(value) - {width} + 1)) AS i FROM e{k} WHERE NOT regexp_matches(value, '{_ALLOWED}'))),
 h{k} AS (SELECT doc_id, start, i FROM (SELECT doc_id, start, i, ch, count(*) AS c FROM w{k} GROUP BY ALL) GROUP BY ALL HAVING log2({width}) - sum(c * log2(c)) / {width} >= {bits} - 1e-9),
 s{k} AS (SELECT doc_id, start + min(i) AS start, {len(_KINDS)} AS ord, 'entropy' AS kind, start + max(i) + {width} AS fin FROM h{k} GROUP BY doc_id, h{k}.start),
-t{k} AS (SELECT * FROM {taken} UNION ALL SELECT * FROM s{k} n WHERE NOT EXISTS (SELECT 1 FROM {taken} b WHERE b.doc_id = n.doc_id AND b.start < n.fin AND n.start < b.fin))""")
+t{k} AS (SELECT * FROM {taken} UNION ALL SELECT * FROM s{k} n WHERE NOT EXISTS (SELECT 1 FROM {taken} b WHERE b.doc_id = n.doc_id AND b.start <= n.start AND n.fin <= b.fin))""")
         taken = f"t{k}"
     counts = ", ".join(f"(SELECT count(*) FROM base b WHERE b.doc_id = d.doc_id AND ord = {k}) AS n_{n}" for k, (n, *_) in enumerate(_KINDS))
     text = "coalesce((SELECT string_agg(kind || ':' || start || ':' || fin, ',' ORDER BY start, ord) FROM {} b WHERE b.doc_id = d.doc_id), '')"

@@ -4,7 +4,8 @@ Base patterns give spans of three kinds. Further spans come from entropy: runs o
 are candidates; a window slides over each, the count of every character in it is kept as one
 character enters and one leaves, and the sum of c * log2(c), so the Shannon entropy, changes by
 those two counts alone. Each character class has its own window and threshold. Plain words, numbers
-and other allowed forms are suppressed, as is what a base span already covers.
+and other allowed forms are suppressed, as is an entropy span that another span covers whole; one
+that reaches beyond base spans stays beside them.
 
 Rows: null or empty text has no spans; a null id is kept; repeated rows each give a row; an empty
 table gives an empty table; extra columns are ignored. Spans count code points, end exclusive.
@@ -12,6 +13,7 @@ table gives an empty table; extra columns are ignored. Spans count code points,
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -80,28 +82,59 @@ def base_spans(text: Column, ordinal: int, kind: Kind) -> Column:
     return F.transform(found, lambda m: F.struct(m["start"].alias("start"), F.lit(ordinal).alias("ord"), F.lit(kind.name).alias("kind"), m["end"].alias("end")))
 
 
+#: Counts of the 96 printable characters as numbers of _BITS bits, _SLOTS of them in a long.
+_BITS, _SLOTS, _FIRST = 6, 10, 32
+_LONGS = -(-96 // _SLOTS)
+#: c * log2(c) for every count that a window can hold.
+_TERMS = tuple(c * math.log2(c) if c else 0.0 for c in range(1 << _BITS))
+
+
 def hot_range(value: Column, width: int, bits: float) -> Column:
-    """First and last place of windows with at least ``bits`` of entropy in an ASCII string, as struct(first, last); first is -1 if there is none.
+    """First and last place of windows with at least ``bits`` of entropy in a string of printable ASCII, as struct(first, last); first is -1 if there is none.
 
-    The state holds the counts by character code and the sum of c * log2(c); a step changes both by
-    the character that enters and the one that leaves.
+    The state holds the counts by character, packed into a few longs, and the sum of c * log2(c); a
+    step changes both by the character that enters and the one that leaves, so a string takes time in
+    proportion to its length. ``width`` is at most 63. The characters are bound to a lambda's
+    variable, as Spark would evaluate an expression again at each place.
     """
-    term = lambda c: F.when(c > 1, c * F.log2(c)).otherwise(F.lit(0.0))
-    codes = F.transform(F.sequence(F.lit(1), F.char_length(value)), lambda i: F.ascii(F.substring(value, i, F.lit(1))))
-    state = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("total"), F.lit(0).alias("at"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
-    pairs = F.transform(codes, lambda c, i: F.struct(c.alias("into"), F.when(i >= width, F.get(codes, i - width)).otherwise(F.lit(-1)).alias("out")))
+    if not 0 < width < 1 << _BITS:
+        raise ValueError(f"a window has 1 to {(1 << _BITS) - 1} characters")
+    none = F.lit(0).cast("long")
+    state = F.struct(F.array_repeat(none, _LONGS).alias("counts"), F.lit(0.0).alias("total"), F.lit(0).alias("at"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
+    shifted = lambda kind, x, by: F.call_function(kind, x, by)
+    terms = F.array(*map(F.lit, _TERMS))
+
+    def place(c: Column) -> Column:
+        return F.struct(F.floor(c / _SLOTS).cast("int").alias("long"), (c % _SLOTS * _BITS).alias("shift"))
+
+    def ranges(codes: Column) -> Column:
+        pairs = F.transform(codes, lambda c, i: F.struct(place(c).alias("into"), F.when(i >= width, place(F.get(codes, i - width))).alias("out")))
+        return F.aggregate(pairs, state, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
+
+    def count(s: Column, p: Column) -> Column:
+        return shifted("shiftright", F.get(s["counts"], p["long"]), p["shift"]).bitwiseAND((1 << _BITS) - 1).cast("int")
+
+    def changed(s: Column, p: Column, by: int) -> Column:
+        """Term and counts after one more or one less of a character."""
+        n = count(s, p)
+        unit = shifted("shiftleft", F.lit(by).cast("long"), p["shift"])
+        counts = F.transform(s["counts"], lambda x, k: F.when(k == p["long"], x + unit).otherwise(x))
+        return F.struct(counts.alias("counts"), (s["total"] + F.get(terms, n + by) - F.get(terms, n)).alias("total"))
 
     def step(s: Column, p: Column) -> Column:
-        n_in, n_out = F.get(s["counts"], p["into"]), F.when(p["out"] >= 0, F.get(s["counts"], F.greatest(p["out"], F.lit(0))))
-        same = p["into"] == p["out"]
-        change = F.when(same, 0.0).otherwise(term(n_in + 1) - term(n_in) + F.when(p["out"] >= 0, term(n_out - 1) - term(n_out)).otherwise(0.0))
-        total = s["total"] + change
-        counts = F.when(same, s["counts"]).otherwise(F.transform(s["counts"], lambda c, k: c + (k == p["into"]).cast("int") - (k == p["out"]).cast("int")))
-        hot = (s["at"] >= width - 1) & (F.log2(F.lit(width)) - total / width >= bits - 1e-9)
-        begin = s["at"] - (width - 1)
-        return F.struct(counts.alias("counts"), total.alias("total"), (s["at"] + 1).alias("at"), F.when(hot & (s["first"] < 0), begin).otherwise(s["first"]).alias("first"), F.when(hot, begin).otherwise(s["last"]).alias("last"))
+        """The one that leaves goes first, so that no count passes the width."""
+        left = F.when(p["out"].isNull(), F.struct(s["counts"].alias("counts"), s["total"].alias("total"))).otherwise(changed(s, p["out"], -1))
+        new = F.get(F.transform(F.array(left), lambda x: changed(x, p["into"], 1)), F.lit(0))
+
+        def moved(n: Column) -> Column:
+            hot = (s["at"] >= width - 1) & (math.log2(width) - n["total"] / width >= bits - 1e-9)
+            begin = s["at"] - (width - 1)
+            return F.struct(n["counts"].alias("counts"), n["total"].alias("total"), (s["at"] + 1).alias("at"), F.when(hot & (s["first"] < 0), begin).otherwise(s["first"]).alias("first"), F.when(hot, begin).otherwise(s["last"]).alias("last"))
+
+        return F.get(F.transform(F.array(new), moved), F.lit(0))
 
-    return F.aggregate(pairs, state, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
+    codes = F.transform(F.filter(F.split(value, ""), lambda c: c != ""), lambda c: F.ascii(c) - _FIRST)
+    return F.get(F.transform(F.array(codes), ranges), F.lit(0))
 
 
 def entropy_spans(text: Column, ordinal: int, kind: CharClass) -> Column:
@@ -113,23 +146,20 @@ def entropy_spans(text: Column, ordinal: int, kind: CharClass) -> Column:
     return F.transform(hot, lambda r: F.struct((r["start"] + r["hot"]["first"]).alias("start"), F.lit(ordinal).alias("ord"), F.lit("entropy").alias("kind"), (r["start"] + r["hot"]["last"] + kind.width).alias("end")))
 
 
-def with_spans(docs: DataFrame, text_col: str = "text", base_col: str = "_base", spans_col: str = "_spans", overlapping: bool = False) -> DataFrame:
+def with_spans(docs: DataFrame, text_col: str = "text", base_col: str = "_base", spans_col: str = "_spans") -> DataFrame:
     """``docs`` with two more columns, arrays of (start, ord, kind, end) by start, then kind: base spans, and all spans.
 
-    An entropy span that touches a base span, or another of an earlier class, is left out unless
-    ``overlapping``: what is masked must hold the parts that the other span doesn't cover.
+    An entropy span is left out if a base span, or a span of an earlier class, covers all of it; spans may overlap.
     """
     names = docs.columns
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     base = F.concat(*[base_spans(text, k, kind) for k, kind in enumerate(KINDS)])
     d = docs.withColumn(base_col, F.array_sort(base).cast(_SPANS))
     d = d.withColumns({f"_entropy{k}": entropy_spans(text, len(KINDS), c).cast(_SPANS) for k, c in enumerate(CLASSES)})
-    touches = lambda x, y: (x["start"] < y["end"]) & (y["start"] < x["end"])
-    apart = lambda spans: lambda x: ~F.exists(spans, lambda y: touches(x, y))
+    beyond = lambda spans: lambda x: ~F.exists(spans, lambda y: (y["start"] <= x["start"]) & (x["end"] <= y["end"]))
     more = base_col
     for k in range(len(CLASSES)):
-        new = F.col(f"_entropy{k}") if overlapping else F.filter(f"_entropy{k}", apart(more))
-        d = d.withColumn(f"_all{k}", F.when(F.size(f"_entropy{k}") > 0, F.concat(more, new)).otherwise(F.col(more)))
+        d = d.withColumn(f"_all{k}", F.when(F.size(f"_entropy{k}") > 0, F.concat(more, F.filter(f"_entropy{k}", beyond(more)))).otherwise(F.col(more)))
         more = f"_all{k}"
     return d.withColumn(spans_col, F.array_sort(more)).select(*[f"`{n}`" for n in names if n not in (base_col, spans_col)], base_col, spans_col)
 

@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import re
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -53,6 +54,30 @@ def test_entropy_by_counts(spark):
         assert (r.h["first"], r.h["last"]) == ((hot[0], hot[-1]) if hot else (-1, -1))
 
 
+def test_long_random_runs_take_linear_time(spark):
+    rng = np.random.default_rng(11)
+    chars = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
+    run = lambda n: "".join(rng.choice(chars, n))
+    took = []
+    for n in (2_000, 20_000):
+        df = frame(spark, [(1, f"a {run(n)} b")])
+        secret_report(df).collect()
+        began = time.time()
+        (r,) = secret_report(df).collect()
+        took.append(time.time() - began)
+        assert r.spans == f"entropy:2:{n + 2}"
+    assert took[1] < 4 and took[1] < 10 * took[0] + 2
+
+
+def test_spans_beside_base_spans_stay(spark):
+    token = "Zk3v9QpLx7Rt2Wn8Yb4Mc6Ds1Fg5Hj0KqVu7Ta2P"
+    hexed = "0123456789abcdef" * 2 + "01234567"
+    texts = [(1, f"/commit/{hexed}/raw/{token} end"), (2, f"token={token}")]
+    got = {r.doc_id: r.spans.split(",") for r in secret_report(frame(spark, texts)).collect()}
+    assert f"hex:8:{8 + len(hexed)}" in got[1] and any(s.startswith("entropy:") and s.endswith(f":{len(texts[0][1]) - 4}") for s in got[1])
+    assert got[2] == [f"assign:0:{len(texts[1][1])}"]  # covered whole
+
+
 def test_masking(spark):
     df = with_spans(frame(spark, SECRETS + [(1, None), (2, "plain")])).select("doc_id", masked("text", "_spans").alias("t"))
     got = {r.doc_id: r.t for r in df.collect()}
