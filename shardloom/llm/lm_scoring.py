@@ -1,10 +1,12 @@
 """Language-model scoring (operator 2): a log-bilinear model trained with noise-contrastive estimation.
 
-The model predicts the class of the next token from the two tokens before it: their vectors, each
-weighted by position, add up to a query vector, whose product with a class's vector plus that
-class's bias is its score. Classes are the ``classes - 1`` most frequent tokens and one for all
-others; among the others a token has its smoothed share of their counts, so probabilities over all
-tokens, known or not, sum to one.
+The model predicts the class of the next token from the ``order`` tokens before it: their vectors,
+each weighted by position, add up to a query vector, whose product with a class's vector plus that
+class's bias is its score. The ``own`` most frequent tokens are classes of their own; all others fall
+into ``spelled`` classes by the hash of their last three bytes, which tells of language and form.
+Within such a class a token has its smoothed share of the class's counts, and tokens never seen have
+one token's share together, so probabilities over all tokens, known or not, sum to one. Scores are
+normalised exactly: products of matrices give all classes' scores at each token.
 
 Work and what it gathers grow with the corpus: token counts cover every training token and are
 summed by a shuffle; every training token is used once in training, in shards of about
@@ -20,6 +22,7 @@ extra columns are ignored.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from dataclasses import dataclass, replace
 
@@ -36,7 +39,9 @@ END = b"\n"  # no word holds it
 @dataclass(frozen=True)
 class Settings:
     head: int = 1 << 17
-    classes: int = 2048
+    own: int = 512
+    spelled: int = 256
+    order: int = 8
     dim: int = 16
     noise: int = 128  # noise tokens drawn for a batch, shared by its rows
     noise_ratio: float = 32.0  # noise tokens a data token is held against
@@ -82,25 +87,36 @@ class Ranks(dict):
         return -1
 
 
+def spelling(word: bytes, spelled: int) -> int:
+    return zlib.crc32(word[-3:]) % spelled
+
+
 class Head:
-    """The most frequent tokens, most frequent first, with counts; sent to all tasks."""
+    """The most frequent tokens, most frequent first, with counts, and what is known of the classes; sent to all tasks.
+
+    ``by_spelling``: for each spelled class the count and the number of all tokens spelled so.
+    """
 
-    def __init__(self, words: list[str], counts: np.ndarray, total: int, distinct: int, classes: int):
+    def __init__(self, words: list[str], counts: np.ndarray, total: int, distinct: int, by_spelling: dict[int, tuple[int, int]], s: Settings):
         self.rank = Ranks((w.encode(), i) for i, w in enumerate(words))
         self.log_count = np.log10(counts + 0.5)
-        self.n_classes = classes
-        own = counts[: classes - 1]
+        self.own, self.spelled = min(s.own, len(words)), s.spelled
         self.total, self.distinct = total, distinct
-        self.other_total, self.other_distinct = total - int(own.sum()), distinct - len(own)
-        share = np.full(classes, 0.5)
-        share[1 : len(own) + 1] += own
-        share[0] += self.other_total
+        c, v = np.zeros(s.spelled), np.zeros(s.spelled)
+        for k, (n, different) in by_spelling.items():
+            c[k], v[k] = n, different
+        for w, n in zip(words[: self.own], counts[: self.own].tolist(), strict=True):
+            k = spelling(w.encode(), s.spelled)
+            c[k], v[k] = c[k] - n, v[k] - 1
+        self.within = c + 0.5 * (v + 1)
+        self.log_within = np.log10(self.within)
+        share = np.concatenate([counts[: self.own] + 0.5, self.within])
         self.share = share / share.sum()
 
 
 def read_tokens(docs: DataFrame, head) -> DataFrame:
     """What scoring and training need of each text; ``head`` is a broadcast Head. Rare tokens go along with their counts in the text."""
-    fields = [("key", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("head_log", pa.float64()), ("tail_log", pa.float64()), ("n_other", pa.int64()), ("classes", pa.binary()), ("rare", pa.list_(pa.string())), ("rare_n", pa.list_(pa.int32()))]
+    fields = [("key", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("head_log", pa.float64()), ("tail_log", pa.float64()), ("classes", pa.binary()), ("rare", pa.list_(pa.string())), ("rare_n", pa.list_(pa.int32()))]
     schema = pa.schema(fields)
 
     def run(batches):
@@ -108,38 +124,39 @@ def read_tokens(docs: DataFrame, head) -> DataFrame:
 
         key = TaskContext.get().partitionId() << 40
         h = head.value
-        last = h.n_classes - 1
         for batch in batches:
             out = []
             for doc_id, out_of, text in zip(*columns_of(batch, "doc_id", "held_out", "text"), strict=True):
                 words = lower_words_of(text)
                 words.append(END)
                 ranks = np.fromiter(map(h.rank.__getitem__, words), np.int64, len(words))
-                known = ranks >= 0
-                tail = ranks >= last
+                known, tail = ranks >= 0, (ranks < 0) | (ranks >= h.own)
+                places = np.flatnonzero(tail)
+                spelled = np.array([spelling(words[i], h.spelled) for i in places.tolist()], np.int64)
+                classes = ranks.copy()
+                classes[places] = h.own + spelled
                 rare = Counter([words[i] for i in np.flatnonzero(~known).tolist()])
-                classes = np.where(known & ~tail, ranks + 1, 0).astype("<u2")
-                out.append((key, doc_id, out_of, len(words), int(known.sum()), float(h.log_count[ranks[known]].sum()), float(h.log_count[ranks[tail]].sum()), int((classes == 0).sum()), classes.tobytes(), [w.decode("utf-8", "replace") for w in rare], list(rare.values())))
+                tail_log = float(h.log_count[ranks[tail & known]].sum() - h.log_within[spelled].sum())
+                out.append((key, doc_id, out_of, len(words), int(known.sum()), float(h.log_count[ranks[known]].sum()), tail_log, classes.astype("<u2").tobytes(), [w.decode("utf-8", "replace") for w in rare], list(rare.values())))
                 key += 1
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
-    kind = "key long, doc_id long, held_out boolean, n_tokens long, known long, head_log double, tail_log double, n_other long, classes binary, rare array<string>, rare_n array<int>"
+    kind = "key long, doc_id long, held_out boolean, n_tokens long, known long, head_log double, tail_log double, classes binary, rare array<string>, rare_n array<int>"
     return docs.withColumn("held_out", held_out()).select("doc_id", "held_out", "text").mapInArrow(run, kind)
 
 
 class LogBilinear:
-    """Parameters and their products. Row ``n_classes`` of the context vectors stands before a text."""
+    """Parameters and their products. Row ``k`` of the context vectors stands before a text."""
 
-    def __init__(self, share: np.ndarray, dim: int, seed: int = 7):
+    def __init__(self, share: np.ndarray, dim: int, order: int, seed: int = 7):
         k = len(share)
         rng = np.random.default_rng(seed)
-        self.k, self.dim, self.share = k, dim, share
+        self.k, self.dim, self.order, self.share = k, dim, order, share
         self.out = (rng.standard_normal((k, dim)) * 0.1).astype(np.float32)
         self.context = (rng.standard_normal((k + 1, dim)) * 0.1).astype(np.float32)
-        self.place = np.ones((2, dim), np.float32)
+        self.place = np.repeat((np.arange(1, order + 1) ** -0.5)[:, None], dim, axis=1).astype(np.float32)
         self.bias = np.log(share).astype(np.float32)
-        self._log_z: np.ndarray | None = None
 
     _PARTS = ("out", "context", "place", "bias")
 
@@ -152,46 +169,48 @@ class LogBilinear:
             now = getattr(self, p)
             setattr(self, p, flat[at : at + now.size].reshape(now.shape).astype(np.float32))
             at += now.size
-        self._log_z = None
 
-    def contexts(self, classes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Target, the class before it and the class before that, for all texts one after the other."""
-        t = np.concatenate(classes).astype(np.int64) if classes else np.zeros(0, np.int64)
-        starts = np.concatenate([[0], np.cumsum([len(c) for c in classes])[:-1]]).astype(np.int64) if classes else np.zeros(0, np.int64)
-        one, two = np.roll(t, 1), np.roll(t, 2)
-        one[starts] = two[starts] = self.k
-        second = starts + 1
-        two[second[second < len(t)]] = self.k
-        return t, one, two
+    @staticmethod
+    def joined(classes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The classes of all texts one after the other, and each one's place in its text."""
+        lengths = np.array([len(c) for c in classes], np.int64)
+        t = np.concatenate(classes).astype(np.int32) if classes else np.zeros(0, np.int32)
+        return t, (np.arange(len(t)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
 
-    def query(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        return self.context[one] * self.place[0] + self.context[two] * self.place[1]
+    def before(self, t: np.ndarray, place: np.ndarray, pick: np.ndarray) -> list[np.ndarray]:
+        """For each distance, nearest first, the classes so far before the picked ones."""
+        return [np.where(place[pick] > j, t[np.maximum(pick - j - 1, 0)], self.k) for j in range(self.order)]
+
+    def query(self, before: list[np.ndarray]) -> np.ndarray:
+        q = np.zeros((len(before[0]), self.dim), np.float32)
+        for c, p in zip(before, self.place, strict=True):
+            q += self.context.take(c, axis=0) * p
+        return q
 
     def train(self, classes: list[np.ndarray], s: Settings, seed: int) -> int:
         """One pass of noise-contrastive estimation with adaptive steps over the shard's texts."""
-        t, one, two = self.contexts(classes)
+        t, place = self.joined(classes)
         rng = np.random.default_rng(seed)
-        order = rng.permutation(len(t))
+        shuffled = rng.permutation(len(t))
         cumulative = np.cumsum(self.share)
         log_noise = np.log(self.share).astype(np.float32) + np.float32(math.log(s.noise_ratio))
         square = {p: np.full_like(getattr(self, p), s.calm) for p in self._PARTS}
         weight = np.float32(s.noise_ratio / s.noise)
-        for a in range(0, len(order), s.batch):
-            pick = order[a : a + s.batch]
-            b_t, b_1, b_2 = t.take(pick), one.take(pick), two.take(pick)
+        for a in range(0, len(shuffled), s.batch):
+            pick = shuffled[a : a + s.batch]
+            b_t, before = t.take(pick), self.before(t, place, pick)
             drawn = np.searchsorted(cumulative, rng.random(s.noise) * cumulative[-1]).clip(0, self.k - 1)
-            v_1, v_2, o, o_noise = self.context.take(b_1, axis=0), self.context.take(b_2, axis=0), self.out.take(b_t, axis=0), self.out.take(drawn, axis=0)
-            q = v_1 * self.place[0] + v_2 * self.place[1]
+            o, o_noise = self.out.take(b_t, axis=0), self.out.take(drawn, axis=0)
+            q = self.query(before)
             g_data = 1 / (1 + np.exp(-(np.einsum("ij,ij->i", q, o) + self.bias[b_t] - log_noise[b_t]))) - 1
             g_noise = weight / (1 + np.exp(-(q @ o_noise.T + (self.bias[drawn] - log_noise[drawn]))))
             d_q = g_data[:, None] * o + g_noise @ o_noise
-            everything = np.concatenate([g_data[:, None] * q, g_noise.T @ q])
-            bias = np.bincount(b_t, g_data, self.k) + np.bincount(drawn, g_noise.sum(0), self.k)
+            by_class = [sum_rows(self.k + 1, c, d_q) for c in before]
             grads = {
-                "out": sum_rows(self.k, np.concatenate([b_t, drawn]), everything),
-                "context": sum_rows(self.k + 1, np.concatenate([b_1, b_2]), np.concatenate([d_q * self.place[0], d_q * self.place[1]])),
-                "place": np.stack([np.einsum("ij,ij->j", d_q, v_1), np.einsum("ij,ij->j", d_q, v_2)]),
-                "bias": bias.astype(np.float32),
+                "out": sum_rows(self.k, np.concatenate([b_t, drawn]), np.concatenate([g_data[:, None] * q, g_noise.T @ q])),
+                "context": sum(x * p for x, p in zip(by_class, self.place, strict=True)),
+                "place": np.stack([np.einsum("ij,ij->j", x, self.context) for x in by_class]),
+                "bias": (np.bincount(b_t, g_data, self.k) + np.bincount(drawn, g_noise.sum(0), self.k)).astype(np.float32),
             }
             for p, g in grads.items():
                 g /= np.float32(len(pick) ** 0.5)
@@ -199,25 +218,28 @@ class LogBilinear:
                 getattr(self, p)[...] -= np.float32(s.rate * (0.1 if p == "place" else 1)) * g / np.sqrt(square[p])
         return len(t)
 
-    def log_probs(self, classes: list[np.ndarray]) -> np.ndarray:
-        """Natural log probability of each class after its two; the sum over classes is computed for each pair of classes once, as a product of matrices."""
-        t, one, two = self.contexts(classes)
-        if self._log_z is None:
-            self._log_z = np.full((self.k + 1) ** 2, np.nan, np.float32)
-        pair = one * (self.k + 1) + two
-        wanted = np.zeros(len(self._log_z), bool)
-        wanted[pair] = True
-        new = np.flatnonzero(wanted & np.isnan(self._log_z))
-        for a in range(0, len(new), 2048):
-            some = new[a : a + 2048]
-            scores = self.query(some // (self.k + 1), some % (self.k + 1)) @ self.out.T + self.bias
-            top = scores.max(1)
-            self._log_z[some] = top + np.log(np.exp(scores - top[:, None]).sum(1))
+    def log_probs(self, classes: list[np.ndarray], batch: int = 256) -> np.ndarray:
+        """Natural log probability of each class after those before it, normalised over all classes."""
+        t, place = self.joined(classes)
         out = np.empty(len(t), np.float64)
-        for a in range(0, len(t), 1 << 16):
-            b = slice(a, a + (1 << 16))
-            out[b] = np.einsum("ij,ij->i", self.query(one[b], two[b]), self.out[t[b]]) + self.bias[t[b]]
-        return out - self._log_z[pair]
+        to = np.ascontiguousarray(np.concatenate([self.out, self.bias[:, None]], axis=1).T)
+        ones, room = np.ones(self.k, np.float32), np.empty((batch, self.k), np.float32)
+        wide = float(np.abs(to).max())
+        for start in range(0, len(t), 1 << 14):
+            pick = np.arange(start, min(len(t), start + (1 << 14)))
+            q = np.ones((len(pick), self.dim + 1), np.float32)
+            q[:, :-1] = self.query(self.before(t, place, pick))
+            for a in range(0, len(pick), batch):
+                x = q[a : a + batch]
+                scores = np.matmul(x, to, out=room[: len(x)])
+                own = scores[np.arange(len(x)), t[start + a : start + a + len(x)]].astype(np.float64)
+                top = 0.0
+                if float(np.abs(x).sum(1).max()) * wide > 80:  # only then could a power pass what single precision holds
+                    top = scores.max(1, keepdims=True)
+                    scores -= top
+                    top = top[:, 0]
+                out[start + a : start + a + len(x)] = own - top - np.log((np.exp(scores, out=scores) @ ones).astype(np.float64))
+        return out
 
 
 def sum_rows(n: int, rows: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -228,7 +250,7 @@ def sum_rows(n: int, rows: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 def trained(tokens: DataFrame, head: Head, s: Settings) -> LogBilinear:
     """A model that has seen every training token of ``tokens`` once, a share of the documents in each round."""
-    model = LogBilinear(head.share, s.dim)
+    model = LogBilinear(head.share, s.dim, s.order)
     sc = tokens.sparkSession.sparkContext
     shards = partitions_for(head.total, s.rounds * s.shard_tokens)
     for r in range(s.rounds if head.total else 0):
@@ -240,7 +262,7 @@ def trained(tokens: DataFrame, head: Head, s: Settings) -> LogBilinear:
             classes = [np.frombuffer(x, "<u2") for batch in batches for x in batch.column("classes").to_pylist()]
             if not classes:
                 return
-            own = LogBilinear(now.value.share, s.dim)
+            own = LogBilinear(now.value.share, s.dim, s.order)
             own.load(now.value.flat())
             n = own.train(classes, replace(s, rate=s.rate / (r + 1)), seed=TaskContext.get().partitionId() * 31 + r)
             flat = own.flat()
@@ -258,17 +280,23 @@ def trained(tokens: DataFrame, head: Head, s: Settings) -> LogBilinear:
     return model
 
 
-def lm_scores(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of ``docs``."""
-    s = settings
-    d = id_and_text(docs, id_col, text_col)
-    sc = d.sparkSession.sparkContext
+def learned(d: DataFrame, s: Settings) -> tuple[DataFrame, Head, DataFrame, LogBilinear]:
+    """Counts, head, tokens of every text, and the trained model; ``d``: doc_id, text."""
     counts = staged(token_counts(d.where(~held_out())), "lm-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = sorted(((-c, w) for w, c in most_frequent(counts, "c", s.head).select("word", "c").toArrow().to_pandas().itertuples(index=False)))
-    head = Head([w for _, w in top], -np.array([c for c, _ in top], np.float64), total, distinct, s.classes)
-    tokens = staged(read_tokens(d, sc.broadcast(head)), "lm-tokens")
-    model = sc.broadcast(trained(tokens, head, s))
+    kind = (F.crc32(F.substring(F.col("word").cast("binary"), -3, 3)) % s.spelled).cast("int")
+    by_spelling = {r["kind"]: (r["c"], r["v"]) for r in counts.groupBy(kind.alias("kind")).agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()}  # a row per spelled class
+    head = Head([w for _, w in top], -np.array([c for c, _ in top], np.float64), total, distinct, by_spelling, s)
+    tokens = staged(read_tokens(d, d.sparkSession.sparkContext.broadcast(head)), "lm-tokens")
+    return counts, head, tokens, trained(tokens, head, s)
+
+
+def lm_scores(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of ``docs``."""
+    d = id_and_text(docs, id_col, text_col)
+    counts, head, tokens, fitted = learned(d, settings)
+    model = d.sparkSession.sparkContext.broadcast(fitted)
 
     def run(batches):
         for batch in batches:
@@ -278,18 +306,18 @@ def lm_scores(docs: DataFrame, settings: Settings = Settings(), id_col: str = "d
             sums = np.add.reduceat(lp, starts) if len(classes) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in plain), pa.array(sums)], names=[*plain, "class_log"])
 
-    plain = ["key", "doc_id", "held_out", "n_tokens", "known", "head_log", "tail_log", "n_other"]
-    scored = tokens.select(*plain, "classes").mapInArrow(run, "key long, doc_id long, held_out boolean, n_tokens long, known long, head_log double, tail_log double, n_other long, class_log double")
+    plain = ["key", "doc_id", "held_out", "n_tokens", "known", "head_log", "tail_log"]
+    scored = tokens.select(*plain, "classes").mapInArrow(run, "key long, doc_id long, held_out boolean, n_tokens long, known long, head_log double, tail_log double, class_log double")
     rare = tokens.select("key", F.explode(F.arrays_zip("rare", "rare_n")).alias("r")).select("key", F.col("r.rare").alias("word"), F.col("r.rare_n").alias("n"))
     rare = rare.join(counts, "word", "left").groupBy("key").agg(F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rare_log"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"))
-    every, others = math.log10(total + 0.5 * (distinct + 1)), math.log10(head.other_total + 0.5 * (head.other_distinct + 1))
+    every = math.log10(head.total + 0.5 * (head.distinct + 1))
     rare_log = F.coalesce("rare_log", F.lit(0.0))
     return scored.join(rare, "key", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        F.lit(int(total)).cast("long").alias("train_tokens"),
+        F.lit(int(head.total)).cast("long").alias("train_tokens"),
         (F.col("head_log") + rare_log - F.col("n_tokens") * every).alias("base_score"),
-        (F.col("class_log") + F.col("tail_log") + rare_log - F.col("n_other") * others).alias("score"),
+        (F.col("class_log") + F.col("tail_log") + rare_log).alias("score"),
     )

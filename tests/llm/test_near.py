@@ -7,7 +7,7 @@ import numpy as np
 from shardloom.llm.components import components
 from shardloom.llm.embedding_dedup import near_duplicates
 from shardloom.llm.jaccard_join import PrefixTree, jaccard_groups, needed
-from shardloom.llm.lm_scoring import LogBilinear, Settings, lm_scores
+from shardloom.llm.lm_scoring import LogBilinear, Settings, learned, lm_scores
 
 from .helpers import TEXTS, frame, lowered
 
@@ -105,7 +105,7 @@ def test_no_embeddings(spark):
 
 def test_base_scores_and_model(spark):
     texts = TEXTS + [(200 + i, "the cat sat on the mat and the dog ran to the cat . " * 5) for i in range(60)]
-    s = Settings(classes=32, dim=8, noise=16)
+    s = Settings(own=24, spelled=8, dim=8, noise=16)
     got = lm_scores(frame(spark, texts), s).collect()
     counts, docs = collections.Counter(), {}
     for d, t in texts:
@@ -126,9 +126,49 @@ def test_base_scores_and_model(spark):
 
 
 def test_probabilities_sum_to_one():
-    m = LogBilinear(np.full(6, 1 / 6), 4)
+    m = LogBilinear(np.full(6, 1 / 6), 4, 3)
     total = sum(math.exp(m.log_probs([np.array([2, 3, c], "<u2")])[2]) for c in range(6))
     assert math.isclose(total, 1, rel_tol=1e-5)
+    m.out *= 1000  # past what single precision holds without care
+    assert math.isclose(sum(math.exp(m.log_probs([np.array([2, 3, c], "<u2")])[2]) for c in range(6)), 1, rel_tol=1e-4)
+
+
+def test_scores_equal_a_sum_over_classes(spark):
+    """score by loops over tokens and classes, and probabilities over the whole vocabulary and one unseen token."""
+    texts = TEXTS[:8] + TEXTS[10:] + [(200 + i, f"the cat sat on the mat and dog{i} ran to a bird{i % 7} . " * 4) for i in range(40)]
+    d = frame(spark, texts).selectExpr("doc_id", "text")
+    s = Settings(own=16, spelled=4, order=3, dim=4, noise=16, head=64)
+    counts, head, _, m = learned(d, s)
+    counts = {r.word: r.c for r in counts.collect()}
+    top = sorted(counts, key=lambda w: (-counts[w], w))[: s.own]
+    tails = collections.defaultdict(lambda: 0.5)
+    for w, c in counts.items():
+        if w not in top:
+            tails[zlib.crc32(w.encode()[-3:]) % s.spelled] += c + 0.5
+    of = lambda w: top.index(w) if w in top else s.own + zlib.crc32(w.encode()[-3:]) % s.spelled
+
+    def token(w, before):
+        q = sum(m.context[of(before[-1 - j]) if j < len(before) else m.k].astype(float) * m.place[j] for j in range(s.order))
+        e = [math.exp(float(q @ m.out[k]) + float(m.bias[k])) for k in range(m.k)]
+        p = e[of(w)] / sum(e)
+        return p if w in top else p * (counts.get(w, 0) + 0.5) / tails[of(w) - s.own]
+
+    every = sum(token(w, ["the", "cat"]) for w in counts)
+    unseen = {w for k in range(200) if (w := f"zz{k}") not in counts}
+    one_of_each = {of(w): w for w in unseen}
+    every += sum(token(w, ["the", "cat"]) for w in one_of_each.values())
+    assert len(one_of_each) == s.spelled and math.isclose(every, 1, rel_tol=1e-4)
+    got = lm_scores(frame(spark, texts), s).collect()
+    want = collections.defaultdict(list)
+    for i, t in texts:
+        w = [*lowered(t), "\n"]
+        want[i].append(sum(math.log10(token(x, w[:k])) for k, x in enumerate(w)))
+    assert all(any(math.isclose(r.score, x, rel_tol=1e-4, abs_tol=1e-3) for x in want[r.doc_id]) for r in got)
+
+
+def test_gain_on_held_out_texts(spark):
+    got = lm_scores(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").selectExpr("sum(score - base_score) / sum(n_tokens) AS gain").first()
+    assert got.gain > 0.15
 
 
 def _exact(rows, threshold=0.9):
