@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -30,14 +31,16 @@ def lower_words_of(text: str | None) -> list[bytes]:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share.
 
-    It is the one named in ``spark.checkpoint.dir``; only where that is unset (local tests) a
-    temporary folder of this machine is set and used.
+    It is the one named in ``spark.checkpoint.dir``; where that is unset, a local master (tests) gets a
+    temporary folder of this machine, and any other is an error.
     """
     sc = spark.sparkContext
     found = sc._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get()
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="shardloom-"))
     return sc._jsc.sc().getCheckpointDir().get()
 

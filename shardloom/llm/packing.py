@@ -132,3 +132,18 @@ def best_fit_of(sized: DataFrame, lengths: Lengths = Lengths(), shard_pieces: in
         )
 
     return dealt.groupBy("shard").applyInArrow(run, "doc_id long, piece int, n_tokens long, bin long, bin_offset long, bin_length long")
+
+
+def sequences(placed: DataFrame, docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_col: str = "text", longest: int = Lengths().permitted[-1]) -> DataFrame:
+    """bin, bin_length, ids: the token ids of each sequence, from where best_fit_tokens() put the pieces of ``docs``.
+
+    A sequence has one or more pieces and at most ``longest`` ids, so a group is bounded. For tables in
+    which each id that isn't null is a single document; those without an id have no sequence.
+    """
+    from .token_output import token_ids
+
+    ids = token_ids(docs.where(F.col(f"`{id_col}`").isNotNull()), tokenizer_json, id_col, text_col).where(F.size("ids") > 0)
+    starts = F.sequence(F.lit(0), F.floor((F.size("ids") - 1) / longest).cast("int"))
+    pieces = ids.select("doc_id", F.posexplode(F.transform(starts, lambda k: F.slice("ids", k * longest + 1, F.lit(longest)))).alias("piece", "part"))
+    held = F.array_sort(F.collect_list(F.struct("bin_offset", "part")))
+    return placed.join(pieces, ["doc_id", "piece"]).groupBy("bin", "bin_length").agg(F.flatten(F.transform(held, lambda x: x["part"])).alias("ids"))

@@ -25,7 +25,7 @@ from .common import columns_of, id_and_text, staged
 
 FEATURES = ("log_words", "capitals", "symbols", "exclamations", "pipes", "digits", "distinct_words", "word_echo", "top_word", "word_length", "repeated_lines", "line_words", "stops", "long_words", "wide_bytes", "repeated_pairs")
 _ZEROS = (0.0,) * len(FEATURES)
-#: Rows of the fit, about and at most, taken by the hash of their ids.
+#: Rows of the fit, about and at most, taken by a hash.
 SAMPLE_ROWS = 40_000
 
 
@@ -69,16 +69,16 @@ def features_of(text: str | None) -> tuple[float, ...]:
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and a column for each of FEATURES. One pass, no shuffle."""
-    schema = pa.schema([("doc_id", pa.int64()), *((f, pa.float64()) for f in FEATURES)])
+    """doc_id, text_hash and a column for each of FEATURES. One pass, no shuffle."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), *((f, pa.float64()) for f in FEATURES)])
 
     def run(batches):
         for batch in batches:
-            keys, texts = columns_of(batch, "doc_id", "text")
+            (texts,) = columns_of(batch, "text")
             x = np.array([features_of(t) for t in texts], np.float64).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(pa.array(x[:, k]) for k in range(len(FEATURES)))], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *(pa.array(x[:, k]) for k in range(len(FEATURES)))], schema=schema)
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES))
+    return id_and_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_hash long, " + ", ".join(f"{f} double" for f in FEATURES))
 
 
 class AdditiveModel:
@@ -183,23 +183,32 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+HASHES = 1 << 56
+
+
+def sample_below(rows: int, sample_rows: int) -> int:
+    """Hashes under this number make a sample of a little less than ``sample_rows`` of ``rows`` rows; above 0 up to 10**20 rows."""
+    return HASHES * 97 * sample_rows // (100 * rows)
+
+
 def fit(measured: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> AdditiveModel:
-    """Fits on labelled rows that aren't held out, ``sample_rows`` of them at most by the hash of their ids.
+    """Fits on distinct labelled rows that aren't held out, ``sample_rows`` of them at most by a hash of id and features.
 
     A document with several labels counts as good if most are. Only the sample reaches the driver.
     """
-    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg((F.avg(F.col("quality").cast("double")) >= 0.5).cast("int").alias("_label"))
+    known = labels.select("doc_id", "quality").where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg((F.avg(F.col("quality").cast("double")) >= 0.5).cast("int").alias("_label"))
     train = measured.where(~held_out()).join(known, "doc_id")
+    train = train.select("doc_id", "_label", *FEATURES).distinct()  # repeated rows count once, so that no id can fill the sample
     n = train.count()
-    if n > sample_rows:  # a share of the ids by hash, a little under the limit, so that no task has to sort or gather what others chose
-        train = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * 0.97 * sample_rows / n))
+    if n > sample_rows:  # a share by hash, a little under the limit, so that no task has to sort or gather what others chose
+        train = train.where(F.pmod(F.xxhash64("doc_id", *FEATURES), F.lit(HASHES)) < sample_below(n, sample_rows))
     rows = train.select("doc_id", "_label", *FEATURES).toArrow().sort_by([("doc_id", "ascending"), *((f, "ascending") for f in FEATURES)])
     columns = [rows.column(f).to_numpy() for f in FEATURES]
     return AdditiveModel().fit(np.stack(columns, axis=1) if len(rows) else np.zeros((0, len(FEATURES))), rows.column("_label").to_numpy().astype(float))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, score, predicted for each row of ``docs``."""
+    """doc_id, held_out, score, predicted, and text_hash to tell rows with one id apart, for each row of ``docs``."""
     measured = staged(measure(docs, id_col, text_col), "quality-features")
     model = measured.sparkSession.sparkContext.broadcast(fit(measured, labels, sample_rows))
 
@@ -207,6 +216,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE
         for batch in batches:
             x = np.stack([batch.column(f).to_numpy(zero_copy_only=False) for f in FEATURES], axis=1)
             score = model.value.score(x)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), batch.column("text_hash")], names=["doc_id", "held_out", "score", "predicted", "text_hash"])
 
-    return measured.withColumn("held_out", held_out()).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return measured.withColumn("held_out", held_out()).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, text_hash long")

@@ -49,17 +49,18 @@ RULES = (
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and counts of each whole text: n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_capitals, n_exclamations,
+    """doc_id, text_hash and counts of each whole text: n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_capitals, n_exclamations,
     n_letters, n_bare (words without letter or digit), n_ends (words that end a sentence) and n_distinct (words).
 
     Windows of five words are compared by 64-bit hashes of their words' hashes. Only a text in which
     some window recurs has its windows sorted; the words under recurring windows are then counted
     once each by the gaps between window starts.
     """
-    d = id_and_text(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
-    d = d.select("doc_id", "text", F.filter(F.split("text", f"{SPACES}+"), lambda w: w != "").alias("words"), F.filter(F.split("text", "\n"), lambda s: s.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
+    d = id_and_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text")).withColumn("text", F.coalesce("text", F.lit("")))
+    d = d.select("doc_id", "text", "text_hash", F.filter(F.split("text", f"{SPACES}+"), lambda w: w != "").alias("words"), F.filter(F.split("text", "\n"), lambda s: s.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
     d = d.select(
         "doc_id",
+        "text_hash",
         F.size("words").cast("long").alias("n_words"),
         F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),

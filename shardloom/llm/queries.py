@@ -73,7 +73,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_classifier import quality_scores
 
-    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

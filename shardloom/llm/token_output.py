@@ -4,16 +4,18 @@ Documents are put in the order of their ids by a range shuffle of their texts, e
 partition, and written as blocks of at most ``block_ids`` ids (a longer document has a block alone).
 A block is one binary value with everything needed to read it:
 
-    magic, number of documents, number of ids, low-bit width | document ids | lower bits | upper bits
-    | select samples | ids as little-endian unsigned 32-bit integers
+    magic, documents, documents without an id, first document id, ids | document ids | boundaries
+    | ids as little-endian unsigned 32-bit integers
 
-The document boundaries inside a block are Elias-Fano encoded: each boundary's low bits stand in a
-packed array, its high bits in unary in a bit array, and select(i) finds the i-th set bit from the
-sample before it. Blocks are rows of a Parquet table, so that Spark's committer handles lost tasks
-and any store that Spark can write to holds them; what the driver sees is one row per partition.
+Document ids (their distance from the first) and the document boundaries inside a block rise, so
+both are Elias-Fano encoded: each number's low bits stand in a packed array, its high bits in unary in
+a bit array, and select(i) finds the i-th set bit from the sample before it. Blocks are rows of a
+Parquet table, so that Spark's committer handles lost tasks and any store that Spark can write to
+holds them; each block has the number of ids before it in its shard, and what the driver sees is one
+row per shard.
 
 Rows: null or empty text has the end id alone; null ids come first; rows with the same id follow
-each other by text; an empty table gives no blocks; extra columns are ignored.
+each other by a hash of their text, then by text; an empty table gives no blocks; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,27 +25,30 @@ import re
 import struct
 import zlib
 from array import array
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from .bpe import byte_alphabet, loaded
-from .common import columns_of, id_and_text, shared_dir, remove_at_exit
+from .common import columns_of, id_and_text, partitions_for, remove_at_exit, shared_dir
 
 MAGIC = b"SLEF"
-_HEAD = struct.Struct("<4sQQQ")
-_SAMPLE = 256
-_NULL = -(2**63)
+_HEAD = struct.Struct("<4sQQqQ")
+_LIST = struct.Struct("<QQQQQ")
+_SAMPLE = 64
+#: UTF-8 bytes of text that a partition encodes, about.
+PARTITION_BYTES = 64 << 20
 
 
 class EliasFano:
     """A rising list of non-negative integers below or equal to ``bound``."""
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, samples: np.ndarray):
-        self.n, self.low_bits, self.low, self.high, self.samples = n, low_bits, low, high, samples
+        # bytes, as single elements of them are read faster than an array's
+        self.n, self.low_bits, self.low, self.high, self.samples = n, low_bits, bytes(low), bytes(high), samples
 
     @classmethod
     def of(cls, values: np.ndarray, bound: int) -> EliasFano:
@@ -57,66 +62,79 @@ class EliasFano:
         return cls(n, low_bits, np.packbits(bits.ravel(), bitorder="little"), np.packbits(unary, bitorder="little"), places[::_SAMPLE].astype("<u8"))
 
     def _low(self, i: int) -> int:
-        value, at = 0, i * self.low_bits
-        for k in range(self.low_bits):
-            value |= ((int(self.low[(at + k) >> 3]) >> ((at + k) & 7)) & 1) << k
-        return value
+        at = i * self.low_bits
+        return (int.from_bytes(self.low[at >> 3 : (at + self.low_bits + 7) >> 3], "little") >> (at & 7)) & ((1 << self.low_bits) - 1)
 
     def select(self, i: int) -> int:
         """The i-th value, without reading the values before its sample."""
         place = int(self.samples[i // _SAMPLE])
         left = i % _SAMPLE
         byte, bit = place >> 3, place & 7
-        word = int(self.high[byte]) >> bit << bit
+        word = self.high[byte] >> bit << bit
         while left >= word.bit_count():
             left -= word.bit_count()
             byte += 1
-            word = int(self.high[byte])
+            word = self.high[byte]
         for _ in range(left):
             word &= word - 1
         return (((byte << 3) + (word & -word).bit_length() - 1 - i) << self.low_bits) | self._low(i)
 
     def all(self) -> np.ndarray:
-        places = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
+        places = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))[: self.n]
         high = (places - np.arange(self.n)).astype(np.int64) << self.low_bits
-        bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits).astype(np.int64)
+        bits = np.unpackbits(np.frombuffer(self.low, np.uint8), bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits).astype(np.int64)
         return high + (bits << np.arange(self.low_bits)).sum(axis=1) if self.low_bits else high
 
 
+    def pack(self) -> bytes:
+        return b"".join([_LIST.pack(self.n, self.low_bits, len(self.low), len(self.high), len(self.samples)), self.low, self.high, self.samples.tobytes()])
+
+    @classmethod
+    def unpack(cls, data: bytes, at: int) -> tuple[EliasFano, int]:
+        """A packed list at a place of ``data``, and the place after it; nothing is copied."""
+        n, low_bits, low, high, samples = _LIST.unpack_from(data, at)
+        at += _LIST.size
+        parts = np.frombuffer(data, np.uint8, low, at), np.frombuffer(data, np.uint8, high, at + low), np.frombuffer(data, "<u8", samples, at + low + high)
+        return cls(n, low_bits, *parts), at + low + high + 8 * samples
+
+
 def pack_block(doc_ids: list[int | None], ids: list[bytes]) -> bytes:
-    lengths = np.array([len(x) // 4 for x in ids], np.int64)
-    ends = np.cumsum(lengths)
-    ef = EliasFano.of(ends, int(ends[-1]) if len(ends) else 0)
-    keys = np.array([_NULL if d is None else d for d in doc_ids], "<i8")
-    sizes = struct.pack("<QQQ", len(ef.low), len(ef.high), len(ef.samples))
-    return b"".join([_HEAD.pack(MAGIC, len(ids), int(ends[-1]) if len(ends) else 0, ef.low_bits), sizes, keys.tobytes(), ef.low.tobytes(), ef.high.tobytes(), ef.samples.tobytes(), *ids])
+    """A block of documents in the order of their ids, those without an id first."""
+    ends = np.cumsum(np.array([len(x) // 4 for x in ids], np.int64))
+    known = [d for d in doc_ids if d is not None]
+    first = known[0] if known else 0
+    keys = np.array([d - first for d in known], np.uint64)  # the whole range of 64-bit ids fits
+    total = int(ends[-1]) if len(ends) else 0
+    return b"".join([_HEAD.pack(MAGIC, len(ids), len(ids) - len(known), first, total), EliasFano.of(keys, int(keys[-1]) if known else 0).pack(), EliasFano.of(ends, total).pack(), *ids])
 
 
 class Block:
-    """Reader of one block."""
+    """Reader of one block; documents and their ids are looked up by select, the lists stay packed."""
 
     def __init__(self, data: bytes):
-        magic, self.n_docs, self.n_ids, low_bits = _HEAD.unpack_from(data)
+        magic, self.n_docs, self.n_null, self.first, self.n_ids = _HEAD.unpack_from(data)
         if magic != MAGIC:
             raise ValueError("not a block of token ids")
-        low, high, samples = struct.unpack_from("<QQQ", data, at := _HEAD.size)
-        at += 24
-        take = lambda kind, count: (np.frombuffer(data, kind, count, at), np.dtype(kind).itemsize * count)
-        self.doc_ids, size = take("<i8", self.n_docs)
-        at += size
-        a, size = take(np.uint8, low)
-        at += size
-        b, size = take(np.uint8, high)
-        at += size
-        c, size = take("<u8", samples)
-        at += size
-        self.bounds = EliasFano(self.n_docs, low_bits, a, b, c)
+        self.keys, at = EliasFano.unpack(data, _HEAD.size)
+        self.bounds, at = EliasFano.unpack(data, at)
         self.ids = memoryview(data)[at : at + 4 * self.n_ids]
 
+    def doc_id(self, i: int) -> int | None:
+        return None if i < self.n_null else self.first + self.keys.select(i - self.n_null)
+
     def span(self, i: int) -> tuple[int, int]:
         """First id of the i-th document in this block, and one past its last, by select."""
         return (self.bounds.select(i - 1) if i else 0), self.bounds.select(i)
 
+    def find(self, doc_id: int) -> list[int]:
+        """Places of the documents with an id, by bisection over select."""
+        at = bisect_left(range(self.keys.n), doc_id - self.first, key=self.keys.select)
+        found = []
+        while at < self.keys.n and self.keys.select(at) == doc_id - self.first:
+            found.append(self.n_null + at)
+            at += 1
+        return found
+
     def document(self, i: int) -> np.ndarray:
         start, end = self.span(i)
         return np.frombuffer(self.ids[4 * start : 4 * end], "<u4")
@@ -192,16 +210,35 @@ def token_sizes(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", te
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, size long")
 
 
+def token_ids(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids array<int>: the ids that each text has in the blocks, without the end id."""
+    spec = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
+
+    def run(batches):
+        memory = loaded(WordMemory, spec.value)
+        for batch in batches:
+            ids, texts = columns_of(batch, "doc_id", "text")
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([np.frombuffer(memory.ids_of(t), "<i4") for t in texts], pa.list_(pa.int32()))], names=["doc_id", "ids"])
+
+    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
+
+
 def write_token_blocks(docs: DataFrame, path: str, tokenizer_json: str, end_id: int = 1, block_ids: int = 1 << 20, partitions: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes the blocks of ``docs`` to ``path`` in ascending order of their ids.
 
     For a tokenizer that drops white space, so that words between white space are encoded alone as
-    in the text; a text that holds a special string goes through the library as one.
+    in the text; a text that holds a special string goes through the library as one. Without
+    ``partitions`` there are as many as the texts' bytes need. Ranges are of id and text hash, so that
+    rows that repeat an id, or have none, are dealt over several.
     """
     spark = docs.sparkSession
     spec = spark.sparkContext.broadcast(tokenizer_json)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = id_and_text(docs, id_col, text_col).repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    d = id_and_text(docs, id_col, text_col)
+    if partitions is None:
+        size = d.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), partitions_for(size, PARTITION_BYTES))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("text_hash")]
+    ordered = d.withColumn("text_hash", F.xxhash64("text")).repartitionByRange(partitions, *order).sortWithinPartitions(*order, "text")
     end = struct.pack("<I", end_id)
 
     def run(batches):
@@ -211,16 +248,18 @@ def write_token_blocks(docs: DataFrame, path: str, tokenizer_json: str, end_id:
         shard, seq = TaskContext.get().partitionId(), 0
         keys: list[int | None] = []
         held: list[bytes] = []
-        size = 0
+        size, before = 0, 0
 
         def block():
-            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(held)], pa.int64()), pa.array([size], pa.int64()), pa.array([pack_block(keys, held)], pa.binary())], names=["shard", "seq", "n_docs", "n_ids", "block"])
+            values = [(shard, pa.int32()), (seq, pa.int32()), (len(held), pa.int64()), (size, pa.int64()), (before, pa.int64()), (pack_block(keys, held), pa.binary())]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in values], names=["shard", "seq", "n_docs", "n_ids", "inside", "block"])
 
         for batch in batches:
             for doc_id, text in zip(*columns_of(batch, "doc_id", "text"), strict=True):
                 ids = memory.ids_of(text) + end
                 if held and size + len(ids) // 4 > block_ids:
                     yield block()
+                    before += size
                     keys, held, size, seq = [], [], 0, seq + 1
                 keys.append(doc_id)
                 held.append(ids)
@@ -228,39 +267,38 @@ def write_token_blocks(docs: DataFrame, path: str, tokenizer_json: str, end_id:
         if held:
             yield block()
 
-    ordered.mapInArrow(run, "shard int, seq int, n_docs long, n_ids long, block binary").write.option("compression", "zstd").parquet(path)
+    ordered.select("doc_id", "text").mapInArrow(run, _BLOCKS).write.option("compression", "zstd").parquet(path)
+
+
+_BLOCKS = "shard int, seq int, n_docs long, n_ids long, inside long, block binary"
 
 
 def read_token_blocks(spark: SparkSession, path: str) -> DataFrame:
     """shard, seq, n_docs, n_ids, block, start: the blocks with the number of ids in all blocks before.
 
-    Each partition's total (a row per partition) goes through the driver; sums inside a partition are a window.
+    Each shard's total (a row per shard) goes through the driver; Spark sends it to all tasks only while it is under its limit.
     """
-    blocks = spark.read.schema("shard int, seq int, n_docs long, n_ids long, block binary").parquet(path)
-    totals = sorted(tuple(r) for r in blocks.groupBy("shard").agg(F.sum("n_ids")).collect())
+    blocks = spark.read.schema(_BLOCKS).parquet(path)
     before, at = [], 0
-    for shard, n in totals:
+    for shard, n in sorted(tuple(r) for r in blocks.groupBy("shard").agg(F.sum("n_ids")).collect()):
         before.append((shard, at))
         at += n
-    within = Window.partitionBy("shard").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.select("shard", "seq", "n_ids").withColumn("inside", F.coalesce(F.sum("n_ids").over(within), F.lit(0))).drop("n_ids")
     base = spark.createDataFrame(before, "shard int, base long")
-    offsets = offsets.join(F.broadcast(base), "shard").select("shard", "seq", (F.col("base") + F.col("inside")).alias("start"))
-    return blocks.join(F.broadcast(offsets), ["shard", "seq"])
+    return blocks.join(base, "shard").select("shard", "seq", "n_docs", "n_ids", "block", (F.col("base") + F.col("inside")).alias("start"))
 
 
 def documents_in(blocks: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from what read_token_blocks() gives."""
+    """doc_id, start, n_tokens, ids_crc32 of every document, from what read_token_blocks() gives. Each boundary is found by select."""
 
     def run(batches):
         for batch in batches:
             for data, start in zip(*columns_of(batch, "block", "start"), strict=True):
                 block = Block(data)
-                ends = block.bounds.all()
-                starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-                crc = [zlib.crc32(block.ids[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                keys = pa.array([None if k == _NULL else k for k in block.doc_ids.tolist()], pa.int64())
-                yield pa.RecordBatch.from_arrays([keys, pa.array(starts + start, pa.int64()), pa.array(ends - starts, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                ends = list(map(block.bounds.select, range(block.n_docs)))
+                spans = list(zip([0, *ends[:-1]], ends, strict=True))
+                crc = [zlib.crc32(block.ids[4 * a : 4 * b]) for a, b in spans]
+                columns = [list(map(block.doc_id, range(block.n_docs))), [start + a for a, _ in spans], [b - a for a, b in spans], crc]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return blocks.select("block", "start").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

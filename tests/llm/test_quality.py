@@ -121,3 +121,25 @@ def test_model_finds_an_interaction():
     y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
     m = AdditiveModel().fit(x[:3000], y[:3000])
     assert ((m.score(x[3000:]) >= 0.5) == y[3000:]).mean() > 0.9
+
+
+def test_sample_of_any_number_of_rows():
+    from shardloom.llm.quality_classifier import HASHES, sample_below
+
+    for rows in (50_000, 10**10, 10**12, 10**14):
+        assert 0.96 < sample_below(rows, 40_000) / HASHES * rows / 40_000 <= 0.97
+
+
+def test_sample_isnt_filled_by_one_id_and_labels_may_have_columns_of_the_same_names(spark):
+    from shardloom.llm import quality_classifier as qc
+
+    docs = frame(spark, [(2, f"row {k} of one id") for k in range(300)] + [(2, "again and again")] * 300)
+    lab = spark.createDataFrame([(2, 1, 0.0, 5, "x", 1), (3, 0, 0.0, 6, "y", 2)], "doc_id long, quality int, log_words double, _label int, text_hash string, held_out int")
+    taken = []
+    real = qc.AdditiveModel.fit
+    try:
+        qc.AdditiveModel.fit = lambda self, x, y: (taken.append(len(y)), real(self, x, y))[1]
+        assert qc.quality_scores(docs, lab, sample_rows=100).count() == 600
+    finally:
+        qc.AdditiveModel.fit = real
+    assert taken[0] <= 130

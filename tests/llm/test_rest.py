@@ -155,3 +155,19 @@ def test_packing_counts_tokens(spark, tmp_path):
             got[r.doc_id] += r.n_tokens
         assert got == want
     assert want[2] > 512
+
+
+def test_sequences_hold_the_tokens(spark):
+    from shardloom.llm.packing import best_fit_tokens, sequences
+
+    from .helpers import library, spec
+
+    texts = [(k, f"text number {k} " * (k * 7 % 60)) for k in range(60)] + [(100, "many words " * 9000), (101, None)]
+    docs, lib = frame(spark, texts), library("word_bpe_49k.json")
+    placed = best_fit_tokens(docs, spec("word_bpe_49k.json"))
+    made = {r.bin: r for r in sequences(placed, docs, spec("word_bpe_49k.json")).collect()}
+    got = collections.defaultdict(list)
+    for r in sorted(placed.collect(), key=lambda r: (r.doc_id, r.piece)):
+        got[r.doc_id] += made[r.bin].ids[r.bin_offset : r.bin_offset + r.n_tokens]
+    assert all(len(r.ids) <= r.bin_length for r in made.values())
+    assert got == {d: ids for d, t in texts if (ids := lib.encode(t or "", add_special_tokens=False).ids)}

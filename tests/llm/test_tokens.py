@@ -10,7 +10,9 @@ from hypothesis import strategies as st
 from shardloom.llm.bpe import ByteBpe
 from shardloom.llm.bpe_codec import decode, encode, round_trip_digests
 from shardloom.llm.token_counts import prefix_token_counts, token_counts
-from shardloom.llm.token_output import Block, EliasFano, pack_block, token_file_digests
+from shardloom.llm.token_output import Block, EliasFano, WordMemory, documents_in, pack_block, read_token_blocks, token_file_digests, write_token_blocks
+
+from shardloom.llm.common import shared_dir
 
 from .helpers import TEXTS, frame, library, rows, spec
 
@@ -103,3 +105,48 @@ def test_block_reads_single_documents():
     block = Block(pack_block([5, None, 7], ids))
     assert [block.document(i).tolist() for i in range(3)] == [[0, 1, 2], [], [0, 1, 2, 3, 4]]
     assert block.span(2) == (3, 8)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.integers(-(2**63), 2**63 - 1), st.integers(0, 40)), max_size=200))
+def test_block_keeps_document_ids(ids):
+    ids = sorted(ids, key=lambda d: (d is not None, d or 0))
+    block = Block(pack_block(ids, [b"abcd"] * len(ids)))
+    assert [block.doc_id(i) for i in range(len(ids))] == ids
+    for d in (0, 7, *[d for d in ids[-3:] if d is not None]):
+        assert block.find(d) == [i for i, x in enumerate(ids) if x == d]
+
+
+LATIN = "".join(map(chr, range(0x100)))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=LATIN, max_size=30))
+def test_words_equal_the_library(text):
+    own, lib = WordMemory_once(), word_library_once()
+    for t in (text, text.upper(), text.lower(), text.title(), text.swapcase()):
+        assert np.frombuffer(own.ids_of(t), "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids
+
+
+def test_each_latin_character_equals_the_library():
+    own, lib = WordMemory_once(), word_library_once()
+    for c in LATIN:
+        for t in (c, f"a{c}b", f"A{c}{c}B", f"{c}'S 1{c}2", f" {c} {c.upper()}{c.lower()}"):
+            assert np.frombuffer(own.ids_of(t), "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def WordMemory_once(cache={}):  # noqa: N802, B006
+    return cache.setdefault("w", WordMemory(spec(WORD)) if "w" not in cache else None)
+
+
+def word_library_once(cache={}):  # noqa: B006
+    return cache.setdefault("w", library(WORD) if "w" not in cache else None)
+
+
+def test_rows_that_repeat_an_id_are_dealt_over_partitions(spark):
+    texts = [(None if k % 2 else 5, f"text number {k}") for k in range(400)]
+    path = f"{shared_dir(spark)}/dealt"
+    write_token_blocks(frame(spark, texts), path, spec(WORD), partitions=6)
+    per = [r.n for r in spark.read.parquet(path).groupBy("shard").agg({"n_docs": "sum"}).toDF("shard", "n").collect()]
+    assert sum(per) == 400 and len(per) >= 4 and max(per) < 200
+    assert [r.doc_id for r in documents_in(read_token_blocks(spark, path)).orderBy("start").collect()] == [None] * 200 + [5] * 200
