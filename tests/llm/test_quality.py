@@ -133,8 +133,8 @@ def test_sample_of_any_number_of_rows():
 def test_sample_isnt_filled_by_one_id_and_labels_may_have_columns_of_the_same_names(spark):
     from shardloom.llm import quality_classifier as qc
 
-    docs = frame(spark, [(2, f"row {k} of one id") for k in range(300)] + [(2, "again and again")] * 300)
-    lab = spark.createDataFrame([(2, 1, 0.0, 5, "x", 1), (3, 0, 0.0, 6, "y", 2)], "doc_id long, quality int, log_words double, _label int, text_hash string, held_out int")
+    docs = frame(spark, [(7, f"row{k} of one id " * (k + 1)) for k in range(300)] + [(7, "again and again")] * 300)
+    lab = spark.createDataFrame([(7, 1, 0.0, 5, "x", 1), (3, 0, 0.0, 6, "y", 2)], "doc_id long, quality int, log_words double, _label int, text_hash string, held_out int")
     taken = []
     real = qc.AdditiveModel.fit
     try:
@@ -142,4 +142,4 @@ def test_sample_isnt_filled_by_one_id_and_labels_may_have_columns_of_the_same_na
         assert qc.quality_scores(docs, lab, sample_rows=100).count() == 600
     finally:
         qc.AdditiveModel.fit = real
-    assert taken[0] <= 130
+    assert zlib.crc32(b"7") % 3 != 1 and 50 <= taken[0] <= 130
