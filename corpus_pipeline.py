@@ -2,6 +2,10 @@
 
 Each stage works on all rows that the stage before it kept. Stages but the last return the columns
 of their input; the last returns where each piece of each text lies.
+
+Decisions are made by row, not by id: rows that share an id or have none, but differ in their texts,
+each follow their own verdict. Texts that are null or empty fail the rules and go; an empty table
+gives an empty result; other columns than doc_id and text are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,19 +20,26 @@ from shardloom.llm.common import remove_at_exit, shared_dir, staged, table
 from shardloom.llm.queries import tokenizer_spec
 
 
+def _keyed(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with ``_pipeline_hash`` of each text, which tells rows with one id, or none, apart."""
+    return docs.withColumn("_pipeline_hash", F.xxhash64(F.col(text).cast("string")))
+
+
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id isn't in ``gone`` (null ids match null ids).
+    """Rows of ``docs`` whose id and text aren't in ``gone`` (_pipeline_id, _pipeline_gone); null ids match null ids.
 
-    The ids are written first, so that Spark knows their size and sends them to all tasks only while
+    Those are written first, so that Spark knows their size and sends them to all tasks only while
     they are under its limit; beyond, both sides are shuffled.
     """
-    ids = staged(gone.select(F.col("doc_id").alias("_id")), "pipeline-gone")
-    return docs.join(ids, docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
+    rows = staged(gone.select("_pipeline_id", "_pipeline_gone").distinct(), "pipeline-gone")
+    keyed = _keyed(docs)
+    same = keyed["doc_id"].eqNullSafe(F.col("_pipeline_id")) & (keyed["_pipeline_hash"] == F.col("_pipeline_gone"))
+    return keyed.join(rows, same, "left_anti").drop("_pipeline_hash")
 
 
 def _rejected(decided: DataFrame, kept: str) -> DataFrame:
-    """Ids of which no row is kept."""
-    return decided.groupBy("doc_id").agg(F.max(F.expr(kept).cast("int")).alias("kept")).where("kept = 0")
+    """Id and text hash of rows that aren't kept. A verdict depends on the text alone, so rows alike in both share it."""
+    return decided.where(f"NOT ({kept})").select(F.col("doc_id").alias("_pipeline_id"), F.col("text_hash").alias("_pipeline_gone"))
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,12 +53,28 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group whose sets of five-word shingles are at least 0.8 alike. Ids that are null are kept; of rows that repeat an id one stays."""
-    groups = staged(jaccard_join.jaccard_groups(docs, n=5, percent=80).select("doc_id", "component_id"), "pipeline-groups").where("doc_id IS NOT NULL")
-    kept = _without(docs, groups.where("doc_id <> component_id").select("doc_id").distinct())
-    again = staged(groups.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id")), "pipeline-repeated")
-    same = kept["doc_id"] == F.col("_id")
-    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id"]))
+    """One document of each group whose sets of five-word shingles are at least 0.8 alike: that with the smallest id; a null id is the largest.
+
+    Nodes are 64-bit hashes of id and text, so rows that share an id but not their text are decided
+    each for itself; of rows alike in both, one stays. Texts without a word are in no group and all stay.
+    """
+    node = F.xxhash64("doc_id", F.col("text").cast("string"))
+    names = docs.columns
+    groups = jaccard_join.jaccard_groups(docs.withColumn("_pipeline_node", node), n=5, percent=80, id_col="_pipeline_node").select(F.col("doc_id").alias("_pipeline_node"), "component_id", "n_shingles")
+    many = groups.where("n_shingles > 0").groupBy("_pipeline_node", "component_id").agg(F.count("*").alias("copies"))
+    many = staged(many, "pipeline-groups")
+    shared = many.groupBy("component_id").agg(F.count("*").alias("nodes"), F.sum("copies").alias("rows")).where("rows > 1").select("component_id", "nodes")
+    members = staged(many.join(shared, "component_id").select("_pipeline_node", "component_id", "copies", "nodes"), "pipeline-members")
+    ids = docs.select(node.alias("_pipeline_node"), "doc_id").join(members.where("nodes > 1"), "_pipeline_node").select("component_id", "_pipeline_node", "doc_id")
+    first = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_pipeline_node")).alias("first")).select("component_id", F.col("first._pipeline_node").alias("stays"))
+    gone = members.where("nodes > 1").join(first, "component_id").where("_pipeline_node <> stays").select(F.col("_pipeline_node").alias("_pipeline_gone"))
+    gone = staged(gone, "pipeline-gone")
+    again = staged(many.where("copies > 1").select(F.col("_pipeline_node").alias("_pipeline_again")), "pipeline-repeated")
+    numbered = docs.withColumn("_pipeline_node", node)
+    kept = numbered.join(gone, F.col("_pipeline_node") == F.col("_pipeline_gone"), "left_anti")
+    repeated = F.col("_pipeline_node") == F.col("_pipeline_again")
+    once = kept.join(again, repeated, "left_semi").dropDuplicates(["_pipeline_node"])
+    return kept.join(again, repeated, "left_anti").unionByName(once).select(*[f"`{c}`" for c in names])
 
 
 def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +92,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality_classifier", classify), ("quality_rules", rules), ("ngram_jaccard_join", one_of_each), ("secret_scans", mask), ("best_fit_packing", pack)]
-#: Boosted tables, estimated rules and packing orders aren't SQL; tests hold each stage against its operator and a brute-force version.
+#: Boosted tables, estimated rules and packing orders aren't SQL; tests hold each stage against a brute-force version of what its operator decides.
 ORACLE_SQL = None
 
 
