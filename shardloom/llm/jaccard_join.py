@@ -42,6 +42,8 @@ from .components import components
 FREQUENT = 1 << 20
 MEMBERS = 128  # sets in one prefix tree
 SMALL = 64  # classes that share a prefix shingle and are paired all at once
+WIDE = 512  # classes outside a group's largest component from which on the group is split by second shingles
+PART = 512  # classes of a group that one task holds the others against
 _BITS = 27  # of a bitmap, as a power of two: 16 MB
 
 
@@ -72,8 +74,11 @@ def needed(a: int, b: int, percent: int) -> int:
 
 
 def shared(n):
-    """How many shingles of their prefixes two classes that link share at least, by the smaller one's size."""
-    return 1 + min(3, n // 50)
+    """How many shingles of their prefixes two classes that link share at least, by the smaller one's size.
+
+    Two at least: different sets that link share more than that, as sets of one or two shingles have none to spare.
+    """
+    return 2 + min(2, n // 50)
 
 
 def bitmap(values: DataFrame, c: Column) -> np.ndarray:
@@ -247,7 +252,7 @@ def _prefixes(d: DataFrame, n: int, percent: int, frequent) -> DataFrame:
                 if doc_id is None or not len(s):
                     continue
                 rank = order.rank(s)
-                size = len(s) - -(-percent * len(s) // 100) + shared(len(s))
+                size = min(len(s), len(s) - -(-percent * len(s) // 100) + shared(len(s)))
                 plain = np.flatnonzero(rank == 0)
                 if len(plain) >= size:
                     prefix = s[plain[:size]]
@@ -334,7 +339,14 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90, small: int = SMALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _open_groups(members: DataFrame, by: list[str]) -> DataFrame:
+    """For groups of ``members`` (..., id, c) that hold several components: how many members, the component with the most of them, and how many others."""
+    sizes = members.groupBy(*by, "c").agg(F.count("*").alias("k"))
+    groups = sizes.groupBy(*by).agg(F.sum("k").alias("members"), F.max(F.struct("k", "c")).alias("top"))
+    return groups.where("members > top.k").select(*by, F.col("top.c").alias("main"), "members", (F.col("members") - F.col("top.k")).alias("others"))
+
+
+def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90, small: int = SMALL, wide: int = WIDE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, n_class for each row of ``docs``.
 
     Two texts link when 100 * intersection >= percent * union of their shingle sets; component_id is
@@ -362,7 +374,7 @@ def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90, small: int =
     few, many = near.where(F.col("members") <= small), near.where(F.col("members") > small)
     x, y = few.select("shingle", "id", "n").alias("x"), few.select("shingle", "id", "n").alias("y")
     met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.id") < F.col("y.id")) & sizes_fit(F.col("x.n"), F.col("y.n")))
-    often = F.count("*") >= 1 + F.least(F.lit(3), F.floor(F.min(F.least("x.n", "y.n")) / 50))
+    often = F.count("*") >= 2 + F.least(F.lit(2), F.floor(F.min(F.least("x.n", "y.n")) / 50))
     pairs = met.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(often.alias("often")).where("often").select("a", "b")
     # a pair that shares a crowded shingle is met among the crowded ones below, so it needn't be given often here
     crowded = staged(many.select("id").distinct(), "shingle-crowded")
@@ -378,14 +390,25 @@ def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90, small: int =
     joined = components(links)
 
     labelled = many.join(joined, F.col("id") == F.col("node"), "left").select("shingle", "id", "n", F.coalesce("component", "id").alias("c"))
-    open_groups = labelled.groupBy("shingle").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("shingle")
     ordered = F.array_sort(F.collect_list(F.struct("pos", "shingle")))
     own_keys = many.groupBy("id").agg(F.transform(ordered, lambda k: k["shingle"]).alias("keys"))
-    rest = labelled.join(open_groups, "shingle").join(own_keys, "id").join(marked.select("id", "marks"), "id")
-    rest = staged(rest.select("shingle", "id", "n", "c", "marks", F.slice("keys", F.lit(1), F.array_position("keys", F.col("shingle")).cast("int") - 1).alias("before")), "shingle-rest")
-    x, y = rest.alias("x"), rest.alias("y")
-    across = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & sizes_fit(F.col("x.n"), F.col("y.n")) & ~F.arrays_overlap("x.before", "y.before") & can_link("x", "y", percent))
-    more = verified(staged(across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "shingle-pairs"), sets, percent)
+    rest = labelled.join(_open_groups(labelled, ["shingle"]), "shingle").join(own_keys, "id")
+    before = F.slice("keys", F.lit(1), F.array_position("keys", F.col("shingle")).cast("int") - 1)
+    rest = staged(rest.select("shingle", F.lit(None).cast("long").alias("second"), "id", "n", "c", before.alias("before"), "main", "members", "others"), "shingle-rest")
+    # classes that link share a second shingle of their prefixes, by which groups with many others are split
+    partners = near.select("id", F.col("shingle").alias("second"))
+    split = rest.where(F.col("others") > wide).drop("second", "main", "members", "others").join(partners, "id").where("shingle <> second")
+    split = split.join(_open_groups(split, ["shingle", "second"]), ["shingle", "second"]).select(rest.columns)
+    rest = staged(rest.where(F.col("others") <= wide).unionByName(split).join(marked.select("id", "marks"), "id"), "shingle-rest")
+    # a group's largest component needn't meet itself: all others go to each part of the group, which are dealt by a hash
+    salts = F.ceil(F.col("members") / PART).cast("int")
+    x = rest.where("c <> main").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).alias("x")
+    y = rest.withColumn("salt", F.pmod(F.xxhash64("id"), salts).cast("int")).alias("y")
+    same = [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in ("shingle", "second", "salt")]
+    once = (F.col("y.c") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))
+    across = x.join(y, same[0] & same[1] & same[2] & once & (F.col("x.c") != F.col("y.c")) & sizes_fit(F.col("x.n"), F.col("y.n")) & ~F.arrays_overlap("x.before", "y.before") & can_link("x", "y", percent))
+    across = across.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    more = verified(staged(across, "shingle-pairs"), sets, percent)
     twice = own.where("doc_id IS NOT NULL AND digest IS NOT NULL").groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("doc_id")
     shared = own.join(twice, "doc_id").join(classes, "digest").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     every = components(links.union(more).union(shared))

@@ -62,14 +62,34 @@ def test_jaccard_join(spark):
     known = [(d, shingles(t, 3)) for d, t in texts if d is not None]
     links = [(a, b) for i, (a, x) in enumerate(known) for b, y in known[:i] if x and y and 100 * len(x & y) >= 90 * len(x | y)]
     want = labels(ids, links)
-    for small in (64, 3):
-        got = jaccard_groups(frame(spark, texts), small=small).collect()
+    for small, wide in ((64, 512), (3, 512), (3, 0)):
+        got = jaccard_groups(frame(spark, texts), small=small, wide=wide).collect()
         assert len(got) == len(texts)
         assert all(r.component_id == want[r.doc_id] for r in got if r.doc_id is not None)
         assert [r.component_id for r in got if r.doc_id is None] == [None]
     assert collections.Counter(r.n_shingles for r in got) == collections.Counter(len(shingles(t, 3)) for _, t in texts)
 
 
+def test_crowded_shingles_of_classes_that_dont_link(spark, monkeypatch):
+    """Short texts that all hold the same frequent passages: groups of one component, of a few, and of unlinked classes, split into parts."""
+    from shardloom.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "PART", 7)
+    rng = np.random.default_rng(12)
+    lines = [" ".join(f"p{k}w{i}" for i in range(9)) for k in range(6)]
+    texts = []
+    for i in range(160):
+        picked = rng.choice(6, rng.integers(2, 5), replace=False)
+        texts.append((i, " ".join(lines[k] for k in sorted(picked)) + (f" own{i % 40}" if i % 3 else "")))
+    known = [(d, shingles(t, 3)) for d, t in texts]
+    links = [(a, b) for i, (a, x) in enumerate(known) for b, y in known[:i] if 100 * len(x & y) >= 90 * len(x | y)]
+    want = labels([d for d, _ in texts], links)
+    assert 10 < len(set(want.values())) < 150
+    for small, wide in ((4, 512), (4, 3)):
+        got = jaccard_groups(frame(spark, texts), small=small, wide=wide).collect()
+        assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_rows_that_share_an_id_are_one_node(spark):
     a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
     got = {(r.doc_id, r.component_id) for r in jaccard_groups(frame(spark, [(1, a), (5, a), (5, b), (9, b)])).collect()}
