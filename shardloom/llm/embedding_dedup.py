@@ -21,6 +21,7 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import logging
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,10 @@ from pyspark.sql import Window
 from .common import columns_of, partitions_for, staged
 from .components import components
 
+_log = logging.getLogger(__name__)
+
 BLOCK = 256
+CODE = 24  # planes whose sides tell which vectors go into one block
 
 
 def normalised(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -80,11 +84,15 @@ def _buckets(units: DataFrame, tables: int, bits: int, seed: int) -> DataFrame:
 
 
 def _meetings(around: DataFrame, units: DataFrame, parts: int, floor: float) -> DataFrame:
-    """a, b, cos (a < b) of neighbours of one class, one of the two edges being new: ``around`` has id, other, new. Each class's neighbours are multiplied at once."""
-    rows = around.join(units.select(F.col("id").alias("other"), "unit"), "other").select("id", "other", "new", "unit").repartition(parts, "id").sortWithinPartitions("id")
+    """a, b, cos (a < b) of neighbours of one class, one of the two edges being new: ``around`` has id, other, new.
+
+    Each class's neighbours are multiplied at once; a pair is given only if it is better than the last
+    of a full list of one of them, ``worst`` in ``units``.
+    """
+    rows = around.join(units.select(F.col("id").alias("other"), "unit", "worst"), "other").select("id", "other", "new", "unit", "worst").repartition(parts, "id").sortWithinPartitions("id")
 
     def run(batches):
-        now, others, news, vectors = None, [], [], []
+        now, others, news, vectors, worsts = None, [], [], [], []
 
         def met():
             if len(others) > 1:
@@ -93,8 +101,9 @@ def _meetings(around: DataFrame, units: DataFrame, parts: int, floor: float) ->
                     some = np.array([k for k, v in enumerate(vectors) if len(v) == size])
                     x = _stacked([vectors[k] for k in some])
                     cos = x @ x.T
-                    new = np.array([news[k] for k in some])
-                    i, j = np.nonzero(np.triu((cos >= floor) & (new[:, None] | new[None, :]), 1))
+                    new, worst = np.array([news[k] for k in some]), np.array([worsts[k] for k in some])
+                    better = (cos >= floor) & (cos > np.minimum(worst[:, None], worst[None, :]))
+                    i, j = np.nonzero(np.triu(better & (new[:, None] | new[None, :]), 1))
                     ids = np.array([others[k] for k in some], np.int64)
                     found.append((np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), cos[i, j]))
                 a, b, c = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -103,13 +112,14 @@ def _meetings(around: DataFrame, units: DataFrame, parts: int, floor: float) ->
             return None
 
         for batch in batches:
-            for i, other, new, unit in zip(*columns_of(batch, "id", "other", "new", "unit"), strict=True):
+            for i, other, new, unit, worst in zip(*columns_of(batch, "id", "other", "new", "unit", "worst"), strict=True):
                 if i != now:
                     if (out := met()) is not None:
                         yield out
-                    now, others, news, vectors = i, [], [], []
+                    now, others, news, vectors, worsts = i, [], [], [], []
                 others.append(other)
                 news.append(new)
+                worsts.append(worst)
                 vectors.append(unit)
         if (out := met()) is not None:
             yield out
@@ -119,9 +129,9 @@ def _meetings(around: DataFrame, units: DataFrame, parts: int, floor: float) ->
 
 
 def _lists(pairs: DataFrame, k: int) -> DataFrame:
-    """id, other, cos: each class's ``k`` most similar neighbours."""
+    """id, other, cos, r: each class's ``k`` most similar neighbours, ranked."""
     sides = pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "cos").union(pairs.select(F.col("b").alias("id"), F.col("a").alias("other"), "cos"))
-    return sides.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cos"), F.xxhash64("other")))).where(F.col("r") <= k).drop("r")
+    return sides.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cos"), F.xxhash64("other")))).where(F.col("r") <= k)
 
 
 def neighbour_graph(units: DataFrame, n: int, threshold: float, k: int, rounds: int, seed: int) -> DataFrame:
@@ -136,9 +146,9 @@ def neighbour_graph(units: DataFrame, n: int, threshold: float, k: int, rounds:
     w = Window.partitionBy("bucket", "share").orderBy(F.xxhash64("id", "share"), "id")
     nexts = placed.select("id", F.array(*[F.lead("id", j).over(w) for j in range(1, k + 1)]).alias("others"))
     start = nexts.select("id", F.explode("others").alias("other")).where("other IS NOT NULL").distinct()
-    own = start.select("id", "other", F.lit(True).alias("new")).union(units.select("id", F.col("id").alias("other"), F.lit(True)))
-    # a class's own vector is among the first meeting's, so its bucket neighbours are held against it and each other
-    graph = staged(_lists(_meetings(own, units, parts, floor), k), "graph")
+    # at first only a class's own vector is new: it meets the neighbours from its buckets, which don't meet each other
+    own = start.select("id", "other", F.lit(False).alias("new")).union(units.select("id", F.col("id").alias("other"), F.lit(True)))
+    graph = staged(_lists(_meetings(own, units.withColumn("worst", F.lit(-2.0)), parts, floor), k), "graph")
     fresh = graph.select("id", "other")
     for _ in range(rounds):
         flagged = graph.join(fresh.withColumn("new", F.lit(True)), ["id", "other"], "left").select("id", "other", F.coalesce("new", F.lit(False)).alias("new"))
@@ -147,7 +157,9 @@ def neighbour_graph(units: DataFrame, n: int, threshold: float, k: int, rounds:
         back = back.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("new"), F.xxhash64("other", "id")))).where(F.col("r") <= k).drop("r")
         around = flagged.union(back).groupBy("id", "other").agg(F.max("new").alias("new"))
         old = graph.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), "cos")
-        both = _meetings(around, units, parts, floor).union(old).groupBy("a", "b").agg(F.max("cos").alias("cos"))
+        full = graph.where(F.col("r") == k).select("id", F.col("cos").alias("worst"))
+        known = units.join(full, "id", "left").select("id", "unit", F.coalesce("worst", F.lit(-2.0)).alias("worst"))
+        both = _meetings(around, known, parts, floor).union(old).groupBy("a", "b").agg(F.max("cos").alias("cos"))
         new = staged(_lists(both, k), "graph")
         fresh = staged(new.select("id", "other").join(graph.select("id", "other"), ["id", "other"], "left_anti"), "fresh")
         graph = new
@@ -156,15 +168,35 @@ def neighbour_graph(units: DataFrame, n: int, threshold: float, k: int, rounds:
     return graph
 
 
+def _coded(members: DataFrame) -> DataFrame:
+    """``members`` (id, component, weight, unit) with ``code``: on which side of each of CODE random planes a vector lies."""
+
+    def run(batches):
+        for batch in batches:
+            rows = batch.column("unit").to_pylist()
+            codes = np.zeros(len(rows), np.int64)
+            for size in {len(r) for r in rows}:
+                some = [k for k, r in enumerate(rows) if len(r) == size]
+                planes = np.random.default_rng([97, size]).standard_normal((CODE, size // 8))
+                codes[some] = (_stacked([rows[k] for k in some]) @ planes.T > 0) @ (1 << np.arange(CODE))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes)], names=[*batch.schema.names, "code"])
+
+    return members.select("id", "component", "weight", "unit").mapInArrow(run, "id long, component long, weight long, unit binary, code long")
+
+
 def _packed(members: DataFrame) -> DataFrame:
     """no, component, centre, radius, ids, weights, units: members (id, component, weight, unit) in blocks of about BLOCK classes of one component and length.
 
     ``centre`` is at length 1 and no class of the block is further from it than the angle ``radius``.
     """
     by = ["component", "size"]
-    sized = members.withColumn("size", F.octet_length("unit"))
-    blocks = sized.groupBy(*by).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = sized.join(blocks, by).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    sized = _coded(members).withColumn("size", F.octet_length("unit"))
+    # cells of vectors on the same side of as many planes as the component has blocks; a cell that is too full is dealt by a hash
+    planes = sized.groupBy(*by).agg(F.greatest(F.lit(0), F.ceil(F.log2(F.count("*") / BLOCK))).cast("int").alias("bits"))
+    celled = sized.join(planes, by).withColumn("cell", F.col("code") % F.pow(F.lit(2.0), F.least(F.lit(CODE), F.col("bits"))).cast("long")).drop("bits", "code")
+    by.append("cell")
+    blocks = celled.groupBy(*by).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = celled.join(blocks, by).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     grouped = dealt.groupBy(*by, "block").agg(F.collect_list(F.struct("id", "weight", "unit")).alias("rows"))
     lists = grouped.select(F.monotonically_increasing_id().alias("no"), "component", F.col("rows.id").alias("ids"), F.col("rows.weight").alias("weights"), F.col("rows.unit").alias("units"))
 
@@ -261,31 +293,32 @@ def _lower(total: float, m: int) -> float:
     return (p + z * z / (2 * m) - z * np.sqrt(p * (1 - p) / m + z * z / (4 * m * m))) / (1 + z * z / m)
 
 
-def audited_recall(units: DataFrame, counted: DataFrame, n: int, threshold: float, queries: int, least: int = 200) -> float | None:
+def audited_recall(units: DataFrame, counted: DataFrame, n: int, threshold: float, queries: int, least: int = 200, most: int = 12_800) -> float:
     """A lower bound of the share of its links that a class has in ``counted`` (id, classes); the least over all and over classes with few, some and many links.
 
     Classes chosen by hash are held against every row and each counts the same, whatever its links or
-    their copies. More are taken, about ``queries`` first and at most 20,000 at once, until every kind
-    seen has ``least`` classes. An audit of all is no estimate; one that is past a quarter of a table
-    costs as much as comparing all, and has no answer.
+    their copies. About ``queries`` are taken first, then more, until every kind seen has ``least`` of
+    them or about ``most`` are taken, so what an audit costs grows with the table only; a kind too rare
+    to have ``least`` among them counts among all, and where all links found are of fewer classes than
+    that, their mean share is given. Where all classes are taken, shares are no estimate.
     """
     parts = max(1, n // queries)
     part = F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(parts))
     sums: dict[int, tuple[float, int]] = {}
     at, step = 0, 1
-    while True:
+    while at < parts and at * queries < most and (not at or any(m < least for _, m in sums.values())):
+        step = min(step, parts - at)
         for kind, total, m in _audited(units, counted, threshold, units.where((part >= at) & (part < at + step))):
             held = sums.get(kind, (0.0, 0))
             sums[kind] = (held[0] + total, held[1] + m)
         at += step
-        every = [*sums.values(), *([tuple(sum(x) for x in zip(*sums.values(), strict=True))] if sums else [])]
-        if at >= parts:
-            return min((total / m for total, m in every), default=1.0)
-        if every and min(m for _, m in every) >= least:
-            return min(_lower(*x) for x in every)
-        if 4 * at >= parts:
-            return None
-        step = max(1, min(at, 20_000 // queries))
+        step = at
+    if at >= parts:
+        return min((total / m for total, m in sums.values()), default=1.0)
+    total, m = (sum(x) for x in zip(*sums.values(), strict=True)) if sums else (0, 0)
+    if m < least:  # hardly any class has links at all
+        return total / m if m else 1.0
+    return min(_lower(*x) for x in [(total, m), *(x for x in sums.values() if x[1] >= least)])
 
 
 def _audited(units: DataFrame, counted: DataFrame, threshold: float, asked: DataFrame) -> list[tuple[int, float, int]]:
@@ -320,7 +353,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, k: int = 10, rou
     """vec_id, n_links, component_id, kept for each row of ``vectors``.
 
     Links are pairs with a cosine of at least ``threshold`` in double precision. ``searches`` is how
-    often the search is started at most until the audit is content; where it never is or can't tell, all
+    often the search is started at most until the audit is content, whose figure is logged; where it never is, all
     rows are compared in blocks, which is exact and grows with the square of the table.
     """
     rows = staged(normalised(vectors, id_col, vector_col), "vectors")
@@ -347,9 +380,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, k: int = 10, rou
         counted = staged(listed.join(dense, "id", "left").select("id", F.coalesce("dense", "linked").alias("linked"), F.coalesce("dense_classes", "classes").alias("classes")), "vector-counts")
         links = links.union(whole.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")).distinct())
         share = audited_recall(units, counted, n, threshold, audit_queries)
-        if share is None or share >= recall:
+        _log.info("search %d finds at least %.4f of a class's links", s + 1, share)
+        if share >= recall:
             break
-    if share is None or share < recall:
+    if share < recall:
+        _log.warning("recall %.4f is under %.4f: all classes are compared", share, recall)
         whole = compared(units.select("id", F.lit(0).cast("long").alias("component"), "weight", "unit"), threshold)
         counted = staged(whole.groupBy("id").agg(F.sum("linked").alias("linked")), "vector-counts")
         links = whole.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")).distinct()

@@ -215,6 +215,22 @@ def test_links_between_groups_that_fill_each_list(spark):
     assert {i: got[i].n_links for i in counts} == counts and {i: got[i].component_id for i in want} == want
 
 
+def test_a_long_chain_and_clashing_columns(spark):
+    """One component whose ends are far apart: blocks of near vectors, of which most pairs needn't meet."""
+    from shardloom.llm import embedding_dedup
+
+    angle = np.arange(1500) * 0.004  # each links with those up to 112 places away
+    rows = [(i, [math.cos(x), math.sin(x), 0.0]) for i, x in enumerate(angle.tolist())]
+    counts, want = _exact(rows)
+    df = spark.createDataFrame([(i, v, "d", 1, 2, 3, 4) for i, v in rows], "vec_id long, embedding array<double>, digest string, name int, weight int, component int, unit int")
+    got = {r.vec_id: r for r in near_duplicates(df).collect()}
+    assert {i: got[i].n_links for i in counts} == counts and {i: got[i].component_id for i in want} == want
+    units = embedding_dedup.normalised(df, "vec_id", "embedding").selectExpr("vec_id id", "0L component", "1L weight", "unit")
+    blocks = embedding_dedup._packed(units)
+    n = blocks.count()
+    assert embedding_dedup._block_pairs(blocks, 0.9).count() < 0.7 * n * (n + 1) / 2
+
+
 def test_audit_counts_each_class_and_ends_exact(spark, monkeypatch):
     from shardloom.llm import embedding_dedup
 
