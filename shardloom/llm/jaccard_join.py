@@ -78,7 +78,7 @@ def shared(n):
 
     Two at least: different sets that link share more than that, as sets of one or two shingles have none to spare.
     """
-    return 2 + min(2, n // 50)
+    return max(2, 1 + min(3, n // 50))
 
 
 def bitmap(values: DataFrame, c: Column) -> np.ndarray:
@@ -374,7 +374,7 @@ def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90, small: int =
     few, many = near.where(F.col("members") <= small), near.where(F.col("members") > small)
     x, y = few.select("shingle", "id", "n").alias("x"), few.select("shingle", "id", "n").alias("y")
     met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.id") < F.col("y.id")) & sizes_fit(F.col("x.n"), F.col("y.n")))
-    often = F.count("*") >= 2 + F.least(F.lit(2), F.floor(F.min(F.least("x.n", "y.n")) / 50))
+    often = F.count("*") >= F.greatest(F.lit(2), 1 + F.least(F.lit(3), F.floor(F.min(F.least("x.n", "y.n")) / 50)))
     pairs = met.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(often.alias("often")).where("often").select("a", "b")
     # a pair that shares a crowded shingle is met among the crowded ones below, so it needn't be given often here
     crowded = staged(many.select("id").distinct(), "shingle-crowded")
