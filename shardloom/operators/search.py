@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from shardloom.functions.lineage import cut
+
 
 def squared_distance(a: Column, b: Column) -> Column:
     """Squared Euclidean distance in double precision, summed from left to right."""
@@ -27,12 +29,12 @@ def _blocks(df: DataFrame, id_col: str, vector_col: str, size: int) -> DataFrame
         for batch in batches:
             for a in range(0, batch.num_rows, size):
                 part = batch.slice(a, size)
-                keep = [k for k, v in enumerate(part.column("v").to_pylist()) if v and all(x is not None for x in v)]
-                rows = part.take(pa.array(keep, pa.int64()))
-                if rows.num_rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([rows.column("i").to_pylist()], pa.list_(pa.int64())), pa.array([np.array(rows.column("v").to_pylist(), "<f8").tobytes()], pa.binary())], names=["ids", "block"])
+                rows = [(i, v) for i, v in zip(part.column("i").to_pylist(), part.column("v").to_pylist(), strict=True) if v and all(x is not None for x in v)]
+                for length in sorted({len(v) for _, v in rows}):  # vectors of one length each
+                    some = [(i, v) for i, v in rows if len(v) == length]
+                    yield pa.RecordBatch.from_arrays([pa.array([[i for i, _ in some]], pa.list_(pa.int64())), pa.array([np.array([v for _, v in some], "<f8").tobytes()], pa.binary()), pa.array([length], pa.int32())], names=["ids", "block", "length"])
 
-    return df.select(F.col(id_col).cast("long").alias("i"), F.col(vector_col).cast("array<double>").alias("v")).mapInArrow(run, "ids array<long>, block binary")
+    return df.select(F.col(id_col).cast("long").alias("i"), F.col(vector_col).cast("array<double>").alias("v")).mapInArrow(run, "ids array<long>, block binary, length int")
 
 
 def vector_top_k(questions: DataFrame, records: DataFrame, k: int, question_id: str = "query_id", record_id: str = "record_id", vector: str = "embedding", block: int = 512) -> DataFrame:
@@ -41,10 +43,11 @@ def vector_top_k(questions: DataFrame, records: DataFrame, k: int, question_id:
     Questions and records meet as blocks, so the pairs of blocks grow with both tables but no task holds more
     than two. In a pair of blocks exact differences are taken for all records whose rough distance is
     within its error of the k-th, so all ties; k rows a question are kept by distance and record_id,
-    and a ranked window with a limit merges them. k <= 0 gives nothing.
+    and a ranked window with a limit merges them. A question meets records of its vector's length
+    only. k <= 0 gives nothing.
     """
-    q = _blocks(questions, question_id, vector, block).select(F.col("ids").alias("q_ids"), F.col("block").alias("q"))
-    r = _blocks(records, record_id, vector, block).select(F.col("ids").alias("r_ids"), F.col("block").alias("r"))
+    q = _blocks(questions, question_id, vector, block).select(F.col("ids").alias("q_ids"), F.col("block").alias("q"), F.col("length").alias("q_length"))
+    r = _blocks(records, record_id, vector, block).select(F.col("ids").alias("r_ids"), F.col("block").alias("r"), F.col("length").alias("r_length"))
 
     def run(batches):
         for batch in batches:
@@ -68,7 +71,7 @@ def vector_top_k(questions: DataFrame, records: DataFrame, k: int, question_id:
 
     if k <= 0:
         return questions.sparkSession.createDataFrame([], "query_id long, record_id long, distance double, rank int")
-    met = r.crossJoin(F.broadcast(q) if _small(questions) else q).mapInArrow(run, "query_id long, record_id long, distance double")
+    met = r.crossJoin(F.broadcast(q) if _small(questions) else q).where("q_length = r_length").select("q_ids", "q", "r_ids", "r").mapInArrow(run, "query_id long, record_id long, distance double")
     w = Window.partitionBy("query_id").orderBy("distance", "record_id")
     return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -97,25 +100,60 @@ def occurrences(doc: Column, token: Column) -> Column:
     return F.when(F.char_length(token) > 0, (F.char_length(doc) - F.char_length(F.replace(doc, token, F.lit("")))) / F.char_length(token)).otherwise(0).cast("long")
 
 
+def _token_hits(documents: DataFrame, tokens: DataFrame) -> DataFrame:
+    """doc_id, token, n: how often each distinct token (a column of ``tokens``) occurs in each document that holds it, without overlaps.
+
+    While the tokens are under a checked size, one automaton of all of them reads each text once, in
+    time in proportion to its length and hits. Beyond, tokens meet documents as a nested loop.
+    """
+    distinct = cut(tokens.select("token").where("token <> ''").distinct())
+    if not _small(distinct, 32 << 20):
+        return documents.join(distinct, F.contains(F.col("document_lower"), F.col("token"))).select("doc_id", "token", occurrences(F.col("document_lower"), F.col("token")).alias("n"))
+    sent = documents.sparkSession.sparkContext.broadcast(distinct.toArrow().column("token").to_pylist())
+
+    def run(batches):
+        import ahocorasick
+
+        words = ahocorasick.Automaton()
+        for k, t in enumerate(sent.value):
+            words.add_word(t, (k, len(t)))
+        if sent.value:
+            words.make_automaton()
+        for batch in batches:
+            out = []
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("document_lower").to_pylist(), strict=True):
+                counts, ends = {}, {}
+                for end, (k, length) in words.iter(text) if text and sent.value else ():
+                    if end - length >= ends.get(k, -1):
+                        counts[k], ends[k] = counts.get(k, 0) + 1, end
+                out += [(doc_id, sent.value[k], n) for k, n in counts.items()]
+            for a in range(0, len(out), 4096):
+                ids, found, n = zip(*out[a : a + 4096], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string()), pa.array(n, pa.int64())], names=["doc_id", "token", "n"])
+
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "document_lower").mapInArrow(run, "doc_id long, token string, n long")
+
+
 def keyword_search(questions: DataFrame, documents: DataFrame, k: int, weight: float = 1.0, head: int = 32) -> DataFrame:
     """query_id, doc_id, rank, keyword_score_raw, keyword_score_norm, final_score.
 
     ``questions``: query_id, tokens; ``documents``: doc_id, document_lower. A document is a candidate
     if it contains a token; a query without any is asked again with the first ``head`` characters of
-    its first token, whose hits are still scored by the whole tokens. Scores are normalised after the
-    cut. Tokens meet documents as a nested loop over the smaller side: substring search has no key.
+    its first token, whose hits score 0, as no document has a whole token. Scores are normalised after
+    the cut. A repeated token counts as often as it is given.
     """
     q = questions.where(F.size("tokens") > 0)
-    hit = F.exists("tokens", lambda t: F.contains(F.col("document_lower"), t))
-    found = documents.join(q, hit)
-    empty = q.join(found.select("query_id").distinct(), "query_id", "left_anti")
-    again = documents.join(empty, F.contains(F.col("document_lower"), F.substring(F.element_at("tokens", 1), 1, head)))
-    raw = F.aggregate(F.transform("tokens", lambda t: occurrences(F.col("document_lower"), t)), F.lit(0).cast("long"), lambda s, x: s + x)
-    both = found.select("query_id", "doc_id", raw.cast("double").alias("keyword_score_raw")).unionByName(again.select("query_id", "doc_id", raw.cast("double").alias("keyword_score_raw")))
+    asked = q.select("query_id", F.explode("tokens").alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
+    hits = cut(_token_hits(documents, asked))
+    found = hits.join(asked, "token").groupBy("query_id", "doc_id").agg(F.sum(F.col("n") * F.col("times")).cast("double").alias("keyword_score_raw"))
+    found = cut(found)
+    empty = q.join(found.select("query_id").distinct(), "query_id", "left_anti").select("query_id", F.substring(F.element_at("tokens", 1), 1, head).alias("token"))
+    again = _token_hits(documents, empty).join(empty, "token").select("query_id", "doc_id", F.lit(0.0).alias("keyword_score_raw"))
+    both = found.unionByName(again)
     w = Window.partitionBy("query_id").orderBy(F.desc("keyword_score_raw"), "doc_id")
-    cut = both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    cut = cut.withColumn("keyword_score_norm", normalised(F.col("keyword_score_raw"), "query_id"))
-    return cut.withColumn("final_score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("keyword_score_norm") * weight)))
+    ranked = both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    ranked = ranked.withColumn("keyword_score_norm", normalised(F.col("keyword_score_raw"), "query_id"))
+    return ranked.withColumn("final_score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("keyword_score_norm") * weight)))
 
 
 def hit_summary(hits: DataFrame, most: int = 8) -> DataFrame:

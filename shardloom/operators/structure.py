@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from shardloom.functions.lineage import cut
-from shardloom.functions.text import numeral, short_hash, stripped
-from shardloom.operators.chunking import even_parts
+from shardloom.functions.text import ANY_SPACE, GLUE, demoted, markdown_plain, numeral, short_hash, stripped, without_headings
+from shardloom.operators.chunking import balanced_groups, even_parts, paragraphs
 
 _DIGITS = "0-9０-９"
 _NUMERALS = "0-9０-９一二三四五六七八九十百千〇"
@@ -95,6 +95,90 @@ def blank_before_headings(docs: DataFrame) -> DataFrame:
     return d.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text"))
 
 
+# What follows a chapter or article number that is only referred to, and characters between which a sentence goes on.
+REFERENCE = f"(各号|第[{_NUMERALS}]+項|の[{_NUMERALS}]+|及び|並びに|又は|若しくは|[にをはがとや等のへもで])"
+RUNNING = "぀-ゟ゠-ヿ㐀-䶿一-鿿0-9０-９ｦ-ﾟㇰ-ㇿ"
+INLINE_ITEM = f"([{_DIGITS}]{{1,2}}[.)．](?![{_DIGITS}])|[（(][{_DIGITS}]+[)）]|[（(][一二三四五六七八九十〇]+[)）])"
+_MARKER = f"(附則|第[{_NUMERALS}]+[章条])"
+_STARTS = "(" + "|".join(p.replace("^", "", 1) for _, p, _ in RULES) + ")"
+
+
+def _bound(value: Column, f) -> Column:
+    """``f`` of a value that is evaluated once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _right_stripped(c: Column) -> Column:
+    return F.regexp_replace(c, f"{ANY_SPACE}+\\z", "")
+
+
+def split_embedded_headings(rows: Column) -> Column:
+    """Lines in which a chapter, article or appendix starts inside, unless it is only referred to, as two lines."""
+
+    def one(line: Column) -> Column:
+        at = F.regexp_instr(line, F.lit(_MARKER))
+        rest = F.substring(line, at, F.char_length(line))
+        before = _right_stripped(F.substring(line, F.lit(1), at - 1))
+        cut_here = (at > 1) & ~rest.rlike(f"^{_MARKER}{REFERENCE}")
+        return F.when(cut_here, F.filter(F.array(before, rest), lambda x: x != "")).otherwise(F.array(line))
+
+    return F.flatten(F.transform(rows, one))
+
+
+def split_embedded_items(rows: Column) -> Column:
+    """Lines in which items of an enumeration follow a sentence or word, unless they are only referred to, as a line for each."""
+
+    def one(line: Column) -> Column:
+        parts = F.arrays_zip(F.split(line, INLINE_ITEM, -1).alias("gap"), F.concat(F.regexp_extract_all(line, F.lit(INLINE_ITEM), F.lit(0)), F.array(F.lit(""))).alias("item"))
+
+        def step(s: Column, p: Column) -> Column:
+            text = F.concat(s["text"], p["gap"])
+            ends = (p["item"] != "") & text.rlike(f"[{RUNNING}、，。．.！？!?]\\z") & ~F.concat(p["after"], F.lit("")).rlike(f"^{REFERENCE}")
+            return F.struct(F.concat(text, F.when(ends, F.lit("\n")).otherwise(F.lit("")), p["item"]).alias("text"))
+
+        def folded(ps: Column) -> Column:
+            following = F.transform(ps, lambda p, k: F.struct(p["gap"].alias("gap"), p["item"].alias("item"), F.concat(F.coalesce(F.get(ps, k + 1)["gap"], F.lit("")), F.coalesce(F.get(ps, k + 1)["item"], F.lit(""))).alias("after")))
+            return F.aggregate(following, F.struct(F.lit("").alias("text")), step, lambda s: s["text"])
+
+        def lines_of(text: Column) -> Column:
+            found = F.split(text, "\n")
+            n = F.size(found)
+            return F.when(n > 1, F.filter(F.transform(found, lambda x, k: F.when(k < n - 1, _right_stripped(x)).otherwise(x)), lambda x: x != "")).otherwise(F.array(line))
+
+        return F.when(line.rlike(INLINE_ITEM), _bound(_bound(parts, folded), lines_of)).otherwise(F.array(line))
+
+    return F.flatten(F.transform(rows, one))
+
+
+def with_blanks_before_headings(rows: Column) -> Column:
+    return _bound(rows, lambda ls: F.flatten(F.transform(ls, lambda x, k: F.when((k > 0) & stripped(x).rlike(STRONG) & (stripped(F.get(ls, k - 1)) != ""), F.array(F.lit(""), x)).otherwise(F.array(x)))))
+
+
+def without_blanks_after_headings(rows: Column) -> Column:
+    """An empty line between a heading and a line of Japanese text that isn't one goes."""
+
+    def kept(ls: Column) -> Column:
+        flags = F.transform(ls, lambda x, k: F.struct(x.alias("x"), F.get(ls, k - 1).alias("above"), F.get(ls, k + 1).alias("under")))
+        gone = lambda r: (r["x"] == "") & F.coalesce(r["above"].rlike(f"^{_STARTS}") & r["above"].rlike(f"[{GLUE}]\\z") & r["under"].rlike(f"^[{GLUE}]") & ~r["under"].rlike(f"^{_STARTS}"), F.lit(False))
+        return F.transform(F.filter(flags, lambda r: ~gone(r)), lambda r: r["x"])
+
+    return _bound(rows, kept)
+
+
+def joined_soft_breaks(text: Column) -> Column:
+    """Single line breaks inside a sentence go, unless a heading or item starts the next line."""
+    return F.regexp_replace(text, f"(?<=[{RUNNING}、，])\n(?!{_STARTS})(?=[{RUNNING}])", "")
+
+
+def repaired(docs: DataFrame, inline: bool = True) -> DataFrame:
+    """doc_id, text with lines as structure needs them: embedded headings and items on lines of their own (``inline``), blank lines before chapters and articles and none between items or after headings, broken sentences joined."""
+    rows = F.split("text", "\n")
+    if inline:
+        rows = split_embedded_items(split_embedded_headings(rows))
+    text = joined_soft_breaks(F.array_join(without_blanks_after_headings(with_blanks_before_headings(rows)), "\n"))
+    return closed_enumerations(docs.select("doc_id", text.alias("text")))
+
+
 def closed_enumerations(docs: DataFrame) -> DataFrame:
     """doc_id, text without blank lines between items of one enumeration whose numbers follow each other."""
     d = lines(docs).withColumn("item", heading_type(F.ltrim("line"))).withColumn("value", marker_value(F.col("item"), F.ltrim("line")))
@@ -297,50 +381,167 @@ def decorated(heading: Column, level: Column, kind: Column) -> Column:
     return F.concat(mark, heading)
 
 
-def structure_chunks(docs: DataFrame, most: int = 1000, markdown: bool = True, least: int = 10, w: Weights = Weights(), tail: bool = True) -> DataFrame:
-    """doc_id, chunk_index, chunk_id, role, level, path_text, parent_chunk_id, child_chunk_id, chunk_text.
+def nested_levels(items: Column) -> Column:
+    """Depth (0 is the outermost) of each item of an array of (type, value) in order, by a stack.
 
-    A section's chunk is its lines with headings decorated by level, split evenly over ``most``
-    characters. Sections under the first level need ``least`` characters and two lines of body, or one
-    where a sibling of their type has two. A document without headings gives its paragraphs, with the
-    role fallback; text before the first heading isn't part of a chunk.
+    An item that continues the innermost enumeration stays in it; a 1 opens an inner one; one that
+    continues an outer enumeration closes those inside; anything else opens an inner one.
     """
-    nodes = cut(sections(docs, w, tail))
-    rows = lines(docs).select("doc_id", "line_no", "line", "start_char")
-    title = nodes.select("doc_id", F.col("start_char").alias("start_char"), "heading", F.col("level").alias("h_level"), "marker_type")
-    shown = rows.join(title, ["doc_id", "start_char"], "left").withColumn("shown", F.when(F.col("heading").isNotNull() & F.lit(markdown), decorated(F.col("heading"), F.col("h_level"), F.col("marker_type"))).otherwise(F.col("line")))
-    spans = nodes.select("doc_id", "node_id", "start_char", "end_char").withColumnsRenamed({"start_char": "s", "end_char": "e"})
-    held = spans.join(shown.select("doc_id", "line_no", "start_char", "shown"), "doc_id").where("start_char >= s AND start_char < e")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "shown"))), lambda x: x["shown"]), "\n")
-    bodies = held.groupBy("doc_id", "node_id").agg(stripped(text).alias("body"), (F.count(F.when(stripped(F.col("shown")) != "", 1)) - 1).alias("body_lines"))
-    d = nodes.join(bodies, ["doc_id", "node_id"])
-    rich = F.max((F.col("body_lines") >= 2).cast("int")).over(Window.partitionBy("doc_id", "parent_start", "marker_type")) == 1
-    d = d.withColumn("_rich", rich)
-    emits = (F.col("level") == 1) | ((F.char_length("body") >= least) & ((F.col("body_lines") >= 2) | ((F.col("body_lines") == 1) & F.col("_rich"))))
-    above = nodes.select("doc_id", F.col("start_char").alias("parent_start"), F.col("node_id").alias("up_id"), F.col("heading").alias("up_heading"), F.col("level").alias("up_level"), F.col("parent_start").alias("up_parent"))
-    top = nodes.where("level = 1").select("doc_id", F.col("start_char").alias("up_parent"), F.col("node_id").alias("top_id"), F.col("heading").alias("top_heading"))
-    d = d.where(emits).join(above, ["doc_id", "parent_start"], "left").join(top, ["doc_id", "up_parent"], "left")
-    base = F.concat(F.lit("chunk_"), "node_id")
-    named = d.select(
-        "doc_id",
-        "start_char",
-        "role",
-        "level",
-        F.concat_ws(" > ", "top_heading", "up_heading", "heading").alias("path_text"),
-        base.alias("base_id"),
-        F.when(F.col("role") == "parent", base).when(F.col("role") == "child", F.concat(F.lit("chunk_"), "up_id")).otherwise(F.concat(F.lit("chunk_"), F.coalesce("top_id", "up_id"))).alias("parent_chunk_id"),
-        F.when(F.col("role") == "child", base).when((F.col("role") == "grandchild") & (F.col("up_level") == 2), F.concat(F.lit("chunk_"), "up_id")).alias("child_chunk_id"),
-        "body",
-    )
-    bare = docs.join(nodes.select("doc_id").distinct(), "doc_id", "left_anti")
-    from shardloom.operators.chunking import paragraphs
+    pair = "struct<type:string,value:int>"
+    start = F.struct(F.array().cast(f"array<{pair}>").alias("stack"), F.array().cast("array<int>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        stack = s["stack"]
+        n = F.size(stack)
+        here = F.struct(x["type"].alias("type"), x["value"].cast("int").alias("value"))
+        continues = lambda e: F.coalesce((e["type"] == x["type"]) & (e["value"] + 1 == x["value"]), F.lit(False))
+        outer = F.array_max(F.transform(F.slice(stack, 1, F.greatest(n - 1, F.lit(0))), lambda e, k: F.when(continues(e), k)))
+        depth = F.when(n == 0, 0).when(continues(F.get(stack, n - 1)), n - 1).when(x["value"] == 1, n).otherwise(F.coalesce(outer, n)).cast("int")
+        return F.struct(F.concat(F.slice(stack, F.lit(1), depth), F.array(here)).alias("stack"), F.concat(s["out"], F.array(depth)).alias("out"))
+
+    return F.aggregate(items, start, step, lambda s: s["out"])
+
+
+def split_at_blocks(text: Column, mark: str, most: int) -> Column:
+    """Parts of at most ``most`` characters cut before lines that start by ``mark``, in groups of nearly equal size, each after the lines before the first such line; evenly where that can't be."""
+
+    def made(pieces: Column) -> Column:
+        opens = F.get(pieces, F.lit(0)).startswith(mark)
+        lead = F.when(opens, F.lit("")).otherwise(F.get(pieces, F.lit(0)))
+        prefix = F.when(stripped(lead) != "", F.concat(_right_stripped(lead), F.lit("\n"))).otherwise(F.lit(""))
+        blocks = F.transform(F.when(opens, pieces).otherwise(F.slice(pieces, 2, F.size(pieces))), stripped)
+        room = F.lit(most) - F.char_length(prefix)
+        return F.struct(prefix.alias("prefix"), blocks.alias("blocks"), room.alias("room"))
+
+    def grouped(m: Column) -> Column:
+        sizes = F.transform(m["blocks"], lambda x: (F.char_length(x) + 1).cast("long"))
+        numbered = F.arrays_zip(m["blocks"].alias("text"), balanced_groups(sizes, F.greatest(m["room"], F.lit(1))).alias("group"))
+        return F.when((F.size(m["blocks"]) > 0) & (m["room"] > 0), _bound(numbered, lambda bs: F.transform(F.sequence(F.lit(0).cast("long"), F.array_max(F.transform(bs, lambda x: x["group"]))), lambda g: F.concat(m["prefix"], F.array_join(F.transform(F.filter(bs, lambda x: x["group"] == g), lambda x: x["text"]), "\n")))))
+
+    return F.coalesce(_bound(_bound(F.split(text, f"(?m)^(?={mark})", -1), made), grouped), even_parts(stripped(text), most))
 
-    loose = paragraphs(bare).select("doc_id", F.col("start_char").cast("int").alias("start_char"), F.lit("fallback").alias("role"), F.lit(1).alias("level"), F.lit("").alias("path_text"), F.concat(F.lit("chunk_"), short_hash("sec_", F.concat_ws("|", F.col("start_char").cast("string"), F.substring("text", 1, 40)))).alias("base_id"), F.lit(None).cast("string").alias("parent_chunk_id"), F.lit(None).cast("string").alias("child_chunk_id"), stripped(F.col("text")).alias("body"))
-    every = named.unionByName(loose).withColumn("parts", even_parts(F.col("body"), most))
-    parts = every.select("*", F.posexplode("parts").alias("part", "chunk_text"))
-    index = F.row_number().over(Window.partitionBy("doc_id").orderBy("start_char", "level", "part")) - 1
+
+_LONG = 60
+
+
+def _heading_line(heading: Column, level: Column, kind: Column) -> Column:
+    """A heading as an ancestor's line; a long one by its marker alone."""
+    marker = F.regexp_extract(heading, f"^{_STARTS}", 0)
+    return decorated(F.when((F.char_length(heading) > _LONG) & (marker != ""), marker).otherwise(heading), level, kind)
+
+
+def structure_chunks(docs: DataFrame, most: int = 1000, markdown: bool = True, least: int = 10, w: Weights = Weights(), tail: bool = True, repair: bool = True) -> DataFrame:
+    """doc_id, chunk_index, chunk_id, role, level, path_text, parent_chunk_id, child_chunk_id, grandchild_chunk_id, chunk_text.
+
+    A section's chunk is its lines with headings and items marked by level, after a line for the
+    document's title and each section above; too long ones are split at the sections inside. A section
+    of the second level needs ``least`` characters and two lines of body, or one where a sibling of its
+    type has two. Where at most one such is in a chapter, the chapter stands for it; so does a
+    section for its only block of items. A document without headings gives its paragraphs, with the
+    role fallback.
+    """
+    fixed = cut(repaired(docs) if repair else docs.select("doc_id", "text"))
+    nodes = cut(sections(fixed, w, tail))
+    rows = lines(fixed).select("doc_id", "line_no", "line", "start_char")
+    first = F.min(F.when(stripped(F.col("line")) != "", F.struct("line_no", stripped(F.col("line")).alias("t"))))["t"]
+    titles = rows.groupBy("doc_id").agg(F.coalesce(first, F.lit("document")).alias("title"))
+    by = Window.partitionBy("doc_id").orderBy("line_no")
+    own = nodes.select("doc_id", "start_char", "node_id", "heading", "level", "marker_type", "end_char")
+    at = lambda k: F.last(F.when(F.col("level") == k, F.struct("node_id", "end_char", "heading", "marker_type")), ignorenulls=True).over(by)
+    placed = rows.join(own, ["doc_id", "start_char"], "left").withColumns({"_one": at(1), "_two": at(2)})
+    inside = lambda c: F.when(F.col(c)["end_char"] > F.col("start_char"), F.col(c))
+    placed = placed.withColumns({"one": inside("_one"), "two": inside("_two")}).drop("_one", "_two")
+    # items inside a section of the second level, nested by a stack
+    text = F.ltrim("line")
+    kind = F.when(F.col("two").isNotNull() & F.coalesce(F.col("level") != 2, F.lit(True)), heading_type(text))
+    value = marker_value(kind, text)
+    item = F.when((by_type(HINTS, 0, kind) > 2) & value.isNotNull(), F.struct(kind.alias("type"), value.cast("int").alias("value")))
+    placed = cut(placed.withColumn("item", item))
+    ordered = F.array_sort(F.collect_list(F.when(F.col("item").isNotNull(), F.struct("line_no", "item"))))
+    folded = placed.where("two IS NOT NULL AND item IS NOT NULL").groupBy("doc_id", F.col("two.node_id").alias("node_id")).agg(ordered.alias("items"))
+    depths = folded.select("doc_id", F.explode(F.arrays_zip(F.transform("items", lambda x: x["line_no"]).alias("line_no"), nested_levels(F.transform("items", lambda x: x["item"])).alias("depth"))).alias("x")).select("doc_id", "x.line_no", "x.depth")
+    placed = placed.join(depths, ["doc_id", "line_no"], "left")
+    mark = F.when(F.col("depth") == 0, F.concat(F.lit("#### "), text)).when(F.col("depth") > 0, F.concat(F.lit("- "), text))
+    mark = F.coalesce(mark, F.when(F.col("heading").isNotNull() & (F.col("two").isNull() | (F.col("level") <= 2)), decorated(F.col("heading"), F.col("level"), F.col("marker_type"))), F.col("line"))
+    placed = cut(placed.withColumn("shown", mark if markdown else F.col("line")).withColumn("opens", F.coalesce(F.col("depth") == 0, F.lit(False))))
+
+    whole = stripped(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "shown"))), lambda x: x["shown"]), "\n"))
+    body_lines = F.count(F.when(stripped(F.col("shown")) != "", 1)) - 1
+
+    def bodies(c: str) -> DataFrame:
+        return placed.where(F.col(c).isNotNull()).groupBy("doc_id", F.col(f"{c}.node_id").alias("node_id")).agg(whole.alias("body"), body_lines.alias("body_lines"))
+
+    head = lambda c, prefix: [F.col("node_id").alias(f"{prefix}_id"), F.col("heading").alias(f"{prefix}_heading"), F.col("level").alias(f"{prefix}_level"), F.col("marker_type").alias(f"{prefix}_type"), F.col("start_char").alias(f"{prefix}_start")]
+    ones, twos = nodes.where("level = 1"), nodes.where("level = 2")
+    two = twos.select("doc_id", "parent_start", *head(twos, "two")).join(bodies("two").withColumnRenamed("node_id", "two_id"), ["doc_id", "two_id"])
+    # blocks of items of each section of the second level
+    block = Window.partitionBy("doc_id", "two.node_id").orderBy("line_no")
+    numbered = placed.where("two IS NOT NULL").withColumn("block", F.sum(F.col("opens").cast("int")).over(block)).where("block > 0")
+    blocks = numbered.groupBy("doc_id", F.col("two.node_id").alias("two_id"), "block").agg(whole.alias("block_text"), F.min(F.struct("line_no", "line"))["line"].alias("block_heading"), F.min("start_char").alias("block_start")).where(F.char_length("block_text") >= least)
+    blocks = cut(blocks.withColumn("no", F.row_number().over(Window.partitionBy("doc_id", "two_id").orderBy("block")) - 1))
+    counts = blocks.groupBy("doc_id", "two_id").agg(F.count("*").alias("n_blocks"))
+    two = two.join(counts, ["doc_id", "two_id"], "left").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(0)))
+    rich = F.max((F.col("body_lines") >= 2).cast("int")).over(Window.partitionBy("doc_id", "parent_start", "two_type")) == 1
+    two = two.withColumn("emits", (F.char_length("body") >= least) & ((F.col("body_lines") >= 2) | ((F.col("body_lines") == 1) & F.col("parent_start").isNotNull() & rich)))
+    family = Window.partitionBy("doc_id", "parent_start")
+    merged = F.col("parent_start").isNotNull() & (F.sum(F.col("emits").cast("int")).over(family) <= 1)
+    two = cut(two.withColumns({"merged": merged, "many": F.max("n_blocks").over(family) >= 2}))
+    one = ones.select("doc_id", *head(ones, "one")).join(bodies("one").withColumnRenamed("node_id", "one_id"), ["doc_id", "one_id"]).withColumnRenamed("body", "text").drop("body_lines")
+    flags = two.where("parent_start IS NOT NULL").groupBy("doc_id", F.col("parent_start").alias("one_start")).agg(F.first("merged").alias("merged"), F.first("many").alias("many"))
+    one = one.join(flags, ["doc_id", "one_start"], "left").withColumns({"merged": F.coalesce("merged", F.lit(True)), "many": F.coalesce("many", F.lit(False))})
+    above = ones.select("doc_id", F.col("start_char").alias("parent_start"), *[c for c in head(ones, "one")][:4])
+    two = two.join(above, ["doc_id", "parent_start"], "left")
+
+    named = lambda c: F.concat(F.lit("chunk_"), c)
+    title_line = F.when(F.coalesce(heading_type(F.col("title")), F.lit("")) == "", F.concat(F.lit("# "), "title"))
+    up_one = _heading_line(F.col("one_heading"), F.col("one_level"), F.col("one_type"))
+    up_two = _heading_line(F.col("two_heading"), F.col("two_level"), F.col("two_type"))
+    null = F.lit(None).cast("string")
+
+    def chunk(d: DataFrame, role: str, start: str, base: Column, path: list, above: list, parent: Column, child: Column, grandchild: Column, body: str, block: Column) -> DataFrame:
+        lead = F.concat_ws("\n", title_line, *above) if markdown else F.lit("")
+        d = d.join(titles, "doc_id")
+        return d.select("doc_id", F.col(start).cast("int").alias("start_char"), F.lit(role).alias("role"), block.alias("block"), base.alias("base_id"), F.concat_ws(" > ", "title", *path).alias("path_text"), parent.alias("parent_chunk_id"), child.alias("child_chunk_id"), grandchild.alias("grandchild_chunk_id"), lead.alias("lead"), F.col(body).alias("body"))
+
+    no_block = F.lit(-1)
+    base = named(F.col("one_id"))
+    every = chunk(one.where(F.char_length("text") >= least), "parent", "one_start", base, ["one_heading"], [], base, F.when(F.col("merged"), base), F.when(F.col("merged") & ~F.col("many"), base), "text", no_block)
+    base, up = named(F.col("two_id")), F.coalesce(named(F.col("one_id")), named(F.col("two_id")))
+    every = every.unionByName(chunk(two.where("emits AND NOT merged"), "child", "two_start", base, ["one_heading", "two_heading"], [up_one], up, base, F.when(F.col("n_blocks") <= 1, base), "body", no_block))
+    small = two.where("n_blocks >= 2").select("doc_id", *[c for c in two.columns if c.startswith(("one_", "two_"))])
+    third = short_hash("chunk_sec_", F.concat_ws("|", "two_id", F.col("no").cast("string"), F.substring("block_heading", 1, 80)))
+    every = every.unionByName(chunk(blocks.join(small, ["doc_id", "two_id"]), "grandchild", "block_start", third, ["one_heading", "two_heading", "block_heading"], [up_one, up_two], F.coalesce(named(F.col("one_id")), third), named(F.col("two_id")), third, "block_text", F.col("no")))
+    bare = fixed.join(nodes.select("doc_id").distinct(), "doc_id", "left_anti")
+    loose = paragraphs(bare).withColumn("text", stripped(F.col("text"))).where(F.char_length("text") >= least)
+    base = named(short_hash("sec_", F.concat_ws("|", F.col("start_char").cast("string"), F.substring("text", 1, 40))))
+    every = every.unionByName(chunk(loose, "fallback", "start_char", base, [], [], base, base, base, "text", no_block))
+
+    room = F.greatest(F.lit(most) - F.when(F.col("lead") != "", F.char_length("lead") + 1).otherwise(0), F.lit(1))
+    assembled = F.concat(F.when(F.col("lead") != "", F.concat("lead", F.lit("\n"))).otherwise(F.lit("")), "body")
+    by_size = F.when(F.char_length("assembled") <= most, F.array("assembled")).when(F.col("role") == "parent", split_at_blocks(F.col("assembled"), "### ", most)).when(F.col("role") == "child", split_at_blocks(F.col("assembled"), "#### ", most))
+    with_lead = F.transform(_even_in(F.col("body"), room), lambda p: F.when(F.col("lead") != "", F.concat("lead", F.lit("\n"), p)).otherwise(p))
+    parts = every.withColumn("assembled", assembled).withColumn("parts", F.coalesce(by_size, with_lead)).select("*", F.posexplode("parts").alias("part", "chunk_text"))
+    level = F.when(F.col("role") == "child", 2).when(F.col("role") == "grandchild", 3).otherwise(1)
+    index = F.row_number().over(Window.partitionBy("doc_id").orderBy("start_char", "level", "block", "part")) - 1
     chunk_id = F.when(F.size("parts") > 1, F.concat("base_id", F.lit("_p"), F.col("part").cast("string"))).otherwise(F.col("base_id"))
-    return parts.select("doc_id", index.alias("chunk_index"), chunk_id.alias("chunk_id"), "role", "level", "path_text", "parent_chunk_id", "child_chunk_id", "chunk_text")
+    return parts.withColumn("level", level).select("doc_id", index.alias("chunk_index"), chunk_id.alias("chunk_id"), "role", "level", "path_text", "parent_chunk_id", "child_chunk_id", "grandchild_chunk_id", "chunk_text")
+
+
+def _even_in(c: Column, most: Column) -> Column:
+    """even_parts() with a limit that differs by row."""
+    n = F.ceil(F.char_length(c) / most)
+    width = F.ceil(F.char_length(c) / n).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), lambda i: F.substring(c, i * width + 1, width))
+    return F.when(F.char_length(c) > 0, F.filter(parts, lambda p: stripped(p) != "")).otherwise(F.array().cast("array<string>"))
+
+
+def with_vector_texts(chunks: DataFrame) -> DataFrame:
+    """``chunks`` with the texts that are embedded: the whole in plain form, and for sections under the first level their own part."""
+    c = chunks.withColumn("chunk_text", demoted(F.col("chunk_text")))
+    full, local = markdown_plain(F.col("chunk_text")), markdown_plain(without_headings(F.col("chunk_text")))
+    own = F.array(F.struct(F.lit("full_context_plain").alias("name"), full.alias("text")))
+    both = F.concat(own, F.array(F.struct(F.lit("local_context_plain").alias("name"), local.alias("text"))))
+    return c.withColumn("vector_texts", F.when((F.col("level") >= 2) & (local != full) & (local != ""), both).otherwise(own))
 
 
 def chunk_report(chunks: DataFrame) -> DataFrame:

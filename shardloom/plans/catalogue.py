@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from shardloom.functions import models
 from shardloom.functions import text as tx
 from shardloom.operators import chunking, rerank, search, store
 from shardloom.operators import structure as st
-from shardloom.plans import experiment
+from shardloom.plans import batch, experiment, registry
+from shardloom.sources import config
 from shardloom.sources import documents as src
 
 QUERIES: dict = {}
@@ -81,18 +83,18 @@ def l2_normalize(spark, d):
     return v.select("vec_id", F.round(square, 6).alias("square"), F.round(F.get(search.unit_length(F.col("embedding")), F.lit(0)), 6).alias("first"))
 
 
-_WORDS = "SELECT conv_id * 1000 + turn AS query_id, lower(split_part(text, ' ', 1)) AS token FROM conversations WHERE role = 'user' AND length(split_part(text, ' ', 1)) >= 6"
+def _whole_questions(spark, d):
+    """Passages of the benchmark and user turns, each as a single token: the whole question."""
+    turns = _t(spark, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
+    items = _t(spark, d, "benchmark").select((-1 - F.col("item_id")).alias("query_id"), "text")
+    return turns.unionByName(items).select("query_id", tx.query_tokens(F.col("text")).alias("tokens"))
 
 
-def _keyword_questions(spark, d, width=None):
-    word = F.lower(F.split_part("text", F.lit(" "), F.lit(1)))
-    c = _t(spark, d, "conversations").where((F.col("role") == "user") & (F.char_length(F.split_part("text", F.lit(" "), F.lit(1))) >= 6))
-    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.array(word).alias("tokens"))
-
-
-_KEY = f"""q AS ({_WORDS}), docs AS (SELECT doc_id, lower(text) AS body FROM documents),
-found AS (SELECT query_id, doc_id, token, body FROM q JOIN docs ON contains(body, token)),
-again AS (SELECT query_id, doc_id, token, body FROM q JOIN docs ON contains(body, substr(token, 1, 32)) WHERE query_id NOT IN (SELECT query_id FROM found)),
+_STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+_KEY = f"""q AS (SELECT conv_id * 1000 + turn AS query_id, lower({_STRIP.format("text")}) AS token FROM conversations WHERE role = 'user' UNION ALL SELECT -1 - item_id, lower({_STRIP.format("text")}) FROM benchmark),
+docs AS (SELECT doc_id, lower(text) AS body FROM documents),
+found AS (SELECT query_id, doc_id, token, body FROM q JOIN docs ON contains(body, token) WHERE token <> ''),
+again AS (SELECT query_id, doc_id, token, body FROM q JOIN docs ON contains(body, substr(token, 1, 32)) WHERE token <> '' AND query_id NOT IN (SELECT query_id FROM found)),
 both_ AS (SELECT * FROM found UNION ALL SELECT * FROM again),
 raw AS (SELECT query_id, doc_id, ((length(body) - length(replace(body, token, ''))) // length(token))::DOUBLE AS raw FROM both_),
 cut AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, doc_id) AS rank FROM raw) WHERE rank <= 30)"""
@@ -103,22 +105,20 @@ round(least(1.0, CASE WHEN max(raw) OVER w <= min(raw) OVER w THEN 1.0::DOUBLE E
 FROM cut WINDOW w AS (PARTITION BY query_id)""")
 def keyword_scored(spark, d):
     docs = _t(spark, d, "documents").select("doc_id", F.lower("text").alias("document_lower"))
-    hits = search.keyword_search(_keyword_questions(spark, d), docs, TOP_K)
+    hits = search.keyword_search(_whole_questions(spark, d), docs, TOP_K)
     return hits.select("query_id", "doc_id", "rank", "keyword_score_raw", F.round("final_score", 6).alias("final_score"))
 
 
-@query("""WITH q AS (SELECT conv_id * 1000 + turn AS query_id, lower(substr(text, 1, 60)) AS token FROM conversations WHERE role = 'user' AND length(text) >= 60),
-docs AS (SELECT conv_id * 1000 + turn AS doc_id, lower(text) AS body FROM conversations),
-found AS (SELECT query_id, doc_id, token, body FROM q JOIN docs ON contains(body, token || '~')),
-again AS (SELECT query_id, doc_id, token, body FROM q JOIN docs ON contains(body, substr(token, 1, 32)) WHERE query_id NOT IN (SELECT query_id FROM found)),
-raw AS (SELECT query_id, doc_id, ((length(body) - length(replace(body, token || '~', ''))) // (length(token) + 1)) AS raw FROM (SELECT * FROM found UNION ALL SELECT * FROM again))
-SELECT query_id, count(*) AS n, sum(raw)::BIGINT AS total FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, doc_id) AS r FROM raw) WHERE r <= 30 GROUP BY 1""")
+@query(f"""WITH q AS (SELECT doc_id AS query_id, lower({_STRIP.format("text")}) || '？' AS token FROM documents WHERE doc_id % 20 = 0 AND {_STRIP.format("text")} <> ''),
+docs AS (SELECT doc_id, lower(text) AS body FROM documents),
+hits AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS r FROM q JOIN docs ON contains(body, substr(token, 1, 32)))
+SELECT query_id, count(*) AS n, 0::BIGINT AS total, min(doc_id) AS first_doc FROM hits WHERE r <= 30 GROUP BY 1""")
 def keyword_head_fallback(spark, d):
-    """A long token that nothing contains: hits come from its first 32 characters and score 0."""
-    c = _t(spark, d, "conversations").withColumn("query_id", F.col("conv_id") * 1000 + F.col("turn"))
-    q = c.where((F.col("role") == "user") & (F.char_length("text") >= 60)).select("query_id", F.array(F.concat(F.lower(F.substring("text", 1, 60)), F.lit("~"))).alias("tokens"))
-    docs = c.select(F.col("query_id").alias("doc_id"), F.lower("text").alias("document_lower"))
-    return search.keyword_search(q, docs, TOP_K).groupBy("query_id").agg(F.count("*").alias("n"), F.sum("keyword_score_raw").cast("long").alias("total"))
+    """Questions that no document contains, as they quote a whole text and go on: hits come from the first 32 characters and score 0."""
+    docs = _t(spark, d, "documents")
+    q = docs.where((F.col("doc_id") % 20 == 0) & (tx.stripped(F.col("text")) != "")).select(F.col("doc_id").alias("query_id"), tx.query_tokens(F.concat(tx.stripped(F.col("text")), F.lit("？"))).alias("tokens"))
+    hits = search.keyword_search(q, docs.select("doc_id", F.lower("text").alias("document_lower")), TOP_K)
+    return hits.groupBy("query_id").agg(F.count("*").alias("n"), F.sum("keyword_score_raw").cast("long").alias("total"), F.min("doc_id").alias("first_doc"))
 
 
 @query("SELECT label AS query_id, vec_id AS record_id, 1.0::DOUBLE AS norm FROM embeddings")
@@ -271,7 +271,7 @@ def result_pivot(spark, d):
     return r.withColumns(texts).drop(*[f"retrieved_distance_{i}" for i in range(1, 5)])
 
 
-@query(f"SELECT conv_id * 1000 + turn AS query_id, '{experiment.NO_DOCUMENTS}' AS answer, '' AS prompt FROM conversations WHERE role = 'user'")
+@query("SELECT conv_id * 1000 + turn AS query_id, '参照ドキュメントから該当箇所が見つかりませんでした。' AS answer, '' AS prompt FROM conversations WHERE role = 'user'")
 def search_empty_strategy(spark, d):
     """The strategy that never finds anything: every question has the fixed reply."""
     q = _t(spark, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("question"))
@@ -320,9 +320,10 @@ def ocr_switch(spark, d):
     return src.needs_ocr(pages, 2400)
 
 
-@query("SELECT source AS doc, sha256(string_agg(trim(text), chr(10) || chr(10) ORDER BY doc_id)) AS text FROM documents WHERE trim(text) <> '' GROUP BY 1")
+@query("SELECT source || '/' || (doc_id // 20) AS doc, sha256(string_agg(trim(text), chr(10) || chr(10) ORDER BY doc_id)) AS text FROM documents WHERE trim(text) <> '' GROUP BY 1")
 def page_join(spark, d):
-    pages = _t(spark, d, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), "text")
+    """Documents of at most 20 pages: those of a source whose ids follow each other."""
+    pages = _t(spark, d, "documents").select(F.concat_ws("/", "source", F.floor(F.col("doc_id") / 20).cast("string")).alias("doc"), F.col("doc_id").alias("page"), "text")
     return src.joined_pages(pages).withColumn("text", F.sha2("text", 256))
 
 
@@ -333,10 +334,12 @@ def doc_ids(spark, d):
     return _t(spark, d, "documents").select("doc_id", tx.doc_key(up).alias("doc_key"), up.alias("source"))
 
 
-@query("SELECT doc_id, sha256(source)[:16] || ':' || (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) AS chunk_id FROM documents WHERE text <> ''")
+@query("SELECT doc_id, sha256(source || '/' || (doc_id // 100))[:16] || ':' || (row_number() OVER (PARTITION BY source, doc_id // 100 ORDER BY doc_id) - 1) AS chunk_id FROM documents WHERE text <> ''")
 def chunk_ids(spark, d):
-    w = Window.partitionBy("source").orderBy("doc_id")
-    return _t(spark, d, "documents").where("text <> ''").select("doc_id", F.concat(tx.doc_key(F.col("source")), F.lit(":"), F.row_number().over(w) - 1).alias("chunk_id"))
+    """Texts as chunks of documents of at most 100 of them."""
+    doc = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 100).cast("string"))
+    w = Window.partitionBy("doc").orderBy("doc_id")
+    return _t(spark, d, "documents").where("text <> ''").withColumn("doc", doc).select("doc_id", F.concat(tx.doc_key(F.col("doc")), F.lit(":"), F.row_number().over(w) - 1).alias("chunk_id"))
 
 
 @query("""SELECT doc_id, name AS variant, CASE WHEN name = 'a b' THEN doc_id || '::vector::a_b' ELSE doc_id || '::vector::full' END AS record_id, md5(lower(CASE WHEN name = 'a b' THEN trim(split_part(text, chr(10), 1)) ELSE trim(text) END)) AS body
@@ -426,11 +429,12 @@ def markdown_plain(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.md5(tx.markdown_plain(marked)).alias("plain"))
 
 
-@query("""SELECT doc_id, md5('a' || chr(10) || text) AS local, md5('- ' || replace(text, chr(10), chr(10) || '- ')) AS demoted, md5(text) AS stripped FROM documents WHERE text NOT LIKE '- %' AND NOT contains(text, chr(10) || '- ') AND NOT regexp_matches(text, '(?m)^(#{1,4}|-) ') AND NOT regexp_matches(text, '(?m)^\\s*#{1,2}\\s+') AND text = regexp_replace(text, '^\\s+|\\s+$', '', 'g')""")
+@query(r"""WITH m AS (SELECT doc_id, '# x' || chr(10) || 'a' || chr(10) || '## y' || chr(10) || text AS headed, '#### ' || replace(text, chr(10), chr(10) || '#### ') AS fourth FROM documents),
+l AS (SELECT doc_id, headed, fourth, list_filter(string_split(headed, chr(10)), lambda x: NOT regexp_matches(x, '^\s*#{1,2}\s+')) AS kept FROM m)
+SELECT doc_id, md5(regexp_replace(array_to_string(kept, chr(10)), '^\s+|\s+$', '', 'g')) AS local, md5(CASE WHEN regexp_matches(fourth, '(?m)^- ') THEN fourth ELSE regexp_replace(fourth, '(?m)^#### ', '- ', 'g') END) AS demoted, md5(regexp_replace(fourth, '(?m)^(#{1,4}|-) ', '', 'g')) AS stripped FROM l""")
 def markdown_steps(spark, d):
-    """Heading removal, demotion and prefix removal undo the marks put on plain texts."""
-    plain = ~F.col("text").rlike("(?m)^- ") & ~F.col("text").rlike("(?m)^(#{1,4}|-) ") & ~F.col("text").rlike(r"(?m)^\s*#{1,2}\s+") & (F.col("text") == tx.stripped(F.col("text")))
-    docs = _t(spark, d, "documents").where(plain)
+    """Heading removal, demotion and prefix removal over all texts, with marks put before their lines."""
+    docs = _t(spark, d, "documents")
     headed = F.concat(F.lit("# x\na\n## y\n"), "text")
     fourth = F.concat(F.lit("#### "), F.replace("text", F.lit("\n"), F.lit("\n#### ")))
     return docs.select("doc_id", F.md5(tx.without_headings(headed)).alias("local"), F.md5(tx.demoted(fourth)).alias("demoted"), F.md5(tx.without_prefixes(fourth)).alias("stripped"))
@@ -475,19 +479,21 @@ def recursive_split(spark, d):
 
 
 # -- structure ------------------------------------------------------------------------------------
-# Regulations made of the relational tables: a text for each region, chapters of nations, articles of customers, an appendix.
+# Regulations made of the relational tables, whose number grows with them: a text for each nation and 2,000 customer keys, chapters of
+# three articles of four customers, an appendix.
 
 def _rules_docs(spark, d):
     c = _t(spark, d, "customer").join(_t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    c = c.withColumn("i", F.row_number().over(Window.partitionBy("n_nationkey").orderBy("c_custkey")))
-    item = F.struct("i", F.concat(F.col("i").cast("string"), F.lit(". "), "c_name").alias("t"))
-    a = c.groupBy("n_regionkey", "n_nationkey", "n_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["t"]), "\n").alias("items"))
-    a = a.withColumn("m", F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")))
-    text = F.concat(F.when(F.col("m") == 4, "第2章 続\n\n").otherwise(""), F.lit("第"), F.col("m").cast("string"), F.lit("条（"), "n_name", F.lit("）\n"), "items")
-    per = a.groupBy("n_regionkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("m", text.alias("t")))), lambda x: x["t"]), "\n\n").alias("articles"))
-    r = per.join(_t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    whole = F.concat(F.lit("規程"), "r_name", F.lit("\n\n第1章 "), "r_name", F.lit("\n\n"), "articles", F.lit("\n\n附則\nこの規程は公布の日から施行する。"))
-    return r.select(F.col("r_regionkey").alias("doc_id"), whole.alias("text"))
+    c = c.withColumn("doc_id", F.col("n_nationkey").cast("long") * 1_000_000 + F.floor(F.col("c_custkey") / 2000))
+    i = F.row_number().over(Window.partitionBy("doc_id").orderBy("c_custkey")) - 1
+    c = c.withColumn("i", i).withColumns({"art": F.floor(F.col("i") / 4) + 1, "ch": F.floor(F.col("i") / 12) + 1})
+    item = F.struct("i", F.concat((F.col("i") % 4 + 1).cast("string"), F.lit(". "), "c_name").alias("t"), "c_mktsegment")
+    a = c.groupBy("doc_id", "n_name", "art", "ch").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    body = F.concat(F.lit("第"), F.col("art").cast("string"), F.lit("条（"), F.get("items", F.lit(0))["c_mktsegment"], F.lit("）\n"), F.array_join(F.transform("items", lambda x: x["t"]), "\n"))
+    opened = F.when((F.col("art") - 1) % 3 == 0, F.concat(F.lit("第"), F.col("ch").cast("string"), F.lit("章 "), "n_name", F.lit("\n\n"))).otherwise("")
+    per = a.groupBy("doc_id", "n_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("art", F.concat(opened, body).alias("t")))), lambda x: x["t"]), "\n\n").alias("articles"))
+    whole = F.concat(F.lit("規程"), "n_name", F.lit("\n\n"), "articles", F.lit("\n\n附則\nこの規程は公布の日から施行する。"))
+    return per.select("doc_id", whole.alias("text"))
 
 
 _N = "0-9０-９一二三四五六七八九十百千〇"
@@ -497,11 +503,11 @@ _RULE_SQL = "CASE " + " ".join(f"WHEN regexp_matches(h, '{p}') THEN '{n}'" for n
     ("alpha", r"^[A-Z][.)]\s"), ("circle_bullet", r"^○\s*\S"), ("bullet", r"^[•・\-]\s"))) + " END"
 _HINT_SQL = "CASE marker_type WHEN 'appendix' THEN 1 WHEN 'japanese_chapter' THEN 1 WHEN 'japanese_article' THEN 2 WHEN 'japanese_section' THEN 3 WHEN 'decimal_number' THEN 3 WHEN 'circle_bullet' THEN 5 WHEN 'bullet' THEN 5 ELSE 4 END"
 _PRIO_SQL = "CASE marker_type " + " ".join(f"WHEN '{n}' THEN {12 - k}" for k, n in enumerate(st.NAMES)) + " END"
-_DOCS = f"""c AS (SELECT n_regionkey, n_nationkey, n_name, c_name, row_number() OVER (PARTITION BY n_nationkey ORDER BY c_custkey) AS i FROM customer JOIN nation ON c_nationkey = n_nationkey),
-a0 AS (SELECT n_regionkey, n_nationkey, n_name, string_agg(i || '. ' || c_name, chr(10) ORDER BY i) AS items FROM c GROUP BY ALL),
-a AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS m FROM a0),
-docs AS (SELECT r_regionkey AS doc_id, '規程' || r_name || chr(10) || chr(10) || '第1章 ' || r_name || chr(10) || chr(10) || string_agg(CASE WHEN m = 4 THEN '第2章 続' || chr(10) || chr(10) ELSE '' END || '第' || m || '条（' || n_name || '）' || chr(10) || items, chr(10) || chr(10) ORDER BY m)
-  || chr(10) || chr(10) || '附則' || chr(10) || 'この規程は公布の日から施行する。' AS text FROM a JOIN region ON n_regionkey = r_regionkey GROUP BY r_regionkey, r_name),
+_RULE_DOCS = """c AS (SELECT n_nationkey::BIGINT * 1000000 + c_custkey // 2000 AS doc_id, n_name, c_name, c_mktsegment, row_number() OVER (PARTITION BY n_nationkey, c_custkey // 2000 ORDER BY c_custkey) - 1 AS i FROM customer JOIN nation ON c_nationkey = n_nationkey),
+a AS (SELECT doc_id, n_name, i // 4 + 1 AS art, i // 12 + 1 AS ch, '第' || (i // 4 + 1) || '条（' || arg_min(c_mktsegment, i) || '）' || chr(10) || string_agg((i % 4 + 1) || '. ' || c_name, chr(10) ORDER BY i) AS t FROM c GROUP BY doc_id, n_name, i // 4, i // 12),
+docs AS (SELECT doc_id, '規程' || n_name || chr(10) || chr(10) || string_agg(CASE WHEN (art - 1) % 3 = 0 THEN '第' || ch || '章 ' || n_name || chr(10) || chr(10) ELSE '' END || t, chr(10) || chr(10) ORDER BY art)
+  || chr(10) || chr(10) || '附則' || chr(10) || 'この規程は公布の日から施行する。' AS text FROM a GROUP BY doc_id, n_name)"""
+_DOCS = f"""{_RULE_DOCS},
 l0 AS (SELECT doc_id, text, length(text) AS text_length, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no, unnest(string_split(text, chr(10))) AS line FROM docs),
 l AS (SELECT doc_id, text_length, line_no, line, ltrim(line) AS h, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS start_char,
   coalesce(trim(lag(line) OVER (PARTITION BY doc_id ORDER BY line_no)) = '', false) AS blank FROM l0),
@@ -575,7 +581,12 @@ def blank_before_heading(spark, d):
     return st.blank_before_headings(_rules_docs(spark, d)).withColumn("text", F.md5("text"))
 
 
-@query(f"""WITH {_DOCS} SELECT doc_id, md5(text) AS text FROM docs""")
+@query(f"""WITH {_RULE_DOCS}, gaps AS (SELECT doc_id, regexp_replace(text, '\\n([2-9]\\. )', chr(10) || chr(10) || '\\1', 'g') AS text FROM docs),
+l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS line FROM gaps),
+v AS (SELECT *, nullif(regexp_extract(line, '^([0-9]{{1,2}})\\. ', 1), '')::INT AS value FROM l),
+n AS (SELECT *, last_value(CASE WHEN line <> '' THEN coalesce(value, -9) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above,
+  first_value(CASE WHEN line <> '' THEN coalesce(value, -9) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS below FROM v)
+SELECT doc_id, md5(string_agg(line, chr(10) ORDER BY i)) AS text FROM n WHERE NOT coalesce(line = '' AND above > 0 AND below = above + 1, false) GROUP BY 1""")
 def enumeration_collapse(spark, d):
     """Blank lines put between the items of each article go again."""
     gaps = _rules_docs(spark, d).withColumn("text", F.regexp_replace("text", r"\n(?=([2-9]|[1-9][0-9])\. )", "\n\n"))
@@ -602,13 +613,7 @@ def structure_chunks_v5(spark, d):
 @query()
 def structure_chunks_v6(spark, d):
     """With the texts that are embedded: the whole in plain form, and for sections under the first level their own part."""
-    c = st.structure_chunks(_rules_docs(spark, d), most=1000)
-    c = c.withColumn("chunk_text", tx.demoted(F.col("chunk_text")))
-    full, local = tx.markdown_plain(F.col("chunk_text")), tx.markdown_plain(tx.without_headings(F.col("chunk_text")))
-    local_too = (F.col("level") >= 2) & (local != full) & (local != "")
-    own = F.array(F.struct(F.lit("full_context_plain").alias("name"), full.alias("text")))
-    both = F.concat(own, F.array(F.struct(F.lit("local_context_plain").alias("name"), local.alias("text"))))
-    return store.vector_records(c.withColumn("vector_texts", F.when(local_too, both).otherwise(own)))
+    return store.vector_records(st.with_vector_texts(st.structure_chunks(_rules_docs(spark, d), most=1000)))
 
 
 @query()
@@ -617,5 +622,53 @@ def chunk_report(spark, d):
     return st.chunk_report(st.structure_chunks(_t(spark, d, "documents").select("doc_id", "text")))
 
 
+# -- batches --------------------------------------------------------------------------------------
+
+@query(f"WITH {_HITS} SELECT query_id, record_id, format('{{:.8g}}', vraw) AS cell, format('{{:.8g}}', vraw * 12345.678) AS large, format('{{:.8g}}', vraw / 1234567.0) AS small FROM scored")
+def csv_cells(spark, d):
+    """Numbers as result tables hold them, with eight significant digits."""
+    raw = F.col("vector_score_raw")
+    return search.scored_hits(_hits(spark, d)).select("query_id", "record_id", experiment.significant(raw).alias("cell"), experiment.significant(raw * 12345.678).alias("large"), experiment.significant(raw / 1234567.0).alias("small"))
+
+
+_FIXED = """'e1' AS research_pair_id, '{"k": 4}' AS research_pair_spec, q.question_index::VARCHAR AS question_index, 'set' AS document_set_id, 'sample' AS dataset_name, q.question AS input"""
+
+
+@query(f"""WITH {_TEXT_HITS}, q AS (SELECT vec_id AS query_id, (row_number() OVER (ORDER BY vec_id) - 1) AS question_index, 'question ' || vec_id AS question FROM embeddings WHERE vec_id % 20 = 0),
+cells AS (SELECT query_id, rank, source, chunk_id, format('{{:.8g}}', 1.0 / (1.0 + least(100.0, distance))) AS raw, CASE WHEN length(t) <= 800 THEN t ELSE substr(t, 1, 797) || '...' END AS snip, '---' || chr(10) || '出典: ' || source || chr(10) || chunk_text || chr(10) AS block FROM (SELECT *, trim(replace(replace(chunk_text, chr(13), ' '), chr(10), ' ')) AS t FROM th)),
+p AS (SELECT query_id, string_agg(block, chr(10) ORDER BY rank) AS context, {", ".join(f"coalesce(max(CASE WHEN rank = {i} THEN {e} END), '') AS {n}_{i}" for i in range(1, 5) for n, e in (("retrieved_source", "source"), ("retrieved_chunk_id", "chunk_id"), ("retrieved_distance", "raw"), ("retrieved_text", "sha256(snip)")))} FROM cells GROUP BY 1)
+SELECT {_FIXED}, sha256(CASE WHEN p.query_id IS NULL THEN '' ELSE 'コンテキスト:' || chr(10) || context || chr(10) || chr(10) || '質問:' || chr(10) || q.question END) AS llm_user_prompt,
+CASE WHEN p.query_id IS NULL THEN '参照ドキュメントから該当箇所が見つかりませんでした。' ELSE q.question END AS output, '4' AS top_k, 'logic_06' AS chunking_logic_id, 'logic_01' AS tokenizer_logic_id, 'logic_01' AS search_logic_id, 'logic_01' AS reranking_logic_id, 'logic_05' AS prompt_logic_id,
+'' AS llm_model, '' AS embedding_provider, '' AS embedding_model, '' AS ragas_faithfulness, '' AS ragas_answer_relevancy, {", ".join(f"coalesce({n}_{i}, '') AS {n}_{i}" for i in range(1, 5) for n in ("retrieved_source", "retrieved_chunk_id", "retrieved_distance", "retrieved_text"))}
+FROM q LEFT JOIN p USING (query_id)""")
+def batch_result(spark, d):
+    """The result table of an experiment over the stated question set: 21 fixed columns, two of them times and left out here, and four for each rank."""
+    e = config.Experiment("e1", "logic_01", "logic_06", "logic_01", "logic_01", "logic_05", 4, "sample", "set")
+    q = _t(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.concat(F.lit("question "), F.col("vec_id")).alias("question"))
+    hits = search.scored_hits(_text_hits(spark, d))
+    table = batch.result_table(e, batch.numbered(q, "query_id"), hits, '{"k": 4}', models.echo_chat)
+    hashed = {c: F.when(F.col(c) != "", F.sha2(c, 256)).otherwise("") for c in [f"retrieved_text_{i}" for i in range(1, 5)]}
+    return table.withColumns(hashed | {"llm_user_prompt": F.sha2("llm_user_prompt", 256)}).drop("rag_latency_ms", "total_latency_ms")
+
+
+@query("SELECT 'logic_' || lpad(i::VARCHAR, 2, '0') AS logic_id, true AS ok FROM range(1, 12) AS r(i)")
+def system_prompts(spark, d):
+    """Every prompt logic has a text that isn't empty."""
+    rows = [(k, registry.system_prompt(k)) for k in registry.ids("prompt")]
+    return spark.createDataFrame(rows, "logic_id string, text string").select("logic_id", (F.char_length("text") > 0).alias("ok"))
+
+
+@query()
+def structure_chunks_v2(spark, d):
+    return registry.chunker("logic_02")(_rules_docs(spark, d))
+
+
+@query(f"""WITH {_RULE_DOCS} SELECT doc_id, md5(replace(text, '附則' || chr(10), '附則')) AS text FROM docs""")
+def repaired_lines(spark, d):
+    """Articles put behind the last item of the article before get lines of their own again; the appendix's sentence is joined to its heading."""
+    broken = F.regexp_replace("text", r"(?<=[0-9])\n\n(?=第[0-9]+条)", "")
+    return st.repaired(_rules_docs(spark, d).withColumn("text", broken)).withColumn("text", F.md5("text"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rerank_logic02(spark, sf_dir)

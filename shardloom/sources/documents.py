@@ -15,9 +15,17 @@ def suffix(path: Column) -> Column:
 
 
 def read_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """path, content of all files under a folder, suffixes in lower case first, then by path."""
+    """path, content of all files under a folder; none is an error."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
-    return files.select("path", "content").orderBy(F.regexp_extract("path", r"\.([^./]+)$", 1).rlike("^[A-Z]+$"), "path")
+    if files.select("path").isEmpty():
+        raise FileNotFoundError(f"no files in {folder}")
+    return files.select("path", "content")
+
+
+def in_order(files: DataFrame) -> DataFrame:
+    """path, position of files, suffixes in lower case first, then by path; contents aren't sorted along."""
+    paths = files.select("path").orderBy(F.regexp_extract("path", r"\.([^./]+)$", 1).rlike("^[A-Z]+$"), "path")
+    return paths.withColumn("position", F.monotonically_increasing_id())
 
 
 def ingest_status(files: DataFrame) -> DataFrame:
