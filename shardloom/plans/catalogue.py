@@ -666,7 +666,7 @@ def structure_chunks_v2(spark, d):
 @query(f"""WITH {_RULE_DOCS} SELECT doc_id, md5(replace(text, '附則' || chr(10), '附則')) AS text FROM docs""")
 def repaired_lines(spark, d):
     """Articles put behind the last item of the article before get lines of their own again; the appendix's sentence is joined to its heading."""
-    broken = F.regexp_replace("text", r"(?<=[0-9])\n\n(?=第[0-9]+条)", "")
+    broken = F.regexp_replace("text", r"(?<=#[0-9]{9})\n\n(?=第[0-9]+条)", "")
     return st.repaired(_rules_docs(spark, d).withColumn("text", broken)).withColumn("text", F.md5("text"))
 
 
