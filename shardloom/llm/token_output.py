@@ -41,6 +41,8 @@ _LIST = struct.Struct("<QQQQQ")
 _SAMPLE = 64
 #: UTF-8 bytes of text that a partition encodes, about.
 PARTITION_BYTES = 64 << 20
+#: Shards whose first places, 12 bytes each, are sent to all tasks.
+SENT_SHARDS = 1 << 19
 
 
 class EliasFano:
@@ -276,7 +278,7 @@ _BLOCKS = "shard int, seq int, n_docs long, n_ids long, inside long, block binar
 def read_token_blocks(spark: SparkSession, path: str) -> DataFrame:
     """shard, seq, n_docs, n_ids, block, start: the blocks with the number of ids in all blocks before.
 
-    Each shard's total (a row per shard) goes through the driver; Spark sends it to all tasks only while it is under its limit.
+    Each shard's total (a row per shard) goes through the driver; while there are at most SENT_SHARDS they are sent to all tasks, beyond that joined.
     """
     blocks = spark.read.schema(_BLOCKS).parquet(path)
     before, at = [], 0
@@ -284,6 +286,8 @@ def read_token_blocks(spark: SparkSession, path: str) -> DataFrame:
         before.append((shard, at))
         at += n
     base = spark.createDataFrame(before, "shard int, base long")
+    if len(before) <= SENT_SHARDS:
+        base = F.broadcast(base)
     return blocks.join(base, "shard").select("shard", "seq", "n_docs", "n_ids", "block", (F.col("base") + F.col("inside")).alias("start"))
 
 
