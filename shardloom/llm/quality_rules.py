@@ -94,8 +94,10 @@ def base_failed() -> Column:
     return F.expr("n_words < 10 OR 100 * n_repeat_words > 20 * n_words")
 
 
-#: Each class has this many documents more, with the votes of all documents on average: it keeps rates off 0 and favours no class.
-PRIOR = 2.0
+#: Anchors: each class has this share of all documents more (and two), whose votes are bad, abstaining and good in these shares. They say which
+#: class is which and hold the bad one where hardly any document is bad; what documents say outweighs them, and no rate is bounded.
+ANCHOR = 0.05
+EXPECTED = ((0.3, 0.1, 0.6), (0.01, 0.04, 0.95))  # of the bad class, of the good class
 #: First guess of a document's quality by the number of its bad votes (the last for that many and more).
 START = (0.95, 0.4, 0.02)
 
@@ -103,27 +105,25 @@ START = (0.95, 0.4, 0.02)
 def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 500) -> tuple[float, np.ndarray]:
     """Share of good documents, and [class, rule, outcome] rates: class 1 is good, outcomes are bad, abstain, good.
 
-    ``patterns``: votes and how many documents have them. No rate is bounded; the first guess alone
-    says which class is which, and if the estimate ends the other way round (the class called good has
-    more bad votes), the classes are exchanged. No documents give equal rates.
+    ``patterns``: votes and how many documents have them. ANCHOR keeps the classes apart. No documents
+    give the rates that are expected.
     """
     votes = np.array([v for v, _ in patterns], np.int64).reshape(-1, len(RULES)) + 1
     counts = np.array([c for _, c in patterns], np.float64)
     n = counts.sum()
     good = np.array(START)[np.minimum((votes == 0).sum(1), len(START) - 1)]
-    share, rates = 0.5, np.full((2, len(RULES), 3), 1 / 3)
-    average = [(np.bincount(votes[:, r], counts, 3) + 1e-9) / (n + 3e-9) for r in range(len(RULES))]
+    held = ANCHOR * n + 2
+    rates = np.repeat(np.array(EXPECTED)[:, None, :], len(RULES), axis=1)
+    share = 0.5
     for _ in range(rounds if n else 0):
-        share = (good @ counts + PRIOR) / (n + 2 * PRIOR)
+        share = (good @ counts + 1) / (n + 2)
         for k, weight in enumerate(((1 - good) * counts, good * counts)):
             for r in range(len(RULES)):
-                seen = np.bincount(votes[:, r], weight, 3) + PRIOR * average[r]
+                seen = np.bincount(votes[:, r], weight, 3) + held * np.array(EXPECTED[k])
                 rates[k, r] = seen / seen.sum()
         before, good = good, 1 / (1 + np.exp(-log_odds(share, rates, votes - 1)))
         if np.abs(good - before).max() < 1e-10:
             break
-    if rates[1, :, 0].sum() > rates[0, :, 0].sum():
-        share, rates = 1 - share, rates[::-1].copy()
     return float(share), rates
 
 
