@@ -35,6 +35,9 @@ class Experiment:
     ingest_pipeline_id: str | None = None
     ragas_enabled: bool = False
     rag_hybrid_delegate: str | None = None
+    llm_api_base_url: str | None = None
+    embedding_base_url: str | None = None
+    langfuse_enabled: bool | None = None
 
     def __post_init__(self):
         put = lambda k, v: object.__setattr__(self, k, v)
@@ -64,7 +67,7 @@ class Experiment:
 
     def ingest_fingerprint(self) -> str:
         """Equal for experiments whose vector records are the same, so that one may reuse the other's."""
-        parts = (self.chunking_logic_id, self.document_set_id, self.ingest_pipeline_id, self.embedding_provider, self.embedding_model)
+        parts = (self.chunking_logic_id, self.document_set_id, self.ingest_pipeline_id, self.embedding_provider, self.embedding_base_url, self.embedding_model)
         return hashlib.sha256(json.dumps(parts).encode()).hexdigest()[:16]
 
 
@@ -86,7 +89,9 @@ def parse(text: str, suffix: str) -> Experiment:
     if not isinstance(data, dict):
         raise ValueError("a configuration is an object")
     known = {f.name for f in fields(Experiment)}
-    return Experiment(**{k: v for k, v in data.items() if k in known})
+    if unknown := sorted(set(data) - known):
+        raise ValueError(f"unknown keys: {unknown}")
+    return Experiment(**data)
 
 
 def read_experiment(folder: str, name: str) -> Experiment:

@@ -1,3 +1,5 @@
+import dataclasses
+import json
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,10 +125,10 @@ def test_structure(spark):
     assert {r.marker_type for r in c} == {"japanese_chapter", "japanese_article", "numeric_dot", "appendix"}
     assert [r.value for r in c if r.marker_type == "numeric_dot"] == [1, 2, 3, 1, 2, 1, 2, 1, 2]
     chunks = st.structure_chunks(docs).orderBy("doc_id", "chunk_index").collect()
-    assert [r.chunk_text for r in chunks if r.doc_id == 2] == ["no heading", "second part"]
+    assert [r.chunk_text for r in chunks if r.doc_id == 2] == ["# no heading\nno heading", "# no heading\nsecond part"]
     assert all(r.role == "fallback" for r in chunks if r.doc_id == 2)
     first = [r for r in chunks if r.doc_id == 1]
-    assert len({r.chunk_id for r in first}) == len(first) and any(r.chunk_text.startswith("## ") for r in first)
+    assert len({r.chunk_id for r in first}) == len(first) and all(r.chunk_text.startswith("# 就業規則\n## ") for r in first)
 
 
 def test_configuration(tmp_path):
@@ -164,3 +166,97 @@ def test_incremental_ingest(spark, tmp_path):
     rows = ingest.latest(spark, out).collect()
     assert sorted((r.source, r.chunk_text) for r in rows) == [("uploaded/a.txt", "first text"), ("uploaded/b.txt", "second text")]
     assert all(abs(sum(x * x for x in r.embedding) - 1) < 1e-5 for r in rows)
+
+
+BROKEN = """就業規程
+
+第1章 総則
+第1条（目的）
+
+この規程は労働基準法第89条に基づき働き方を定め
+る。第2条（定義）
+次のとおりとする。1. 社員とは雇用された者をいう。2. 役員とは次の者をいう。
+
+(1) 取締役となった者
+
+(2) 監査役となった者
+
+3. 顧問とはそれ以外の者をいう。
+第2章 服務
+第3条（義務）
+誠実に働く。
+規律を守る。
+附則
+この規程は公布の日から施行する。"""
+
+
+def test_broken_lines_and_whole_chunk_list(spark):
+    """Worked out by hand: two sections in the first chapter, one in the second, which stands for it; items nested in items."""
+    docs = spark.createDataFrame([(1, BROKEN), (2, ""), (3, None)], "doc_id long, text string")
+    fixed = {r.doc_id: r.text for r in st.repaired(docs).collect()}
+    assert fixed[1] == "就業規程\n\n第1章 総則\n\n第1条（目的）\nこの規程は労働基準法第89条に基づき働き方を定める。\n\n第2条（定義）\n次のとおりとする。\n1. 社員とは雇用された者をいう。\n2. 役員とは次の者をいう。\n\n(1) 取締役となった者\n(2) 監査役となった者\n\n3. 顧問とはそれ以外の者をいう。\n\n第2章 服務\n\n第3条（義務）\n誠実に働く。\n規律を守る。\n\n附則この規程は公布の日から施行する。"
+    up, second = "# 就業規程\n## 第1章 総則\n", "### 第2条（定義）\n"
+    third = "#### 2. 役員とは次の者をいう。\n\n- (1) 取締役となった者\n- (2) 監査役となった者"
+    want = [
+        ("parent", up + "### 第1条（目的）\nこの規程は労働基準法第89条に基づき働き方を定める。"),
+        ("parent", up + second + "次のとおりとする。\n#### 1. 社員とは雇用された者をいう。\n" + third + "\n\n#### 3. 顧問とはそれ以外の者をいう。"),
+        ("child", up + "### 第1条（目的）\nこの規程は労働基準法第89条に基づき働き方を定める。"),
+        ("child", up + second + "次のとおりとする。\n#### 1. 社員とは雇用された者をいう。\n" + third),
+        ("child", up + second + "次のとおりとする。\n#### 3. 顧問とはそれ以外の者をいう。"),
+        ("grandchild", up + second + "#### 1. 社員とは雇用された者をいう。"),
+        ("grandchild", up + second + third),
+        ("grandchild", up + second + "#### 3. 顧問とはそれ以外の者をいう。"),
+        ("parent", "# 就業規程\n## 第2章 服務\n\n### 第3条（義務）\n誠実に働く。\n規律を守る。"),
+        ("parent", "# 就業規程\n## 附則この規程は公布の日から施行する。"),
+    ]
+    got = st.structure_chunks(docs, most=120).orderBy("chunk_index").collect()
+    assert [(r.role, r.chunk_text) for r in got] == want
+    assert got[8].parent_chunk_id == got[8].child_chunk_id == got[8].grandchild_chunk_id and got[0].child_chunk_id is None
+    assert got[6].parent_chunk_id == got[2].parent_chunk_id and got[6].child_chunk_id == got[3].child_chunk_id and got[2].grandchild_chunk_id == got[2].chunk_id
+
+
+def test_nested_items(spark):
+    for items, want in (([("a", 1), ("a", 1), ("a", 2), ("a", 3), ("a", 2), ("a", 3), ("a", 4)], [0, 1, 1, 1, 0, 0, 0]), ([("a", 2), ("a", 3), ("b", 1), ("b", 2), ("a", 4), ("a", 5)], [0, 0, 1, 1, 0, 0]), ([], [])):
+        df = spark.createDataFrame([(items,)], "x array<struct<type:string,value:int>>")
+        assert df.select(st.nested_levels(F.col("x")).alias("d")).first().d == want
+
+
+def test_vectors_of_several_lengths(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0]), (3, [0.0, 1.0]), (4, [2.0]), (5, None)], "record_id long, embedding array<double>").coalesce(1)
+    q = spark.createDataFrame([(7, [1.0, 0.1]), (8, [1.9])], "query_id long, embedding array<double>").coalesce(1)
+    assert sorted((r.query_id, r.rank, r.record_id) for r in search.vector_top_k(q, v, 3).collect()) == [(7, 1, 1), (7, 2, 3), (8, 1, 4), (8, 2, 2)]
+
+
+def test_keywords_are_counted_without_overlaps(spark):
+    docs = spark.createDataFrame([(1, "aaaa b"), (2, "aa"), (3, None), (4, "x" * 40 + "y")], "doc_id long, document_lower string")
+    q = spark.createDataFrame([(1, ["aa"]), (2, ["x" * 40 + "?"]), (3, []), (4, ["aa", "b"])], "query_id long, tokens array<string>")
+    got = sorted((r.query_id, r.rank, r.doc_id, r.keyword_score_raw) for r in search.keyword_search(q, docs, 5).collect())
+    assert got == [(1, 1, 1, 2.0), (1, 2, 2, 1.0), (2, 1, 4, 0.0), (4, 1, 1, 3.0), (4, 2, 2, 1.0)]
+
+
+def test_batch(spark, tmp_path):
+    from shardloom.plans import batch, registry
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.txt").write_text(RULES, encoding="utf-8")
+    (tmp_path / "in/b.txt").write_text("plain words about holidays\n\nand more words about work", encoding="utf-8")
+    base = {f"{k}_logic_id": "logic_01" for k in ("search", "reranking", "tokenizer")}
+    e = config.Experiment(research_pair_id="p", chunking_logic_id="logic_06", prompt_logic_id="logic_05", top_k=2, qa_dataset="q.json", document_set_id="d", **base)
+    q = spark.createDataFrame([(5, "words about holidays"), (9, "  ")], "query_id long, question string")
+    out = batch.run(spark, e, src.read_files(spark, str(tmp_path / "in")), q, str(tmp_path / "records"))
+    assert out.columns == batch.columns(2) and len(batch.FIXED) == 21
+    rows = {r.question_index: r for r in out.collect()}
+    assert rows["0"].retrieved_source_1 == "uploaded/b.txt" and "holidays" in rows["0"].llm_user_prompt and rows["0"].output
+    assert rows["1"].llm_user_prompt == "" and rows["1"].retrieved_source_1 == "" and "見つかりません" in rows["1"].output
+    batch.export_csv(out, str(tmp_path / "csv"))
+    texts = [p.read_bytes() for p in (tmp_path / "csv").glob("part-*")]
+    assert texts and all(t.startswith(b"\xef\xbb\xbfresearch_pair_id,") for t in texts)
+    batch.export_json(out, str(tmp_path / "json"), "q")
+    (part,) = (tmp_path / "json").glob("part-*")
+    data = json.loads(part.read_text(encoding="utf-8"))
+    assert data["dataset_name"] == "q" and [x["question"] for x in data["items"]] == ["words about holidays", "  "]
+    with pytest.raises(LookupError):
+        registry.preflight(dataclasses.replace(e, chunking_logic_id="logic_99"))
+    batch.reset(spark, str(tmp_path / "records"))
+    batch.reset(spark, str(tmp_path / "records"))  # one that isn't there is fine
+    assert not (tmp_path / "records").exists()
