@@ -101,6 +101,8 @@ class Head:
         self.rank = Ranks((w.encode(), i) for i, w in enumerate(words))
         self.log_count = np.log10(counts + 0.5)
         self.own, self.spelled = min(s.own, len(words)), s.spelled
+        # the class at each rank; the last entry stands for rank -1
+        self.classes = np.array([*range(self.own), *(self.own + spelling(w.encode(), s.spelled) for w in words[self.own :]), 0], np.uint16)
         self.total, self.distinct = total, distinct
         c, v = np.zeros(s.spelled), np.zeros(s.spelled)
         for k, (n, different) in by_spelling.items():
@@ -130,13 +132,13 @@ def read_tokens(docs: DataFrame, head) -> DataFrame:
                 words = lower_words_of(text)
                 words.append(END)
                 ranks = np.fromiter(map(h.rank.__getitem__, words), np.int64, len(words))
-                known, tail = ranks >= 0, (ranks < 0) | (ranks >= h.own)
-                places = np.flatnonzero(tail)
-                spelled = np.array([spelling(words[i], h.spelled) for i in places.tolist()], np.int64)
-                classes = ranks.copy()
-                classes[places] = h.own + spelled
-                rare = Counter([words[i] for i in np.flatnonzero(~known).tolist()])
-                tail_log = float(h.log_count[ranks[tail & known]].sum() - h.log_within[spelled].sum())
+                known = ranks >= 0
+                places = np.flatnonzero(~known).tolist()
+                classes = h.classes[ranks]
+                classes[places] = [h.own + spelling(words[i], h.spelled) for i in places]
+                tail = classes >= h.own
+                rare = Counter([words[i] for i in places])
+                tail_log = float(h.log_count[ranks[tail & known]].sum() - h.log_within[classes[tail] - h.own].sum())
                 out.append((key, doc_id, out_of, len(words), int(known.sum()), float(h.log_count[ranks[known]].sum()), tail_log, classes.astype("<u2").tobytes(), [w.decode("utf-8", "replace") for w in rare], list(rare.values())))
                 key += 1
             if out:
@@ -300,11 +302,13 @@ def lm_scores(docs: DataFrame, settings: Settings = Settings(), id_col: str = "d
 
     def run(batches):
         for batch in batches:
-            classes = [np.frombuffer(x, "<u2") for x in batch.column("classes").to_pylist()]
+            texts = batch.column("classes").to_pylist()
+            place = {x: i for i, x in enumerate(dict.fromkeys(texts))}  # texts alike in their classes are scored once a batch
+            classes = [np.frombuffer(x, "<u2") for x in place]
             lp = model.value.log_probs(classes) / math.log(10)
             starts = np.concatenate([[0], np.cumsum([len(c) for c in classes])[:-1]]).astype(np.int64)
             sums = np.add.reduceat(lp, starts) if len(classes) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in plain), pa.array(sums)], names=[*plain, "class_log"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in plain), pa.array(sums[[place[x] for x in texts]])], names=[*plain, "class_log"])
 
     plain = ["key", "doc_id", "held_out", "n_tokens", "known", "head_log", "tail_log"]
     scored = tokens.select(*plain, "classes").mapInArrow(run, "key long, doc_id long, held_out boolean, n_tokens long, known long, head_log double, tail_log double, class_log double")
