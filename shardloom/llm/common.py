@@ -57,17 +57,28 @@ def remove_at_exit(spark: SparkSession, path: str) -> None:
     atexit.register(remove)
 
 
-def staged(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Writes ``df`` once into the shared folder and reads it back, which cuts its lineage.
+def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> tuple[DataFrame, str]:
+    """Writes ``df`` once into the shared folder and reads it back, which cuts its lineage; also gives the place.
 
-    The table survives the loss of executors. It is removed when the driver ends.
+    The table survives the loss of executors. It is removed when the driver ends, if not before.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     remove_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def staged(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """written() without the place."""
+    return written(df, name, partition_by)[0]
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Removes a table of written() that nothing reads any more, so that rounds don't add up on disk."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -58,4 +58,31 @@ t{k} AS (SELECT * FROM {taken} UNION ALL SELECT * FROM s{k} n WHERE NOT EXISTS (
     return f"WITH {', '.join(ctes)} SELECT doc_id, {counts}, sha256({text.format('base')}) AS base_sha256, {text.format(taken)} AS spans FROM d"
 
 
-ORACLES = {"op5_jaccard_join": OP5, "op6_embedding_dedup": OP6, "op8_secret_scan": _op8()}
+_UNIT = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+"
+_H = ", ".join(f"('0x' || substr(h, {1 + 8 * k}, 8))::BIGINT AS h{k + 1}" for k in range(4))
+OP11 = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || doc_id) AS h, regexp_extract_all(coalesce(text, ''), '{_UNIT}') AS u FROM documents),
+c AS (SELECT doc_id, t, u, len(u)::BIGINT AS n, {_H} FROM d),
+e AS (SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b, u,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM c),
+p AS (SELECT doc_id, t, n, form, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:n], '') AS s FROM e)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+
+def _op12(k: int = 40, rounds: int = 5, dimension: int = 64) -> str:
+    """Every distance of every round, without bounds."""
+    ctes = [
+        f"v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE len(embedding) = {dimension} AND len(list_filter(embedding, lambda x: isfinite(x::DOUBLE))) = {dimension})",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, cv FROM (SELECT sha256('2:' || vec_id) AS h, v AS cv FROM v ORDER BY h LIMIT {k}))",
+    ]
+    for r in range(rounds + 1):
+        ctes.append(f"a{r} AS MATERIALIZED (SELECT vec_id, any_value(v) AS v, min({{'d': list_sum(list_transform(range(1, {dimension + 1}), lambda i: (v[i] - cv[i]) * (v[i] - cv[i])))::BIGINT, 'c': c}}) AS best FROM v, c{r} GROUP BY vec_id)")
+        if r < rounds:
+            ctes.append(f"s{r} AS (SELECT c, i, sum(x)::HUGEINT AS s, count(*) AS n FROM (SELECT best.c AS c, unnest(v) AS x, unnest(range(1, {dimension + 1})) AS i FROM a{r}) GROUP BY c, i)")
+            ctes.append(f"m{r} AS (SELECT c, list(((s - ((s % n + n) % n)) // n)::BIGINT ORDER BY i) AS cv FROM s{r} GROUP BY c)")
+            ctes.append(f"c{r + 1} AS MATERIALIZED (SELECT o.c, coalesce(m.cv, o.cv) AS cv FROM c{r} o LEFT JOIN m{r} m USING (c))")
+    return f"""WITH {', '.join(ctes)} SELECT vec_id, best.c::INTEGER AS cluster, best.d AS distance, (sum(best.d) OVER (PARTITION BY best.c))::BIGINT AS cluster_inertia, (sum(best.d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(cv, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} ON c = best.c"""
+
+
+ORACLES = {"op5_jaccard_join": OP5, "op6_embedding_dedup": OP6, "op8_secret_scan": _op8(), "op11_fill_in_middle": OP11, "op12_centroid_clustering": _op12()}

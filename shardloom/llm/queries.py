@@ -76,10 +76,28 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fill_in_middle import digests, fill_in_middle
+
+    return digests(fill_in_middle(table(spark, sf_dir, "documents")))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .clustering import clusters
+
+    return clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity_scores
+
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_lm_scoring, op3_quality_rules, op4_token_output, op5_jaccard_join, op6_embedding_dedup, op7_best_fit_packing, op8_secret_scan, op9_quality_classifier, op10_bpe_codec, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_lm_scoring, op3_quality_rules, op4_token_output, op5_jaccard_join, op6_embedding_dedup, op7_best_fit_packing, op8_secret_scan, op9_quality_classifier, op10_bpe_codec, op11_fill_in_middle, op12_centroid_clustering, op13_toxicity, pipeline)}
