@@ -146,13 +146,23 @@ class FactorizationMachine:
         self.bias, self.place = 0.0, np.full(BUCKETS, -1, np.int32)
         self.w, self.v = np.zeros(0, np.float32), np.zeros((0, factors), np.float32)
 
-    def _kept(self, buckets: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places of known buckets, where each text's begin, and each text's value."""
+    def screen(self, seen: np.ndarray, bad: np.ndarray, texts: int, toxic: int) -> FactorizationMachine:
+        """Chooses the buckets that have parameters, from how many texts and toxic texts have each bucket."""
+        share = toxic / texts if texts else 0.0
+        self.bias = float(np.log(share / (1 - share))) if 0 < share < 1 else (-60.0, 60.0)[share == 1]
+        spread = np.sqrt(np.maximum(seen * share * (1 - share) * (1 - seen / max(1, texts)), 1e-9))
+        used = np.flatnonzero((seen >= self.least) & (np.abs(bad - seen * share) >= self.z * spread)) if 0 < share < 1 else np.zeros(0, np.int64)
+        self.place[used] = np.arange(len(used), dtype=np.int32)
+        return self
+
+    def places(self, buckets: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of known buckets, and where each text's begin."""
         at = self.place[buckets]
         known = at >= 0
-        inner = np.concatenate([[0], np.cumsum(known)])[starts]
-        n = np.diff(inner)
-        return at[known], inner, (self.scale / np.sqrt(np.maximum(n, 1))).astype(np.float32)
+        return at[known], np.concatenate([[0], np.cumsum(known)])[starts]
+
+    def _values(self, starts: np.ndarray) -> np.ndarray:
+        return (self.scale / np.sqrt(np.maximum(np.diff(starts), 1))).astype(np.float32)
 
     @staticmethod
     def _sums(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -170,21 +180,21 @@ class FactorizationMachine:
         return self.bias + self._sums(self.w[at], starts) * value + 0.5 * ((total * total).sum(1) - squares), total, v
 
     def fit(self, buckets: np.ndarray, starts: np.ndarray, y: np.ndarray) -> FactorizationMachine:
-        share = float(y.mean()) if len(y) else 0.0
-        if not 0 < share < 1:
-            self.bias = -60.0 if share == 0 else 60.0
-            return self
-        self.bias = float(np.log(share / (1 - share)))
-        of = np.repeat(y, np.diff(starts))
-        seen, bad = np.bincount(buckets, minlength=BUCKETS), np.bincount(buckets, of, minlength=BUCKETS)
-        spread = np.sqrt(np.maximum(seen * share * (1 - share) * (1 - seen / len(y)), 1e-9))
-        used = np.flatnonzero((seen >= self.least) & (np.abs(bad - seen * share) >= self.z * spread))
-        self.place[used] = np.arange(len(used), dtype=np.int32)
+        """screen() and train() on texts' buckets."""
+        seen, bad = np.bincount(buckets, minlength=BUCKETS), np.bincount(buckets, np.repeat(y, np.diff(starts)), minlength=BUCKETS)
+        self.screen(seen, bad, len(y), int(y.sum()))
+        return self.train(*self.places(buckets, starts), y)
+
+    def train(self, at: np.ndarray, starts: np.ndarray, y: np.ndarray) -> FactorizationMachine:
+        """Learns the parameters from the places of texts' buckets."""
+        size = int(self.place.max()) + 1
         rng = np.random.default_rng(self.seed)
-        self.w = np.zeros(len(used), np.float32)
-        self.v = rng.normal(0, 0.02, (len(used), self.factors)).astype(np.float32)
-        gw, gv, gb = np.full(len(used), 1e-4, np.float32), np.full((len(used), self.factors), 1e-4, np.float32), 1.0
-        at, starts, value = self._kept(buckets, starts)
+        self.w = np.zeros(size, np.float32)
+        self.v = rng.normal(0, 0.02, (size, self.factors)).astype(np.float32)
+        if not size:
+            return self
+        gw, gv, gb = np.full(size, 1e-4, np.float32), np.full((size, self.factors), 1e-4, np.float32), 1.0
+        value = self._values(starts)
         for _ in range(self.passes):
             order = rng.permutation(len(y))
             for a in range(0, len(y), self.batch):
@@ -212,7 +222,8 @@ class FactorizationMachine:
         return self
 
     def score(self, buckets: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        raw, _, _ = self._raw(*self._kept(buckets, starts))
+        at, starts = self.places(buckets, starts)
+        raw, _, _ = self._raw(at, starts, self._values(starts))
         return 1 / (1 + np.exp(-np.clip(raw, -60, 60)))
 
 
@@ -227,7 +238,7 @@ def _share(rows: int, size: int, sample_rows: int, sample_bytes: int) -> int:
 
 
 def fit(rows: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> FactorizationMachine:
-    """Fits on distinct labelled rows (doc_id, text) that aren't held out, by a hash of both; only the terms of the sample reach the driver.
+    """Fits on distinct labelled rows (doc_id, text) that aren't held out, by a hash of both. The driver sees counts by bucket and, of the sample, those terms that have parameters.
 
     A document with several labels counts as toxic if at least half are.
     """
@@ -238,17 +249,38 @@ def fit(rows: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, samp
     below = _share(n, size, sample_rows, sample_bytes)
     taken = train.withColumn("_hash", F.xxhash64("doc_id", "text")).where(F.pmod("_hash", F.lit(HASHES)) < below).join(known, "doc_id").select("doc_id", "_hash", "text", "_label")
 
-    def run(batches):
+    def terms(batches):
         for batch in batches:
             buckets, starts = terms_of(batch.column("text").to_pylist())
             held = [buckets[a:b].tobytes() for a, b in zip(starts, starts[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_hash"), batch.column("_label"), pa.array(held, pa.binary())], names=["doc_id", "_hash", "_label", "terms"])
 
-    sample = taken.mapInArrow(run, "doc_id long, _hash long, _label int, terms binary").dropDuplicates(["doc_id", "_hash"]).toArrow()
-    sample = sample.sort_by([("doc_id", "ascending"), ("_hash", "ascending")])
-    terms = [np.frombuffer(t, np.int32) for t in sample.column("terms").to_pylist()]
-    starts = np.concatenate([[0], np.cumsum([len(t) for t in terms], dtype=np.int64)]).astype(np.int64)
-    return FactorizationMachine().fit(np.concatenate(terms) if terms else np.zeros(0, np.int32), starts, sample.column("_label").to_numpy().astype(float))
+    def counts(batches):
+        seen, bad = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for t, label in zip(batch.column("terms").to_pylist(), batch.column("_label").to_pylist(), strict=True):
+                b = np.frombuffer(t, np.int32)
+                seen[b] += 1
+                bad[b] += label
+        some = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(seen[some]), pa.array(bad[some])], names=["bucket", "seen", "bad"])
+
+    sample = staged(taken.mapInArrow(terms, "doc_id long, _hash long, _label int, terms binary").dropDuplicates(["doc_id", "_hash"]), "toxicity-sample")
+    texts, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("_label"), F.lit(0))).first()
+    each = sample.select("terms", "_label").mapInArrow(counts, "bucket int, seen long, bad long").groupBy("bucket").agg(F.sum("seen").alias("seen"), F.sum("bad").alias("bad")).toArrow()  # BUCKETS rows at most
+    seen, bad = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    seen[each.column("bucket").to_numpy()], bad[each.column("bucket").to_numpy()] = each.column("seen").to_numpy(), each.column("bad").to_numpy()
+    machine = FactorizationMachine().screen(seen, bad, texts, toxic)
+
+    def placed(batches):
+        for batch in batches:
+            held = [machine.places(b := np.frombuffer(t, np.int32), np.array([0, len(b)]))[0].tobytes() for t in batch.column("terms").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_hash"), batch.column("_label"), pa.array(held, pa.binary())], names=["doc_id", "_hash", "_label", "places"])
+
+    rows = sample.mapInArrow(placed, "doc_id long, _hash long, _label int, places binary").toArrow().sort_by([("doc_id", "ascending"), ("_hash", "ascending")])
+    own = [np.frombuffer(t, np.int32) for t in rows.column("places").to_pylist()]
+    starts = np.concatenate([[0], np.cumsum([len(t) for t in own], dtype=np.int64)]).astype(np.int64)
+    return machine.train(np.concatenate(own) if own else np.zeros(0, np.int32), starts, rows.column("_label").to_numpy().astype(float))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

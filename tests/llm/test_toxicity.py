@@ -100,16 +100,16 @@ def test_terms_by_blocks_equal_terms_by_words(monkeypatch):
 def test_sample_is_bounded_and_repeated_rows_count_once(spark):
     texts, toxic = corpus(600)
     taken = []
-    real = FactorizationMachine.fit
+    real = FactorizationMachine.train
     try:
-        FactorizationMachine.fit = lambda self, b, s, y: (taken.append(len(y)), real(self, b, s, y))[1]
+        FactorizationMachine.train = lambda self, b, s, y: (taken.append(len(y)), real(self, b, s, y))[1]
         again = [texts[0]] * 500
         docs = frame(spark, texts + again)
         toxicity.fit(docs.select("doc_id", "text"), labelled(spark, toxic), sample_rows=200)
         toxicity.fit(docs.select("doc_id", "text"), labelled(spark, toxic), sample_bytes=10_000)
         toxicity.fit(docs.select("doc_id", "text"), labelled(spark, toxic))
     finally:
-        FactorizationMachine.fit = real
+        FactorizationMachine.train = real
     own = sum(zlib.crc32(str(d).encode()) % 4 != 2 for d, _ in texts)
     assert 60 < taken[0] < 200 and 5 < taken[1] < 60 and taken[2] == own
 
