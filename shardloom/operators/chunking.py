@@ -84,13 +84,13 @@ def recursive_chunks(docs: DataFrame, size: int = 1000, overlap: int = 200, text
 
     Merging is sequential within a text, so it runs in Arrow batches; texts are independent.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("chunk_index", pa.int32()), ("chunk_text", pa.string())])
 
     def run(batches):
         for batch in batches:
             for doc_id, body in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 chunks = _split(body, SEPARATORS, size, overlap) if body else []
                 if chunks:
-                    yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(chunks), pa.int64()), pa.array(range(len(chunks)), pa.int32()), pa.array(chunks)], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(chunks), batch.column("doc_id").type), pa.array(range(len(chunks)), pa.int32()), pa.array(chunks)], names=["doc_id", "chunk_index", "chunk_text"])
 
-    return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(run, "doc_id long, chunk_index int, chunk_text string")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, chunk_index int, chunk_text string")

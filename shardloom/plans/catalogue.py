@@ -8,6 +8,7 @@ from pyspark.sql import Window
 
 from shardloom.functions import models
 from shardloom.functions import text as tx
+from shardloom.functions.lineage import cut
 from shardloom.operators import chunking, rerank, search, store
 from shardloom.operators import structure as st
 from shardloom.plans import batch, experiment, registry
@@ -631,11 +632,17 @@ def csv_cells(spark, d):
     return search.scored_hits(_hits(spark, d)).select("query_id", "record_id", experiment.significant(raw).alias("cell"), experiment.significant(raw * 12345.678).alias("large"), experiment.significant(raw / 1234567.0).alias("small"))
 
 
-_FIXED = """'e1' AS research_pair_id, '{"k": 4}' AS research_pair_spec, q.question_index::VARCHAR AS question_index, 'set' AS document_set_id, 'sample' AS dataset_name, q.question AS input"""
+def _spec(reranking: str, top_k: int, chunking: str = "logic_06", prompt: str = "logic_05", provider: str = "null") -> str:
+    """The configuration's keys as a result table repeats them."""
+    return (f'{{"chunking_logic_id": "{chunking}", "document_set_id": "set", "embedding_base_url": null, "embedding_model": null, "embedding_provider": {provider}, "ingest_pipeline_id": null, "langfuse_enabled": null, "llm_model": null, '
+            f'"prompt_logic_id": "{prompt}", "qa_dataset": "sample", "ragas_enabled": false, "reranking_logic_id": "{reranking}", "search_logic_id": "logic_01", "tokenizer_logic_id": "logic_01", "top_k": {top_k}}}')
+
+
+_FIXED = f"""'e1' AS research_pair_id, '{_spec("logic_01", 4)}' AS research_pair_spec, q.question_index::VARCHAR AS question_index, 'set' AS document_set_id, 'sample' AS dataset_name, q.question AS input"""
 
 
 @query(f"""WITH {_TEXT_HITS}, q AS (SELECT vec_id AS query_id, (row_number() OVER (ORDER BY vec_id) - 1) AS question_index, 'question ' || vec_id AS question FROM embeddings WHERE vec_id % 20 = 0),
-cells AS (SELECT query_id, rank, source, chunk_id, format('{{:.8g}}', 1.0 / (1.0 + least(100.0, distance))) AS raw, CASE WHEN length(t) <= 800 THEN t ELSE substr(t, 1, 797) || '...' END AS snip, '---' || chr(10) || '出典: ' || source || chr(10) || chunk_text || chr(10) AS block FROM (SELECT *, trim(replace(replace(chunk_text, chr(13), ' '), chr(10), ' ')) AS t FROM th)),
+cells AS (SELECT query_id, rank, source, chunk_id, format('{{:.8g}}', distance) AS raw, CASE WHEN length(t) <= 800 THEN t ELSE substr(t, 1, 797) || '...' END AS snip, '---' || chr(10) || '出典: ' || source || chr(10) || chunk_text || chr(10) AS block FROM (SELECT *, trim(replace(replace(chunk_text, chr(13), ' '), chr(10), ' ')) AS t FROM th)),
 p AS (SELECT query_id, string_agg(block, chr(10) ORDER BY rank) AS context, {", ".join(f"coalesce(max(CASE WHEN rank = {i} THEN {e} END), '') AS {n}_{i}" for i in range(1, 5) for n, e in (("retrieved_source", "source"), ("retrieved_chunk_id", "chunk_id"), ("retrieved_distance", "raw"), ("retrieved_text", "sha256(snip)")))} FROM cells GROUP BY 1)
 SELECT {_FIXED}, sha256(CASE WHEN p.query_id IS NULL THEN '' ELSE 'コンテキスト:' || chr(10) || context || chr(10) || chr(10) || '質問:' || chr(10) || q.question END) AS llm_user_prompt,
 CASE WHEN p.query_id IS NULL THEN '参照ドキュメントから該当箇所が見つかりませんでした。' ELSE q.question END AS output, '4' AS top_k, 'logic_06' AS chunking_logic_id, 'logic_01' AS tokenizer_logic_id, 'logic_01' AS search_logic_id, 'logic_01' AS reranking_logic_id, 'logic_05' AS prompt_logic_id,
@@ -645,17 +652,153 @@ def batch_result(spark, d):
     """The result table of an experiment over the stated question set: 21 fixed columns, two of them times and left out here, and four for each rank."""
     e = config.Experiment("e1", "logic_01", "logic_06", "logic_01", "logic_01", "logic_05", 4, "sample", "set")
     q = _t(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.concat(F.lit("question "), F.col("vec_id")).alias("question"))
-    hits = search.scored_hits(_text_hits(spark, d))
-    table = batch.result_table(e, batch.numbered(q, "query_id"), hits, '{"k": 4}', models.echo_chat)
+    hits = _text_hits(spark, d).select("query_id", "rank", "source", "chunk_id", "chunk_text", F.col("distance").alias("raw"), F.lit(4).alias("effective_top_k"))
+    table = batch.result_table(e, batch.numbered(q, "query_id"), hits, models.echo_chat)
     hashed = {c: F.when(F.col(c) != "", F.sha2(c, 256)).otherwise("") for c in [f"retrieved_text_{i}" for i in range(1, 5)]}
     return table.withColumns(hashed | {"llm_user_prompt": F.sha2("llm_user_prompt", 256)}).drop("rag_latency_ms", "total_latency_ms")
 
 
-@query("SELECT 'logic_' || lpad(i::VARCHAR, 2, '0') AS logic_id, true AS ok FROM range(1, 12) AS r(i)")
+_ASKED = "asked AS (SELECT conv_id * 1000 + turn AS query_id, text AS question FROM conversations WHERE role = 'user')"
+_PROMPT_ROWS = ", ".join(f"('{k}', '{registry.system_prompt(k)}')".replace("n't", "n''t") for k in registry.ids("prompt"))
+
+
+def _asked(spark, d):
+    return _t(spark, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("question"))
+
+
+@query(f"WITH {_ASKED} SELECT logic_id, query_id, sha256(prompt || chr(10) || question) AS both_ FROM asked, (VALUES {_PROMPT_ROWS}) AS p(logic_id, prompt)")
 def system_prompts(spark, d):
-    """Every prompt logic has a text that isn't empty."""
-    rows = [(k, registry.system_prompt(k)) for k in registry.ids("prompt")]
-    return spark.createDataFrame(rows, "logic_id string, text string").select("logic_id", (F.char_length("text") > 0).alias("ok"))
+    """The system prompt of an experiment for each prompt logic, with every question."""
+    experiments = spark.createDataFrame([(k, registry.system_prompt(k)) for k in registry.ids("prompt")], "logic_id string, prompt string")
+    both = experiment.matrix(experiments, _asked(spark, d))
+    return both.select("logic_id", "query_id", F.sha2(F.concat_ws("\n", "prompt", "question"), 256).alias("both_"))
+
+
+@query(f"""WITH {_TEXT_HITS}, q AS (SELECT vec_id AS query_id, 'question ' || vec_id AS question FROM embeddings WHERE vec_id % 20 = 0),
+p AS (SELECT query_id, 'コンテキスト:' || chr(10) || string_agg('---' || chr(10) || '出典: ' || source || chr(10) || chunk_text || chr(10), chr(10) ORDER BY rank) AS context, count(*) AS n FROM th GROUP BY 1)
+SELECT query_id, place, CASE place WHEN 0 THEN 'system' ELSE 'user' END AS role, sha256(CASE place WHEN 0 THEN (SELECT prompt FROM (VALUES {_PROMPT_ROWS}) AS p(logic_id, prompt) WHERE logic_id = 'logic_10') ELSE context || chr(10) || chr(10) || '質問:' || chr(10) || question END) AS content,
+  question AS answer, n AS contexts FROM q JOIN p USING (query_id), range(0, 2) AS r(place)""")
+def chat_messages(spark, d):
+    """What a chat model is asked for each question with hits, a system and a user message, and what the stand-in answers."""
+    q = _t(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.concat(F.lit("question "), F.col("vec_id")).alias("question"))
+    asked = experiment.prompts(q, _text_hits(spark, d), registry.system_prompt("logic_10"))
+    answers = models.answered(asked, models.chat_factory("echo")).where("messages IS NOT NULL")
+    each = answers.select("query_id", "answer", F.size("contexts").cast("long").alias("contexts"), F.posexplode("messages").alias("place", "m"))
+    return each.select("query_id", F.col("place").cast("long").alias("place"), F.col("m.role").alias("role"), F.sha2("m.content", 256).alias("content"), "answer", "contexts")
+
+
+@query(r"""WITH t AS (SELECT conv_id, turn, role, text, string_agg(text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, lag(text) OVER w AS question, lag(role) OVER w AS asker FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+a AS (SELECT conv_id, turn, list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS a, list_filter(string_split_regex(lower(coalesce(question, '')), '\s+'), lambda x: x <> '') AS q, list_filter(string_split_regex(lower(before), '\s+'), lambda x: x <> '') AS c, before FROM t WHERE role = 'assistant' AND asker = 'user'),
+w AS (SELECT conv_id, turn, before, len(a) AS n, list_distinct(a) AS own, c, a, q FROM a),
+ca AS (SELECT conv_id, turn, x, count(*) AS k FROM (SELECT conv_id, turn, unnest(a) AS x FROM w) GROUP BY ALL), cq AS (SELECT conv_id, turn, x, count(*) AS k FROM (SELECT conv_id, turn, unnest(q) AS x FROM w) GROUP BY ALL),
+dots AS (SELECT conv_id, turn, sum(ca.k * cq.k) AS dot FROM ca JOIN cq USING (conv_id, turn, x) GROUP BY ALL), na AS (SELECT conv_id, turn, sum(k * k) AS s FROM ca GROUP BY ALL), nq AS (SELECT conv_id, turn, sum(k * k) AS s FROM cq GROUP BY ALL)
+SELECT w.conv_id, w.turn, CASE WHEN n = 0 OR before IS NULL THEN '' ELSE format('{:.6f}', len(list_intersect(own, list_distinct(c)))::DOUBLE / len(own)) END AS faithfulness,
+CASE WHEN n = 0 OR before IS NULL THEN '' ELSE format('{:.6f}', coalesce(dot / sqrt((na.s * nq.s)::DOUBLE), 0)) END AS relevancy FROM w LEFT JOIN dots USING (conv_id, turn) LEFT JOIN na USING (conv_id, turn) LEFT JOIN nq USING (conv_id, turn)""".replace("\\\\", "\\"))
+def judge_scores(spark, d):
+    """Answers of conversations judged by what was said before them, and by their question."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = _t(spark, d, "conversations")
+    before = F.collect_list("text").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    turns = c.withColumns({"question": F.lag("text").over(w), "asker": F.lag("role").over(w), "contexts": before})
+    pairs = turns.where("role = 'assistant' AND asker = 'user'").select("conv_id", "turn", "question", F.col("text").alias("answer"), "contexts")
+    return models.judged(pairs).select("conv_id", "turn", "faithfulness", "relevancy")
+
+
+# Handbooks made of customers, for whole batches: a file for each market segment and 2,000 customer keys, articles of about four
+# customers, every other one as prose, chapters of about three articles, an appendix.
+
+def _handbooks(spark, d):
+    c = _t(spark, d, "customer").join(_t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    doc = ["seg", "part"]
+    c = c.select(F.col("c_mktsegment").alias("seg"), F.floor(F.col("c_custkey") / 2000).alias("part"), "c_custkey", "c_name", "n_name")
+    i, n = F.row_number().over(Window.partitionBy(*doc).orderBy("c_custkey")) - 1, F.count("*").over(Window.partitionBy(*doc))
+    c = c.withColumns({"i": i, "arts": F.ceil(n / 4), "n": n}).withColumn("art", F.floor(F.col("i") * F.col("arts") / F.col("n")))
+    c = c.withColumn("k", F.row_number().over(Window.partitionBy(*doc, "art").orderBy("i")))
+    said = F.concat_ws(" ", "c_name", F.lit("from"), "n_name", F.lit("buys"))
+    line = F.when(F.col("art") % 2 == 0, F.concat(F.col("k"), F.lit(". "), said, F.lit(" often."))).otherwise(F.concat(said, F.lit(" rarely.")))
+    a = c.groupBy(*doc, "art", "arts").agg(F.array_sort(F.collect_list(F.struct("k", line.alias("line"), "n_name"))).alias("ls"))
+    chapters = F.ceil(F.col("arts") / 3)
+    a = a.withColumn("ch", F.floor(F.col("art") * chapters / F.col("arts")))
+    opens = F.row_number().over(Window.partitionBy(*doc, "ch").orderBy("art")) == 1
+    text = F.concat(F.when(opens, F.concat(F.lit("第"), F.col("ch") + 1, F.lit("章 "), "seg", F.lit("\n\n"))).otherwise(""), F.lit("第"), F.col("art") + 1, F.lit("条（"), F.get("ls", F.lit(0))["n_name"], F.lit("）\n"), F.array_join(F.transform("ls", lambda x: x["line"]), "\n"))
+    per = a.withColumn("text", text).groupBy(*doc).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("art", "text"))), lambda x: x["text"]), "\n\n").alias("articles"))
+    whole = F.concat(F.lit("規程"), "seg", F.lit("\n\n"), "articles", F.lit("\n\n附則\nThis handbook ends."))
+    return per.select(F.concat(F.lit("in/"), "seg", F.lit("-"), "part", F.lit(".txt")).alias("path"), F.encode(whole, "UTF-8").alias("content"))
+
+
+_HANDBOOKS = """c0 AS (SELECT c_mktsegment AS seg, c_custkey // 2000 AS part, c_custkey, c_name, n_name, row_number() OVER (PARTITION BY c_mktsegment, c_custkey // 2000 ORDER BY c_custkey) - 1 AS i, count(*) OVER (PARTITION BY c_mktsegment, c_custkey // 2000) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey),
+c1 AS (SELECT *, (n + 3) // 4 AS arts, i * ((n + 3) // 4) // n AS art FROM c0), c2 AS (SELECT *, art * ((arts + 2) // 3) // arts AS ch, row_number() OVER (PARTITION BY seg, part, art ORDER BY i) AS k FROM c1),
+ln AS (SELECT *, CASE WHEN art % 2 = 0 THEN k || '. ' ELSE '' END || c_name || ' from ' || n_name || ' buys ' || CASE WHEN art % 2 = 0 THEN 'often.' ELSE 'rarely.' END AS line FROM c2),
+ar AS (SELECT seg, part, ch, art, '第' || (art + 1) || '条（' || arg_min(n_name, k) || '）' AS ah, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY k) AS plain, string_agg(CASE WHEN art % 2 = 0 THEN '- ' ELSE '' END || line, chr(10) ORDER BY k) AS shown FROM ln GROUP BY seg, part, ch, art),
+chs AS (SELECT seg, part, ch, '第' || (ch + 1) || '章 ' || seg AS hh, count(*) AS n_arts, max(CASE WHEN art % 2 = 0 THEN n_lines ELSE 0 END) >= 2 AS many, string_agg(ah || chr(10) || plain, chr(10) || chr(10) ORDER BY art) AS plain, string_agg('### ' || ah || chr(10) || shown, chr(10) || chr(10) ORDER BY art) AS shown FROM ar GROUP BY seg, part, ch),
+dc AS (SELECT seg, part, 'uploaded/' || seg || '-' || part || '.txt' AS source, sha256('uploaded/' || seg || '-' || part || '.txt')[:16] AS doc_id, '規程' || seg || chr(10) || chr(10) || string_agg(hh || chr(10) || chr(10) || plain, chr(10) || chr(10) ORDER BY ch) || chr(10) || chr(10) || '附則' || chr(10) || 'This handbook ends.' AS text FROM chs GROUP BY seg, part),
+ids AS (SELECT seg, part, ch, 'chunk_sec_' || sha256((strpos(text, chr(10) || hh) || '|' || hh))[:8] AS one FROM chs JOIN dc USING (seg, part)),
+two AS (SELECT seg, part, ch, art, 'chunk_sec_' || sha256((strpos(text, chr(10) || ah) || '|' || ah))[:8] AS two FROM ar JOIN dc USING (seg, part)),
+ck AS (SELECT seg, part, ch, -1 AS art, 0 AS k, 'parent' AS role, one AS p, CASE WHEN n_arts <= 1 THEN one END AS c, '## ' || hh || chr(10) || chr(10) || shown AS body FROM chs JOIN ids USING (seg, part, ch)
+  UNION ALL SELECT seg, part, ch, art, 0, 'child', one, two, '## ' || hh || chr(10) || '### ' || ah || chr(10) || ar.shown FROM ar JOIN chs USING (seg, part, ch) JOIN ids USING (seg, part, ch) JOIN two USING (seg, part, ch, art) WHERE n_arts > 1
+  UNION ALL SELECT seg, part, ch, art, k, 'grandchild', one, two, '## ' || hh || chr(10) || '### ' || ah || chr(10) || '- ' || line FROM ln JOIN ar USING (seg, part, ch, art) JOIN chs USING (seg, part, ch) JOIN ids USING (seg, part, ch) JOIN two USING (seg, part, ch, art) WHERE art % 2 = 0 AND n_lines >= 2
+  UNION ALL SELECT seg, part, 1000000, -1, 0, 'parent', 'chunk_sec_' || sha256((strpos(text, chr(10) || '附則') || '|附則'))[:8], 'chunk_sec_' || sha256((strpos(text, chr(10) || '附則') || '|附則'))[:8], '## 附則' || chr(10) || 'This handbook ends.' FROM dc),
+cn AS (SELECT doc_id, source, role, p, c, row_number() OVER (PARTITION BY doc_id ORDER BY ch, art, k) - 1 AS no, '# 規程' || seg || chr(10) || body AS chunk_text FROM ck JOIN dc USING (seg, part)),
+vt AS (SELECT *, 0 AS v, lower(regexp_replace(chunk_text, '(?m)^(#{1,3}|-) ', '', 'g')) AS t FROM cn UNION ALL SELECT *, 1, lower(regexp_replace(regexp_replace(chunk_text, '(?m)^#{1,2} .*\n', '', 'g'), '(?m)^(#{1,3}|-) ', '', 'g')) FROM cn WHERE role <> 'parent'),
+rec AS (SELECT *, doc_id || ':' || no AS chunk_id, row_number() OVER (ORDER BY doc_id, no, v) - 1 AS record_no, '文章: ' || t AS e FROM vt),
+ask AS (SELECT c_custkey AS query_id, c_name || ' from ' || n_name AS question, 'クエリ: ' || c_name || ' from ' || n_name AS e, row_number() OVER (ORDER BY c_custkey) - 1 AS question_index FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 20 = 0)"""
+
+
+def _embedded_sql(name: str, of: str, key: str) -> str:
+    """CTE of key and a unit vector of 64 word counts, placed by digests."""
+    words = f"SELECT {key}, ('0x' || md5(w)[:8])::BIGINT % 64 AS place FROM (SELECT {key}, unnest(list_filter(string_split_regex(lower(e), '\\s+'), lambda x: x <> '')) AS w FROM {of})"
+    return f"""{name}_n AS (SELECT {key}, place, count(*)::DOUBLE AS n FROM ({words}) GROUP BY ALL), {name}_l AS (SELECT {key}, map_from_entries(list((place, n))) AS m FROM {name}_n GROUP BY {key}),
+{name} AS (SELECT {key}, list_transform(range(0, 64), lambda k: (coalesce(m[k], 0.0) / norm)::FLOAT) AS embedding FROM (SELECT {key}, m, sqrt(list_reduce(list_transform(range(0, 64), lambda k: coalesce(m[k], 0.0) * coalesce(m[k], 0.0)), lambda a, b: a + b)) AS norm FROM {name}_l))"""
+
+
+_BATCH_HITS = f"""{_HANDBOOKS}, {_embedded_sql("rv", "rec", "record_no")}, {_embedded_sql("qv", "ask", "query_id")},
+dist AS (SELECT query_id, record_no, list_reduce(list_transform(list_zip(q.embedding, r.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)), lambda a, b: a + b) AS distance FROM qv q, rv r),
+hit AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, record_no) AS pos FROM dist) WHERE pos <= {TOP_K}),
+sim AS (SELECT *, 1.0::DOUBLE / (1.0 + least(100.0, distance)) AS s FROM hit),
+cand AS (SELECT query_id, pos, chunk_id, CASE WHEN max(s) OVER w <= min(s) OVER w THEN 1.0::DOUBLE ELSE (s - min(s) OVER w) / (max(s) OVER w - min(s) OVER w) END AS score, role, p AS parent_key, c AS child_key, distance, source, chunk_text
+  FROM sim JOIN rec USING (record_no) WINDOW w AS (PARTITION BY query_id))"""
+_BATCH_START = f"{_BATCH_HITS}, c0_ AS (SELECT {_COLS}, avg(score) OVER (PARTITION BY query_id) AS avg_ FROM cand), " + _sql_dedupe("c1_", "c0_") + ", " + _sql_drop("c2_", "c1_", "parent_key", "parent", "'child', 'grandchild'") + ", " + _sql_drop("c3_", "c2_", "child_key", "child", "'grandchild'") + ", " + _sql_promote("c4_", "c3_", "child_key", "grandchild", "child", 1) + ", " + _sql_orphans("c5_", "c4_")
+_BATCH_CELLS = ", ".join(f"coalesce(max(CASE WHEN rank = {i} THEN {e} END), '') AS {n}_{i}" for i in range(1, 5) for n, e in (("retrieved_source", "source"), ("retrieved_chunk_id", "chunk_id"), ("retrieved_distance", "format('{:.8g}', distance)")))
+
+
+def _batch_sql(reranking: str, ranked: str) -> str:
+    return f"""WITH {ranked}, best AS (SELECT query_id, chunk_id, distance, source, chunk_text FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY score DESC, pos) AS b FROM cand) WHERE b = 1),
+shown AS (SELECT f.query_id, f.rank, f.effective_top_k, best.* EXCLUDE (query_id) FROM fin f JOIN best USING (query_id, chunk_id))
+SELECT question_index::VARCHAR AS question_index, '{_spec(reranking, TOP_K, prompt="logic_10", provider='"digest"')}' AS research_pair_spec, question AS input, question AS output, max(effective_top_k)::VARCHAR AS top_k,
+sha256('コンテキスト:' || chr(10) || string_agg('---' || chr(10) || '出典: ' || source || chr(10) || chunk_text || chr(10), chr(10) ORDER BY rank) || chr(10) || chr(10) || '質問:' || chr(10) || question) AS llm_user_prompt, {_BATCH_CELLS}
+FROM ask JOIN shown USING (query_id) GROUP BY question_index, question"""
+
+
+def _batch(spark, d, reranking: str) -> DataFrame:
+    """An experiment from files to result cells: chunker 06, vectors by digests, the search of the stated questions and a reranker."""
+    e = config.Experiment("e1", "logic_01", "logic_06", reranking, "logic_01", "logic_10", TOP_K, "sample", "set", embedding_provider="digest")
+    q = _t(spark, d, "customer").join(_t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).where("c_custkey % 20 = 0")
+    q = batch.numbered(q.select(F.col("c_custkey").alias("query_id"), F.concat_ws(" ", "c_name", F.lit("from"), "n_name").alias("question")), "query_id")
+    table = batch.result_table(e, q, batch.searched(e, q, cut(batch.ingested(e, _handbooks(spark, d)))))
+    ranks = [f"{c}_{i}" for i in range(1, 5) for c in ("retrieved_source", "retrieved_chunk_id", "retrieved_distance")]
+    return table.select("question_index", "research_pair_spec", "input", "output", "top_k", F.sha2("llm_user_prompt", 256).alias("llm_user_prompt"), *ranks)
+
+
+_FIN = "fin AS (" + _FINAL + ")"
+
+
+@query(_batch_sql("logic_02", f"{_BATCH_START}, c6_ AS (SELECT * FROM c5_ WHERE score > avg_), " + _sql_promote("c7_", "c6_", "parent_key", "child", "parent", 2) + ", " + _FIN.format("c7_")))
+def batch_rerank02(spark, d):
+    """Scores move up from items to articles and chapters, and what is at or under the average goes."""
+    return _batch(spark, d, "logic_02")
+
+
+@query(_batch_sql("logic_03", f"{_BATCH_START}, " + _FIN.format("c5_")))
+def batch_rerank03(spark, d):
+    return _batch(spark, d, "logic_03")
+
+
+@query(f"""WITH {_HANDBOOKS} SELECT record_no, doc_id, chunk_id, role, p AS parent_chunk_id, c AS child_chunk_id, v AS variant_no, md5(chunk_text) AS chunk_text, md5(t) AS document_lower FROM rec""")
+def batch_records(spark, d):
+    """Records of an ingest: parents, children and grandchildren of each handbook, with the ids that reranking groups by."""
+    e = config.Experiment("e1", "logic_01", "logic_06", "logic_02", "logic_01", "logic_10", TOP_K, "sample", "set", embedding_provider="digest")
+    r = batch.ingested(e, _handbooks(spark, d))
+    return r.select("record_no", "doc_id", "chunk_id", "role", "parent_chunk_id", "child_chunk_id", "variant_no", F.md5("chunk_text").alias("chunk_text"), F.md5("document_lower").alias("document_lower"))
 
 
 @query()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shardloom.functions import models
 from shardloom.functions.text import snippet
 
 NO_DOCUMENTS = "参照ドキュメントから該当箇所が見つかりませんでした。"  # a fixed value
@@ -17,12 +18,22 @@ def contexts(hits: DataFrame) -> DataFrame:
     return hits.groupBy("query_id").agg(F.count("*").alias("n_hits"), F.array_join(F.transform(ordered, lambda b: b["block"]), "\n").alias("context"))
 
 
-def prompts(questions: DataFrame, hits: DataFrame) -> DataFrame:
-    """query_id, question, n_hits, prompt, answer: a question without hits has the fixed reply and no prompt."""
-    d = questions.join(contexts(hits), "query_id", "left")
+def prompts(questions: DataFrame, hits: DataFrame, system: str | None = None) -> DataFrame:
+    """query_id, question, n_hits, prompt, answer: a question without hits has the fixed reply and no prompt.
+
+    With a ``system`` prompt also messages, which are null without hits, and contexts, the hits' texts in order.
+    """
+    blocks = contexts(hits)
+    if system is not None:
+        texts = F.array_sort(F.collect_list(F.struct("rank", "chunk_text")))
+        blocks = blocks.join(hits.groupBy("query_id").agg(F.transform(texts, lambda h: h["chunk_text"]).alias("contexts")), "query_id")
+    d = questions.join(blocks, "query_id", "left")
     found = F.col("n_hits") > 0
     text = F.concat(F.lit("コンテキスト:\n"), "context", F.lit("\n\n質問:\n"), "question")
-    return d.select("query_id", "question", F.coalesce("n_hits", F.lit(0)).alias("n_hits"), F.coalesce(F.when(found, text), F.lit("")).alias("prompt"), F.when(found, F.lit(None).cast("string")).otherwise(F.lit(NO_DOCUMENTS)).alias("answer"))
+    out = ["query_id", "question", F.coalesce("n_hits", F.lit(0)).alias("n_hits"), F.coalesce(F.when(found, text), F.lit("")).alias("prompt"), F.when(found, F.lit(None).cast("string")).otherwise(F.lit(NO_DOCUMENTS)).alias("answer")]
+    if system is not None:
+        out += [F.when(found, models.messages(system=F.lit(system), user=text)).alias("messages"), "contexts"]
+    return d.select(*out)
 
 
 def significant(x: Column, digits: int = 8) -> Column:
@@ -43,5 +54,5 @@ def result_table(hits: DataFrame, top_k: int) -> DataFrame:
 
 
 def matrix(experiments: DataFrame, questions: DataFrame) -> DataFrame:
-    """Every experiment with every question; the few experiments are a broadcast side of known size."""
-    return questions.crossJoin(F.broadcast(experiments))
+    """Every experiment with every question; which side goes to all tasks is left to Spark's own limit."""
+    return questions.crossJoin(experiments)

@@ -1,4 +1,4 @@
-"""Choice of logic by id: chunkers, tokenizers, searches, rerankers and prompts, and ingest pipelines in place of some of them."""
+"""Choice of logic by id: chunkers, tokenizers, searches, rerankers and prompts, ingest pipelines in place of some of them, and models by provider."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
+from shardloom.functions import models
 from shardloom.functions import text as tx
 from shardloom.operators import chunking, rerank, search
 from shardloom.operators import structure as st
@@ -19,11 +20,16 @@ STAGES = frozenset({"convert", "normalize", "chunking"})
 
 @dataclass(frozen=True)
 class IngestPipeline:
-    """Ingests files (path, content) to chunks itself; ``superseded`` names the stages it stands for."""
+    """Ingests files (path, content) itself: ``ingest`` maps them and the experiment's chunker to chunks.
+
+    Chunks have source, chunk_text and chunk_no, and may have vector_texts and the columns of
+    store.HIERARCHY. ``superseded`` names the stages that it stands for; where chunking is among them there
+    is no chunker (None), and the experiment's isn't looked up.
+    """
 
     name: str
     superseded: frozenset[str]
-    ingest: Callable[[DataFrame], DataFrame]
+    ingest: Callable[[DataFrame, Callable[[DataFrame], DataFrame] | None], DataFrame]
 
     def __post_init__(self):
         if unknown := set(self.superseded) - STAGES:
@@ -32,6 +38,14 @@ class IngestPipeline:
             raise TypeError(f"{self.name} has no ingest function")
 
 
+@dataclass(frozen=True)
+class Reranker:
+    """``rank`` maps candidates and the top_k asked for to ranked rows with effective_top_k; ``without_hits`` gives that of a question that found nothing."""
+
+    rank: Callable[[DataFrame, int], DataFrame]
+    without_hits: Callable[[int], int]
+
+
 def _recursive(docs: DataFrame) -> DataFrame:
     return chunking.recursive_chunks(docs)
 
@@ -52,8 +66,12 @@ _LOGIC: dict[str, dict[str, object]] = {
         "logic_06": lambda docs: st.with_vector_texts(st.structure_chunks(docs, most=1000)),
     },
     "tokenizer": {"logic_01": tx.query_tokens},
-    "search": {"logic_01": "vector", "logic_02": "keyword", "logic_03": "none"},
-    "reranking": {"logic_01": rerank.identity, "logic_02": rerank.hierarchical, "logic_03": lambda c, k: rerank.hierarchical(c, k, cut_at_average=False)},
+    "search": {"logic_01": "vector", "logic_02": "none", "logic_03": "vector"},
+    "reranking": {
+        "logic_01": Reranker(rerank.identity, lambda k: k),
+        "logic_02": Reranker(rerank.hierarchical, lambda k: 0),
+        "logic_03": Reranker(lambda c, k: rerank.hierarchical(c, k, cut_at_average=False), lambda k: 0),
+    },
 }
 
 _ROLE = "You answer from the context alone."
@@ -122,7 +140,10 @@ def system_prompt(logic_id: str) -> str:
 
 
 def search_kind(e: Experiment) -> str:
-    """vector, keyword or none; ``rag_hybrid_delegate`` of the configuration, where given, chooses between the first two."""
+    """vector, keyword or none: logic_01 and logic_03 search vectors (a chunk with several texts has several), logic_02 finds nothing.
+
+    ``rag_hybrid_delegate`` of the configuration, where given, chooses between vectors and keywords.
+    """
     kind = resolve("search", e.search_logic_id)
     if kind != "none" and e.rag_hybrid_delegate:
         return "keyword" if e.rag_hybrid_delegate == "keyword_search" else "vector"
@@ -137,3 +158,13 @@ def preflight(e: Experiment) -> None:
             continue
         resolve(category, getattr(e, f"{category}_logic_id"))
     system_prompt(e.prompt_logic_id)
+    embedding(e)
+
+
+def embedding(e: Experiment) -> Callable[[DataFrame, str, str], DataFrame]:
+    """How an experiment's texts become vectors; an unknown provider is an error."""
+    return models.embedding_of(e.embedding_provider, models.EmbeddingParams(e.embedding_base_url, e.embedding_model))
+
+
+def chat_params(e: Experiment) -> models.ChatParams:
+    return models.ChatParams(e.llm_model, e.llm_temperature, e.llm_request_timeout_seconds, e.llm_api_base_url)

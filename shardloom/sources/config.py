@@ -11,6 +11,8 @@ from pathlib import Path, PurePosixPath
 from pyspark.sql import DataFrame, SparkSession
 
 LOGIC_ID = re.compile(r"^logic_[a-z0-9_]+$")
+# The keys of a configuration that its result table repeats.
+SPEC = ("llm_model", "embedding_provider", "embedding_base_url", "embedding_model", "search_logic_id", "chunking_logic_id", "reranking_logic_id", "tokenizer_logic_id", "prompt_logic_id", "ingest_pipeline_id", "top_k", "qa_dataset", "document_set_id", "ragas_enabled", "langfuse_enabled")
 _SUFFIXES = (".yaml", ".yml", ".json")
 
 
@@ -65,6 +67,10 @@ class Experiment:
         """Keys sorted, other alphabets kept."""
         return json.dumps(asdict(self), sort_keys=True, ensure_ascii=False)
 
+    def spec(self) -> str:
+        """What a result table says of its configuration: the keys of SPEC, sorted, as JSON."""
+        return json.dumps({k: getattr(self, k) for k in SPEC}, sort_keys=True, ensure_ascii=False)
+
     def ingest_fingerprint(self) -> str:
         """Equal for experiments whose vector records are the same, so that one may reuse the other's."""
         parts = (self.chunking_logic_id, self.document_set_id, self.ingest_pipeline_id, self.embedding_provider, self.embedding_base_url, self.embedding_model)

@@ -37,6 +37,12 @@ def ingest_status(files: DataFrame) -> DataFrame:
     return files.select("path", kind.alias("suffix"), error.isNull().alias("ok"), error.alias("error"), F.when(plain & valid, F.decode("content", "UTF-8")).alias("text"))
 
 
+def supported_only(files: DataFrame) -> DataFrame:
+    """The files, of which one with another suffix fails the job when it is read."""
+    kind = suffix(F.col("path"))
+    return files.where(F.assert_true(kind.isin(*SUPPORTED), F.concat(F.lit("unsupported suffix: "), "path")).isNull())
+
+
 def failed_unless_ok(status: DataFrame) -> DataFrame:
     """The rows, of which one that isn't ok fails the job when it is read."""
     return status.where(F.assert_true(F.col("ok"), F.concat_ws(": ", "path", "error")).isNull())

@@ -232,31 +232,3 @@ def test_keywords_are_counted_without_overlaps(spark):
     q = spark.createDataFrame([(1, ["aa"]), (2, ["x" * 40 + "?"]), (3, []), (4, ["aa", "b"])], "query_id long, tokens array<string>")
     got = sorted((r.query_id, r.rank, r.doc_id, r.keyword_score_raw) for r in search.keyword_search(q, docs, 5).collect())
     assert got == [(1, 1, 1, 2.0), (1, 2, 2, 1.0), (2, 1, 4, 0.0), (4, 1, 1, 3.0), (4, 2, 2, 1.0)]
-
-
-def test_batch(spark, tmp_path):
-    from shardloom.plans import batch, registry
-
-    (tmp_path / "in").mkdir()
-    (tmp_path / "in/a.txt").write_text(RULES, encoding="utf-8")
-    (tmp_path / "in/b.txt").write_text("plain words about holidays\n\nand more words about work", encoding="utf-8")
-    base = {f"{k}_logic_id": "logic_01" for k in ("search", "reranking", "tokenizer")}
-    e = config.Experiment(research_pair_id="p", chunking_logic_id="logic_06", prompt_logic_id="logic_05", top_k=2, qa_dataset="q.json", document_set_id="d", **base)
-    q = spark.createDataFrame([(5, "words about holidays"), (9, "  ")], "query_id long, question string")
-    out = batch.run(spark, e, src.read_files(spark, str(tmp_path / "in")), q, str(tmp_path / "records"))
-    assert out.columns == batch.columns(2) and len(batch.FIXED) == 21
-    rows = {r.question_index: r for r in out.collect()}
-    assert rows["0"].retrieved_source_1 == "uploaded/b.txt" and "holidays" in rows["0"].llm_user_prompt and rows["0"].output
-    assert rows["1"].llm_user_prompt == "" and rows["1"].retrieved_source_1 == "" and "見つかりません" in rows["1"].output
-    batch.export_csv(out, str(tmp_path / "csv"))
-    texts = [p.read_bytes() for p in (tmp_path / "csv").glob("part-*")]
-    assert texts and all(t.startswith(b"\xef\xbb\xbfresearch_pair_id,") for t in texts)
-    batch.export_json(out, str(tmp_path / "json"), "q")
-    (part,) = (tmp_path / "json").glob("part-*")
-    data = json.loads(part.read_text(encoding="utf-8"))
-    assert data["dataset_name"] == "q" and [x["question"] for x in data["items"]] == ["words about holidays", "  "]
-    with pytest.raises(LookupError):
-        registry.preflight(dataclasses.replace(e, chunking_logic_id="logic_99"))
-    batch.reset(spark, str(tmp_path / "records"))
-    batch.reset(spark, str(tmp_path / "records"))  # one that isn't there is fine
-    assert not (tmp_path / "records").exists()
