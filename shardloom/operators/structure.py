@@ -55,6 +55,7 @@ class Weights:
     preferred: float = 2.0
     head_zone: float = 0.15
     open_tail: float = 0.4
+    raw_items: float = 0.4
 
 
 def by_type(values: dict[str, int], default: int, c: Column | str = "marker_type") -> Column:
@@ -242,20 +243,25 @@ def group_stats(cands: DataFrame) -> DataFrame:
     ).withColumn("priority", by_type(PRIORITIES, 1))
 
 
+def _last_of_types(*scope: str) -> Column:
+    """Array of (type, at): the last heading of each type before a row of its scope, by one running window."""
+    before = Window.partitionBy(*scope).orderBy("start_char").rowsBetween(Window.unboundedPreceding, -1)
+    last = [F.struct(F.lit(name).alias("type"), F.max(F.when(F.col("marker_type") == name, F.col("start_char"))).over(before).alias("at")) for name in NAMES]
+    return F.filter(F.array(*last), lambda x: x["at"].isNotNull() & (x["type"] != F.col("marker_type")))
+
+
 def containment(cands: DataFrame, stats: DataFrame, w: Weights = Weights()) -> DataFrame:
     """doc_id, marker_type, containment, reset: how far headings of a type hold those of types with smaller gaps between them.
 
-    Headings meet in the intervals between headings of one type: an interval join within the document.
+    A sweep over each document's headings: the interval a heading lies in begins at the last heading of the
+    outer type before it, and it is the first of its type there if that one comes after the type's last number.
     """
-    nexts = F.lead("start_char").over(Window.partitionBy("doc_id", "marker_type").orderBy("start_char"))
-    outer = cands.withColumn("end_char", F.coalesce(nexts, F.col("text_length") + 1)).select("doc_id", F.col("marker_type").alias("a"), F.col("start_char").alias("a_start"), "end_char")
-    inner = cands.select("doc_id", F.col("marker_type").alias("b"), F.col("start_char").alias("b_start"), F.col("value").alias("b_value"))
+    numbered = F.max(F.when(F.col("value").isNotNull(), F.col("start_char"))).over(Window.partitionBy("doc_id", "marker_type").orderBy("start_char").rowsBetween(Window.unboundedPreceding, -1))
+    swept = cands.select("doc_id", "start_char", F.col("marker_type"), "value", _last_of_types("doc_id").alias("outer"), F.coalesce(numbered, F.lit(-1)).alias("before"))
+    met = swept.select("doc_id", F.col("marker_type").alias("b"), "value", "before", F.explode("outer").alias("x")).select("doc_id", F.col("x.type").alias("a"), "b", F.coalesce((F.col("value") == 1) & (F.col("x.at") > F.col("before")), F.lit(False)).cast("int").alias("starts"))
+    pairs = met.groupBy("doc_id", "a", "b").agg(F.count("*").alias("held"), F.sum("starts").alias("starts"))
     gaps = lambda side: stats.select("doc_id", F.col("marker_type").alias(side), F.col("average_gap").alias(f"{side}_gap"), F.col("n").alias(f"{side}_n"))
-    ordered = gaps("a").join(gaps("b"), "doc_id").where((F.col("a") != F.col("b")) & (F.col("a_gap") > F.col("b_gap") * w.outer_gap))
-    met = outer.join(inner, "doc_id").where("a <> b AND b_start >= a_start AND b_start < end_char")
-    first = F.min_by("b_value", F.when(F.col("b_value").isNotNull(), F.col("b_start")))
-    inside = met.groupBy("doc_id", "a", "a_start", "b").agg(F.count("*").alias("held"), (first == 1).cast("int").alias("starts"))
-    pairs = inside.groupBy("doc_id", "a", "b").agg(F.sum("held").alias("held"), F.coalesce(F.sum("starts"), F.lit(0)).alias("starts"))
+    ordered = gaps("a").join(gaps("b"), "doc_id").where((F.col("a") != F.col("b")) & (F.col("a_gap") > F.col("b_gap") * w.outer_gap))  # types of a document, few
     scored = ordered.join(pairs, ["doc_id", "a", "b"], "left").withColumn("mean", F.coalesce("held", F.lit(0)) / F.col("a_n"))
     by_outer = scored.groupBy("doc_id", "a").agg(
         F.coalesce(F.avg(F.when(F.col("mean") >= 1, F.least(F.lit(1.0), F.col("mean") / 4.0))), F.lit(0.0)).alias("containment"),
@@ -265,6 +271,26 @@ def containment(cands: DataFrame, stats: DataFrame, w: Weights = Weights()) -> D
     return stats.select("doc_id", "marker_type").join(named, ["doc_id", "marker_type"], "left").fillna(0.0, ["containment", "reset"])
 
 
+ENUMERATIONS = ("numeric_dot", "numeric_paren", "japanese_paren")
+
+
+def raw_signals(docs: DataFrame, cands: DataFrame, w: Weights = Weights()) -> DataFrame:
+    """``cands`` with ``raw``: whether a heading's section by inferred levels holds two lines of one enumeration, of an inner kind, whose numbers follow each other or start anew.
+
+    Lines too long to be headings count here. The nearest end of such a pair that begins after a heading is a
+    running minimum from a document's end, which is under the section's end if the pair is inside.
+    """
+    tree = section_tree(cands.join(inferred_levels(cands, w).select("doc_id", "marker_type", "level"), ["doc_id", "marker_type"]))
+    text = F.ltrim("line")
+    items = lines(docs).withColumn("kind", heading_type(text)).where(F.col("kind").isin(*ENUMERATIONS)).withColumn("value", marker_value(F.col("kind"), text)).where("value IS NOT NULL")
+    following = F.lead(F.struct("start_char", "value")).over(Window.partitionBy("doc_id", "kind").orderBy("start_char"))
+    pairs = items.withColumn("next", following).where("next.value = value + 1 OR next.value = 1").select("doc_id", "start_char", F.col("next.start_char").alias("pair_end"), F.lit(None).cast("int").alias("end_char"))
+    outer = tree.where(by_type(HINTS, 4) < HINTS["numeric_dot"]).select("doc_id", "start_char", F.lit(None).cast("int").alias("pair_end"), F.col("end_char").cast("int").alias("end_char"))
+    after = Window.partitionBy("doc_id").orderBy(F.desc("start_char")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = pairs.unionByName(outer).withColumn("nearest", F.min("pair_end").over(after)).where("end_char IS NOT NULL AND nearest < end_char")
+    return cands.join(met.select("doc_id", "start_char", F.lit(True).alias("raw")), ["doc_id", "start_char"], "left").withColumn("raw", F.coalesce("raw", F.lit(False)))
+
+
 def inferred_levels(cands: DataFrame, w: Weights = Weights(), least: int = 2) -> DataFrame:
     """doc_id, marker_type, outer_score, level: types ranked by how much they look like outer ones; rare types have their usual level."""
     stats = group_stats(cands)
@@ -320,13 +346,14 @@ def _scope_scores(active: DataFrame, w: Weights, tail: bool) -> DataFrame:
     nexts = F.lead("start_char").over(by)
     spans = active.withColumn("_next", nexts).join(types.select(*scope, "marker_type", "n", "_head"), [*scope, "marker_type"])
     weight = F.when(F.col("_next").isNotNull(), 1.0).when((F.col("n") == 1) & F.col("_head"), 1.0).when((F.col("n") > 1) & F.lit(tail), w.open_tail)
-    spans = spans.select(*scope, F.col("marker_type").alias("outer"), F.col("start_char").alias("a"), F.coalesce("_next", "scope_end").alias("b"), weight.alias("weight")).where("weight IS NOT NULL")
-    inner = active.select(*scope, F.col("marker_type").alias("inner"), "start_char", "value")
-    held = spans.join(inner, scope).where("inner <> outer AND start_char > a AND start_char < b AND value IS NOT NULL")
-    steps = Window.partitionBy(*scope, "outer", "a", "inner").orderBy("start_char")
-    hits = held.withColumn("_step", (F.col("value") == F.lag("value").over(steps) + 1).cast("int")).groupBy(*scope, "outer", "a").agg(F.max("_step").alias("hit"))
-    judged = spans.join(hits, [*scope, "outer", "a"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
-    counted = judged.where((F.col("weight") >= 1) | (F.col("hit") == 1)).groupBy(*scope, F.col("outer").alias("marker_type")).agg((F.sum(F.col("weight") * F.col("hit")) / F.sum("weight")).alias("inside"))
+    spans = spans.select(*scope, F.col("marker_type").alias("outer"), F.col("start_char").alias("a"), weight.alias("weight"), "raw").where("weight IS NOT NULL")
+    # a number that follows the one before of its type is inside every span that both are in: those that begin before the earlier
+    number = F.when(F.col("value").isNotNull(), F.struct("start_char", "value"))
+    swept = active.select(*scope, "marker_type", "value", F.last(number, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), _last_of_types(*scope).alias("outer"))
+    steps = swept.where("value = before.value + 1").select(*scope, F.explode(F.filter("outer", lambda x: x["at"] < F.col("before.start_char"))).alias("x"))
+    hits = steps.select(*scope, F.col("x.type").alias("outer"), F.col("x.at").alias("a")).distinct().withColumn("hit", F.lit(1.0))
+    judged = spans.join(hits, [*scope, "outer", "a"], "left").withColumn("hit", F.coalesce("hit", F.when(F.col("raw"), w.raw_items), F.lit(0.0)))
+    counted = judged.where((F.col("weight") >= 1) | (F.col("hit") > 0)).groupBy(*scope, F.col("outer").alias("marker_type")).agg((F.sum(F.col("weight") * F.col("hit")) / F.sum("weight")).alias("inside"))
 
     d = types.join(counted, [*scope, "marker_type"], "left")
     coverage = F.when(F.col("n") >= 2, (F.col("last_char") - F.col("first_char")) / F.col("_size")).otherwise(F.when(F.col("_head"), 1.0).otherwise(0.3))
@@ -341,15 +368,18 @@ def _scope_scores(active: DataFrame, w: Weights, tail: bool) -> DataFrame:
     return d.select(*scope, "marker_type", score.alias("type_score"), "first_char")
 
 
-def scope_levels(cands: DataFrame, w: Weights = Weights(), tail: bool = True) -> DataFrame:
+def scope_levels(cands: DataFrame, w: Weights = Weights(), tail: bool = True, docs: DataFrame | None = None) -> DataFrame:
     """Candidates that get a level (1 to 4), with it: in each scope the best type and those of its usual level are chosen, and the stretches between them are the scopes of the next round.
 
     Candidates before the first chosen one of their scope, and those left after the last round, get none.
+    With ``docs`` raw_signals() count where no headings are inside.
     """
-    active = cands.withColumns({"scope_start": F.lit(0), "scope_end": F.col("text_length"), "preferred": F.lit(None).cast("string")})
+    known = cands.withColumn("raw", F.lit(False)) if docs is None else raw_signals(docs, cands, w)
+    active = known.withColumns({"scope_start": F.lit(0), "scope_end": F.col("text_length"), "preferred": F.lit(None).cast("string")})
     done = None
     for level in range(1, MAX_DEPTH + 1):
-        active = cut(active)  # a round uses it several times, and so would each later round
+        if level == 1:
+            active = cut(active)  # a round uses it several times; later ones read what their round before wrote
         scope = ["doc_id", "scope_start"]
         scored = _scope_scores(active, w, tail).withColumn("hint", by_type(HINTS, 4))
         best = scored.withColumn("_r", F.row_number().over(Window.partitionBy(*scope).orderBy(F.desc("type_score"), "first_char"))).where("_r = 1 AND type_score > 0").select(*scope, F.col("hint").alias("best_hint"))
@@ -364,13 +394,14 @@ def scope_levels(cands: DataFrame, w: Weights = Weights(), tail: bool = True) ->
         marked = cut(marked)
         here = marked.where("chosen").select(*cands.columns, F.lit(level).alias("level"))
         done = here if done is None else done.unionByName(here)
-        active = marked.where("NOT chosen AND _from IS NOT NULL").select(*cands.columns, F.col("_from").alias("scope_start"), F.col("_to").alias("scope_end"), F.col("following").alias("preferred"))
+        active = marked.where("NOT chosen AND _from IS NOT NULL").select(*cands.columns, "raw", F.col("_from").alias("scope_start"), F.col("_to").alias("scope_end"), F.col("following").alias("preferred"))
     return done
 
 
 def sections(docs: DataFrame, w: Weights = Weights(), tail: bool = True) -> DataFrame:
     """doc_id, node_id, parent_start, start_char, end_char, level, role, marker_type, heading of every section."""
-    tree = section_tree(cut(scope_levels(candidates(docs, w), w, tail)))
+    found = cut(candidates(docs, w))
+    tree = section_tree(cut(scope_levels(found, w, tail, docs if tail else None)))
     node = short_hash("sec_", F.concat_ws("|", F.col("start_char").cast("string"), "heading"))
     role = F.when(F.col("level") == 1, "parent").when(F.col("level") == 2, "child").otherwise("grandchild")
     return tree.withColumns({"node_id": node, "role": role})

@@ -570,7 +570,30 @@ def section_tree(spark, d):
     return st.section_tree(c.select("doc_id", "start_char", "level", "text_length")).select("doc_id", "start_char", "level", "end_char", "parent_start")
 
 
-@query()
+def _sql_round(k: int) -> str:
+    """CTEs of a round: types of each scope scored by every pair of a span and a heading, the chosen marked, what is left in the next round's scopes."""
+    key = "doc_id, s"
+    return f"""v{k} AS (SELECT *, lag(value) OVER (PARTITION BY {key}, marker_type ORDER BY start_char) AS before FROM r{k} WHERE value IS NOT NULL),
+q{k} AS (SELECT {key}, marker_type, CASE WHEN count(*) < 2 THEN 0 ELSE coalesce(sum(CASE WHEN value = before + 1 THEN 1.0 WHEN value = 1 AND before IS NOT NULL THEN 0.5 END), 0) / (count(*) - 1) END::DOUBLE AS sequence FROM v{k} GROUP BY ALL),
+y{k} AS (SELECT r.doc_id, r.s, r.marker_type, count(*) AS n, min(start_char) AS first_char, max(start_char) AS last_char, any_value(e) AS e, any_value(pref) AS pref, coalesce(any_value(q.sequence), 0)::DOUBLE AS sequence FROM r{k} r LEFT JOIN q{k} q ON q.doc_id = r.doc_id AND q.s = r.s AND q.marker_type = r.marker_type GROUP BY 1, 2, 3),
+z{k} AS (SELECT *, greatest(e - s, 1) AS size, first_char <= s + greatest(e - s, 1) * 0.15 AS head, sum(n) OVER (PARTITION BY {key}) AS total FROM y{k}),
+sp{k} AS (SELECT doc_id, s, marker_type, a, coalesce(nxt, e) AS b, CASE WHEN nxt IS NOT NULL THEN 1.0 WHEN n = 1 AND head THEN 1.0 WHEN n > 1 THEN 0.4 END::DOUBLE AS weight
+  FROM (SELECT doc_id, s, marker_type, start_char AS a, lead(start_char) OVER (PARTITION BY {key}, marker_type ORDER BY start_char) AS nxt FROM r{k}) JOIN z{k} USING (doc_id, s, marker_type)),
+ii{k} AS (SELECT p.doc_id, p.s, p.marker_type, p.a, i.marker_type AS inner_type, i.value - lag(i.value) OVER (PARTITION BY p.doc_id, p.s, p.marker_type, p.a, i.marker_type ORDER BY i.start_char) AS step
+  FROM sp{k} p JOIN r{k} i ON i.doc_id = p.doc_id AND i.s = p.s AND i.marker_type <> p.marker_type AND i.start_char > p.a AND i.start_char < p.b AND i.value IS NOT NULL WHERE p.weight IS NOT NULL),
+hh{k} AS (SELECT p.doc_id, p.s, p.marker_type, p.weight, EXISTS (SELECT 1 FROM ii{k} i WHERE i.doc_id = p.doc_id AND i.s = p.s AND i.marker_type = p.marker_type AND i.a = p.a AND i.step = 1)::INT AS hit FROM sp{k} p WHERE p.weight IS NOT NULL),
+in{k} AS (SELECT {key}, marker_type, (sum(weight * hit) / sum(weight))::DOUBLE AS inside FROM hh{k} WHERE weight >= 1 OR hit = 1 GROUP BY ALL),
+sc{k} AS (SELECT z.*, {_HINT_SQL.replace("marker_type", "z.marker_type")} AS hint, coalesce(inside, 0) * 5.0 + sequence * 2.5 + CASE WHEN n >= 2 THEN (last_char - first_char) / size::DOUBLE WHEN head THEN 1.0 ELSE 0.3 END * 1.5 + ln(1.0 + n) / ln(greatest(total, 2)::DOUBLE) * 0.7
+  + {_PRIO_SQL.replace("marker_type", "z.marker_type").replace("ELSE", "ELSE")} / 13.0 * 0.5 + CASE WHEN z.marker_type = pref THEN 2.0 ELSE 0.0 END AS score FROM z{k} z LEFT JOIN in{k} i ON i.doc_id = z.doc_id AND i.s = z.s AND i.marker_type = z.marker_type),
+be{k} AS (SELECT doc_id, s, hint AS best_hint FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY score DESC, first_char) AS o FROM sc{k}) WHERE o = 1 AND score > 0),
+fo{k} AS (SELECT doc_id, s, marker_type AS following FROM (SELECT c.*, row_number() OVER (PARTITION BY c.doc_id, c.s ORDER BY score DESC, first_char) AS o FROM sc{k} c JOIN be{k} b ON b.doc_id = c.doc_id AND b.s = c.s WHERE c.hint > b.best_hint AND c.score > 0) WHERE o = 1),
+mk{k} AS (SELECT r.*, c.hint = b.best_hint AND c.score > 0 AS chosen, f.following FROM r{k} r JOIN sc{k} c ON c.doc_id = r.doc_id AND c.s = r.s AND c.marker_type = r.marker_type JOIN be{k} b ON b.doc_id = r.doc_id AND b.s = r.s LEFT JOIN fo{k} f ON f.doc_id = r.doc_id AND f.s = r.s),
+r{k + 1} AS (SELECT doc_id, start_char, marker_type, value, ns AS s, coalesce((SELECT min(c.start_char) FROM mk{k} c WHERE c.doc_id = x.doc_id AND c.s = x.s AND c.chosen AND c.start_char > x.start_char), x.e) AS e, following AS pref
+  FROM (SELECT m.*, (SELECT max(c.start_char) FROM mk{k} c WHERE c.doc_id = m.doc_id AND c.s = m.s AND c.chosen AND c.start_char < m.start_char) AS ns FROM mk{k} m WHERE NOT chosen) x WHERE ns IS NOT NULL)"""
+
+
+@query(f"""WITH {_DOCS}, r1 AS (SELECT doc_id, start_char, marker_type, value, 0 AS s, text_length AS e, NULL::VARCHAR AS pref FROM cand), {", ".join(_sql_round(k) for k in range(1, 5))}
+SELECT doc_id, start_char, ({_HINT_SQL})::INT AS usual, level::INT AS level FROM ({" UNION ALL ".join(f"SELECT doc_id, start_char, marker_type, {k} AS level FROM mk{k} WHERE chosen" for k in range(1, 5))})""")
 def scope_levels(spark, d):
     """Chapters and the appendix over articles over items, by scopes."""
     got = st.scope_levels(st.candidates(_rules_docs(spark, d)))
