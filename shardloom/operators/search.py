@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -81,6 +83,88 @@ def _small(df: DataFrame, most_bytes: int = 64 << 20) -> bool:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < most_bytes
 
 
+def balls(records: DataFrame, record_id: str = "record_id", vector: str = "embedding", block: int = 512, pivots: int = 4096, seed: int = 5) -> DataFrame:
+    """ball, length, n, centre, radius, ids, block: vectors of one length near one pivot, at most ``block`` of them a row, around their mean.
+
+    Pivots are a bounded sample by a hash, about one for each ``block`` vectors while these are under ``pivots``;
+    where more vectors are near one, a hash deals them over several balls, so no group is unbounded.
+    """
+    v = records.select(F.col(record_id).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v")).where((F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x)))
+    n = v.count()
+    share = min(1.0, min(pivots, max(1, n // block)) / max(1, n))
+    chosen = v.where(F.pmod(F.xxhash64("i", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).limit(2 * pivots).select("v").toArrow().column("v").to_pylist()
+    by_length = {k: np.array([p for p in chosen if len(p) == k]) for k in {len(p) for p in chosen}}
+    sent = records.sparkSession.sparkContext.broadcast(by_length)
+
+    def near(batches):
+        for batch in batches:
+            vectors = batch.column("v").to_pylist()
+            out = []
+            for x in vectors:
+                p = sent.value.get(len(x))
+                out.append(-1 if p is None else int(((p - np.array(x)) ** 2).sum(1).argmin()))
+            yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("v"), pa.array([len(x) for x in vectors], pa.int32()), pa.array(out, pa.int32())], names=["i", "v", "length", "pivot"])
+
+    dealt = cut(v.mapInArrow(near, "i long, v array<double>, length int, pivot int"))
+    sizes = dealt.groupBy("length", "pivot").agg(F.ceil(F.count("*") / block).alias("parts"))
+    parted = dealt.join(sizes, ["length", "pivot"]).withColumn("part", F.pmod(F.xxhash64("i"), F.col("parts")))
+
+    def made(t: pa.Table) -> pa.Table:
+        x = np.array(t.column("v").to_pylist(), "<f8")
+        centre = x.mean(0)
+        radius = float(np.sqrt(((x - centre) ** 2).sum(1)).max()) * (1 + 1e-9)
+        key = [t.column(c)[0].as_py() for c in ("length", "pivot", "part")]
+        return pa.table({"ball": [":".join(map(str, key))], "length": pa.array([key[0]], pa.int32()), "n": pa.array([len(x)], pa.int32()), "centre": pa.array([centre.tobytes()], pa.binary()), "radius": [radius], "ids": pa.array([t.column("i").to_pylist()], pa.list_(pa.int64())), "block": pa.array([x.tobytes()], pa.binary())})
+
+    return parted.groupBy("length", "pivot", "part").applyInArrow(made, "ball string, length int, n int, centre binary, radius double, ids array<long>, block binary")
+
+
+def balls_to_read(questions: DataFrame, held: DataFrame, k: int, question_id: str = "query_id", vector: str = "embedding", block: int = 512) -> DataFrame:
+    """query_id, q, ball: the balls that can hold one of the ``k`` nearest vectors of a question.
+
+    The k-th distance is at most the farthest side of as many of the nearest balls as hold k vectors; by the triangle inequality
+    balls whose near side is beyond it can't matter. Only centres and radii are read, a question at a time against rows of many.
+    """
+    q = questions.select(F.col(question_id).cast("long").alias("query_id"), F.col(vector).cast("array<double>").alias("v")).where((F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x)))
+    meta = held.select("ball", "length", "n", "centre", "radius")
+
+    def sides(batches):
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("query_id", "v", "ball", "n", "centre", "radius")), strict=True)
+            out = [(i, b, n, float(np.sqrt(((np.frombuffer(c, "<f8") - np.array(v)) ** 2).sum())), r) for i, v, b, n, c, r in rows]
+            for a in range(0, len(out), 4096):
+                i, b, n, d, r = zip(*out[a : a + 4096], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(b), pa.array(n, pa.int32()), pa.array([x * (1 - 1e-9) - y for x, y in zip(d, r, strict=True)]), pa.array([x * (1 + 1e-9) + y for x, y in zip(d, r, strict=True)])], names=["query_id", "ball", "n", "low", "high"])
+
+    met = q.join(meta, F.size("v") == F.col("length")).select("query_id", "v", "ball", "n", "centre", "radius").mapInArrow(sides, "query_id long, ball string, n int, low double, high double")
+    met = cut(met)
+    w = Window.partitionBy("query_id").orderBy("high", "ball")
+    enough = met.withColumn("_sum", F.sum("n").over(w)).where(F.col("_sum") >= k).groupBy("query_id").agg(F.min("high").alias("most"))
+    kept = met.join(enough, "query_id", "left").where(F.col("low") <= F.coalesce("most", F.lit(float("inf"))))
+    return kept.select("query_id", "ball").join(q, "query_id").select("query_id", F.col("v").alias("q"), "ball")
+
+
+def vector_top_k_pruned(questions: DataFrame, records: DataFrame, k: int, question_id: str = "query_id", record_id: str = "record_id", vector: str = "embedding", block: int = 512) -> DataFrame:
+    """The rows of vector_top_k(), exactly, reading only balls_to_read(); for records that are searched often or lie in clusters."""
+    if k <= 0:
+        return vector_top_k(questions, records, k)
+    held = cut(balls(records, record_id, vector, block))
+    wanted = balls_to_read(questions, held, k, question_id, vector)
+
+    def run(batches):
+        for batch in batches:
+            for i, q, ids, data in zip(*(batch.column(c).to_pylist() for c in ("query_id", "q", "ids", "block")), strict=True):
+                diff = np.array(q) - np.frombuffer(data, "<f8").reshape(len(ids), -1)
+                exact = np.cumsum(diff * diff, axis=1)[:, -1]  # left to right
+                ids = np.array(ids, np.int64)
+                best = np.lexsort((ids, exact))[:k]
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(best), pa.int64()), pa.array(ids[best]), pa.array(exact[best])], names=["query_id", "record_id", "distance"])
+
+    met = wanted.join(held.select("ball", "ids", "block"), "ball").select("query_id", "q", "ids", "block").mapInArrow(run, "query_id long, record_id long, distance double")
+    w = Window.partitionBy("query_id").orderBy("distance", "record_id")
+    return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def normalised(score: Column, *by: str) -> Column:
     """Scores of a query brought to 0..1; where all are equal each is 1."""
     w = Window.partitionBy(*by)
@@ -100,30 +184,32 @@ def occurrences(doc: Column, token: Column) -> Column:
     return F.when(F.char_length(token) > 0, (F.char_length(doc) - F.char_length(F.replace(doc, token, F.lit("")))) / F.char_length(token)).otherwise(0).cast("long")
 
 
-def _token_hits(documents: DataFrame, tokens: DataFrame) -> DataFrame:
-    """doc_id, token, n: how often each distinct token (a column of ``tokens``) occurs in each document that holds it, without overlaps.
+#: Characters of tokens in one automaton, about; it has at most a node for each, some 100 bytes.
+AUTOMATON_CHARS = 1 << 20
+_AUTOMATON: dict = {}  # the last one that this worker made, by its broadcast
 
-    While the tokens are under a checked size, one automaton of all of them reads each text once, in
-    time in proportion to its length and hits. Beyond, tokens meet documents as a nested loop.
-    """
-    distinct = cut(tokens.select("token").where("token <> ''").distinct())
-    if not _small(distinct, 32 << 20):
-        return documents.join(distinct, F.contains(F.col("document_lower"), F.col("token"))).select("doc_id", "token", occurrences(F.col("document_lower"), F.col("token")).alias("n"))
-    sent = documents.sparkSession.sparkContext.broadcast(distinct.toArrow().column("token").to_pylist())
+
+def _hits_of(documents: DataFrame, words: list[str]) -> DataFrame:
+    """doc_id, token, n for some tokens: each text is read once, in time in proportion to its length and hits."""
+    sent = documents.sparkSession.sparkContext.broadcast(words)
+    key = uuid.uuid4().hex
 
     def run(batches):
         import ahocorasick
 
-        words = ahocorasick.Automaton()
-        for k, t in enumerate(sent.value):
-            words.add_word(t, (k, len(t)))
-        if sent.value:
-            words.make_automaton()
+        if key not in _AUTOMATON:
+            made = ahocorasick.Automaton()
+            for k, t in enumerate(sent.value):
+                made.add_word(t, (k, len(t)))
+            made.make_automaton()
+            _AUTOMATON.clear()
+            _AUTOMATON[key] = made
+        words = _AUTOMATON[key]
         for batch in batches:
             out = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("document_lower").to_pylist(), strict=True):
                 counts, ends = {}, {}
-                for end, (k, length) in words.iter(text) if text and sent.value else ():
+                for end, (k, length) in words.iter(text) if text else ():
                     if end - length >= ends.get(k, -1):
                         counts[k], ends[k] = counts.get(k, 0) + 1, end
                 out += [(doc_id, sent.value[k], n) for k, n in counts.items()]
@@ -134,21 +220,40 @@ def _token_hits(documents: DataFrame, tokens: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "document_lower").mapInArrow(run, "doc_id long, token string, n long")
 
 
-def keyword_search(questions: DataFrame, documents: DataFrame, k: int, weight: float = 1.0, head: int = 32) -> DataFrame:
+def _token_hits(documents: DataFrame, tokens: DataFrame, most_chars: int = AUTOMATON_CHARS) -> DataFrame:
+    """doc_id, token, n: how often each distinct token (a column of ``tokens``) occurs in each document that holds it, without overlaps.
+
+    Tokens are dealt by a hash over as many automatons as keep each at about ``most_chars`` characters, and each of them reads
+    the texts once. No automaton, nor what goes through the driver for it, grows with the tokens.
+    """
+    distinct = cut(tokens.select("token").where("token <> ''").distinct())
+    chars = distinct.agg(F.coalesce(F.sum(F.char_length("token")), F.lit(0))).first()[0]
+    groups = max(1, -(-chars // most_chars))
+    whole = documents.sparkSession.createDataFrame([], "doc_id long, token string, n long")
+    for g in range(groups):
+        own = distinct.where(F.pmod(F.xxhash64("token"), F.lit(groups)) == g) if groups > 1 else distinct
+        if words := own.toArrow().column("token").to_pylist():
+            whole = whole.unionByName(_hits_of(documents, words))
+        if g % 16 == 15:  # plans stay short
+            whole = cut(whole)
+    return whole
+
+
+def keyword_search(questions: DataFrame, documents: DataFrame, k: int, weight: float = 1.0, head: int = 32, most_chars: int = AUTOMATON_CHARS) -> DataFrame:
     """query_id, doc_id, rank, keyword_score_raw, keyword_score_norm, final_score.
 
     ``questions``: query_id, tokens; ``documents``: doc_id, document_lower. A document is a candidate
     if it contains a token; a query without any is asked again with the first ``head`` characters of
     its first token, whose hits score 0, as no document has a whole token. Scores are normalised after
-    the cut. A repeated token counts as often as it is given.
+    the cut. A repeated token counts as often as it is given. ``most_chars``: as _token_hits().
     """
     q = questions.where(F.size("tokens") > 0)
     asked = q.select("query_id", F.explode("tokens").alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
-    hits = cut(_token_hits(documents, asked))
+    hits = cut(_token_hits(documents, asked, most_chars))
     found = hits.join(asked, "token").groupBy("query_id", "doc_id").agg(F.sum(F.col("n") * F.col("times")).cast("double").alias("keyword_score_raw"))
     found = cut(found)
     empty = q.join(found.select("query_id").distinct(), "query_id", "left_anti").select("query_id", F.substring(F.element_at("tokens", 1), 1, head).alias("token"))
-    again = _token_hits(documents, empty).join(empty, "token").select("query_id", "doc_id", F.lit(0.0).alias("keyword_score_raw"))
+    again = _token_hits(documents, empty, most_chars).join(empty, "token").select("query_id", "doc_id", F.lit(0.0).alias("keyword_score_raw"))
     both = found.unionByName(again)
     w = Window.partitionBy("query_id").orderBy(F.desc("keyword_score_raw"), "doc_id")
     ranked = both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

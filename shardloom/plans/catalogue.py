@@ -65,6 +65,13 @@ def vector_topk(spark, d):
     return _hits(spark, d).withColumn("distance", F.round("distance", 6))
 
 
+@query(f"WITH {_HITS} SELECT query_id, record_id, rank::INT AS rank, round(distance, 6) AS distance FROM hits")
+def vector_topk_pruned(spark, d):
+    """The same hits, from the balls of vectors that can hold them."""
+    hits = search.vector_top_k_pruned(_questions(spark, d), _records(spark, d).select("record_id", "embedding"), TOP_K, block=64)
+    return hits.withColumn("distance", F.round("distance", 6))
+
+
 @query(f"WITH {_HITS} SELECT query_id, record_id, rank::INT AS rank, round(vraw, 6) AS vector_score_raw, round(norm, 6) AS final_score FROM scored")
 def vector_scored(spark, d):
     return search.scored_hits(_hits(spark, d)).select("query_id", "record_id", "rank", F.round("vector_score_raw", 6).alias("vector_score_raw"), F.round("final_score", 6).alias("final_score"))
