@@ -9,7 +9,8 @@ shortest permitted length that holds its contents.
 
 Rows: null or empty text has no tokens and no piece, and isn't in the result; a null id is packed
 like others; repeated rows are each packed; an empty table gives an empty table; extra columns are
-ignored.
+ignored. text_key, the MD5 digest of a row's text, says which text a piece belongs to where rows share an
+id or have none; sequences() goes by it, so each placed piece comes back once.
 """
 
 from __future__ import annotations
@@ -90,12 +91,12 @@ def word_tokens(text: str = "text") -> Column:
 
 
 def best_fit(docs: DataFrame, lengths: Lengths = Lengths(), size: Column | None = None, shard_pieces: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, piece, n_tokens, bin, bin_offset, bin_length: where each piece of each text lies.
+    """doc_id, text_key, piece, n_tokens, bin, bin_offset, bin_length: where each piece of each text lies.
 
     ``size``: tokens of a text, as a column over doc_id and text; the number of its words if not
     given. ``bin`` names a sequence by shard and number.
     """
-    return best_fit_of(id_and_text(docs, id_col, text_col).select("doc_id", (word_tokens() if size is None else size).cast("long").alias("size")), lengths, shard_pieces)
+    return best_fit_of(id_and_text(docs, id_col, text_col).select("doc_id", F.md5("text").alias("text_key"), (word_tokens() if size is None else size).cast("long").alias("size")), lengths, shard_pieces)
 
 
 def best_fit_tokens(docs: DataFrame, tokenizer_json: str, lengths: Lengths = Lengths(), shard_pieces: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -106,23 +107,24 @@ def best_fit_tokens(docs: DataFrame, tokenizer_json: str, lengths: Lengths = Len
 
 
 def best_fit_of(sized: DataFrame, lengths: Lengths = Lengths(), shard_pieces: int = 20_000) -> DataFrame:
-    """best_fit() of doc_id, size."""
+    """best_fit() of doc_id, text_key, size."""
     longest = lengths.permitted[-1]
     sized = staged(sized.where("size > 0"), "packing-sizes")
-    pieces = sized.select("doc_id", "size", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / longest).cast("int"))).alias("piece"))
-    pieces = pieces.select("doc_id", "piece", F.least(F.lit(longest), F.col("size") - F.col("piece") * longest).cast("long").alias("n_tokens"))
+    pieces = sized.select("doc_id", "text_key", "size", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / longest).cast("int"))).alias("piece"))
+    pieces = pieces.select("doc_id", "text_key", "piece", F.least(F.lit(longest), F.col("size") - F.col("piece") * longest).cast("long").alias("n_tokens"))
     total = sized.agg(F.coalesce(F.sum(F.floor((F.col("size") - 1) / longest) + 1), F.lit(0))).first()[0]
     shards = partitions_for(int(total), shard_pieces)
     # whole rows are hashed with a number from their place, as many may share an id and a size
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "n_tokens", F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text_key", "piece", F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
 
     def run(table: pa.Table) -> pa.Table:
-        rows = table.sort_by([("n_tokens", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        rows = table.sort_by([("n_tokens", "descending"), ("doc_id", "ascending"), ("text_key", "ascending"), ("piece", "ascending")])
         bins, offsets, made = pack(rows.column("n_tokens").to_pylist(), lengths)
         shard = rows.column("shard")[0].as_py()
         return pa.table(
             {
                 "doc_id": rows.column("doc_id"),
+                "text_key": rows.column("text_key"),
                 "piece": rows.column("piece"),
                 "n_tokens": rows.column("n_tokens"),
                 "bin": pa.array([(shard << 32) | b for b in bins], pa.int64()),
@@ -131,19 +133,20 @@ def best_fit_of(sized: DataFrame, lengths: Lengths = Lengths(), shard_pieces: in
             }
         )
 
-    return dealt.groupBy("shard").applyInArrow(run, "doc_id long, piece int, n_tokens long, bin long, bin_offset long, bin_length long")
+    return dealt.groupBy("shard").applyInArrow(run, "doc_id long, text_key string, piece int, n_tokens long, bin long, bin_offset long, bin_length long")
 
 
 def sequences(placed: DataFrame, docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_col: str = "text", longest: int = Lengths().permitted[-1]) -> DataFrame:
     """bin, bin_length, ids: the token ids of each sequence, from where best_fit_tokens() put the pieces of ``docs``.
 
-    A sequence has one or more pieces and at most ``longest`` ids, so a group is bounded. For tables in
-    which each id that isn't null is a single document; those without an id have no sequence.
+    A sequence has one or more pieces and at most ``longest`` ids, so a group is bounded. Pieces meet their text by
+    its digest, and each text is taken once however many rows repeat it, so no placed piece is lost or doubled.
     """
     from .token_output import token_ids
 
-    ids = token_ids(docs.where(F.col(f"`{id_col}`").isNotNull()), tokenizer_json, id_col, text_col).where(F.size("ids") > 0)
+    keyed = docs.select(F.md5(F.col(f"`{text_col}`").cast("string")).alias("_key"), F.col(f"`{text_col}`").cast("string").alias("_text")).where("_key IS NOT NULL").dropDuplicates(["_key"])
+    ids = token_ids(keyed, tokenizer_json, None, "_text").where(F.size("ids") > 0)
     starts = F.sequence(F.lit(0), F.floor((F.size("ids") - 1) / longest).cast("int"))
-    pieces = ids.select("doc_id", F.posexplode(F.transform(starts, lambda k: F.slice("ids", k * longest + 1, F.lit(longest)))).alias("piece", "part"))
+    pieces = ids.select("text_key", F.posexplode(F.transform(starts, lambda k: F.slice("ids", k * longest + 1, F.lit(longest)))).alias("piece", "part"))
     held = F.array_sort(F.collect_list(F.struct("bin_offset", "part")))
-    return placed.join(pieces, ["doc_id", "piece"]).groupBy("bin", "bin_length").agg(F.flatten(F.transform(held, lambda x: x["part"])).alias("ids"))
+    return placed.join(pieces, ["text_key", "piece"]).groupBy("bin", "bin_length").agg(F.flatten(F.transform(held, lambda x: x["part"])).alias("ids"))

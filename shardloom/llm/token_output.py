@@ -200,29 +200,30 @@ class WordMemory(dict):
 
 
 def token_sizes(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, size: the number of ids that each text has in the blocks, without the end id."""
+    """doc_id, text_key, size: the number of ids that each text has in the blocks, without the end id; text_key is the text's MD5 digest, which tells rows with one id, or none, apart."""
     spec = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
 
     def run(batches):
         memory = loaded(WordMemory, spec.value)
         for batch in batches:
             ids, texts = columns_of(batch, "doc_id", "text")
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(memory.ids_of(t)) // 4 for t in texts], pa.int64())], names=["doc_id", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), batch.column("text_key"), pa.array([len(memory.ids_of(t)) // 4 for t in texts], pa.int64())], names=["doc_id", "text_key", "size"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, size long")
+    return id_and_text(docs, id_col, text_col).withColumn("text_key", F.md5("text")).mapInArrow(run, "doc_id long, text_key string, size long")
 
 
-def token_ids(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids array<int>: the ids that each text has in the blocks, without the end id."""
+def token_ids(docs: DataFrame, tokenizer_json: str, id_col: str | None = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_key, ids array<int>: the ids that each text has in the blocks, without the end id; without ``id_col`` doc_id is null."""
     spec = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
 
     def run(batches):
         memory = loaded(WordMemory, spec.value)
         for batch in batches:
             ids, texts = columns_of(batch, "doc_id", "text")
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([np.frombuffer(memory.ids_of(t), "<i4") for t in texts], pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), batch.column("text_key"), pa.array([np.frombuffer(memory.ids_of(t), "<i4") for t in texts], pa.list_(pa.int32()))], names=["doc_id", "text_key", "ids"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
+    rows = id_and_text(docs, id_col, text_col) if id_col else docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return rows.withColumn("text_key", F.md5("text")).mapInArrow(run, "doc_id long, text_key string, ids array<int>")
 
 
 def write_token_blocks(docs: DataFrame, path: str, tokenizer_json: str, end_id: int = 1, block_ids: int = 1 << 20, partitions: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:

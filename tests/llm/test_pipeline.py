@@ -1,6 +1,7 @@
 """Each stage of the pipeline against a brute-force version, on small tables with repeated and missing ids."""
 
 import collections
+import hashlib
 import re
 import zlib
 
@@ -122,18 +123,68 @@ def test_mask(spark, docs):
     assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in out.collect())
 
 
+def brute_pack(sizes, lengths):
+    """Best fit once more: every open bin is looked at for each size, and the cost of each length is taken from all sizes still to come."""
+    used, capacity, places = [], [], []
+    for i, s in enumerate(sizes):
+        rooms = [(c - u, b) for b, (u, c) in enumerate(zip(used, capacity, strict=True)) if c - u >= s]
+        if rooms:
+            b = min(rooms)[1]
+        else:
+            costs = []
+            for length in lengths.permitted:
+                if length >= s:
+                    room = length - s
+                    bound = max((p for p in lengths.permitted if p <= room), default=0)
+                    filled = min(room, sum(x for x in sizes[i + 1 :] if x <= bound))
+                    costs.append((lengths.cost(length) / (s + filled), length))
+            b = len(used)
+            used.append(0)
+            capacity.append(min(costs, key=lambda c: c[0])[1])
+        places.append((b, used[b]))
+        used[b] += s
+    return [(b, o, min(p for p in lengths.permitted if p >= used[b])) for b, o in places]
+
+
 def test_pack(spark, docs):
     lib = library("word_bpe_49k.json")
     pieces = []
     for r in docs.collect():
         n = len(lib.encode(r.text or "", add_special_tokens=False).ids)
-        pieces += [(-min(8192, n - k * 8192), r.doc_id, k) for k in range(-(-n // 8192))]
-    pieces.sort(key=lambda p: (p[0], p[1] is None, p[1] or 0, p[2]))
-    bins, offsets, made = pack([-n for n, _, _ in pieces], Lengths())
-    want = sorted((-n, d, k, o, made[b]) for (n, d, k), b, o in zip(pieces, bins, offsets, strict=True) if d is not None)
-    got = [(r.n_tokens, r.doc_id, r.piece, r.bin_offset, r.bin_length) for r in corpus_pipeline.pack(spark, docs, TABLES).collect()]
-    assert sorted((g for g in got if g[1] is not None and g[1] not in (1, 9000))) == [w for w in want if w[1] not in (1, 9000)]
-    assert collections.Counter(g[0] for g in got) == collections.Counter(-p[0] for p in pieces)
+        pieces += [(-min(8192, n - k * 8192), r.doc_id is None, r.doc_id or 0, hashlib.md5(r.text.encode()).hexdigest(), k) for k in range(-(-n // 8192))]
+    pieces.sort()
+    places = brute_pack([-p[0] for p in pieces], Lengths())
+    want = [(-n, None if none else d, t, k, b, o, made) for (n, none, d, t, k), (b, o, made) in zip(pieces, places, strict=True)]
+    got = [(r.n_tokens, r.doc_id, r.text_key, r.piece, r.bin, r.bin_offset, r.bin_length) for r in corpus_pipeline.pack(spark, docs, TABLES).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_packer_equals_brute_force():
+    rng = np.random.default_rng(12)
+    for lengths in (Lengths(), Lengths((8, 16, 32), overhead=4), Lengths((10,), overhead=0)):
+        for _ in range(30):
+            sizes = sorted((int(x) for x in rng.integers(1, lengths.permitted[-1] + 1, rng.integers(1, 60)) ** rng.choice([1.0, 0.7])), reverse=True)
+            bins, offsets, made = pack(sizes, lengths)
+            assert [(b, o, made[b]) for b, o in zip(bins, offsets, strict=True)] == brute_pack(sizes, lengths)
+
+
+def test_sequences_of_repeated_and_missing_ids(spark):
+    """Different texts and copies under one id, and rows without one: every token comes back where it was placed."""
+    from shardloom.llm.packing import Lengths, best_fit_tokens, sequences
+
+    from .helpers import spec
+
+    texts = [(1, "one two"), (1, "three"), (None, "four five six"), (None, "four five six"), (1, "one two"), (2, "seven " * 40), (3, None), (4, "")]
+    docs, lib, lengths = frame(spark, texts), library("word_bpe_49k.json"), Lengths((8, 16))
+    placed = best_fit_tokens(docs, spec("word_bpe_49k.json"), lengths)
+    made = {r.bin: (r.bin_length, r.ids) for r in sequences(placed, docs, spec("word_bpe_49k.json"), longest=16).collect()}
+    ids = {hashlib.md5((t or "").encode()).hexdigest(): lib.encode(t or "", add_special_tokens=False).ids for _, t in texts}
+    want = collections.defaultdict(list)
+    for r in sorted(placed.collect(), key=lambda r: (r.bin, r.bin_offset)):
+        want[r.bin] += ids[r.text_key][r.piece * 16 : r.piece * 16 + 16]
+    assert {b: i for b, (_, i) in made.items()} == dict(want)
+    assert sum(len(i) for _, i in made.values()) == sum(len(lib.encode(t or "", add_special_tokens=False).ids) for _, t in texts)
+    assert all(len(i) <= n for n, i in made.values())
 
 
 def test_empty_tables(spark, tmp_path):
