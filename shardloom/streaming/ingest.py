@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -26,14 +28,17 @@ def stream_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFr
     return spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
 
 
-def ingest(spark: SparkSession, folder: str, store: str, checkpoint: str) -> StreamingQuery:
-    """Appends the chunks of new files to ``store`` under the number of their batch; latest() gives a source's newest chunks.
+def ingest(spark: SparkSession, folder: str, store: str, checkpoint: str, records: Callable[[DataFrame], DataFrame] = chunk_rows) -> StreamingQuery:
+    """Appends the records of new files to ``store`` under the number of their batch; latest() gives a source's newest ones.
+
+    ``records`` maps files (path, content) to rows with source: an experiment's, for one, are those of
+    ``lambda files: batch.ingested(e, files)``, which fails a batch that holds a file it can't read.
 
     A batch that is repeated after a failure replaces what it had written, so each file counts once.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        chunk_rows(batch).write.mode("overwrite").parquet(f"{store}/batch={number}")
+        records(batch).write.mode("overwrite").parquet(f"{store}/batch={number}")
 
     return stream_files(spark, folder).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
