@@ -461,7 +461,7 @@ def _heading_line(heading: Column, level: Column, kind: Column) -> Column:
     return decorated(F.when((F.char_length(heading) > _LONG) & (marker != ""), marker).otherwise(heading), level, kind)
 
 
-def structure_chunks(docs: DataFrame, most: int = 1000, markdown: bool = True, least: int = 10, w: Weights = Weights(), tail: bool = True, repair: bool = True) -> DataFrame:
+def structure_chunks(docs: DataFrame, most: int = 1000, markdown: bool = True, least: int = 10, w: Weights = Weights(), tail: bool = True, repair: bool = True, two_levels: bool = False) -> DataFrame:
     """doc_id, chunk_index, chunk_id, role, level, path_text, parent_chunk_id, child_chunk_id, grandchild_chunk_id, chunk_text.
 
     A section's chunk is its lines with headings and items marked by level, after a line for the
@@ -469,7 +469,8 @@ def structure_chunks(docs: DataFrame, most: int = 1000, markdown: bool = True, l
     of the second level needs ``least`` characters and two lines of body, or one where a sibling of its
     type has two. Where at most one such is in a chapter, the chapter stands for it; so does a
     section for its only block of items. A document without headings gives its paragraphs, with the
-    role fallback.
+    role fallback. With ``two_levels`` chapters and their sections are all chunks, without lines above them,
+    items stay inside, and no ids of a hierarchy are given.
     """
     fixed = cut(repaired(docs) if repair else docs.select("doc_id", "text"))
     nodes = cut(sections(fixed, w, tail))
@@ -494,13 +495,20 @@ def structure_chunks(docs: DataFrame, most: int = 1000, markdown: bool = True, l
     placed = placed.join(depths, ["doc_id", "line_no"], "left")
     mark = F.when(F.col("depth") == 0, F.concat(F.lit("#### "), text)).when(F.col("depth") > 0, F.concat(F.lit("- "), text))
     mark = F.coalesce(mark, F.when(F.col("heading").isNotNull() & (F.col("two").isNull() | (F.col("level") <= 2)), decorated(F.col("heading"), F.col("level"), F.col("marker_type"))), F.col("line"))
-    placed = cut(placed.withColumn("shown", mark if markdown else F.col("line")).withColumn("opens", F.coalesce(F.col("depth") == 0, F.lit(False))))
+    placed = placed.withColumn("shown", mark if markdown else F.col("line")).withColumn("opens", F.coalesce(F.col("depth") == 0, F.lit(False)))
 
     whole = stripped(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "shown"))), lambda x: x["shown"]), "\n"))
     body_lines = F.count(F.when(stripped(F.col("shown")) != "", 1)) - 1
 
+    # in a chapter its own text and sections follow each other without blank lines between
+    blank, section = stripped(F.col("line")) == "", F.col("heading").isNotNull()
+    loose_line = F.when(~blank, F.struct((section & ((F.col("level") == 2) | F.col("two").isNull())).alias("starts"), (section & F.col("two").isNull()).alias("leads")))
+    under = F.first(loose_line, ignorenulls=True).over(by.rowsBetween(1, Window.unboundedFollowing))["starts"]
+    over = F.last(loose_line, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))["leads"]
+    placed = cut(placed.withColumn("apart", blank & (F.coalesce(under, F.lit(False)) | F.coalesce(over, F.lit(False)))))
+
     def bodies(c: str) -> DataFrame:
-        return placed.where(F.col(c).isNotNull()).groupBy("doc_id", F.col(f"{c}.node_id").alias("node_id")).agg(whole.alias("body"), body_lines.alias("body_lines"))
+        return placed.where(F.col(c).isNotNull() & (~F.col("apart") if c == "one" else F.lit(True))).groupBy("doc_id", F.col(f"{c}.node_id").alias("node_id")).agg(whole.alias("body"), body_lines.alias("body_lines"))
 
     head = lambda c, prefix: [F.col("node_id").alias(f"{prefix}_id"), F.col("heading").alias(f"{prefix}_heading"), F.col("level").alias(f"{prefix}_level"), F.col("marker_type").alias(f"{prefix}_type"), F.col("start_char").alias(f"{prefix}_start")]
     ones, twos = nodes.where("level = 1"), nodes.where("level = 2")
@@ -530,7 +538,9 @@ def structure_chunks(docs: DataFrame, most: int = 1000, markdown: bool = True, l
     null = F.lit(None).cast("string")
 
     def chunk(d: DataFrame, role: str, start: str, base: Column, path: list, above: list, parent: Column, child: Column, grandchild: Column, body: str, block: Column) -> DataFrame:
-        lead = F.concat_ws("\n", title_line, *above) if markdown else F.lit("")
+        lead = F.concat_ws("\n", title_line, *above) if markdown and not two_levels else F.lit("")
+        if two_levels:
+            parent = child = grandchild = null
         d = d.join(titles, "doc_id")
         return d.select("doc_id", F.col(start).cast("int").alias("start_char"), F.lit(role).alias("role"), block.alias("block"), base.alias("base_id"), F.concat_ws(" > ", "title", *path).alias("path_text"), parent.alias("parent_chunk_id"), child.alias("child_chunk_id"), grandchild.alias("grandchild_chunk_id"), lead.alias("lead"), F.col(body).alias("body"))
 
@@ -538,10 +548,10 @@ def structure_chunks(docs: DataFrame, most: int = 1000, markdown: bool = True, l
     base = named(F.col("one_id"))
     every = chunk(one.where(F.char_length("text") >= least), "parent", "one_start", base, ["one_heading"], [], base, F.when(F.col("merged"), base), F.when(F.col("merged") & ~F.col("many"), base), "text", no_block)
     base, up = named(F.col("two_id")), F.coalesce(named(F.col("one_id")), named(F.col("two_id")))
-    every = every.unionByName(chunk(two.where("emits AND NOT merged"), "child", "two_start", base, ["one_heading", "two_heading"], [up_one], up, base, F.when(F.col("n_blocks") <= 1, base), "body", no_block))
+    every = every.unionByName(chunk(two.where("emits" if two_levels else "emits AND NOT merged"), "child", "two_start", base, ["one_heading", "two_heading"], [up_one], up, base, F.when(F.col("n_blocks") <= 1, base), "body", no_block))
     small = two.where("n_blocks >= 2").select("doc_id", *[c for c in two.columns if c.startswith(("one_", "two_"))])
     third = short_hash("chunk_sec_", F.concat_ws("|", "two_id", F.col("no").cast("string"), F.substring("block_heading", 1, 80)))
-    every = every.unionByName(chunk(blocks.join(small, ["doc_id", "two_id"]), "grandchild", "block_start", third, ["one_heading", "two_heading", "block_heading"], [up_one, up_two], F.coalesce(named(F.col("one_id")), third), named(F.col("two_id")), third, "block_text", F.col("no")))
+    every = every if two_levels else every.unionByName(chunk(blocks.join(small, ["doc_id", "two_id"]), "grandchild", "block_start", third, ["one_heading", "two_heading", "block_heading"], [up_one, up_two], F.coalesce(named(F.col("one_id")), third), named(F.col("two_id")), third, "block_text", F.col("no")))
     bare = fixed.join(nodes.select("doc_id").distinct(), "doc_id", "left_anti")
     loose = paragraphs(bare).withColumn("text", stripped(F.col("text"))).where(F.char_length("text") >= least)
     base = named(short_hash("sec_", F.concat_ws("|", F.col("start_char").cast("string"), F.substring("text", 1, 40))))

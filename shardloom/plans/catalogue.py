@@ -626,7 +626,8 @@ def enumeration_collapse(spark, d):
 
 @query()
 def structure_chunks_v3(spark, d):
-    return st.structure_chunks(_rules_docs(spark, d), most=500, tail=False)
+    """Chapters that repeat their articles, and the articles."""
+    return registry.chunker("logic_03")(_rules_docs(spark, d))
 
 
 @query()
@@ -760,11 +761,11 @@ _HANDBOOKS = """c0 AS (SELECT c_mktsegment AS seg, c_custkey // 2000 AS part, c_
 c1 AS (SELECT *, (n + 3) // 4 AS arts, i * ((n + 3) // 4) // n AS art FROM c0), c2 AS (SELECT *, art * ((arts + 2) // 3) // arts AS ch, row_number() OVER (PARTITION BY seg, part, art ORDER BY i) AS k FROM c1),
 ln AS (SELECT *, CASE WHEN art % 2 = 0 THEN k || '. ' ELSE '' END || c_name || ' from ' || n_name || ' buys ' || CASE WHEN art % 2 = 0 THEN 'often.' ELSE 'rarely.' END AS line FROM c2),
 ar AS (SELECT seg, part, ch, art, '第' || (art + 1) || '条（' || arg_min(n_name, k) || '）' AS ah, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY k) AS plain, string_agg(CASE WHEN art % 2 = 0 THEN '- ' ELSE '' END || line, chr(10) ORDER BY k) AS shown FROM ln GROUP BY seg, part, ch, art),
-chs AS (SELECT seg, part, ch, '第' || (ch + 1) || '章 ' || seg AS hh, count(*) AS n_arts, max(CASE WHEN art % 2 = 0 THEN n_lines ELSE 0 END) >= 2 AS many, string_agg(ah || chr(10) || plain, chr(10) || chr(10) ORDER BY art) AS plain, string_agg('### ' || ah || chr(10) || shown, chr(10) || chr(10) ORDER BY art) AS shown FROM ar GROUP BY seg, part, ch),
+chs AS (SELECT seg, part, ch, '第' || (ch + 1) || '章 ' || seg AS hh, count(*) AS n_arts, max(CASE WHEN art % 2 = 0 THEN n_lines ELSE 0 END) >= 2 AS many, string_agg(ah || chr(10) || plain, chr(10) || chr(10) ORDER BY art) AS plain, string_agg('### ' || ah || chr(10) || shown, chr(10) ORDER BY art) AS shown FROM ar GROUP BY seg, part, ch),
 dc AS (SELECT seg, part, 'uploaded/' || seg || '-' || part || '.txt' AS source, sha256('uploaded/' || seg || '-' || part || '.txt')[:16] AS doc_id, '規程' || seg || chr(10) || chr(10) || string_agg(hh || chr(10) || chr(10) || plain, chr(10) || chr(10) ORDER BY ch) || chr(10) || chr(10) || '附則' || chr(10) || 'This handbook ends.' AS text FROM chs GROUP BY seg, part),
 ids AS (SELECT seg, part, ch, 'chunk_sec_' || sha256((strpos(text, chr(10) || hh) || '|' || hh))[:8] AS one FROM chs JOIN dc USING (seg, part)),
 two AS (SELECT seg, part, ch, art, 'chunk_sec_' || sha256((strpos(text, chr(10) || ah) || '|' || ah))[:8] AS two FROM ar JOIN dc USING (seg, part)),
-ck AS (SELECT seg, part, ch, -1 AS art, 0 AS k, 'parent' AS role, one AS p, CASE WHEN n_arts <= 1 THEN one END AS c, '## ' || hh || chr(10) || chr(10) || shown AS body FROM chs JOIN ids USING (seg, part, ch)
+ck AS (SELECT seg, part, ch, -1 AS art, 0 AS k, 'parent' AS role, one AS p, CASE WHEN n_arts <= 1 THEN one END AS c, '## ' || hh || chr(10) || shown AS body FROM chs JOIN ids USING (seg, part, ch)
   UNION ALL SELECT seg, part, ch, art, 0, 'child', one, two, '## ' || hh || chr(10) || '### ' || ah || chr(10) || ar.shown FROM ar JOIN chs USING (seg, part, ch) JOIN ids USING (seg, part, ch) JOIN two USING (seg, part, ch, art) WHERE n_arts > 1
   UNION ALL SELECT seg, part, ch, art, k, 'grandchild', one, two, '## ' || hh || chr(10) || '### ' || ah || chr(10) || '- ' || line FROM ln JOIN ar USING (seg, part, ch, art) JOIN chs USING (seg, part, ch) JOIN ids USING (seg, part, ch) JOIN two USING (seg, part, ch, art) WHERE art % 2 = 0 AND n_lines >= 2
   UNION ALL SELECT seg, part, 1000000, -1, 0, 'parent', 'chunk_sec_' || sha256((strpos(text, chr(10) || '附則') || '|附則'))[:8], 'chunk_sec_' || sha256((strpos(text, chr(10) || '附則') || '|附則'))[:8], '## 附則' || chr(10) || 'This handbook ends.' FROM dc),

@@ -60,7 +60,7 @@ _LOGIC: dict[str, dict[str, object]] = {
     "chunking": {
         "logic_01": _recursive,
         "logic_02": structure_v2.structure_chunks_v2,
-        "logic_03": lambda docs: st.structure_chunks(docs, most=500, tail=False, repair=False),
+        "logic_03": lambda docs: st.structure_chunks(docs, most=1000, tail=False, repair=False, two_levels=True),
         "logic_04": lambda docs: st.structure_chunks(docs, most=1000, tail=False),
         "logic_05": _plain_structure,
         "logic_06": lambda docs: st.with_vector_texts(st.structure_chunks(docs, most=1000)),

@@ -169,3 +169,18 @@ def test_a_very_long_document(spark):
     scored = st._scope_scores(cands.withColumns({"scope_start": F.lit(0), "scope_end": F.col("text_length"), "preferred": F.lit(None).cast("string"), "raw": F.lit(False)}), W, True)
     assert scored.count() == 3 and time.time() - began < 20
     cands.unpersist()
+
+
+def test_the_third_chunker_has_two_levels(spark):
+    from shardloom.plans import registry
+
+    text = "規程\n\n第1章 総則\n\n前置きの文である。\n\n第1条（目的）\n1. 目的を定める。\n2. 適用を定める。\n\n第2条（定義）\nことばを定める。\n社員とは雇われた者である。\n\n第2章 服務\n\n第3条（服務）\n1. 守るものとする。\n2. 努めるものとする。\n\n第4条（休暇）\n休むことができる。\n届けるものとする。\n\n附則\nこの規程は施行する。"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    rows = registry.chunker("logic_03")(docs).orderBy("chunk_index").collect()
+    one, two = "### 第1条（目的）\n#### 1. 目的を定める。\n#### 2. 適用を定める。", "### 第2条（定義）\nことばを定める。\n社員とは雇われた者である。"
+    three, four = "### 第3条（服務）\n#### 1. 守るものとする。\n#### 2. 努めるものとする。", "### 第4条（休暇）\n休むことができる。\n届けるものとする。"
+    want = [("parent", f"## 第1章 総則\n前置きの文である。\n{one}\n{two}"), ("child", one), ("child", two), ("parent", f"## 第2章 服務\n{three}\n{four}"), ("child", three), ("child", four), ("parent", "## 附則\nこの規程は施行する。")]
+    assert [(r.role, r.chunk_text) for r in rows] == want
+    assert {r.parent_chunk_id or r.child_chunk_id or r.grandchild_chunk_id for r in rows} == {None}
+    fourth = registry.chunker("logic_04")(docs).collect()
+    assert {r.role for r in fourth} == {"parent", "child", "grandchild"} and all(r.chunk_text.startswith("# 規程\n## ") for r in fourth)
