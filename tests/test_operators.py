@@ -206,7 +206,7 @@ def test_broken_lines_and_whole_chunk_list(spark):
         ("grandchild", up + second + "#### 1. 社員とは雇用された者をいう。"),
         ("grandchild", up + second + third),
         ("grandchild", up + second + "#### 3. 顧問とはそれ以外の者をいう。"),
-        ("parent", "# 就業規程\n## 第2章 服務\n\n### 第3条（義務）\n誠実に働く。\n規律を守る。"),
+        ("parent", "# 就業規程\n## 第2章 服務\n### 第3条（義務）\n誠実に働く。\n規律を守る。"),
         ("parent", "# 就業規程\n## 附則この規程は公布の日から施行する。"),
     ]
     got = st.structure_chunks(docs, most=120).orderBy("chunk_index").collect()
