@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 SEPARATORS = ("\n\n", "\n", " ", "")
 
 
-def even_parts(c: Column, most: int) -> Column:
+def even_parts(c: Column, most: int | Column) -> Column:
     """Parts of equal width, as few as ``most`` characters allow; blank parts go."""
     n = F.ceil(F.char_length(c) / F.lit(most))
     width = F.ceil(F.char_length(c) / n).cast("int")
@@ -17,7 +17,7 @@ def even_parts(c: Column, most: int) -> Column:
     return F.when(F.char_length(c) > 0, F.filter(parts, lambda p: F.trim(F.regexp_replace(p, r"\s+", " ")) != "")).otherwise(F.array().cast("array<string>"))
 
 
-def balanced_groups(sizes: Column, most: int) -> Column:
+def balanced_groups(sizes: Column, most: int | Column) -> Column:
     """Group number of each size: a group ends before it would pass ``most``, or once it has reached an even share and groups remain."""
     total = F.aggregate(sizes, F.lit(0).cast("long"), lambda a, x: a + x)
     n = F.greatest(F.lit(1), F.ceil(total / F.lit(most)))

@@ -59,7 +59,7 @@ def _plain_structure(docs: DataFrame) -> DataFrame:
 _LOGIC: dict[str, dict[str, object]] = {
     "chunking": {
         "logic_01": _recursive,
-        "logic_02": structure_v2.structure_chunks_v2,
+        "logic_02": lambda docs: structure_v2.structure_chunks_v2(docs).withColumnRenamed("chunk_role", "role"),
         "logic_03": lambda docs: st.structure_chunks(docs, most=1000, tail=False, repair=False, two_levels=True),
         "logic_04": lambda docs: st.structure_chunks(docs, most=1000, tail=False),
         "logic_05": _plain_structure,
