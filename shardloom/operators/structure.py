@@ -185,8 +185,8 @@ def closed_enumerations(docs: DataFrame) -> DataFrame:
     d = lines(docs).withColumn("item", heading_type(F.ltrim("line"))).withColumn("value", marker_value(F.col("item"), F.ltrim("line")))
     blank = stripped(F.col("line")) == ""
     full = F.when(~blank, F.struct("item", "value"))
-    w = Window.partitionBy("doc_id").orderBy("line_no")
-    d = d.withColumns({"_blank": blank, "_before": F.last(full, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "_after": F.first(full, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))})
+    before, after = (Window.partitionBy("doc_id").orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in ("line_no", F.desc("line_no")))
+    d = d.withColumns({"_blank": blank, "_before": F.last(full, ignorenulls=True).over(before), "_after": F.last(full, ignorenulls=True).over(after)})
     numbered = F.col("_before.item").isin("numeric_dot", "numeric_paren", "japanese_paren")
     gap = F.coalesce(F.col("_blank") & numbered & (F.col("_before.item") == F.col("_after.item")) & (F.col("_after.value") == F.col("_before.value") + 1), F.lit(False))
     ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
@@ -309,7 +309,8 @@ def section_tree(nodes: DataFrame) -> DataFrame:
     A section ends at the next one of its level or above; its parent is the nearest before it of a
     level above, found among the last ones of each level.
     """
-    after = Window.partitionBy("doc_id").orderBy("start_char").rowsBetween(1, Window.unboundedFollowing)
+    # running windows from either end: a frame that reaches to the end is worked out anew for each row
+    after = Window.partitionBy("doc_id").orderBy(F.desc("start_char")).rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy("doc_id").orderBy("start_char").rowsBetween(Window.unboundedPreceding, -1)
     upto = lambda k: F.min(F.when(F.col("level") <= k, F.col("start_char"))).over(after)
     last = lambda k: F.max(F.when(F.col("level") == k, F.col("start_char"))).over(before)
@@ -389,8 +390,9 @@ def scope_levels(cands: DataFrame, w: Weights = Weights(), tail: bool = True, do
         judged = judged.withColumn("following", following).select(*scope, "marker_type", "chosen", "following")
         marked = active.join(judged, [*scope, "marker_type"])
         by = Window.partitionBy(*scope).orderBy("start_char")
+        back = Window.partitionBy(*scope).orderBy(F.desc("start_char")).rowsBetween(Window.unboundedPreceding, -1)
         chosen_at = F.when(F.col("chosen"), F.col("start_char"))
-        marked = marked.withColumns({"_from": F.last(chosen_at, ignorenulls=True).over(by), "_to": F.coalesce(F.first(chosen_at, ignorenulls=True).over(by.rowsBetween(1, Window.unboundedFollowing)), F.col("scope_end"))})
+        marked = marked.withColumns({"_from": F.last(chosen_at, ignorenulls=True).over(by), "_to": F.coalesce(F.last(chosen_at, ignorenulls=True).over(back), F.col("scope_end"))})
         marked = cut(marked)
         here = marked.where("chosen").select(*cands.columns, F.lit(level).alias("level"))
         done = here if done is None else done.unionByName(here)
@@ -503,7 +505,7 @@ def structure_chunks(docs: DataFrame, most: int = 1000, markdown: bool = True, l
     # in a chapter its own text and sections follow each other without blank lines between
     blank, section = stripped(F.col("line")) == "", F.col("heading").isNotNull()
     loose_line = F.when(~blank, F.struct((section & ((F.col("level") == 2) | F.col("two").isNull())).alias("starts"), (section & F.col("two").isNull()).alias("leads")))
-    under = F.first(loose_line, ignorenulls=True).over(by.rowsBetween(1, Window.unboundedFollowing))["starts"]
+    under = F.last(loose_line, ignorenulls=True).over(Window.partitionBy("doc_id").orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, -1))["starts"]
     over = F.last(loose_line, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))["leads"]
     placed = cut(placed.withColumn("apart", blank & (F.coalesce(under, F.lit(False)) | F.coalesce(over, F.lit(False)))))
 

@@ -11,7 +11,7 @@ from shardloom.functions import text as tx
 from shardloom.functions.lineage import cut
 from shardloom.operators import chunking, rerank, search, store
 from shardloom.operators import structure as st
-from shardloom.plans import batch, experiment, registry
+from shardloom.plans import batch, experiment, registry, structure_v2
 from shardloom.sources import config
 from shardloom.sources import documents as src
 
@@ -832,9 +832,53 @@ def batch_records(spark, d):
     return r.select("record_no", "doc_id", "chunk_id", "role", "parent_chunk_id", "child_chunk_id", "variant_no", F.md5("chunk_text").alias("chunk_text"), F.md5("document_lower").alias("document_lower"))
 
 
-@query()
+# The second chunker on the same regulations: its statistics, levels with confidence, and chunks.
+_PRIO_V2 = "CASE marker_type " + " ".join(f"WHEN '{n}' THEN {p}" for n, p in structure_v2.PRIORITIES.items()) + " END"
+_LEVELS_V2 = f"""{_DOCS},
+s2 AS (SELECT p.doc_id, p.marker_type, any_value(n) AS n, any_value(s.first_char) AS first_char, any_value(s.average_gap) AS average_gap, coalesce(median(gap), any_value(p.text_length))::DOUBLE AS median_gap, avg(length(line) - length(h))::DOUBLE AS average_indent,
+  avg(length(h))::DOUBLE AS average_line_length, any_value(s.sequence) AS sequence, greatest(0, 1 - avg(length(line) - length(h)) / 10)::DOUBLE AS shallow_indent FROM p JOIN stats s ON s.doc_id = p.doc_id AND s.marker_type = p.marker_type GROUP BY ALL),
+o2 AS (SELECT *, CASE WHEN n >= 2 THEN containment * 4 + reset * 3 + sequence + shallow_indent * 1.5 + {_PRIO_V2} / 12.0::DOUBLE * 1.5 + least(average_gap / 3000, 2) END AS outer_score FROM s2 JOIN cont USING (doc_id, marker_type)),
+l2 AS (SELECT doc_id, marker_type, round_even(coalesce(outer_score, 0), 4) AS outer_score, least(4, CASE WHEN outer_score IS NOT NULL THEN row_number() OVER (PARTITION BY doc_id, outer_score IS NULL ORDER BY outer_score DESC, first_char) ELSE {_HINT_SQL} END)::INT AS level,
+  round_even(least(1, round_even(containment, 4) * 0.4 + round_even(sequence, 4) * 0.3 + round_even(reset, 4) * 0.2 + round_even(shallow_indent, 4) * 0.1), 4)::DOUBLE AS confidence FROM o2)"""
+
+
+@query(f"WITH {_LEVELS_V2} SELECT doc_id, marker_type, n, round(average_gap, 6) AS average_gap, median_gap, average_indent, round(average_line_length, 6) AS average_line_length, round(sequence, 6) AS sequence, shallow_indent FROM s2")
+def statistics_v2(spark, d):
+    """What a document's headings of a type are like to the second chunker."""
+    s = structure_v2.statistics(cut(structure_v2.scored(st.lines(structure_v2.prepared(_rules_docs(spark, d))))))
+    rounded = [F.round(c, 6).alias(c) for c in ("average_gap", "average_line_length", "sequence")]
+    return s.select("doc_id", "marker_type", "n", "median_gap", "average_indent", "shallow_indent", *rounded)
+
+
+@query(f"WITH {_LEVELS_V2} SELECT * FROM l2")
+def levels_v2(spark, d):
+    """Level, score and confidence of each type."""
+    got = structure_v2.leveled(cut(structure_v2.scored(st.lines(structure_v2.prepared(_rules_docs(spark, d))))))
+    return got.select("doc_id", "marker_type", F.col("reason.type_outer_score").alias("outer_score"), "level", "confidence")
+
+
+@query(f"""WITH {_LEVELS_V2}, n2 AS (SELECT c.doc_id, c.start_char, c.text_length, h AS heading, c.marker_type, c.value, l.level, confidence FROM cand c JOIN l2 l ON l.doc_id = c.doc_id AND l.marker_type = c.marker_type),
+top AS (SELECT *, coalesce((SELECT min(y.start_char) FROM n2 y WHERE y.doc_id = x.doc_id AND y.start_char > x.start_char AND y.level <= x.level), text_length)::INT AS end_char
+  FROM n2 x WHERE NOT EXISTS (SELECT 1 FROM n2 y WHERE y.doc_id = x.doc_id AND y.start_char < x.start_char AND y.level < x.level)),
+k AS (SELECT t.*, string_split(text, chr(10))[1] AS title, trim(substr(text, start_char + 1, end_char - start_char), chr(10) || ' ') AS body FROM top t JOIN docs USING (doc_id))
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY start_char) - 1)::INT AS chunk_index, 'chunk_sec_' || left(sha256(start_char || '|' || heading), 8) AS chunk_id, 'chunk_sec_' || left(sha256('0|' || title), 8) AS parent_id, 'doc_' || left(sha256(title), 8) AS root_id, level,
+  CASE level WHEN 1 THEN 'parent' WHEN 2 THEN 'main' ELSE 'child' END AS role, heading, marker_type AS heading_type, title || ' > ' || heading AS path_text, value AS ordinal, start_char, end_char, confidence AS structure_confidence, 0 AS split_index, 1 AS split_total, sha256(body) AS chunk_text FROM k WHERE length(body) >= 10""")
 def structure_chunks_v2(spark, d):
-    return registry.chunker("logic_02")(_rules_docs(spark, d))
+    """Chapters and the appendix, as each fits; texts as digests."""
+    got = registry.chunker("logic_02")(_rules_docs(spark, d))
+    return got.drop("children_ids", "path", "source_type", "chunking_strategy", "inference_reason").withColumn("chunk_text", F.sha2("chunk_text", 256))
+
+
+@query()
+def groups_v2(spark, d):
+    """Chapters over 200 characters as groups of their articles, each after the chapter's line."""
+    return structure_v2.structure_chunks_v2(_rules_docs(spark, d), 200)
+
+
+@query()
+def report_v2(spark, d):
+    """The second chunker's chunks of all documents by type, level and role."""
+    return structure_v2.level_report(structure_v2.structure_chunks_v2(_t(spark, d, "documents").select("doc_id", "text")))
 
 
 @query(f"""WITH {_RULE_DOCS} SELECT doc_id, md5(replace(text, '附則' || chr(10), '附則')) AS text FROM docs""")

@@ -234,7 +234,7 @@ def structure_chunks_v2(docs: DataFrame, most: int = 1000, builder: Callable[[di
     up = F.get("above", F.size("above") - 1)
     made = sized.where((F.col("form") != "open") & (F.col("size") >= LEAST_TEXT)).join(texts, ["doc_id", "start_char"]).join(titles, "doc_id").select(
         "doc_id", "root_title", "texts", "form", "room", section(F.col("start_char"), F.col("heading")).alias("base_id"),
-        F.coalesce(section(up["start_char"], up["heading"]), root).alias("parent_id"), "level", "heading", F.col("marker_type").alias("heading_type"),
+        F.when(F.size("above") > 0, section(up["start_char"], up["heading"])).otherwise(root).alias("parent_id"), "level", "heading", F.col("marker_type").alias("heading_type"),
         F.concat(F.array("root_title"), F.transform("above", lambda x: x["heading"]), F.array("heading")).alias("path"), F.col("value").alias("ordinal"), "start_char", "end_char", "confidence", F.to_json("reason").alias("reason"))
 
     bare = fixed.join(nodes.select("doc_id").distinct(), "doc_id", "left_anti")
