@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -463,7 +464,7 @@ def _heading_line(heading: Column, level: Column, kind: Column) -> Column:
     return decorated(F.when((F.char_length(heading) > _LONG) & (marker != ""), marker).otherwise(heading), level, kind)
 
 
-def structure_chunks(docs: DataFrame, most: int = 1000, markdown: bool = True, least: int = 10, w: Weights = Weights(), tail: bool = True, repair: bool = True, two_levels: bool = False) -> DataFrame:
+def structure_chunks(docs: DataFrame, most: int = 1000, markdown: bool = True, least: int = 10, w: Weights = Weights(), tail: bool = True, repair: bool = True, two_levels: bool = False, builder: Callable[[dict[str, Column]], dict[str, Column]] | None = None) -> DataFrame:
     """doc_id, chunk_index, chunk_id, role, level, path_text, parent_chunk_id, child_chunk_id, grandchild_chunk_id, chunk_text.
 
     A section's chunk is its lines with headings and items marked by level, after a line for the
@@ -473,6 +474,8 @@ def structure_chunks(docs: DataFrame, most: int = 1000, markdown: bool = True, l
     section for its only block of items. A document without headings gives its paragraphs, with the
     role fallback. With ``two_levels`` chapters and their sections are all chunks, without lines above them,
     items stay inside, and no ids of a hierarchy are given.
+    ``builder`` maps columns of a chunk (chunk_id, root_title, path_text, role, level, start_char, split_index, split_total)
+    to those that it is to have beside doc_id, chunk_index, chunk_text and the ids of the hierarchy.
     """
     fixed = cut(repaired(docs) if repair else docs.select("doc_id", "text"))
     nodes = cut(sections(fixed, w, tail))
@@ -544,7 +547,7 @@ def structure_chunks(docs: DataFrame, most: int = 1000, markdown: bool = True, l
         if two_levels:
             parent = child = grandchild = null
         d = d.join(titles, "doc_id")
-        return d.select("doc_id", F.col(start).cast("int").alias("start_char"), F.lit(role).alias("role"), block.alias("block"), base.alias("base_id"), F.concat_ws(" > ", "title", *path).alias("path_text"), parent.alias("parent_chunk_id"), child.alias("child_chunk_id"), grandchild.alias("grandchild_chunk_id"), lead.alias("lead"), F.col(body).alias("body"))
+        return d.select("doc_id", "title", F.col(start).cast("int").alias("start_char"), F.lit(role).alias("role"), block.alias("block"), base.alias("base_id"), F.concat_ws(" > ", "title", *path).alias("path_text"), parent.alias("parent_chunk_id"), child.alias("child_chunk_id"), grandchild.alias("grandchild_chunk_id"), lead.alias("lead"), F.col(body).alias("body"))
 
     no_block = F.lit(-1)
     base = named(F.col("one_id"))
@@ -567,7 +570,11 @@ def structure_chunks(docs: DataFrame, most: int = 1000, markdown: bool = True, l
     level = F.when(F.col("role") == "child", 2).when(F.col("role") == "grandchild", 3).otherwise(1)
     index = F.row_number().over(Window.partitionBy("doc_id").orderBy("start_char", "level", "block", "part")) - 1
     chunk_id = F.when(F.size("parts") > 1, F.concat("base_id", F.lit("_p"), F.col("part").cast("string"))).otherwise(F.col("base_id"))
-    return parts.withColumn("level", level).select("doc_id", index.alias("chunk_index"), chunk_id.alias("chunk_id"), "role", "level", "path_text", "parent_chunk_id", "child_chunk_id", "grandchild_chunk_id", "chunk_text")
+    parts = parts.withColumn("level", level)
+    if builder:
+        known = {"chunk_id": chunk_id, "root_title": F.col("title"), "split_index": F.col("part"), "split_total": F.size("parts")} | {k: F.col(k) for k in ("path_text", "role", "level", "start_char")}
+        return parts.select("doc_id", index.alias("chunk_index"), "chunk_text", *[v.alias(k) for k, v in builder(known).items()], "parent_chunk_id", "child_chunk_id", "grandchild_chunk_id")
+    return parts.select("doc_id", index.alias("chunk_index"), chunk_id.alias("chunk_id"), "role", "level", "path_text", "parent_chunk_id", "child_chunk_id", "grandchild_chunk_id", "chunk_text")
 
 
 def _even_in(c: Column, most: Column) -> Column:

@@ -131,6 +131,16 @@ def test_builder_report_and_registry(spark):
     assert [r.role for r in registry.chunker("logic_02")(docs).collect()] == ["parent", "parent"]
 
 
+def test_builder_of_later_chunkers(spark):
+    mine = lambda c: {"chunk_id": c["chunk_id"], "root_id": F.concat(F.lit("doc_"), c["root_title"]), "kind": c["role"], "piece": c["split_index"], "pieces": c["split_total"]}
+    docs = docs_of(spark, [RULES])
+    got = v2.st.structure_chunks(docs, builder=mine).orderBy("chunk_index").collect()
+    plain = v2.st.structure_chunks(docs).orderBy("chunk_index").collect()
+    assert list(got[0].asDict()) == ["doc_id", "chunk_index", "chunk_text", "chunk_id", "root_id", "kind", "piece", "pieces", "parent_chunk_id", "child_chunk_id", "grandchild_chunk_id"]
+    assert [(r.chunk_id, r.kind, r.chunk_text, r.parent_chunk_id) for r in got] == [(r.chunk_id, r.role, r.chunk_text, r.parent_chunk_id) for r in plain]
+    assert {(r.root_id, r.piece, r.pieces) for r in got} == {("doc_規程", 0, 1)}
+
+
 def test_one_text_of_many_headings(spark):
     """One text of 15,000 headings: windows and joins by document, nothing that grows with the square."""
     import time
