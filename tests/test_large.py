@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from shardloom.functions import text as tx
-from shardloom.operators import structure
+from shardloom.operators import search, structure
 
 
 def test_one_long_line_without_headings_gives_even_chunks(spark):
@@ -28,3 +28,15 @@ def test_faster_text_functions_keep_their_results(spark):
     assert d.where((tx.stripped(t) != plain) | (tx.unified_spaces(t) != spaces) | (tx.closed_spaces(t) != closed) | (tx.joined_breaks(t) != joined)).count() == 0
     kinds = F.coalesce(*[F.when(t.rlike(p), F.lit(n)) for n, p, _ in structure.RULES])
     assert d.where(~structure.heading_type(t).eqNullSafe(kinds)).count() == 0
+
+
+def test_questions_of_one_vector_are_searched_once(spark):
+    v = spark.createDataFrame([(k, [float(k % 7), float(k % 5)]) for k in range(300)], "record_id long, embedding array<double>")
+    q = spark.createDataFrame([(k, [float(k % 2), 1.0]) for k in range(50)] + [(90, None), (91, [1.0, None])], "query_id long, embedding array<double>")
+    assert search._distinct_vectors(q, "query_id", "embedding")[1].count() == 2
+    want = {}
+    for k in range(50):
+        d = sorted(((k % 2 - i % 7) ** 2 + (1 - i % 5) ** 2, i) for i in range(300))[:4]
+        want |= {(k, i): (float(x), n + 1) for n, (x, i) in enumerate(d)}
+    for found in (search.vector_top_k(q, v, 4, block=40), search.vector_top_k_pruned(q, v, 4, block=40)):
+        assert {(r.query_id, r.record_id): (r.distance, r.rank) for r in found.collect()} == want
