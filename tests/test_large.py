@@ -1,9 +1,12 @@
 """What went wrong only on large or odd tables: texts of one long line, many questions alike, vectors and tokens in numbers."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from shardloom.functions import text as tx
-from shardloom.operators import search, structure
+from shardloom.operators import rerank, search, structure
+from shardloom.plans import catalogue, registry
 
 
 def test_one_long_line_without_headings_gives_even_chunks(spark):
@@ -40,3 +43,23 @@ def test_questions_of_one_vector_are_searched_once(spark):
         want |= {(k, i): (float(x), n + 1) for n, (x, i) in enumerate(d)}
     for found in (search.vector_top_k(q, v, 4, block=40), search.vector_top_k_pruned(q, v, 4, block=40)):
         assert {(r.query_id, r.record_id): (r.distance, r.rank) for r in found.collect()} == want
+
+
+def test_long_tokens_cost_a_sketch_and_are_counted_as_by_hand(spark):
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choice("ab漢") for _ in range(rnd.randint(0, 200))) for _ in range(40)] + ["ab" * 400, "a" * 300, "", None]
+    tokens = sorted({t[a : a + n] for t in texts if t for n in (1, 2, 3, 7, 16, 31, 33, 90) for a in (0, 5) if len(t) >= a + n} | {"ab" * 300 + "x", "aaa", "aab漢" * 20})
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, document_lower string")
+    asked = spark.createDataFrame([(t,) for t in tokens], "token string")
+    want = {(i, k, t.count(k)) for i, t in enumerate(texts) if t for k in tokens if k in t}
+    assert {tuple(r) for r in search._token_hits(docs, asked).collect()} == want
+    sketch = search._sketches(spark.createDataFrame([("x" * 100_000,)], "token string")).drop("token").first()
+    assert len(sketch.key) == 16 and sketch.length == 100_000 and sketch.width == 32
+
+
+def test_a_batch_leaves_out_questions_that_reranking_left_nothing(spark):
+    registry.register("reranking", "logic_nothing", registry.Reranker(lambda c, k: rerank.identity(c, k).where("false"), lambda k: 0))
+    try:
+        assert catalogue._batch(spark, "/root/testdata/sf0.001", "logic_nothing").count() == 0
+    finally:
+        registry._LOGIC["reranking"].pop("logic_nothing")
