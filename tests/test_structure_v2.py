@@ -6,6 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from shardloom.operators.chunking import even_parts
 from shardloom.plans import registry
 from shardloom.plans import structure_v2 as v2
 
@@ -149,3 +150,22 @@ def test_one_text_of_many_headings(spark):
     began = time.time()
     assert v2.structure_chunks_v2(docs_of(spark, [text]), 300).count() >= 750
     assert time.time() - began < 60
+
+
+def test_texts_without_heading_lines_never_become_lines_and_are_made_once(spark, monkeypatch):
+    """Rows of st.lines() cost a shuffle of the text; paragraphs alone need none. Odd white space at line ends goes as before."""
+    texts = ["plain text of some words\n\nand another paragraph", "  \x1c\n　第1章 総則\nここに規則の文があります。\n第1条（目的）\n目的の文がここにある。", "短い", None, " \x1f\n", "a\x1d \x85\nb　\t\n\u2003\nc", "0123456789 \n第一に言う\n"]
+    seen = []
+    lines = v2.st.lines
+    monkeypatch.setattr(v2.st, "lines", lambda d: seen.append({r.doc_id for r in d.select("doc_id").collect()}) or lines(d))
+    got = v2.structure_chunks_v2(docs_of(spark, texts)).orderBy("doc_id", "chunk_index").collect()
+    assert seen == [{1}]
+    assert [(r.doc_id, r.chunk_text) for r in got if r.doc_id != 1] == [(0, "plain text of some words"), (0, "and another paragraph"), (2, "短い"), (5, "a\nb\n\nc"), (6, "0123456789\n第一に言う")]
+    assert {r.path[0] for r in got if r.doc_id == 1} == {"第1章 総則"} and [r.path[0] for r in got if r.doc_id == 0] == [texts[0].split("\n")[0]] * 2
+    assert [r.text for r in v2.prepared(docs_of(spark, texts)).orderBy("doc_id").collect()][5] == "a\nb\n\nc"
+
+
+def test_even_parts_of_short_blank_and_long_texts(spark):
+    texts = ["", " \n\t", "　", "x", "a" * 10, "ab" * 8, "a" * 10 + " " * 10 + "b" * 9, None]
+    got = [r.p for r in docs_of(spark, texts).orderBy("doc_id").select(even_parts(F.col("text"), 10).alias("p")).collect()]
+    assert got == [[], [], ["　"], ["x"], ["a" * 10], ["abababab", "abababab"], ["a" * 10, "b" * 9], []]
