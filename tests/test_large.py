@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from shardloom.functions import text as tx
 from shardloom.operators import rerank, search, structure
-from shardloom.plans import catalogue, registry
+from shardloom.plans import batch, catalogue, registry
 
 
 def test_one_long_line_without_headings_gives_even_chunks(spark):
@@ -63,3 +63,18 @@ def test_a_batch_leaves_out_questions_that_reranking_left_nothing(spark):
         assert catalogue._batch(spark, "/root/testdata/sf0.001", "logic_nothing").count() == 0
     finally:
         registry._LOGIC["reranking"].pop("logic_nothing")
+
+
+def test_numbering_makes_its_rows_once(spark):
+    """A batch's records are a long plan: the sample that finds ranges of keys made them a second time."""
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    rows = spark.range(0, 500, 1, 3).mapInArrow(seen, "id long")
+    got = batch.numbered(rows, "id").collect()
+    assert sorted((r.id, r.question_index) for r in got) == [(k, k) for k in range(500)]
+    assert made.value == 500
