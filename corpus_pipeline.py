@@ -44,7 +44,7 @@ def _rejected(decided: DataFrame, kept: str) -> DataFrame:
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier takes for good ones."""
-    return _without(docs, _rejected(quality_classifier.quality_scores(docs, table(spark, sf_dir, "labels")), "predicted = 1"))
+    return quality_classifier.good_rows(docs, table(spark, sf_dir, "labels"))
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -219,3 +219,18 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), batch.column("text_hash")], names=["doc_id", "held_out", "score", "predicted", "text_hash"])
 
     return measured.withColumn("held_out", held_out()).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, text_hash long")
+
+
+def good_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` that quality_scores() predicts 1 for, with all their columns.
+
+    Texts are measured again beside the model: a verdict that came by a join would shuffle every text.
+    """
+    measured = staged(measure(docs, id_col, text_col), "quality-features")
+    model = measured.sparkSession.sparkContext.broadcast(fit(measured, labels, sample_rows))
+
+    def good(texts: pa.Array) -> pa.Array:
+        x = np.array([features_of(t) for t in texts.to_pylist()], np.float64).reshape(-1, len(FEATURES))
+        return pa.array(model.value.score(x) >= 0.5)
+
+    return docs.where(F.arrow_udf(good, "boolean")(F.col(f"`{text_col}`").cast("string")))
