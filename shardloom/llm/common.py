@@ -94,6 +94,13 @@ def columns_of(batch: pa.RecordBatch, *names: str) -> list[list]:
     return [batch.column(n).to_pylist() for n in names]
 
 
+def in_slices(batches, rows: int = 512):
+    """Slices of record batches, at most ``rows`` rows each: what a task makes of a slice in Python stays small, however many texts a batch holds."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def sized_batches(rows, schema: pa.Schema, limit: int = 4096):
     """Record batches from an iterator of tuples."""
     held: list[tuple] = []

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, id_and_text, lower_words_of, most_frequent, staged
+from .common import columns_of, id_and_text, in_slices, lower_words_of, most_frequent, staged
 from .components import components
 
 #: Frequent shingles sent to all tasks: 12 bytes each.
@@ -163,12 +163,13 @@ def _sets(d: DataFrame, n: int) -> DataFrame:
 
         def add():
             if waiting:
-                values, times = np.unique(np.concatenate(waiting), return_counts=True)
-                often = times > 1
-                counts.update(dict(zip(values[often].tolist(), times[often].tolist(), strict=True)))
+                every = np.concatenate(waiting)
                 waiting.clear()
+                every.sort()  # in place; only what occurs again is copied
+                values, again = np.unique(every[1:][every[1:] == every[:-1]], return_counts=True)
+                counts.update(dict(zip(values.tolist(), (again + 1).tolist(), strict=True)))
 
-        for batch in batches:
+        for batch in in_slices(batches):
             out = []
             for doc_id, text in zip(*columns_of(batch, "doc_id", "text"), strict=True):
                 s = shingle_set(text, n)
@@ -232,7 +233,7 @@ def _marked(sets: DataFrame) -> DataFrame:
     """id, n, marks of ``sets``."""
 
     def run(batches):
-        for batch in batches:
+        for batch in in_slices(batches):
             made = [np.frombuffer(x, "<u8") for x in batch.column("set").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) for s in made], pa.int32()), pa.array([marks(s) for s in made], pa.list_(pa.int64()))], names=["id", "n", "marks"])
 
@@ -245,7 +246,7 @@ def _prefixes(d: DataFrame, n: int, percent: int, frequent) -> DataFrame:
 
     def run(batches):
         order = frequent.value
-        for batch in batches:
+        for batch in in_slices(batches):
             out = []
             for doc_id, text in zip(*columns_of(batch, "doc_id", "text"), strict=True):
                 s = shingle_set(text, n)
@@ -287,7 +288,7 @@ def _members(d: DataFrame, n: int, wanted) -> DataFrame:
     """id, set of the texts whose ids are in ``wanted``, a broadcast bitmap."""
 
     def run(batches):
-        for batch in batches:
+        for batch in in_slices(batches):
             ids = batch.column("doc_id")
             keep = np.flatnonzero(in_bitmap(wanted.value, ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False))
             texts = batch.column("text").take(pa.array(keep)).to_pylist()
@@ -319,7 +320,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             got = sorted({ids[m] for p in probes for m, _ in tree.links(p, percent)})
             return pa.RecordBatch.from_arrays([pa.array([now[0]] * len(got), pa.int64()), pa.array(got, pa.int64())], names=["a", "b"]) if got else None
 
-        for batch in batches:
+        for batch in in_slices(batches):
             for a, tree, kind, b, raw in zip(*columns_of(batch, "a", "tree", "kind", "b", "set"), strict=True):
                 if (a, tree) != now or len(held) >= 2 * MEMBERS:
                     if (out := found()) is not None:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, id_and_text, staged
+from .common import columns_of, id_and_text, in_slices, staged
 
 FEATURES = ("log_words", "capitals", "symbols", "exclamations", "pipes", "digits", "distinct_words", "word_echo", "top_word", "word_length", "repeated_lines", "line_words", "stops", "long_words", "wide_bytes", "repeated_pairs")
 _ZEROS = (0.0,) * len(FEATURES)
@@ -73,7 +73,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), *((f, pa.float64()) for f in FEATURES)])
 
     def run(batches):
-        for batch in batches:
+        for batch in in_slices(batches):
             (texts,) = columns_of(batch, "text")
             x = np.array([features_of(t) for t in texts], np.float64).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *(pa.array(x[:, k]) for k in range(len(FEATURES)))], schema=schema)

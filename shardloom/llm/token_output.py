@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import byte_alphabet, loaded
-from .common import columns_of, id_and_text, partitions_for, remove_at_exit, shared_dir
+from .common import columns_of, id_and_text, in_slices, partitions_for, remove_at_exit, shared_dir
 
 MAGIC = b"SLEF"
 _HEAD = struct.Struct("<4sQQqQ")
@@ -205,7 +205,7 @@ def token_sizes(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", te
 
     def run(batches):
         memory = loaded(WordMemory, spec.value)
-        for batch in batches:
+        for batch in in_slices(batches):
             ids, texts = columns_of(batch, "doc_id", "text")
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), batch.column("text_key"), pa.array([len(memory.ids_of(t)) // 4 for t in texts], pa.int64())], names=["doc_id", "text_key", "size"])
 
@@ -218,7 +218,7 @@ def token_ids(docs: DataFrame, tokenizer_json: str, id_col: str | None = "doc_id
 
     def run(batches):
         memory = loaded(WordMemory, spec.value)
-        for batch in batches:
+        for batch in in_slices(batches):
             ids, texts = columns_of(batch, "doc_id", "text")
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), batch.column("text_key"), pa.array([np.frombuffer(memory.ids_of(t), "<i4") for t in texts], pa.list_(pa.int32()))], names=["doc_id", "text_key", "ids"])
 
@@ -257,7 +257,7 @@ def write_token_blocks(docs: DataFrame, path: str, tokenizer_json: str, end_id:
             values = [(shard, pa.int32()), (seq, pa.int32()), (len(held), pa.int64()), (size, pa.int64()), (before, pa.int64()), (pack_block(keys, held), pa.binary())]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in values], names=["shard", "seq", "n_docs", "n_ids", "inside", "block"])
 
-        for batch in batches:
+        for batch in in_slices(batches):
             for doc_id, text in zip(*columns_of(batch, "doc_id", "text"), strict=True):
                 ids = memory.ids_of(text) + end
                 if held and size + len(ids) // 4 > block_ids:
