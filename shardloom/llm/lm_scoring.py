@@ -23,15 +23,15 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, id_and_text, lower_words_of, most_frequent, partitions_for, staged
+from .common import id_and_text, in_slices, most_frequent, partitions_for, staged
 
 END = b"\n"  # no word holds it
 
@@ -56,28 +56,38 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 1, F.lit(False))
 
 
+def words_of_batch(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts one after the other, as lower_words_of() finds them, and how many each text has."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    words, lengths = parts.flatten(), parts.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    full = pc.not_equal(pc.binary_length(words), 0)  # white space at a text's ends leaves empty ones
+    before = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
+    ends = np.cumsum(lengths)
+    return words.filter(full), before[ends] - before[ends - lengths]
+
+
 def token_counts(docs: DataFrame) -> DataFrame:
     """word, c over all rows of ``docs``. Tasks add up what they can hold before the shuffle; the end token is a line feed."""
 
     def run(batches):
-        counts: Counter[bytes] = Counter()
+        held: list[pa.Table] = []
         docs_seen = 0
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                counts.update(lower_words_of(text))
-                docs_seen += 1
-                if len(counts) > 1_000_000:
-                    yield from flush(counts)
-                    counts = Counter()
-        if docs_seen:
-            counts[END] = docs_seen
-        yield from flush(counts)
 
-    def flush(counts):
-        items = list(counts.items())
-        for k in range(0, len(items), 50_000):
-            words, n = zip(*items[k : k + 50_000], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "replace") for w in words], pa.string()), pa.array(n, pa.int64())], names=["word", "n"])
+        def flush():
+            got = pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")])
+            held.clear()
+            for part in got.select(["word", "n_sum"]).rename_columns(["word", "n"]).combine_chunks().to_batches(max_chunksize=50_000):
+                yield part
+
+        for batch in in_slices(batches, 2048):
+            found = words_of_batch(batch.column("text"))[0].value_counts()
+            held.append(pa.table({"word": found.field("values"), "n": found.field("counts")}))
+            docs_seen += batch.num_rows
+            if sum(x.num_rows for x in held) > 1_000_000:
+                yield from flush()
+        if docs_seen:
+            held.append(pa.table({"word": pa.array([END.decode()]), "n": pa.array([docs_seen], pa.int64())}))
+            yield from flush()
 
     return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
@@ -126,23 +136,32 @@ def read_tokens(docs: DataFrame, head) -> DataFrame:
 
         key = TaskContext.get().partitionId() << 40
         h = head.value
-        for batch in batches:
-            out = []
-            for doc_id, out_of, text in zip(*columns_of(batch, "doc_id", "held_out", "text"), strict=True):
-                words = lower_words_of(text)
-                words.append(END)
-                ranks = np.fromiter(map(h.rank.__getitem__, words), np.int64, len(words))
-                known = ranks >= 0
-                places = np.flatnonzero(~known).tolist()
-                classes = h.classes[ranks]
-                classes[places] = [h.own + spelling(words[i], h.spelled) for i in places]
-                tail = classes >= h.own
-                rare = Counter([words[i] for i in places])
-                tail_log = float(h.log_count[ranks[tail & known]].sum() - h.log_within[classes[tail] - h.own].sum())
-                out.append((key, doc_id, out_of, len(words), int(known.sum()), float(h.log_count[ranks[known]].sum()), tail_log, classes.astype("<u2").tobytes(), [w.decode("utf-8", "replace") for w in rare], list(rare.values())))
-                key += 1
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+        for batch in in_slices(batches, 2048):
+            words, n_words = words_of_batch(batch.column("text"))
+            found = words.dictionary_encode()
+            distinct = [*found.dictionary.cast(pa.binary()).to_pylist(), END]
+            rank = np.fromiter(map(h.rank.__getitem__, distinct), np.int64, len(distinct))
+            known = rank >= 0
+            classes = h.classes[rank]
+            classes[~known] = [h.own + spelling(distinct[i], h.spelled) for i in np.flatnonzero(~known).tolist()]
+            log = np.where(known, h.log_count[rank] if len(h.log_count) else 0.0, 0.0)
+            tail = np.where(classes >= h.own, log - h.log_within[np.maximum(classes, h.own) - h.own], 0.0)
+            # the words of each text and its end, as places in ``distinct``
+            ends = np.cumsum(n_words + 1)
+            starts, is_word = ends - n_words - 1, np.ones(int(ends[-1]), bool)
+            is_word[ends - 1] = False
+            token = np.full(int(ends[-1]), len(distinct) - 1, np.int64)
+            token[is_word] = found.indices.to_numpy()
+            at = np.flatnonzero(~known.take(token))
+            row = np.repeat(np.arange(batch.num_rows), n_words + 1)
+            rare, times = np.unique(row[at] * len(distinct) + token[at], return_counts=True)
+            lists = pa.array(np.concatenate([[0], np.cumsum(np.bincount(rare // len(distinct), minlength=batch.num_rows))]).astype(np.int32))
+            names = pa.concat_arrays([found.dictionary, pa.array([END.decode()])]).take(pa.array(rare % len(distinct)))
+            held = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(np.concatenate([[0], 2 * ends]).astype(np.int32)), pa.py_buffer(classes.astype("<u2").take(token))])
+            sums = lambda x, token=token, starts=starts: pa.array(np.add.reduceat(x.take(token), starts))
+            columns = [pa.array(np.arange(key, key + batch.num_rows)), batch.column("doc_id"), batch.column("held_out"), pa.array(n_words + 1), sums(known.astype(np.int64)), sums(log), sums(tail), held, pa.ListArray.from_arrays(lists, names), pa.ListArray.from_arrays(lists, pa.array(times.astype(np.int32)))]
+            key += batch.num_rows
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     kind = "key long, doc_id long, held_out boolean, n_tokens long, known long, head_log double, tail_log double, classes binary, rare array<string>, rare_n array<int>"
     return docs.withColumn("held_out", held_out()).select("doc_id", "held_out", "text").mapInArrow(run, kind)
@@ -198,6 +217,7 @@ class LogBilinear:
         log_noise = np.log(self.share).astype(np.float32) + np.float32(math.log(s.noise_ratio))
         square = {p: np.full_like(getattr(self, p), s.calm) for p in self._PARTS}
         weight = np.float32(s.noise_ratio / s.noise)
+        cells, room = cells_of(self.k + 1, self.dim), np.empty((min(s.batch, len(t)), s.noise), np.float32)
         for a in range(0, len(shuffled), s.batch):
             pick = shuffled[a : a + s.batch]
             b_t, before = t.take(pick), self.before(t, place, pick)
@@ -205,11 +225,19 @@ class LogBilinear:
             o, o_noise = self.out.take(b_t, axis=0), self.out.take(drawn, axis=0)
             q = self.query(before)
             g_data = 1 / (1 + np.exp(-(np.einsum("ij,ij->i", q, o) + self.bias[b_t] - log_noise[b_t]))) - 1
-            g_noise = weight / (1 + np.exp(-(q @ o_noise.T + (self.bias[drawn] - log_noise[drawn]))))
+            g_noise = room[: len(pick)]
+            to, less = np.ascontiguousarray(-o_noise.T), self.bias[drawn] - log_noise[drawn]
+            for at in range(0, len(pick), 512):  # a part stays in the cache from product to share
+                part = np.matmul(q[at : at + 512], to, out=g_noise[at : at + 512])
+                part -= less
+                np.exp(part, out=part)
+                part += 1
+                np.divide(weight, part, out=part)
             d_q = g_data[:, None] * o + g_noise @ o_noise
-            by_class = [sum_rows(self.k + 1, c, d_q) for c in before]
+            wide = d_q.astype(np.float64)
+            by_class = [sum_rows(cells, c, wide).astype(np.float32) for c in before]
             grads = {
-                "out": sum_rows(self.k, np.concatenate([b_t, drawn]), np.concatenate([g_data[:, None] * q, g_noise.T @ q])),
+                "out": (sum_rows(cells, b_t, g_data[:, None] * q) + sum_rows(cells, drawn, g_noise.T @ q))[: self.k].astype(np.float32),
                 "context": sum(x * p for x, p in zip(by_class, self.place, strict=True)),
                 "place": np.stack([np.einsum("ij,ij->j", x, self.context) for x in by_class]),
                 "bias": (np.bincount(b_t, g_data, self.k) + np.bincount(drawn, g_noise.sum(0), self.k)).astype(np.float32),
@@ -224,30 +252,36 @@ class LogBilinear:
         """Natural log probability of each class after those before it, normalised over all classes."""
         t, place = self.joined(classes)
         out = np.empty(len(t), np.float64)
-        to = np.ascontiguousarray(np.concatenate([self.out, self.bias[:, None]], axis=1).T)
-        ones, room = np.ones(self.k, np.float32), np.empty((batch, self.k), np.float32)
+        to, room = np.ascontiguousarray(self.out.T), np.empty((batch, self.k), np.float32)
+        most = self.bias.max()
+        weights = np.exp(self.bias - most)  # of the classes' powers, so that biases needn't be added to each score
         wide = float(np.abs(to).max())
         for start in range(0, len(t), 1 << 14):
             pick = np.arange(start, min(len(t), start + (1 << 14)))
-            q = np.ones((len(pick), self.dim + 1), np.float32)
-            q[:, :-1] = self.query(self.before(t, place, pick))
+            q, own = self.query(self.before(t, place, pick)), t[start : start + len(pick)]
+            sums, top = np.empty(len(pick), np.float32), np.zeros(len(pick), np.float32)
+            large = (np.abs(q) @ np.ones(self.dim, np.float32)).max() * wide > 80  # only then could a power pass what single precision holds
             for a in range(0, len(pick), batch):
                 x = q[a : a + batch]
                 scores = np.matmul(x, to, out=room[: len(x)])
-                own = scores[np.arange(len(x)), t[start + a : start + a + len(x)]].astype(np.float64)
-                top = 0.0
-                if float(np.abs(x).sum(1).max()) * wide > 80:  # only then could a power pass what single precision holds
-                    top = scores.max(1, keepdims=True)
-                    scores -= top
-                    top = top[:, 0]
-                out[start + a : start + a + len(x)] = own - top - np.log((np.exp(scores, out=scores) @ ones).astype(np.float64))
+                if large:
+                    scores += self.bias - most
+                    top[a : a + batch] = scores.max(1)
+                    scores -= top[a : a + batch, None]
+                np.exp(scores, out=scores)
+                sums[a : a + batch] = scores.sum(1) if large else scores @ weights
+            out[pick] = np.einsum("ij,ij->i", q, self.out.take(own, axis=0)) + (self.bias.take(own) - most).astype(np.float64) - top - np.log(sums.astype(np.float64))
         return out
 
 
-def sum_rows(n: int, rows: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """An array of n rows with ``values`` added up by row."""
-    d = values.shape[1]
-    return np.bincount((rows[:, None] * d + np.arange(d)).ravel(), values.ravel(), n * d).reshape(n, d).astype(np.float32)
+def cells_of(n: int, d: int) -> np.ndarray:
+    """The numbers of the cells of each row of an array of n rows."""
+    return np.arange(n * d).reshape(n, d)
+
+
+def sum_rows(cells: np.ndarray, rows: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """An array like ``cells`` (see cells_of) with ``values`` added up by row."""
+    return np.bincount(cells.take(rows, axis=0).ravel(), values.ravel(), cells.size).reshape(cells.shape)
 
 
 def trained(tokens: DataFrame, head: Head, s: Settings) -> LogBilinear:
