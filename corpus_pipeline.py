@@ -6,6 +6,9 @@ of their input; the last returns where each piece of each text lies.
 Decisions are made by row, not by id: rows that share an id or have none, but differ in their texts,
 each follow their own verdict. Texts that are null or empty fail the rules and go; an empty table
 gives an empty result; other columns than doc_id and text are carried along, whatever their names.
+
+Stages run one after the other on the same executors, so they hold little beside the JVM's heap: they leave
+the session with Arrow batches of 4 MB, where it has no limit of its own, and packing forgets words after each task.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardloom.llm import jaccard_join, packing, quality_classifier, quality_rules, secret_scan
-from shardloom.llm.common import remove_at_exit, shared_dir, staged, table
+from shardloom.llm.common import remove_at_exit, shared_dir, small_batches, staged, table
 from shardloom.llm.queries import tokenizer_spec
 
 
@@ -44,6 +47,7 @@ def _rejected(decided: DataFrame, kept: str) -> DataFrame:
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier takes for good ones."""
+    small_batches(spark)
     return quality_classifier.good_rows(docs, table(spark, sf_dir, "labels"))
 
 
@@ -58,6 +62,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Nodes are 64-bit hashes of id and text, so rows that share an id but not their text are decided
     each for itself; of rows alike in both, one stays. Texts without a word are in no group and all stay.
     """
+    small_batches(spark)
     node = F.xxhash64("doc_id", F.col("text").cast("string"))
     names = docs.columns
     groups = jaccard_join.jaccard_groups(docs.withColumn("_pipeline_node", node), n=5, percent=80, id_col="_pipeline_node").select(F.col("doc_id").alias("_pipeline_node"), "component_id", "n_shingles")
@@ -88,7 +93,8 @@ def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each text lies in sequences of the permitted lengths."""
-    return packing.best_fit_tokens(docs, tokenizer_spec("word_bpe_49k.json"))
+    small_batches(spark)
+    return packing.best_fit_tokens(docs, tokenizer_spec("word_bpe_49k.json"), lean=True)
 
 
 STAGES = [("quality_classifier", classify), ("quality_rules", rules), ("ngram_jaccard_join", one_of_each), ("secret_scans", mask), ("best_fit_packing", pack)]

@@ -101,6 +101,14 @@ def in_slices(batches, rows: int = 512):
             yield batch.slice(at, rows)
 
 
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """From now on this session's Arrow batches end at ``most`` bytes, where the user hasn't set a limit: each running task holds a batch or two beside
+    the JVM's heap, and as much in its Python worker, and 10,000 texts are 20 MB and more."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, most)
+
+
 def sized_batches(rows, schema: pa.Schema, limit: int = 4096):
     """Record batches from an iterator of tuples."""
     held: list[tuple] = []

@@ -99,11 +99,11 @@ def best_fit(docs: DataFrame, lengths: Lengths = Lengths(), size: Column | None
     return best_fit_of(id_and_text(docs, id_col, text_col).select("doc_id", F.md5("text").alias("text_key"), (word_tokens() if size is None else size).cast("long").alias("size")), lengths, shard_pieces)
 
 
-def best_fit_tokens(docs: DataFrame, tokenizer_json: str, lengths: Lengths = Lengths(), shard_pieces: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """best_fit() of texts by the number of their tokens, as operator 4 writes them."""
+def best_fit_tokens(docs: DataFrame, tokenizer_json: str, lengths: Lengths = Lengths(), shard_pieces: int = 20_000, id_col: str = "doc_id", text_col: str = "text", lean: bool = False) -> DataFrame:
+    """best_fit() of texts by the number of their tokens, as operator 4 writes them; ``lean`` as in token_sizes()."""
     from .token_output import token_sizes
 
-    return best_fit_of(token_sizes(docs, tokenizer_json, id_col, text_col), lengths, shard_pieces)
+    return best_fit_of(token_sizes(docs, tokenizer_json, id_col, text_col, lean), lengths, shard_pieces)
 
 
 def best_fit_of(sized: DataFrame, lengths: Lengths = Lengths(), shard_pieces: int = 20_000) -> DataFrame:

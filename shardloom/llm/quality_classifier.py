@@ -230,7 +230,7 @@ def good_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS
     model = measured.sparkSession.sparkContext.broadcast(fit(measured, labels, sample_rows))
 
     def good(texts: pa.Array) -> pa.Array:
-        x = np.array([features_of(t) for t in texts.to_pylist()], np.float64).reshape(-1, len(FEATURES))
-        return pa.array(model.value.score(x) >= 0.5)
+        x = [features_of(t) for at in range(0, len(texts), 512) for t in texts.slice(at, 512).to_pylist()]  # as in in_slices()
+        return pa.array(model.value.score(np.array(x, np.float64).reshape(-1, len(FEATURES))) >= 0.5)
 
     return docs.where(F.arrow_udf(good, "boolean")(F.col(f"`{text_col}`").cast("string")))

@@ -150,7 +150,9 @@ _WORD_PIECES = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 #: Characters that str.split() takes for white space and the library doesn't.
 _NO_SPACES = "\x1c\x1d\x1e\x1f"
+#: Pieces and words that a worker remembers, some 240 bytes each; fewer take more time.
 _PIECES, _WORDS = 600_000, 150_000
+_LEAN_PIECES, _LEAN_WORDS = 150_000, 75_000
 
 
 class PieceMemory(dict):
@@ -158,11 +160,11 @@ class PieceMemory(dict):
 
     def __init__(self, model):
         super().__init__()
-        self.model = model
+        self.model, self.most = model, _PIECES
         self.stands_for = {b: c for c, b in byte_alphabet().items()}
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= _PIECES:
+        if len(self) >= self.most:
             self.clear()
         spelled = piece if piece.isascii() else "".join(map(self.stands_for.__getitem__, piece.encode()))
         got = self[piece] = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
@@ -176,7 +178,7 @@ class WordMemory(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer = Tokenizer.from_str(spec)
+        self.tokenizer, self.most = Tokenizer.from_str(spec), _WORDS
         self.pieces = PieceMemory(self.tokenizer.model)
         data = json.loads(spec)
         kinds = [n["type"] for n in (data["normalizer"] or {}).get("normalizers", [])]
@@ -184,7 +186,7 @@ class WordMemory(dict):
         self.plain = kinds == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in splits] == ["Split", "ByteLevel"] and splits[0]["pattern"] == {"Regex": _WORD_PIECES} and not splits[1]["use_regex"]
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= _WORDS:
+        if len(self) >= self.most:
             self.clear()
         if self.plain and _LATIN.match(word):
             got = b"".join(map(self.pieces.__getitem__, _LATIN_PIECES.findall(word.lower())))
@@ -193,21 +195,34 @@ class WordMemory(dict):
         self[word] = got
         return got
 
+    def hold(self, pieces: int, words: int) -> None:
+        """Remembers so many at most from now on; what is more than that is forgotten."""
+        for memory, most in ((self.pieces, pieces), (self, words)):
+            memory.most = most
+            if len(memory) > most:
+                memory.clear()
+
     def ids_of(self, text: str | None) -> bytes:
         if text and ("<|" in text or any(c in text for c in _NO_SPACES)):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self.__getitem__, (text or "").split()))
 
 
-def token_sizes(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_key, size: the number of ids that each text has in the blocks, without the end id; text_key is the text's MD5 digest, which tells rows with one id, or none, apart."""
+def token_sizes(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_col: str = "text", lean: bool = False) -> DataFrame:
+    """doc_id, text_key, size: the number of ids that each text has in the blocks, without the end id; text_key is the text's MD5 digest, which tells rows with one id, or none, apart.
+
+    ``lean``: workers remember fewer words, and none after their task, for executors that other stages have filled; same results, more time.
+    """
     spec = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
 
     def run(batches):
         memory = loaded(WordMemory, spec.value)
+        memory.hold(*((_LEAN_PIECES, _LEAN_WORDS) if lean else (_PIECES, _WORDS)))
         for batch in in_slices(batches):
             ids, texts = columns_of(batch, "doc_id", "text")
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), batch.column("text_key"), pa.array([len(memory.ids_of(t)) // 4 for t in texts], pa.int64())], names=["doc_id", "text_key", "size"])
+        if lean:
+            memory.hold(0, 0)
 
     return id_and_text(docs, id_col, text_col).withColumn("text_key", F.md5("text")).mapInArrow(run, "doc_id long, text_key string, size long")
 
@@ -218,6 +233,7 @@ def token_ids(docs: DataFrame, tokenizer_json: str, id_col: str | None = "doc_id
 
     def run(batches):
         memory = loaded(WordMemory, spec.value)
+        memory.hold(_PIECES, _WORDS)
         for batch in in_slices(batches):
             ids, texts = columns_of(batch, "doc_id", "text")
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), batch.column("text_key"), pa.array([np.frombuffer(memory.ids_of(t), "<i4") for t in texts], pa.list_(pa.int32()))], names=["doc_id", "text_key", "ids"])
@@ -248,6 +264,7 @@ def write_token_blocks(docs: DataFrame, path: str, tokenizer_json: str, end_id:
         from pyspark import TaskContext
 
         memory = loaded(WordMemory, spec.value)
+        memory.hold(_PIECES, _WORDS)
         shard, seq = TaskContext.get().partitionId(), 0
         keys: list[int | None] = []
         held: list[bytes] = []

@@ -7,9 +7,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from shardloom.llm import jaccard_join, quality_classifier, token_output
+import corpus_pipeline
+from shardloom.llm import bpe, jaccard_join, quality_classifier, token_output
 
-from .helpers import spec
+from .helpers import TEXTS, frame, spec
 
 
 class Plan:
@@ -35,6 +36,15 @@ def tasks():
     }
 
 
+def peak_of(work):
+    tracemalloc.start()
+    try:
+        assert work() >= 20_000
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
 @pytest.mark.parametrize("name", sorted(tasks()))
 def test_memory_of_a_batch(spark, name):
     """A batch of 60 MB of text, which was made a list of Python strings whole."""
@@ -49,3 +59,48 @@ def test_memory_of_a_batch(spark, name):
     finally:
         tracemalloc.stop()
     assert peak < 30 << 20
+
+
+def test_memory_of_verdicts(monkeypatch):
+    """The function that decides beside the text took a list of all texts of a batch."""
+    made = []
+    model = SimpleNamespace(score=lambda x: np.ones(len(x)))
+    for name, value in {"measure": lambda *a: Plan(), "staged": lambda *a: Plan(), "fit": lambda *a: model}.items():
+        monkeypatch.setattr(quality_classifier, name, value)
+    monkeypatch.setattr(quality_classifier, "F", SimpleNamespace(arrow_udf=lambda f, kind: made.append(f) or (lambda c: c), col=lambda c: SimpleNamespace(cast=lambda kind: c)))
+    quality_classifier.good_rows(SimpleNamespace(where=lambda c: c), None)
+    texts = pa.array(["x" * 3000] * 20_000)
+    assert made[0](texts[:1]).to_pylist() == [True] and made[0](texts[:0]).to_pylist() == []
+    assert peak_of(lambda: len(made[0](texts))) < 30 << 20
+
+
+def test_memory_of_words(spark):
+    """A worker remembered 600,000 pieces, and kept them through the stages that followed."""
+    texts = [" ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676 % 26)}{chr(97 + k // 17576)}q" for k in range(10 * i, 10 * i + 10)) for i in range(20_000)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts, "text_key": ["k"] * len(texts)})
+    lean, other = (token_output.token_sizes(Plan(), spec("word_bpe_49k.json"), lean=x) for x in (True, False))
+    sizes = lambda run: [x for b in run(iter([batch])) for x in b.column("size").to_pylist()]
+    list(lean(iter([batch.slice(0, 1)])))
+    assert peak_of(lambda: len(sizes(lean))) < 48 << 20
+    memory = bpe.loaded(token_output.WordMemory, spec("word_bpe_49k.json"))
+    assert not memory and not memory.pieces
+    assert sizes(lean) == sizes(other)
+
+
+def test_batches_of_stages(spark):
+    """A task's Arrow batches held up to 10,000 texts, whatever their bytes; a limit that the user has set stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    texts = spark.range(3000, numPartitions=1).selectExpr("id AS doc_id", "repeat('many words ', 1000) AS text")
+
+    def largest(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([max(b.nbytes for b in batches)])], names=["most"])
+
+    for name, stage in corpus_pipeline.STAGES:
+        if name in ("quality_classifier", "ngram_jaccard_join", "best_fit_packing"):
+            spark.conf.unset(key)
+            stage(spark, frame(spark).select("doc_id", "text"), "/root/testdata/sf0.001")
+            assert texts.mapInArrow(largest, "most long").first().most < 6 << 20
+            spark.conf.set(key, 12345)
+            stage(spark, frame(spark, TEXTS[:2]).select("doc_id", "text"), "/root/testdata/sf0.001")
+            assert int(spark.conf.get(key)) == 12345
+    spark.conf.unset(key)
